@@ -32,7 +32,9 @@ MAX_TERMS, STEM = 2000, (4, 8)
 #: Words on each side of a hit that its context is read from.
 WINDOW = 6
 #: A term must be this much likelier (log likelihood ratio) to belong to the toxic texts than to be spread evenly.
-LEAST_LLR = 10.0
+LEAST_LLR = 16.0
+#: Most share of clean texts that hold a term, relative to that of toxic ones.
+MOST_RATIO = 0.12
 CACHE_WORDS = 300_000
 #: Weights before any row is seen: exact, misspelt and quoted hits, hits near each other, the constant.
 PRIOR = (2.0, 1.2, 0.2, 0.5, -3.0)
@@ -274,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = FIT_TOXIC, max_clea
     n, p = F.col("a") + F.col("b"), F.col("a") / (F.col("a") + F.col("b"))
     llr = n * (p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0))
     terms = rows.mapInArrow(_counted, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    telling = terms.where((F.col("a") > 0) & (p > share) & (F.col("b") / b_all < 0.05 * F.col("a") / a_all)).withColumn("llr", llr).where(F.col("llr") >= LEAST_LLR)
+    telling = terms.where((F.col("a") > 0) & (p > share) & (F.col("b") / b_all < MOST_RATIO * F.col("a") / a_all)).withColumn("llr", llr).where(F.col("llr") >= LEAST_LLR)
     lexicon = tuple(_chosen([(r.term, r.a, r.b) for r in telling.orderBy(F.desc("llr"), "term").limit(MAX_TERMS * 10).collect()], a_all, b_all)[:MAX_TERMS])
     blank = Model(lexicon)
 
