@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 #: Rows up to which a counted side may be broadcast (a row here is at most a few dozen bytes).
 BROADCAST_ROWS = 400_000
 
+#: Rows of an Arrow batch; those of texts may be long.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _shipped: set[str] = set()
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that Python workers can import it."""
+    """Sends this package to the executors once per application, so that Python workers can import it; keeps Arrow batches of long texts small."""
+    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's default; another value was chosen by the user
+        spark.conf.set(BATCH_ROWS, "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
