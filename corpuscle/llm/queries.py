@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.cluster import ship_code
-from corpuscle.llm import neardup, quality, toxicity
+from corpuscle.cluster import shared_dir, ship_code
+from corpuscle.llm import chat, fst, html, linededup, neardup, packing, quality, store, toxicity
+from corpuscle.llm.encoding import default_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,3 +75,44 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "group_id", "group_size", "kept")
+
+
+@_query
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, k, r, "</s>[INST] ok [/INST]") for k, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.segments(turns.unionByName(extra)))
+
+
+@_query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    kept = linededup.deduplicated(docs.withColumn("n_lines", lines))
+    left = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    return kept.select("doc_id", "n_lines", left.alias("n_kept_lines"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@_query
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return fst.digests(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    store.write_store(table(spark, sf_dir, "documents"), out, default_path("byte_bpe_50k.json"))
+    return store.verified_digests(spark, out)
+
+
+@_query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
+
+
+@_query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extracted(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
