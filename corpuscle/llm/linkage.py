@@ -20,22 +20,35 @@ from corpuscle.llm.components import components
 
 #: Features of texts that a task keeps while it verifies pairs; those of a bucket's least item come up often.
 KEPT_FEATURES = 32
+#: Keys that a task links among themselves before it sends on the least item of each.
+STAR_KEYS = 500_000
+#: Items on each side of a tile, the unit in which the rest of a bucket is compared.
+TILE = 200
 
 
 def _locally_starred(batches):
-    """Of (id, keys): a row (key, id, null) for the least id of each key in a batch, (key, id, least) for the others."""
-    for b in batches:
-        ids, keys = b.column("id").to_numpy(zero_copy_only=False), b.column("keys")
-        flat, sizes = keys.flatten().to_numpy(zero_copy_only=False), keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        if not len(flat):
-            continue
-        ids = np.repeat(ids, sizes)
+    """Of (id, keys): a row (key, id, null) for the least id of each key among so many rows of a task, (key, id, least) for the others."""
+
+    def starred(parts):
+        flat, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((ids, flat))
         flat, ids = flat[order], ids[order]
         first = np.r_[True, flat[1:] != flat[:-1]]
         least = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
         keep = first | (ids != least)
-        yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(ids[keep]), pa.array(least[keep], mask=first[keep])], ["key", "id", "head"])
+        return pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(ids[keep]), pa.array(least[keep], mask=first[keep])], ["key", "id", "head"])
+
+    parts: list = []
+    for b in batches:
+        keys = b.column("keys")
+        flat, sizes = keys.flatten().to_numpy(zero_copy_only=False), keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        if len(flat):
+            parts.append((flat, np.repeat(b.column("id").to_numpy(zero_copy_only=False), sizes)))
+        if sum(len(f) for f, _ in parts) >= STAR_KEYS:
+            yield starred(parts)
+            parts = []
+    if parts:
+        yield starred(parts)
 
 
 def _verify(similarity: Callable, threshold: float, feature: Callable):
@@ -110,15 +123,59 @@ def linked_groups(banded: DataFrame, fetch: Callable[[DataFrame], DataFrame], fe
     keys = pairs.join(apart.select("a", "b").distinct(), ["a", "b"]).select(F.explode("keys").alias("key")).distinct()
     of_key = pairs.select("a", "b", F.explode("keys").alias("key")).join(keys, "key", "left_semi")
     members = checkpointed(of_key.select("key", F.col("a").alias("id")).union(of_key.select("key", F.col("b").alias("id"))).distinct().join(named, "id"))
-    main = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    members = checkpointed(members.join(main, "key").select("key", "id", "root", (F.col("root") == F.col("main")).alias("in_main")))
-    side = members.where("not in_main").select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
-    rest = side.join(members.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), "in_main"), "key").where("ra <> rb and (in_main or a < b)")
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = checkpointed(verified(rest).where(F.col("sim") >= threshold).select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    main = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("of_main"))
+    members = checkpointed(members.join(main.withColumn("s", F.col("n") - F.col("of_main")), "key").select("key", "id", "node", "root", (F.col("root") != F.col("main")).alias("side"), "n", "s"))
+    # Each item outside a bucket's main component meets all others of the bucket, tile by tile; only links come out.
+    count = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    mine = lambda c, salt: F.pmod(F.xxhash64("id", F.lit(salt)), count(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), count(c) - 1))
+    rows = members.where("side").select("key", mine("s", 1).alias("i"), every("n").alias("j"), F.lit(True).alias("left"), "id", "node", "root", "side")
+    rows = rows.union(members.select("key", every("s").alias("i"), mine("n", 2).alias("j"), F.lit(False).alias("left"), "id", "node", "root", "side"))
+    shared = members.groupBy("id").agg(F.collect_set("key").alias("keys"))  # at most as many as there are bands
+    tiles = rows.join(shared, "id").join(texts.select("node", "text"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "left")
+    more = checkpointed(tiles.select("key", "i", "j", "left", "id", "node", "root", "side", "keys", "text").mapInArrow(_tiled(similarity, threshold, feature), "a binary, b binary"))
     return groups if more.isEmpty() else components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
+def _tiled(similarity: Callable, threshold: float, feature: Callable):
+    """Links within tiles. A pair is compared in one of the buckets that it shares, and not at all if it was linked before."""
+
+    def links(right: list, left: list):
+        features: dict = {}
+
+        def of(node, text):
+            if node not in features:
+                features[node] = feature(text)
+            return features[node]
+
+        for key, u, nu, ru, _, ku, tu in left:
+            met = {ru}
+            for _, v, nv, rv, sv, kv, tv in right:
+                if rv not in met and (not sv or u < v) and min(ku & kv) == key and similarity(of(nu, tu), of(nv, tv), threshold) >= threshold:
+                    met.add(rv)
+                    yield nu, nv
+
+    def run(batches):
+        now, right, left = None, [], []
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            found = []
+            c = {n: b.column(n).to_pylist() for n in b.schema.names}
+            for key, i, j, is_left, *item in zip(*(c[n] for n in ("key", "i", "j", "left", "id", "node", "root", "side", "keys", "text")), strict=True):
+                if now != (key, i, j):
+                    found += links(right, left)
+                    now, right, left = (key, i, j), [], []
+                item[4] = frozenset(item[4])
+                (left if is_left else right).append((key, *item))
+            yield out(found)
+        yield out(list(links(right, left)))
+
+    return run
+
+
 def checkpointed_rows(rows: DataFrame) -> DataFrame:
     """Band rows are read twice; they are written once, as Parquet."""
     from corpuscle.cluster import staged

@@ -28,7 +28,7 @@ from corpuscle.llm.linkage import bag_jaccard, linked_groups, semi
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Bytes of text that are hashed at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
