@@ -115,3 +115,10 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     m = measures(docs, text)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return m.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compiled(rules))
+
+
+def kept_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs, with all their columns, that the rules keep."""
+    j = judged(docs.select(F.struct("*").alias("_doc"), F.col(text).alias("_text")), "_text", rules)
+    # The row number keeps the filter above the projection; below it, each use of a measure would compute it anew.
+    return j.withColumn("_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_row") >= 0)).select("_doc.*")
