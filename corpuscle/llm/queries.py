@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.cluster import shared_dir, ship_code
-from corpuscle.llm import chat, fst, html, linededup, neardup, packing, quality, store, toxicity
+from corpuscle.llm import ann, chat, fst, html, linededup, neardup, packing, quality, store, toxicity
 from corpuscle.llm.encoding import default_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html.extracted(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
