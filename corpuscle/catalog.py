@@ -1,10 +1,573 @@
-"""All queries of the library by name, with SQL that a second engine can run on the same tables."""
+"""All queries of the library by name, with SQL that a second engine can run on the same tables.
+
+The SQL is written for DuckDB and shares no code with the Spark side but fixed values (patterns, affix lists). Queries that need a
+vocabulary train a small one; the SQL trains the same, one pair of subqueries for each merge.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpuscle.cluster import ship_code
+from corpuscle.functions import text as T
+from corpuscle.functions.patterns import BASE, SPACELESS, SUFFIXES, duckdb_chunks
+from corpuscle.operators import bpe, chunks, metrics, morphology, registers, search, surface
+from corpuscle.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Merges of the small vocabulary.
+MERGES = 16
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(*columns)
+
+
+def trained(spark: SparkSession, sf_dir: str, rules: bpe.Rules = bpe.Rules(), by: tuple[str, ...] = (), merges: int = MERGES):
+    """(merge table, chunks with ids, vocabulary) of the small vocabulary on documents."""
+    counts = chunks.counted(documents(spark, sf_dir, *by, "text"), by=by)
+    table = bpe.train(counts.groupBy("chunk").agg(F.sum("n").alias("n")) if by else counts, bpe.BYTES + merges, rules, "task")
+    made = bpe.collected(table)  # as many rows as there are merges
+    own = spark.createDataFrame(bpe._frame(made), bpe.MERGES)
+    words = bpe.folded_encode(counts.withColumn("w", bpe.word(F.col("chunk"))), made)
+    ids = F.transform(bpe.tokens(F.col("w")), bpe.token_id)
+    return own, words.withColumn("ids", ids), bpe.vocabulary(own)
+
+
+# --- the same in SQL ---
+
+
+def chunk_sql(pattern: str = BASE, columns: str = "", source: str = "documents", text: str = "text") -> str:
+    return f"SELECT {columns}unnest({duckdb_chunks(text, pattern)}) AS chunk FROM {source}"
+
+
+def staged_sql(steps: int = MERGES, allowed: str = "", by: str = "") -> str:
+    """CTEs w0 ... w<steps> (by, chunk, w, n) and p0 ... (a, b, c): words after so many merges, and the pair of each."""
+    bys = f"{by}, " if by else ""
+    out = [
+        f"counted AS (SELECT {bys}chunk, count(*) AS n FROM ({chunk_sql(columns=bys)}) GROUP BY ALL)",
+        f"w0 AS MATERIALIZED (SELECT {bys}chunk, regexp_replace(hex(chunk), '(..)', '<\\1>', 'g') AS w, n FROM counted)",
+    ]
+    for k in range(steps):
+        out.append(
+            f"p{k} AS MATERIALIZED (SELECT t[i] AS a, t[i + 1] AS b, sum(n)::BIGINT AS c FROM (SELECT t, n, unnest(range(1, len(t))) AS i FROM "
+            f"(SELECT string_split(trim(w, '<>'), '><') AS t, n FROM w{k})) {f'WHERE {allowed}' if allowed else ''} GROUP BY 1, 2 ORDER BY c DESC, a, b LIMIT 1)"
+        )
+        out.append(f"w{k + 1} AS MATERIALIZED (SELECT {bys}chunk, replace(w, '<' || a || '><' || b || '>', '<T{k:05d}>') AS w, n FROM w{k}, p{k})")
+    return ",\n".join(out)
+
+
+_ID = "CASE WHEN t[1] = 'T' THEN 256 + t[2:]::INT ELSE ('0x' || t)::INT END"
+
+
+def fires_sql(steps: int = MERGES, by: str = "") -> str:
+    """CTE fires (by, id, fires, first, last)."""
+    bys = f"{by}, " if by else ""
+    return f"""{staged_sql(steps, by=by)},
+spread AS (SELECT {bys}t, n, i, k FROM (SELECT {bys}n, len(ts) AS k, unnest(ts) AS t, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT {bys}n, string_split(trim(w, '<>'), '><') AS ts FROM w{steps}))),
+fires AS MATERIALIZED (SELECT {bys}{_ID} AS id, sum(n)::BIGINT AS fires, coalesce(sum(n) FILTER (i = 1), 0)::BIGINT AS first, coalesce(sum(n) FILTER (i = k), 0)::BIGINT AS last FROM spread GROUP BY ALL)"""
+
+
+def merge_rows_sql(steps: int) -> str:
+    return " UNION ALL ".join(f"SELECT {256 + k} AS id, a, b, c AS n FROM p{k}" for k in range(steps))
+
+
+def vocab_sql(steps: int = MERGES) -> str:
+    """CTE vocab (id, hex)."""
+    rows = ["v_bytes AS (SELECT i::INT AS id, printf('%02X', i) AS hex FROM range(256) t(i))"]
+    names = "v0 AS (SELECT printf('%02X', i) AS name, printf('%02X', i) AS hex FROM range(256) t(i))"
+    rows.append(names)
+    for k in range(steps):
+        rows.append(f"v{k + 1} AS MATERIALIZED (SELECT * FROM v{k} UNION ALL SELECT 'T{k:05d}', x.hex || y.hex FROM p{k} JOIN v{k} x ON x.name = a JOIN v{k} y ON y.name = b)")
+    rows.append(f"vocab AS MATERIALIZED (SELECT {_ID.replace('t[', 'name[').replace('|| t)', '|| name)')} AS id, hex FROM v{steps})")
+    return ",\n".join(rows)
+
+
+# --- chunks ---
+
+TOP = "SELECT chunk, n FROM ({}) ORDER BY n DESC, chunk LIMIT 50"
+
+
+@query(TOP.format(f"SELECT chunk, count(*) AS n FROM ({chunk_sql()}) GROUP BY chunk"))
+def chunk_topk(spark, sf_dir):
+    return chunks.counted(documents(spark, sf_dir, "text")).orderBy(F.desc("n"), "chunk").limit(50)
+
+
+@query(TOP.format(f"SELECT chunk, count(*) AS n FROM ({chunk_sql(SPACELESS)}) GROUP BY chunk"))
+def spaceless_chunk_topk(spark, sf_dir):
+    return chunks.counted(documents(spark, sf_dir, "text"), SPACELESS).orderBy(F.desc("n"), "chunk").limit(50)
+
+
+@query(f"SELECT lang, count(*) AS n_chunks, count(DISTINCT chunk) AS n_distinct FROM ({chunk_sql(columns='lang, ')}) GROUP BY lang")
+def chunk_count_by_lang(spark, sf_dir):
+    c = chunks.counted(documents(spark, sf_dir, "lang", "text"), by=("lang",))
+    return c.groupBy("lang").agg(F.sum("n").alias("n_chunks"), F.count("*").alias("n_distinct"))
+
+
+@query(f"SELECT count(*) AS n_chunks, count(DISTINCT chunk) AS n_distinct, sum(length(chunk))::BIGINT AS chars FROM ({chunk_sql(source='pages', text='html')})")
+def html_chunk_stats(spark, sf_dir):
+    c = chunks.counted(table(spark, sf_dir, "pages").select("html"), text="html")
+    return c.agg(F.sum("n").alias("n_chunks"), F.count("*").alias("n_distinct"), F.sum(F.length("chunk") * F.col("n")).alias("chars"))
+
+
+@query(f"""SELECT source AS shard, count(*) AS n_distinct, sum(n)::BIGINT AS n_chunks FROM (SELECT source, chunk, count(*) AS n FROM ({chunk_sql(columns='source, ')}) GROUP BY ALL) GROUP BY source""")
+def shard_star_counts(spark, sf_dir):
+    _, counts = chunks.shard_star(documents(spark, sf_dir, "source", "text"))
+    return counts.groupBy("shard").agg(F.count("*").alias("n_distinct"), F.sum("n").alias("n_chunks"))
+
+
+# --- scans and totals ---
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM documents) WHERE coalesce(before, 0) < 500000")
+def char_cap_scan(spark, sf_dir):
+    return corpus.capped(documents(spark, sf_dir, "doc_id", "text"), 500_000).select("doc_id")
+
+
+@query("SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM (SELECT source, left(text, 1000) AS text, sum(length(left(text, 1000))) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM documents) WHERE coalesce(before, 0) <= 20000 GROUP BY source")
+def char_cap_by_shard(spark, sf_dir):
+    d = corpus.capped(documents(spark, sf_dir, "doc_id", "source", "text"), 20_000, shard="source", doc_cap=1000, after=True)
+    return d.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT sum(strlen(text))::BIGINT AS bytes, sum(len(regexp_extract_all(text, ' [^\\s\\x0B]')))::BIGINT AS space_bits FROM documents")
+def corpus_bytes_bits(spark, sf_dir):
+    return surface.space_bits(documents(spark, sf_dir, "text"))
+
+
+@query("SELECT CASE WHEN doc_id % 10 = 9 THEN 'val' ELSE 'train' END AS split, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
+def split_sizes(spark, sf_dir):
+    d = documents(spark, sf_dir, "doc_id", "text").select(corpus.split_of(F.col("doc_id")).alias("split"), F.length("text").alias("n"))
+    return d.groupBy("split").agg(F.count("*").alias("docs"), F.sum("n").alias("chars"))
+
+
+# --- byte pairs ---
+
+
+@query(f"""WITH {staged_sql(0)} SELECT t[i] AS a, t[i + 1] AS b, sum(n)::BIGINT AS n FROM (SELECT t, n, unnest(range(1, len(t))) AS i FROM (SELECT string_split(trim(w, '<>'), '><') AS t, n FROM w0)) GROUP BY 1, 2""")
+def byte_pair_counts(spark, sf_dir):
+    c = chunks.counted(documents(spark, sf_dir, "text"))
+    return bpe.pair_counts(c.select(bpe.word(F.col("chunk")).alias("w"), "n"))
+
+
+def named(merges: DataFrame) -> DataFrame:
+    name = lambda c: F.when(F.col(c) < 256, F.lpad(F.hex(F.col(c)), 2, "0")).otherwise(F.format_string("T%05d", F.col(c) - 256))
+    return merges.select("id", name("left").alias("a"), name("right").alias("b"), "n")
+
+
+@query(f"WITH {staged_sql(8)} {merge_rows_sql(8)}")
+def bpe_merges_8(spark, sf_dir):
+    return named(bpe.train_by_frames(chunks.counted(documents(spark, sf_dir, "text")), 8))
+
+
+@query(f"WITH {staged_sql(32)} {merge_rows_sql(32)}")
+def bpe_merges_32_in_task(spark, sf_dir):
+    return named(bpe.train(chunks.counted(documents(spark, sf_dir, "text")), bpe.BYTES + 32, mode="task"))
+
+
+BLOCKED = ((" ", "t"), ("e", "r"), ("t", "h"))
+
+
+@query(f"""WITH {staged_sql(12, " AND ".join(f"NOT (t[i] = '{a.encode().hex().upper()}' AND t[i + 1] = '{b.encode().hex().upper()}')" for a, b in BLOCKED))} {merge_rows_sql(12)}""")
+def bpe_blocked_merges(spark, sf_dir):
+    return named(bpe.train(chunks.counted(documents(spark, sf_dir, "text")), bpe.BYTES + 12, bpe.Rules.of(BLOCKED), "task"))
+
+
+@query(f"""WITH {staged_sql(12, "t[i] <> '20' AND t[i + 1] <> '20'")} {merge_rows_sql(12)}""")
+def bpe_space_rules(spark, sf_dir):
+    """With chunks as they are, only byte 20 starts or ends a token with a space as long as no merge holds one; the left side is barred by blocking it."""
+    rules = bpe.Rules(blocked=tuple((b" ", bytes((k,))) for k in range(256)), leading_space=True, trailing_space=True)
+    return named(bpe.train(chunks.counted(documents(spark, sf_dir, "text")), bpe.BYTES + 12, rules, "task"))
+
+
+@query()
+def bpe_forced_merges(spark, sf_dir):
+    rules = bpe.Rules.of(blocked=(("h", "e"),), forced=(("t", "h"), ("th", "e"), ("a", "n"), ("h", "e")))
+    m = bpe.train(chunks.counted(documents(spark, sf_dir, "text")), bpe.BYTES + 24, rules, "task")
+    return m.select("id", "left", "right", F.hex("bytes").alias("hex"), "forced")
+
+
+@query(f"WITH {fires_sql()} SELECT id, fires FROM fires")
+def bpe_encode_firecounts(spark, sf_dir):
+    return metrics.fire_counts(trained(spark, sf_dir)[1]).select("id", "fires")
+
+
+@query(f"WITH {fires_sql()}, {vocab_sql()} SELECT count(*) AS n_tokens, count(*) FILTER (fires IS NULL) AS n_dead FROM vocab LEFT JOIN fires USING (id)")
+def dead_tokens(spark, sf_dir):
+    _, e, v = trained(spark, sf_dir)
+    return metrics.dead(v, metrics.fire_counts(e))
+
+
+@query(f"WITH {fires_sql()} SELECT round(sum(id * fires)::DOUBLE / sum(fires), 9) AS wmean_id FROM fires")
+def wmean_id(spark, sf_dir):
+    return metrics.weighted_mean_id(metrics.fire_counts(trained(spark, sf_dir)[1])).select(F.round("wmean_id", 9).alias("wmean_id"))
+
+
+@query(f"WITH {fires_sql()}, b(lo, hi) AS (VALUES (0, 256), (256, 512), (512, 1024), (1024, 2048), (2048, 4096), (4096, 8192), (8192, 16384), (16384, 32768)) SELECT lo, hi, coalesce(sum(fires), 0)::BIGINT AS fires FROM b LEFT JOIN fires ON id >= lo AND id < hi GROUP BY ALL")
+def rank_buckets(spark, sf_dir):
+    return metrics.rank_buckets(metrics.fire_counts(trained(spark, sf_dir)[1]))
+
+
+@query(f"""WITH {fires_sql()}, r AS (SELECT row_number() OVER (ORDER BY fires DESC, id) AS k, sum(fires) OVER (ORDER BY fires DESC, id ROWS UNBOUNDED PRECEDING) AS u, sum(fires) OVER () AS total FROM fires)
+SELECT p.k::INT AS k, round(coalesce(u::DOUBLE / total, 1.0), 9) AS share FROM (VALUES (10), (50), (100), (500), (1000)) p(k) LEFT JOIN r USING (k)""")
+def coverage_curve(spark, sf_dir):
+    return metrics.coverage_curve(metrics.fire_counts(trained(spark, sf_dir)[1]), (10, 50, 100, 500, 1000)).select("k", F.round("share", 9).alias("share"))
+
+
+@query(f"WITH {staged_sql()}, {vocab_sql()} SELECT (length(hex) // 2)::INT AS byte_len, count(*) AS n FROM vocab GROUP BY 1")
+def vocab_len_hist(spark, sf_dir):
+    return metrics.length_histogram(trained(spark, sf_dir)[2])
+
+
+@query(f"""WITH {staged_sql()}, {vocab_sql()}, l AS (SELECT (length(hex) // 2)::INT AS n, hex FROM vocab)
+SELECT count(*) AS n_tokens, avg(n) AS mean_len, max(n) AS max_len, count(*) FILTER (n = 1) AS n_single, count(*) FILTER (regexp_full_match(hex, '(3[0-9])+')) AS n_digit, list_sort(list(n))[(count(*) // 2 + 1)::INT] AS upper_median FROM l""")
+def vocab_len_stats(spark, sf_dir):
+    return metrics.length_stats(trained(spark, sf_dir)[2]).drop("n_partial")
+
+
+@query(f"""WITH {staged_sql(by='source')} SELECT source, sum(len(string_split(trim(w, '<>'), '><')) * n)::BIGINT AS tokens, sum(length(chunk) * n)::BIGINT AS chars, sum(strlen(chunk) * n)::BIGINT AS bytes FROM w{MERGES} GROUP BY source""")
+def per_source_compression(spark, sf_dir):
+    return metrics.totals(trained(spark, sf_dir, by=("source",))[1], ("source",))
+
+
+@query(f"""WITH {staged_sql(by='source')}, s AS (SELECT source, sum(len(string_split(trim(w, '<>'), '><')) * n) AS t FROM w{MERGES} GROUP BY source), h AS (SELECT source, sum(len(string_split(trim(w, '<>'), '><')) * n) AS u FROM w{MERGES // 2} GROUP BY source)
+SELECT count(*) AS shards, count(*) FILTER (t < u) AS wins FROM s JOIN h USING (source)""")
+def shard_winrate(spark, sf_dir):
+    """The small vocabulary against its first half."""
+    own, e, _ = trained(spark, sf_dir, by=("source",))
+    half = bpe.folded_encode(e.select("source", "chunk", "n", bpe.word(F.col("chunk")).alias("w")), bpe.collected(own)[: MERGES // 2])
+    size = lambda w: F.size(bpe.tokens(F.col(w)))
+    a = e.groupBy("source").agg(F.sum(size("w") * F.col("n")).alias("t"))
+    b = half.groupBy("source").agg(F.sum(size("w") * F.col("n")).alias("u"))
+    return metrics.win_rate(a.join(b, "source"), "t", "u")
+
+
+@query(f"WITH {fires_sql()} SELECT id, fires, first, last FROM fires")
+def word_start_end_counts(spark, sf_dir):
+    return metrics.fire_counts(trained(spark, sf_dir)[1])
+
+
+def reasons_sql(steps: int = 32) -> str:
+    affixes = ", ".join(f"'{a}'" for a in SUFFIXES)
+    return f"""WITH {fires_sql(steps)}, {vocab_sql(steps)},
+toks AS (SELECT id, decode(unhex(hex)) AS s FROM vocab WHERE id < 128 OR id >= 256),
+f AS (SELECT s, first::DOUBLE / fires AS p, fires FROM toks JOIN fires USING (id)),
+a AS (SELECT f.s, (SELECT max_by(x, length(x)) FROM (SELECT unnest([{affixes}]) AS x) WHERE length(f.s) > length(x) AND ends_with(f.s, x)) AS affix FROM f),
+r AS (SELECT s, affix, left(s, length(s) - length(affix)) AS rest FROM a),
+k AS (SELECT t.s, coalesce(f.p, 0) AS p FROM toks t LEFT JOIN f USING (s)),
+c AS (SELECT r.s, CASE WHEN r.s IN ({affixes}) THEN 'is_affix' WHEN own.s IS NOT NULL THEN 'is_word' WHEN affix IS NULL THEN 'no_affix' WHEN rk.s IS NULL THEN 'rest_not_token' WHEN rest IN ({affixes}) THEN 'rest_is_affix'
+ WHEN starts_with(rest, ' ') THEN 'rest_spaced' WHEN rk.p >= 0.05 THEN 'rest_free' WHEN sib.s IS NOT NULL THEN 'rest_has_sibling' ELSE 'MANGLED' END AS reason
+ FROM r LEFT JOIN k own ON own.s = ' ' || r.s LEFT JOIN k rk ON rk.s = r.rest LEFT JOIN k sib ON sib.s = ' ' || r.rest)
+SELECT reason, count(*) AS n FROM c GROUP BY reason"""
+
+
+@query(reasons_sql())
+def mangled_reasons(spark, sf_dir):
+    _, e, v = trained(spark, sf_dir, merges=32)
+    return morphology.tally(morphology.verdicts(morphology.strings(v), metrics.fire_counts(e)))
+
+
+@query(f"""WITH {staged_sql(32)}, {vocab_sql(32)}, cut AS (SELECT id, hex, unnest(range(1, length(hex) // 2)) AS k FROM vocab WHERE length(hex) > 2)
+SELECT c.id, left(c.hex, 2 * k) AS l, substr(c.hex, 2 * k + 1) AS r, x.id AS l_id, y.id AS r_id FROM cut c JOIN vocab x ON x.hex = left(c.hex, 2 * k) JOIN vocab y ON y.hex = substr(c.hex, 2 * k + 1) WHERE x.id < c.id AND y.id < c.id""")
+def formation_routes(spark, sf_dir):
+    v = trained(spark, sf_dir, merges=32)[2]
+    return morphology.routes(v, v).select("id", F.hex("l").alias("l"), F.hex("r").alias("r"), "l_id", "r_id")
+
+
+@query(f"""WITH {fires_sql(32)}, m AS (SELECT i::INT AS id, coalesce(fires, 0)::BIGINT AS fires FROM range(256, 288) t(i) LEFT JOIN fires ON id = i),
+r AS (SELECT fires, row_number() OVER (ORDER BY fires, id) - 1 AS k, count(*) OVER () AS n FROM m) SELECT id, fires FROM m WHERE fires <= (SELECT fires FROM r WHERE k = floor(0.25 * (n - 1))::INT)""")
+def firing_percentile(spark, sf_dir):
+    _, e, v = trained(spark, sf_dir, merges=32)
+    return morphology.below_percentile(v, metrics.fire_counts(e), 25)
+
+
+@query(f"""WITH RECURSIVE {staged_sql(32)}, m AS ({merge_rows_sql(32)}), q AS (SELECT id, {_ID.replace('t[', 'a[').replace('|| t)', '|| a)')} AS l, {_ID.replace('t[', 'b[').replace('|| t)', '|| b)')} AS r FROM m),
+tree AS (SELECT id AS target, id, 0 AS depth FROM q UNION ALL SELECT target, unnest([q.l, q.r]) AS id, depth + 1 FROM tree JOIN q ON q.id = tree.id) SELECT target, max(depth)::INT AS depth, count(*) AS nodes FROM tree GROUP BY target""")
+def merge_lineage(spark, sf_dir):
+    own = trained(spark, sf_dir, merges=32)[0]
+    return morphology.lineage(own, own).groupBy("target").agg(F.max("depth").alias("depth"), F.count("*").alias("nodes"))
+
+
+@query(f"""WITH {staged_sql()}, s AS (SELECT DISTINCT chunk, n, unnest(string_split(trim(w, '<>'), '><')) AS t FROM w{MERGES}), i AS (SELECT {_ID} AS id, chunk, n FROM s)
+SELECT id, chunk, n, r::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, chunk) AS r FROM i WHERE id >= 256) WHERE r <= 5""")
+def token_contexts(spark, sf_dir):
+    own, e, _ = trained(spark, sf_dir)
+    return morphology.contexts(e, own, 5)
+
+
+# --- case and space ---
+
+_RUNS = r"regexp_extract_all(text, '\p{L}+|[^\p{L}]+')"
+_FOLDED = r"""array_to_string(list_transform(regexp_extract_all(text, '\p{L}+|[^\p{L}]+'), lambda r: CASE WHEN regexp_full_match(r, '\p{Lu}\p{Ll}*') AND upper(lower(r[1])) = r[1] AND length(lower(r[1])) = 1 AND strlen(lower(r[1])) = strlen(r[1]) THEN lower(r[1]) || r[2:] ELSE r END), '')"""
+
+
+@query(f"SELECT doc_id, md5({_FOLDED}) AS folded_md5 FROM documents")
+def case_fold(spark, sf_dir):
+    return documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.md5(T.fold_case(F.col("text"))).alias("folded_md5"))
+
+
+@query(f"SELECT sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (regexp_full_match(chunk, ' ?\\p{{Lu}}\\p{{Ll}}*')), 0)::BIGINT AS n_title FROM (SELECT chunk, count(*) AS n FROM ({chunk_sql()}) GROUP BY chunk)")
+def titlecase_share(spark, sf_dir):
+    c = chunks.counted(documents(spark, sf_dir, "text"))
+    return c.agg(F.sum("n").alias("n"), F.sum(F.when(T.is_titlecase(F.col("chunk")), F.col("n")).otherwise(0)).alias("n_title"))
+
+
+@query(f"""WITH c AS (SELECT DISTINCT chunk, regexp_replace(chunk, '^ ', '') AS core FROM ({chunk_sql()})), t AS (SELECT core, starts_with(chunk, ' ') AS space, regexp_full_match(core, '\\p{{Lu}}\\p{{Ll}}*') AS cap FROM c WHERE regexp_matches(core, '^\\p{{L}}') AND (NOT regexp_matches(core, '^\\p{{Lu}}') OR regexp_full_match(core, '\\p{{Lu}}\\p{{Ll}}*')))
+SELECT variants, count(*) AS families FROM (SELECT lower(core), count(DISTINCT (space, cap)) AS variants FROM t GROUP BY 1) GROUP BY variants""")
+def case_space_families(spark, sf_dir):
+    return metrics.families(chunks.counted(documents(spark, sf_dir, "text"))).groupBy("variants").agg(F.count("*").alias("families"))
+
+
+def entropy_sql(bit: str, pattern: str) -> str:
+    return f"""WITH c AS (SELECT doc_id, unnest(cs) AS chunk, unnest(range(1, len(cs) + 1)) AS pos FROM (SELECT doc_id, {duckdb_chunks('text', pattern)} AS cs FROM documents)),
+b AS (SELECT coalesce(lag(chunk) OVER w, chr(2)) AS prev, {bit} AS bit FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+g AS (SELECT prev, count(*) AS n, sum(bit::INT) AS n1 FROM b GROUP BY prev), h AS (SELECT sum(n)::BIGINT AS n, sum(n1)::BIGINT AS n1, sum(CASE WHEN n1 IN (0, n) THEN 0 ELSE -(n1 * log2(n1::DOUBLE / n) + (n - n1) * log2((n - n1)::DOUBLE / n)) END) AS s FROM g)
+SELECT n, n1, round(-(n1::DOUBLE / n * log2(n1::DOUBLE / n) + (1 - n1::DOUBLE / n) * log2(1 - n1::DOUBLE / n)), 6) AS marginal, round(s / n, 6) AS conditional FROM h"""
+
+
+def _entropy(spark, sf_dir, bit, pattern):
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    rows = chunks.positioned(documents(spark, sf_dir, "doc_id", "text"), pattern)
+    rows = rows.select(F.coalesce(F.lag("chunk").over(w), F.lit("\x02")).alias("prev"), bit.alias("bit"))
+    return metrics.conditional_entropy(rows, "prev", "bit").select("n", "n1", F.round("marginal", 6).alias("marginal"), F.round("conditional", 6).alias("conditional"))
+
+
+@query(entropy_sql("starts_with(chunk, ' ')", BASE))
+def space_bit_entropy(spark, sf_dir):
+    return _entropy(spark, sf_dir, F.col("chunk").startswith(" "), BASE)
+
+
+@query(entropy_sql("regexp_full_match(chunk, ' ?\\p{Lu}\\p{Ll}*')", BASE))
+def cap_bit_entropy(spark, sf_dir):
+    return _entropy(spark, sf_dir, T.is_titlecase(F.col("chunk")), BASE)
+
+
+_POOL = f"""WITH c AS (SELECT chunk, count(*) AS n FROM ({chunk_sql()}) GROUP BY chunk), k AS (SELECT CASE WHEN regexp_full_match(s, '\\p{{Lu}}\\p{{Ll}}*') AND upper(lower(s[1])) = s[1] AND length(lower(s[1])) = 1 AND strlen(lower(s[1])) = strlen(s[1]) THEN lower(s[1]) || s[2:] ELSE s END AS content, n, strlen(chunk) AS b FROM (SELECT regexp_replace(chunk, '^ ', '') AS s, chunk, n FROM c)),
+p AS (SELECT content, sum(n) AS total, max(n) AS top, count(*) AS variants, sum(n * b) AS mass FROM k GROUP BY content)"""
+
+
+def _pool(spark, sf_dir):
+    c = chunks.counted(documents(spark, sf_dir, "text"))
+    s = T.without_space(F.col("chunk"))
+    whole = F.when(s.rlike(r"^\p{Lu}\p{Ll}*$"), T.fold_case(s)).otherwise(s)
+    return metrics.pooled(c.select(whole.alias("content"), "n", F.octet_length("chunk").alias("byte_len")))
+
+
+@query(f"{_POOL} SELECT content, total::BIGINT AS total, top, variants FROM p WHERE variants >= 2 ORDER BY total DESC, content LIMIT 100")
+def content_pooling(spark, sf_dir):
+    return _pool(spark, sf_dir).where("variants >= 2").orderBy(F.desc("total"), "content").limit(100).select("content", "total", "top", "variants")
+
+
+@query(f"{_POOL}, g AS (SELECT *, total::DOUBLE / top AS gain FROM p) SELECT ((gain >= 1.0000001)::INT + (gain >= 1.05)::INT + (gain >= 1.2)::INT + (gain >= 1.5)::INT + (gain >= 2)::INT + (gain >= 3)::INT)::INT AS bucket, count(*) AS families, sum(total)::BIGINT AS occurrences, sum(mass)::BIGINT AS bytes FROM g GROUP BY 1")
+def pooling_buckets(spark, sf_dir):
+    return metrics.pooling_buckets(_pool(spark, sf_dir))
+
+
+@query(f"""WITH c AS (SELECT doc_id, unnest(cs) AS chunk, unnest(range(1, len(cs) + 1)) AS pos FROM (SELECT doc_id, {duckdb_chunks('text', SPACELESS)} AS cs FROM documents)),
+s AS (SELECT doc_id, pos - 1 AS pos, sum(strlen(chunk)) OVER (PARTITION BY doc_id ORDER BY pos) AS hi, strlen(chunk) AS size FROM c),
+r AS (SELECT doc_id, unnest(rs) AS run, unnest(range(1, len(rs) + 1)) AS k FROM (SELECT doc_id, {_RUNS} AS rs FROM documents)),
+t AS (SELECT doc_id, run, coalesce(sum(strlen(run)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM r),
+o AS (SELECT s.doc_id, s.pos, count(*) AS owned FROM s JOIN t ON s.doc_id = t.doc_id AND at >= hi - size AND at < hi WHERE regexp_matches(run, '^\\p{{L}}') GROUP BY ALL)
+SELECT owned, count(*) AS chunks FROM o GROUP BY owned""")
+def word_start_ownership(spark, sf_dir):
+    d = documents(spark, sf_dir, "doc_id", "text")
+    return surface.ownership(surface.chunk_spans(d), surface.start_offsets(d)).groupBy("owned").agg(F.count("*").alias("chunks"))
+
+
+@query()
+def surface_roundtrip(spark, sf_dir):
+    made = bpe.collected(bpe.train(chunks.counted(documents(spark, sf_dir, "text").select(T.fold_case(F.col("text")).alias("text")), SPACELESS), bpe.BYTES + 64, mode="task"))
+    codec = surface.SurfaceCodec(tuple(made), 4)
+    d = surface.decoded(surface.encoded(documents(spark, sf_dir, "doc_id", "text"), codec), codec)
+    return d.select("doc_id", F.size("stream").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("same"))
+
+
+@query()
+def bestfit_rows(spark, sf_dir):
+    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", (F.size(F.split("text", " ")) + 1).alias("n"))
+    return surface.packed_rows(d, 2048)
+
+
+# --- words ---
+
+
+@query(f"""WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS w FROM benchmark), c AS (SELECT chunk, lower(chunk[2:]) AS w, count(*) AS n FROM ({chunk_sql()}) WHERE starts_with(chunk, ' ') GROUP BY ALL),
+k AS (SELECT chunk, n, CASE WHEN w IN (SELECT w FROM d) THEN 'base' WHEN (ends_with(w, 's') AND length(w) > 2 AND w[:-2] IN (SELECT w FROM d)) OR (ends_with(w, 'es') AND length(w) > 3 AND w[:-3] IN (SELECT w FROM d)) OR (ends_with(w, 'ed') AND length(w) > 3 AND w[:-3] IN (SELECT w FROM d))
+ OR (ends_with(w, 'ing') AND length(w) > 4 AND w[:-4] IN (SELECT w FROM d)) OR (ends_with(w, 'd') AND length(w) > 2 AND w[:-2] IN (SELECT w FROM d)) OR (ends_with(w, 'ies') AND length(w) > 4 AND w[:-4] || 'y' IN (SELECT w FROM d)) THEN 'infl' ELSE 'none' END AS kind FROM c)
+SELECT kind, count(*) AS n_chunks, sum(n)::BIGINT AS n FROM k GROUP BY kind""")
+def dictionary_coverage(spark, sf_dir):
+    words = corpus.words_of(table(spark, sf_dir, "benchmark").select("text"))
+    hits = metrics.dictionary_hits(chunks.counted(documents(spark, sf_dir, "text")), words)
+    return hits.groupBy("kind").agg(F.count("*").alias("n_chunks"), F.sum("n").alias("n"))
+
+
+@query("""WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM benchmark), o AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents) GROUP BY word)
+SELECT word, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) >= 40 THEN 'word' WHEN coalesce(n, 0) < 8 THEN 'fragment' ELSE 'unclear' END AS verdict FROM d LEFT JOIN o USING (word)""")
+def standalone_words(spark, sf_dir):
+    words = corpus.words_of(table(spark, sf_dir, "benchmark").select("text"))
+    return morphology.standalone(documents(spark, sf_dir, "text"), words).withColumn("verdict", morphology.bareness(F.col("n")))
+
+
+@query("SELECT s, lists FROM (SELECT s, count(DISTINCT source) AS lists FROM (SELECT source, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS s FROM documents) GROUP BY s) WHERE lists >= 20")
+def ambient_words(spark, sf_dir):
+    lists = documents(spark, sf_dir, "source", "text").select(F.col("source").alias("list"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("s"))
+    return morphology.ambient(lists, 20)
+
+
+@query("""WITH t AS (SELECT quality, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS token FROM documents JOIN labels USING (doc_id))
+SELECT token, CASE WHEN max(quality) = 1 THEN 'born' ELSE 'died' END AS kind FROM t GROUP BY token HAVING min(quality) = max(quality)""")
+def born_died_words(spark, sf_dir):
+    d = documents(spark, sf_dir, "doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    words = d.select("quality", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
+    return metrics.born_and_died(words.where("quality = 0"), words.where("quality = 1"))
+
+
+@query("""WITH t AS (SELECT quality, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS token FROM documents JOIN labels USING (doc_id))
+SELECT token, fires_a, fires_b, fires_b - fires_a AS change FROM (SELECT token, count(*) FILTER (quality = 0) AS fires_a, count(*) FILTER (quality = 1) AS fires_b FROM t GROUP BY token) ORDER BY change DESC, token LIMIT 15""")
+def top_gainers(spark, sf_dir):
+    d = documents(spark, sf_dir, "doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    words = d.select("quality", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("token")).groupBy("token", "quality").agg(F.count("*").alias("fires"))
+    return metrics.compared(words.where("quality = 0"), words.where("quality = 1")).orderBy(F.desc("change"), "token").limit(15)
+
+
+_GRAMS = {
+    "word": "regexp_extract_all(text, '[a-z'']+')",
+    "bigram": "list_transform(range(1, len(regexp_extract_all(text, '[a-z'']+'))), lambda i: regexp_extract_all(text, '[a-z'']+')[i] || ' ' || regexp_extract_all(text, '[a-z'']+')[i + 1])",
+    "char4": "list_transform(range(1, length(text) - 2), lambda i: text[i:i + 3])",
+}
+
+
+def register_sql(kind: str) -> str:
+    return f"""WITH d AS (SELECT lang, lower(left(text, 8000)) AS text FROM documents), b AS (SELECT lower(left(text, 8000)) AS text FROM benchmark),
+p AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest({_GRAMS[kind]}) AS gram FROM d) GROUP BY ALL), q AS (SELECT gram, count(*) AS m FROM (SELECT unnest({_GRAMS[kind]}) AS gram FROM b) GROUP BY gram)"""
+
+
+def _registers(spark, sf_dir, kind):
+    d = corpus.registers(documents(spark, sf_dir, "doc_id", "lang", "text"), "lang")
+    b = table(spark, sf_dir, "benchmark").select(F.lit("b").alias("lang"), F.lower(F.substring("text", 1, 8000)).alias("text"))
+    return registers.grams(d, kind, "lang"), registers.grams(b, kind, "lang").select("gram", "n")
+
+
+@query(f"{register_sql('word')} SELECT lang, round(coalesce(sum(n::DOUBLE * m) / sqrt(sum(n::DOUBLE * n) * (SELECT sum(m::DOUBLE * m) FROM q)), 0), 6) AS cosine FROM p LEFT JOIN q USING (gram) GROUP BY lang")
+def register_cosine(spark, sf_dir):
+    return registers.cosine(*_registers(spark, sf_dir, "word"), "lang").select("lang", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"{register_sql('char4')} SELECT lang, round(coalesce(sum(n::DOUBLE * m) / sqrt(sum(n::DOUBLE * n) * (SELECT sum(m::DOUBLE * m) FROM q)), 0), 6) AS cosine FROM p LEFT JOIN q USING (gram) GROUP BY lang")
+def register_cosine_char4(spark, sf_dir):
+    return registers.cosine(*_registers(spark, sf_dir, "char4"), "lang").select("lang", F.round("cosine", 6).alias("cosine"))
+
+
+@query(f"""{register_sql('bigram')}, t AS (SELECT lang, sum(n) AS pt, count(*) AS k FROM p GROUP BY lang), qt AS (SELECT sum(m) AS qt FROM q)
+SELECT lang, round(sum(n::DOUBLE / pt * ln((n::DOUBLE / pt) / coalesce(m::DOUBLE / qt, 1.0 / (qt + k)))), 6) AS kl FROM p JOIN t USING (lang) LEFT JOIN q USING (gram), qt GROUP BY lang""")
+def register_kl(spark, sf_dir):
+    return registers.divergence(*_registers(spark, sf_dir, "bigram"), "lang").select("lang", F.round("kl", 6).alias("kl"))
+
+
+@query("""WITH f AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents) GROUP BY word),
+p AS (SELECT doc_id, text, unnest(ps) AS p, unnest(ss) AS s, unnest(range(0, len(ps))) AS k FROM (SELECT doc_id, text, regexp_extract_all(text, '(?s)(.*?)(\\p{Lu}\\p{Ll}+(?: \\p{Lu}\\p{Ll}+)?)') AS ps, regexp_extract_all(text, '(?s)(.*?)(\\p{Lu}\\p{Ll}+(?: \\p{Lu}\\p{Ll}+)?)', 2) AS ss FROM documents)),
+a AS (SELECT doc_id, text, s, k, (sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k) - length(s))::BIGINT AS start FROM p),
+w AS (SELECT a.doc_id, a.k, min(coalesce(n, 0)) AS min_freq, count(*) AS n_words FROM (SELECT doc_id, k, unnest(regexp_extract_all(lower(s), '\\p{L}+')) AS word FROM a) a LEFT JOIN f USING (word) GROUP BY ALL)
+SELECT doc_id, k::INT AS k, s AS span, start, min_freq, n_words FROM a JOIN w USING (doc_id, k) WHERE min_freq BETWEEN 0 AND 3 AND start > 0
+AND NOT regexp_matches(text[greatest(start - 1, 1):start], '(\\. |\\.\\n|\\n|\\? |! )$') AND length(regexp_replace(text[greatest(start - 239, 1):start], '\\s', '', 'g')) >= 80""")
+def rare_spans(spark, sf_dir):
+    d = documents(spark, sf_dir, "doc_id", "text")
+    return registers.spans_in_band(d, registers.word_frequency(d), 0, 3)
+
+
+# --- conversations ---
+
+
+@query("SELECT prev, role, count(*) AS n FROM (SELECT role, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), '') AS prev FROM conversations) GROUP BY ALL")
+def turn_prev_role_pairs(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf_dir, "conversations").select("role", F.coalesce(F.lag("role").over(w), F.lit("")).alias("prev")).groupBy("prev", "role").agg(F.count("*").alias("n"))
+
+
+# --- searches and archives, over small tables given here ---
+
+_DELTAS = [("a", "b", 1, 0, 0), ("a", "c", 0, -11, -2), ("b", "c", 0, -5, 2), ("c", "d", 2, 4, 0), ("d", "e", -1, -30, -4), ("e", "f", 0, 0, 0), ("f", "g", 0, 2, -3), ("g", "h", 3, -1, 9)]
+_EVENTS = [(1, 1, "a", "b", "commit"), (2, 2, "c", "d", "commit"), (3, 3, "a", "b", "eject"), (4, 4, "a", "b", "commit"), (5, 5, "e", "f", "veto"), (6, 6, "a", "b", "eject"), (7, 7, "e", "f", "veto"), (8, 8, "e", "f", "release"), (9, 9, "c", "d", "eject"), (10, 10, "e", "f", "veto")]
+
+
+def values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+@query(f"""SELECT l, r, (cov >= 0 AND comp <= 0 AND dead <= 0 AND (cov > 0 OR comp < 0 OR dead < 0)) OR (cov >= 0 AND comp < 0 AND dead <= 2) OR (cov > 0 AND comp <= 5 AND dead <= 2) AS keep,
+CASE WHEN cov >= 0 AND comp <= 0 AND dead <= 0 AND (cov > 0 OR comp < 0 OR dead < 0) THEN 'KEEP' WHEN cov <= 0 THEN 'A' WHEN comp > 0 THEN 'B' ELSE 'C' END AS mode FROM (VALUES {values(_DELTAS)}) t(l, r, cov, comp, dead)""")
+def pareto_gate(spark, sf_dir):
+    t = spark.createDataFrame(_DELTAS, "l string, r string, cov int, comp int, dead int")
+    c = [F.col(x) for x in ("cov", "comp", "dead")]
+    return t.select("l", "r", search.gate(*c, 2, 5).alias("keep"), search.failure(*c).alias("mode"))
+
+
+@query(f"""WITH e AS (SELECT * FROM (VALUES {values(_EVENTS)}) t(round, seq, l, r, kind) WHERE kind <> 'commit'), k AS (SELECT *, count(*) FILTER (kind <> 'release') OVER (PARTITION BY l, r ORDER BY round) AS k FROM e)
+SELECT l, r, max(k) AS ejects, max_by(CASE WHEN kind = 'release' THEN round ELSE round + 2 * 2 ** least(k - 1, 10) END, round)::BIGINT AS until FROM k GROUP BY l, r""")
+def cooldown_bench(spark, sf_dir):
+    return search.cooldown(spark.createDataFrame(_EVENTS, "round int, seq int, l string, r string, kind string").where("kind <> 'commit'"), 2)
+
+
+@query(f"""SELECT l, r FROM (SELECT l, r, max_by(kind, seq) AS kind FROM (VALUES {values(_EVENTS)}) t(round, seq, l, r, kind) WHERE round <= 8 AND kind IN ('commit', 'eject') GROUP BY l, r) WHERE kind = 'commit'""")
+def journal_replay(spark, sf_dir):
+    e = spark.createDataFrame(_EVENTS, "round int, seq int, l string, r string, kind string")
+    return search.kept_at(e.where(F.col("kind").isin("commit", "eject")), 8)
+
+
+_RUNS_ROWS = [("base", "arc", 0.40, 0.20), ("base", "boolq", 0.62, 0.24), ("base", "piqa", 0.71, 0.42), ("new", "arc", 0.43, 0.24), ("new", "boolq", 0.60, 0.20)]
+_META_ROWS = [("arc", 1172), ("boolq", 3270), ("piqa", 1838)]
+_HISTORY = [(r, "loss", s, float(5 - s + (r == "b"))) for r in "ab" for s in range(1, 8) if not (r == "b" and s == 3)]
+
+
+@query(f"""WITH e AS (SELECT * FROM (VALUES {values(_RUNS_ROWS)}) t(run, task, accuracy, centered)), m AS (SELECT * FROM (VALUES {values(_META_ROWS)}) t(task, n))
+SELECT task, n, round((b.centered - a.centered)::DOUBLE, 9) AS d_centered, round(sqrt(a.accuracy::DOUBLE * (1 - a.accuracy::DOUBLE) / n), 9) AS se FROM e a JOIN e b USING (task) JOIN m USING (task) WHERE a.run = 'base' AND b.run = 'new'""")
+def task_se(spark, sf_dir):
+    e = spark.createDataFrame(_RUNS_ROWS, "run string, task string, accuracy double, centered double")
+    out = registers.task_changes(e.where("run = 'base'"), e.where("run = 'new'"), spark.createDataFrame(_META_ROWS, "task string, n int"))
+    return out.select("task", "n", F.round("d_centered", 9).alias("d_centered"), F.round("se", 9).alias("se"))
+
+
+@query(f"SELECT key, step FROM (VALUES {values(_HISTORY)}) t(run, key, step, value) GROUP BY ALL HAVING count(DISTINCT run) = 2")
+def trajectory_common_steps(spark, sf_dir):
+    return registers.common_steps(spark.createDataFrame(_HISTORY, "run string, key string, step int, value double"), 2)
+
+
+@query(f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS r FROM (VALUES {values(_HISTORY)}) t(run, key, step, value))
+SELECT run, count(*) AS count, max(value)::DOUBLE AS max, min(value)::DOUBLE AS min, avg(value) FILTER (r <= 5) AS last_mean FROM h GROUP BY run""")
+def loss_summary(spark, sf_dir):
+    return registers.loss_summary(spark.createDataFrame(_HISTORY, "run string, key string, step int, value double"))
+
+
+@query("""WITH b AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS i, count(*) OVER () AS n FROM benchmark) SELECT a.item_id, md5(a.text) AS own, md5(c.text) AS other FROM b a JOIN b c ON c.i = a.i % a.n + 1""")
+def stem_swap(spark, sf_dir):
+    s = registers.swapped(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "text")
+    return s.select("item_id", F.md5("text").alias("own"), F.md5("text_swapped").alias("other"))
+
+
+@query()
+def evaluate_many_small(spark, sf_dir):
+    d = documents(spark, sf_dir, "doc_id", "source", "text")
+    words = [r.word for r in corpus.words_of(table(spark, sf_dir, "benchmark").select("text")).collect()]
+    held = chunks.counted(d.where("doc_id % 2 = 1"), by=("source",)).withColumnRenamed("source", "shard")
+    out = bpe.evaluate_candidates(spark, chunks.counted(d.where("doc_id % 2 = 0")), held, words, [(0, bpe.Rules()), (1, bpe.Rules.of(BLOCKED)), (2, bpe.Rules.of(((" ", "t"),)))], bpe.BYTES + 64)
+    total = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("cand", "base", "infl", total("tokens").alias("tokens"), total("dead").alias("dead"), "error")

@@ -1,0 +1,206 @@
+"""The dual stream: tokens of case-folded text without its spaces between words, with a space bit and capital bits beside each.
+
+A lone space before other characters becomes a bit of the next chunk's first token; a word's first letter that was folded
+becomes a bit of the token that owns it. Decoding gives the text back. Ownership (which token's bytes hold a word's start) is also a join of
+intervals, by document.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import cache
+
+import pandas as pd
+import regex
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from corpuscle.functions import text as T
+from corpuscle.functions.patterns import SPACELESS
+from corpuscle.operators.bpe import BYTES, Merge, encoder
+
+STREAM = "array<struct<base: int, space: tinyint, cap_bits: array<tinyint>, cap_mask: array<tinyint>>>"
+_CAPITAL = regex.compile(r"(?<!\p{L})\p{Lu}\p{Ll}*(?!\p{L})")
+_START = regex.compile(r"(?<!\p{L})\p{L}")
+
+
+def fold(text: str) -> str:
+    def lowered(m):
+        first = m[0][0]
+        low = first.lower()
+        same = len(low) == 1 and low.upper() == first and len(low.encode()) == len(first.encode())
+        return low + m[0][1:] if same else m[0]
+
+    return _CAPITAL.sub(lowered, text)
+
+
+def word_starts(text: str) -> list[tuple[int, int]]:
+    """(byte offset, character index) of letters that no letter stands before."""
+    out, at, last = [], 0, 0
+    for m in _START.finditer(text):
+        at += len(text[last : m.start()].encode())
+        last = m.start()
+        out.append((at, last))
+    return out
+
+
+@dataclass(frozen=True)
+class SurfaceCodec:
+    """slots: capital bits beside a token; a token must own no more words than that for text to come back."""
+
+    merges: tuple[Merge, ...]
+    slots: int = 2
+    pattern: str = SPACELESS
+
+    def _tools(self):
+        return _tools(self)
+
+    def encode(self, text: str) -> list[tuple[int, int, list[int], list[int]]]:
+        find, encode, size, _ = self._tools()
+        folded = fold(text)
+        starts = word_starts(folded)
+        pieces = find(folded)
+        out, at, k, space = [], 0, 0, 0
+        for i, piece in enumerate(pieces):
+            if piece == " " and i + 1 < len(pieces) and not pieces[i + 1][0].isspace():
+                space, at = 1, at + 1
+                continue
+            for token in encode(piece):
+                end, bits, mask = at + size[token], [0] * self.slots, [0] * self.slots
+                while k < len(starts) and starts[k][0] < at:
+                    k += 1
+                slot = 0
+                while k < len(starts) and starts[k][0] < end:
+                    if slot < self.slots:
+                        c = starts[k][1]
+                        mask[slot], bits[slot] = 1, int(text[c] != folded[c])
+                    slot, k = slot + 1, k + 1
+                out.append((token, space, bits, mask))
+                at, space = end, 0
+        return out
+
+    def decode(self, stream) -> str:
+        *_, raw = self._tools()
+        data, spans = bytearray(), []
+        for token, space, bits, _ in stream:
+            data += b" " * space
+            spans.append((len(data), len(data) + len(raw[token]), bits))
+            data += raw[token]
+        folded = data.decode("utf-8", "replace")
+        chars, starts, k = list(folded), word_starts(folded), 0
+        for low, high, bits in spans:
+            while k < len(starts) and starts[k][0] < low:
+                k += 1
+            slot = 0
+            while k < len(starts) and starts[k][0] < high:
+                if slot < len(bits) and bits[slot]:
+                    chars[starts[k][1]] = chars[starts[k][1]].upper()
+                slot, k = slot + 1, k + 1
+        return "".join(chars)
+
+    def byte_count(self, stream) -> int:
+        _, _, size, _ = self._tools()
+        return sum(size[t] + s for t, s, *_ in stream)
+
+    def most_words(self, texts) -> int:
+        """Most word starts that one token owns."""
+        wide = SurfaceCodec(self.merges, 64, self.pattern)
+        return max((sum(mask) for t in texts for *_, mask in wide.encode(t)), default=0)
+
+
+@cache
+def _tools(codec: SurfaceCodec):
+    find = regex.compile(codec.pattern).findall if "(" not in codec.pattern.replace("(?", "") else (lambda t, r=regex.compile(codec.pattern): [m[0] for m in r.finditer(t)])
+    raw = {i: bytes((i,)) for i in range(BYTES)} | {m.id: m.bytes for m in codec.merges}
+    encode = encoder(list(codec.merges))
+    kept: dict[str, list[int]] = {}
+
+    def of_piece(p: str) -> list[int]:
+        if p not in kept:
+            if len(kept) > 200_000:
+                kept.clear()
+            kept[p] = encode(p)
+        return kept[p]
+
+    return find, of_piece, {i: len(b) for i, b in raw.items()}, raw
+
+
+def encoded(docs: DataFrame, codec: SurfaceCodec, text: str = "text", stream: str = "stream") -> DataFrame:
+    @F.pandas_udf(STREAM)
+    def of_text(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [{"base": b, "space": sp, "cap_bits": bits, "cap_mask": mask} for b, sp, bits, mask in codec.encode(t or "")])
+
+    return docs.withColumn(stream, of_text(F.col(text)))
+
+
+def decoded(docs: DataFrame, codec: SurfaceCodec, stream: str = "stream", text: str = "decoded") -> DataFrame:
+    @F.pandas_udf("string")
+    def of_stream(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: codec.decode([(t["base"], t["space"], list(t["cap_bits"]), list(t["cap_mask"])) for t in x]))
+
+    return docs.withColumn(text, of_stream(F.col(stream)))
+
+
+def space_bits(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row: bytes, spaces right before a non-space."""
+    return docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.sum(F.regexp_count(F.col(text), F.lit(r"(?U) (?=\S)"))).alias("space_bits"))
+
+
+def chunk_spans(docs: DataFrame, pattern: str = SPACELESS, text: str = "text") -> DataFrame:
+    """(doc_id, pos, lo, hi) byte spans of chunks."""
+    sizes = F.transform(T.chunks(F.col(text), pattern), lambda c: F.octet_length(c))
+    rows = docs.select("doc_id", F.posexplode(sizes).alias("pos", "size"))
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("hi", F.sum("size").over(w)).select("doc_id", "pos", (F.col("hi") - F.col("size")).alias("lo"), "hi")
+
+
+def start_offsets(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, at) byte offsets of word starts."""
+    runs = F.regexp_extract_all(F.col(text), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    rows = docs.select("doc_id", F.posexplode(runs).alias("k", "run"))
+    w = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("at", F.coalesce(F.sum(F.octet_length("run")).over(w), F.lit(0))).where(F.col("run").rlike(r"^\p{L}")).select("doc_id", "at")
+
+
+def ownership(spans: DataFrame, starts: DataFrame) -> DataFrame:
+    """(doc_id, pos, owned): word starts in each span; a join on the document with the interval as residual."""
+    return spans.join(starts, "doc_id").where("at >= lo and at < hi").groupBy("doc_id", "pos").agg(F.count("*").alias("owned"))
+
+
+def packed_rows(docs: DataFrame, capacity: int, buffer: int = 1000) -> DataFrame:
+    """(part, row, doc_ids, crops, used): rows of `capacity` tokens filled with the largest buffered document that fits, else with the start of the shortest.
+
+    docs: (doc_id, n). Each task packs its own documents from a buffer, as a loader does.
+    """
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, pool, row = TaskContext.get().partitionId(), [], 0
+        source = ((int(d), int(n)) for pdf in batches for d, n in zip(pdf["doc_id"], pdf["n"], strict=True))
+        done = False
+        while True:
+            while not done and len(pool) < buffer:
+                item = next(source, None)
+                done = item is None
+                if item:
+                    pool.append(item)
+            if not pool:
+                return
+            ids, crops, used = [], 0, 0
+            while used < capacity and pool:
+                fits = [x for x in pool if x[1] <= capacity - used]
+                pick = max(fits, key=lambda x: (x[1], -x[0])) if fits else min(pool, key=lambda x: (x[1], x[0]))
+                pool.remove(pick)
+                ids.append(pick[0])
+                crops += not fits
+                used += min(pick[1], capacity - used)
+            yield pd.DataFrame({"part": [part], "row": [row], "doc_ids": [ids], "crops": [crops], "used": [used]})
+            row += 1
+
+    return docs.select("doc_id", "n").mapInPandas(run, "part int, row long, doc_ids array<long>, crops int, used int")
+
+
+def padded(rows: DataFrame, ids: str, pad: int, width: int) -> DataFrame:
+    """ids filled up on the right."""
+    return rows.withColumn(ids, F.concat(F.col(ids), F.array_repeat(F.lit(pad), F.greatest(F.lit(width) - F.size(ids), F.lit(0)))))
