@@ -192,11 +192,29 @@ def bpe_blocked_merges(spark, sf_dir):
     return named(bpe.train(chunks.counted(documents(spark, sf_dir, "text")), bpe.BYTES + 12, bpe.Rules.of(BLOCKED), "task"))
 
 
-@query(f"""WITH {staged_sql(12, "t[i] <> '20' AND t[i + 1] <> '20'")} {merge_rows_sql(12)}""")
+def space_rule_sql(steps: int) -> str:
+    """Whole lines as words; no right operand may start or end with a space unless the left is all spaces. CTEs f, e, g: tokens that start, end with, or are spaces."""
+    out = [
+        "counted AS (SELECT chunk, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\\n]+')) AS chunk FROM documents) GROUP BY ALL)",
+        "w0 AS MATERIALIZED (SELECT regexp_replace(hex(chunk), '(..)', '<\\1>', 'g') AS w, n FROM counted)",
+        "f0 AS (SELECT '20' AS x), e0 AS (SELECT '20' AS x), g0 AS (SELECT '20' AS x)",
+    ]
+    for k in range(steps):
+        out.append(
+            f"p{k} AS MATERIALIZED (SELECT a, b, c FROM (SELECT t[i] AS a, t[i + 1] AS b, sum(n)::BIGINT AS c FROM (SELECT t, n, unnest(range(1, len(t))) AS i FROM (SELECT string_split(trim(w, '<>'), '><') AS t, n FROM w{k})) GROUP BY 1, 2) "
+            f"WHERE a IN (SELECT x FROM g{k}) OR NOT (b IN (SELECT x FROM f{k}) OR b IN (SELECT x FROM e{k})) ORDER BY c DESC, a, b LIMIT 1)"
+        )
+        out.append(f"w{k + 1} AS MATERIALIZED (SELECT replace(w, '<' || a || '><' || b || '>', '<T{k:05d}>') AS w, n FROM w{k}, p{k})")
+        for name, test in (("f", f"a IN (SELECT x FROM f{k})"), ("e", f"b IN (SELECT x FROM e{k})"), ("g", f"a IN (SELECT x FROM g{k}) AND b IN (SELECT x FROM g{k})")):
+            out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT x FROM {name}{k} UNION ALL SELECT 'T{k:05d}' FROM p{k} WHERE {test})")
+    return ",\n".join(out)
+
+
+@query(f"WITH {space_rule_sql(12)} {merge_rows_sql(12)}")
 def bpe_space_rules(spark, sf_dir):
-    """With chunks as they are, only byte 20 starts or ends a token with a space as long as no merge holds one; the left side is barred by blocking it."""
-    rules = bpe.Rules(blocked=tuple((b" ", bytes((k,))) for k in range(256)), leading_space=True, trailing_space=True)
-    return named(bpe.train(chunks.counted(documents(spark, sf_dir, "text")), bpe.BYTES + 12, rules, "task"))
+    """Lines as words, so that phrases could form; the rules bar them."""
+    rules = bpe.Rules(leading_space=True, trailing_space=True)
+    return named(bpe.train(chunks.counted(documents(spark, sf_dir, "text"), r"[^\n]+"), bpe.BYTES + 12, rules, "task"))
 
 
 @query()
@@ -269,7 +287,7 @@ def word_start_end_counts(spark, sf_dir):
 def reasons_sql(steps: int = 32) -> str:
     affixes = ", ".join(f"'{a}'" for a in SUFFIXES)
     return f"""WITH {fires_sql(steps)}, {vocab_sql(steps)},
-toks AS (SELECT id, decode(unhex(hex)) AS s FROM vocab WHERE id < 128 OR id >= 256),
+toks AS (SELECT id, s FROM (SELECT id, try(decode(unhex(hex))) AS s FROM vocab) WHERE s IS NOT NULL),
 f AS (SELECT s, first::DOUBLE / fires AS p, fires FROM toks JOIN fires USING (id)),
 a AS (SELECT f.s, (SELECT max_by(x, length(x)) FROM (SELECT unnest([{affixes}]) AS x) WHERE length(f.s) > length(x) AND ends_with(f.s, x)) AS affix FROM f),
 r AS (SELECT s, affix, left(s, length(s) - length(affix)) AS rest FROM a),
@@ -385,8 +403,8 @@ def pooling_buckets(spark, sf_dir):
 @query(f"""WITH c AS (SELECT doc_id, unnest(cs) AS chunk, unnest(range(1, len(cs) + 1)) AS pos FROM (SELECT doc_id, {duckdb_chunks('text', SPACELESS)} AS cs FROM documents)),
 s AS (SELECT doc_id, pos - 1 AS pos, sum(strlen(chunk)) OVER (PARTITION BY doc_id ORDER BY pos) AS hi, strlen(chunk) AS size FROM c),
 r AS (SELECT doc_id, unnest(rs) AS run, unnest(range(1, len(rs) + 1)) AS k FROM (SELECT doc_id, {_RUNS} AS rs FROM documents)),
-t AS (SELECT doc_id, run, coalesce(sum(strlen(run)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM r),
-o AS (SELECT s.doc_id, s.pos, count(*) AS owned FROM s JOIN t ON s.doc_id = t.doc_id AND at >= hi - size AND at < hi WHERE regexp_matches(run, '^\\p{{L}}') GROUP BY ALL)
+t AS (SELECT doc_id, run, coalesce(sum(strlen(run)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM r),
+o AS (SELECT s.doc_id, s.pos, count(*) AS owned FROM s JOIN t ON s.doc_id = t.doc_id AND off >= hi - size AND off < hi WHERE regexp_matches(run, '^\\p{{L}}') GROUP BY ALL)
 SELECT owned, count(*) AS chunks FROM o GROUP BY owned""")
 def word_start_ownership(spark, sf_dir):
     d = documents(spark, sf_dir, "doc_id", "text")
@@ -451,13 +469,13 @@ def top_gainers(spark, sf_dir):
 
 _GRAMS = {
     "word": "regexp_extract_all(text, '[a-z'']+')",
-    "bigram": "list_transform(range(1, len(regexp_extract_all(text, '[a-z'']+'))), lambda i: regexp_extract_all(text, '[a-z'']+')[i] || ' ' || regexp_extract_all(text, '[a-z'']+')[i + 1])",
+    "bigram": "list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])",
     "char4": "list_transform(range(1, length(text) - 2), lambda i: text[i:i + 3])",
 }
 
 
 def register_sql(kind: str) -> str:
-    return f"""WITH d AS (SELECT lang, lower(left(text, 8000)) AS text FROM documents), b AS (SELECT lower(left(text, 8000)) AS text FROM benchmark),
+    return f"""WITH d AS MATERIALIZED (SELECT lang, text, regexp_extract_all(text, '[a-z'']+') AS ws FROM (SELECT lang, lower(left(text, 8000)) AS text FROM documents)), b AS (SELECT text, regexp_extract_all(text, '[a-z'']+') AS ws FROM (SELECT lower(left(text, 8000)) AS text FROM benchmark)),
 p AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest({_GRAMS[kind]}) AS gram FROM d) GROUP BY ALL), q AS (SELECT gram, count(*) AS m FROM (SELECT unnest({_GRAMS[kind]}) AS gram FROM b) GROUP BY gram)"""
 
 

@@ -212,7 +212,7 @@ def train(chunks: DataFrame, vocab_size: int, rules: Rules = Rules(), mode: str
         pdf = pdf.sort_values("chunk")
         return _frame(train_local([c.encode() for c in pdf["chunk"]], pdf["n"].tolist(), vocab_size, rules))
 
-    return chunks.select("chunk", "n").groupBy(F.lit(1)).applyInPandas(trained, MERGES)
+    return chunks.select("chunk", "n", F.lit(0).alias("all")).groupBy("all").applyInPandas(trained, MERGES)
 
 
 def train_by_frames(chunks: DataFrame, steps: int, rules: Rules = Rules()) -> DataFrame:

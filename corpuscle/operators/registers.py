@@ -18,8 +18,7 @@ def grams(texts: DataFrame, kind: str, by: str, text: str = "text") -> DataFrame
     elif kind == "bigram":
         g = T.bound(words, lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
     else:
-        n = F.length(text)
-        g = F.when(n >= 4, F.transform(F.sequence(F.lit(1), n - 3), lambda i: F.col(text).substr(i, F.lit(4)))).otherwise(F.array().cast("array<string>"))
+        g = F.regexp_extract_all(F.col(text), F.lit("(?s)(?=(.{4}))"), F.lit(1))
     return texts.select(by, F.explode(g).alias("gram")).groupBy(by, "gram").agg(F.count("*").alias("n"))
 
 
@@ -52,11 +51,12 @@ SPAN_LOWER = r"(?<![\p{L}'])\p{Ll}{4,}(?: \p{Ll}{4,})?"
 
 def spans_in_band(docs: DataFrame, frequency: DataFrame, low: int, high: int, span: str = SPAN, context: int = 240, min_context: int = 80, drop_sentence_start: bool = True) -> DataFrame:
     """(doc_id, k, span, start, min_freq, n_words): spans whose rarest word has a frequency in the band, with enough text before them, and not at a sentence's start."""
-    parts = F.regexp_extract_all("text", F.lit(rf"(?s)(.*?)({span})"), F.lit(0))
-    found = F.regexp_extract_all("text", F.lit(rf"(?s)(.*?)({span})"), F.lit(2))
-    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(parts.alias("p"), found.alias("s"))).alias("k", "x"))
+    # What stands before each span, and the span; the piece behind the last one is left out.
+    found = F.regexp_extract_all("text", F.lit(span), F.lit(0))
+    pieces = docs.select("doc_id", F.split("text", span).alias("p"), found.alias("s")).where(F.size("s") > 0)
+    rows = pieces.select("doc_id", F.posexplode(F.zip_with(F.slice("p", 1, F.size("s")), "s", lambda p, s: F.struct((F.length(p) + F.length(s)).alias("n"), s.alias("s")))).alias("k", "x"))
     w = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.select("doc_id", "k", F.col("x.s").alias("span"), F.sum(F.length("x.p")).over(w).alias("end")).withColumn("start", F.col("end") - F.length("span"))
+    rows = rows.select("doc_id", "k", F.col("x.s").alias("span"), F.sum("x.n").over(w).alias("end")).withColumn("start", F.col("end") - F.length("span"))
     words = rows.select("doc_id", "k", F.explode(F.regexp_extract_all(F.lower("span"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     least = words.join(frequency, "word", "left").groupBy("doc_id", "k").agg(F.min(F.coalesce("n", F.lit(0))).alias("min_freq"), F.count("*").alias("n_words")).where(F.col("min_freq").between(low, high))
     j = rows.join(least, ["doc_id", "k"]).join(docs.select("doc_id", "text"), "doc_id")
