@@ -1,25 +1,48 @@
 """Token ids by the tokenizers library, with each distinct piece of text encoded once.
 
-Both vocabularies split text at a space that a non-space follows before any merge, so a text's ids are the ids of its pieces
-between single spaces, one after another. Pieces recur; a bounded table keeps their ids, and pieces that it lacks are encoded
-in one call for a batch of texts. Texts with other white space next to a space are encoded whole where the split could differ.
+Both vocabularies split text before any merge, also at a space or newline between two other characters, so a text whose white
+space is single spaces and newlines has the ids of its pieces, one after another. (With the byte-level one a space goes to the
+piece behind it, a newline stands alone.) Pieces recur; a bounded table keeps their ids, and pieces that it lacks are encoded
+in one call for a block of texts. Other texts are split only at a space that a non-space follows.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: Pieces whose ids are kept; the table starts anew beyond it.
-KEPT_PIECES = 400_000
+#: Pieces whose ids are kept, in each of two generations: when the newer is full it becomes the older.
+KEPT_PIECES = 500_000
 #: Pieces longer than this aren't kept.
 LONG_PIECE = 64
+#: Pieces of letters that are encoded in one text.
+TOGETHER = 500
 
 _TABLES: dict = {}
 
 
+def plain_pieces(text: str, leading: bool) -> list[str] | None:
+    """Pieces of a text whose white space is single spaces and newlines between other characters; else None. With leading, a piece behind a newline starts with it."""
+    words = text.split()
+    if words != text.replace("\n", " ").split(" "):
+        return None
+    return text.replace("\n", " \n").split(" ") if leading and "\n" in text else words
+
+
+def is_latin(text: str) -> bool:
+    """Whether all characters are among the first 256: none composes with another, and each has a lower case of its own."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class PieceTable:
     """ids(texts) as little-endian 32-bit bytes. leading: whether the space before a piece belongs to it (byte-level) or is dropped (word-level)."""
 
@@ -30,42 +53,82 @@ class PieceTable:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.leading = leading
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        # A space is a border unless white space follows it.
-        self.odd = re.compile(r" (?=\s|$)")
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(names.values(), default=0) + 1, bool)  # tokens that end a unit
+        if leading:
+            self.last[self.tokenizer.encode("\n", add_special_tokens=False).ids] = True
+        else:
+            self.last[[i for t, i in names.items() if t.endswith("</w>")]] = True
+        self.marks = dict(zip(",.", self._encode([",", "."]), strict=True))
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of pieces, with the space before them. Runs of letters are encoded many at once: a token (a newline, or one that ends a word) tells where each ends."""
+        letters = [k for k, p in enumerate(units) if p.isalpha()]
+        out: list = [None] * len(units)
+        for i in range(0, len(letters), TOGETHER):
+            some = letters[i : i + TOGETHER]
+            text = "".join([f" {units[k]}\n" for k in some]) if self.leading else " ".join([units[k] for k in some])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == len(some):
+                raw, start = ids.tobytes(), 0
+                for k, e in zip(some, (4 * ends + 4).tolist(), strict=True):
+                    out[k] = raw[start : e - 4 if self.leading else e]
+                    start = e
+        rest = [k for k, got in enumerate(out) if got is None]
+        for k, got in zip(rest, self._encode([p if p[:1] == "\n" else " " + p for p in (units[k] for k in rest)] if self.leading else [units[k] for k in rest]), strict=True):
+            out[k] = got
+        return out
 
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces after the first start behind a space that a non-space follows."""
-        if not self.leading or not self.odd.search(text):
-            return text.split(" ")
-        return re.split(r" (?=\S)", text)
+    def _pieces(self, text: str) -> tuple[str, list[str]]:
+        """The first piece, which no space stands before, and the others."""
+        if not self.leading:
+            text = text.lower() if is_latin(text) else text  # as the tokenizer would; fewer distinct pieces
+            return "", plain_pieces(text, False) or text.split(" ")
+        pieces = plain_pieces(text, True) or re.split(r" (?=\S)", text)
+        return pieces[0], pieces[1:]
+
+    def _learn(self, lacking: set[str]) -> None:
+        """Puts pieces into the table. Letters with one mark behind them are the letters' ids and the mark's."""
+        old, new, marked, units = self.old, self.new, [], set()
+        for p in lacking:
+            if p in old:
+                new[p] = old[p]
+            elif p[-1:] in self.marks and p[:-1].isalpha():
+                marked.append(p)
+                if p[:-1] in old:
+                    new[p[:-1]] = old[p[:-1]]
+                elif p[:-1] not in new:
+                    units.add(p[:-1])
+            else:
+                units.add(p)
+        units = list(units)
+        new.update(zip(units, self._encode_units(units), strict=True))
+        for p in marked:
+            new[p] = new[p[:-1]] + self.marks[p[-1]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        """Give it texts of a few million characters at most."""
         split = [self._pieces(t) for t in texts]
-        rest = self.rest
-        if len(rest) > KEPT_PIECES:
-            rest.clear()
-        lacking = {p for s in split for p in s[1:] if p not in rest}
-        if self.leading:
-            lead = [s[0] for s in split]
-            first = dict(zip(u, self._encode(u), strict=True)) if (u := list(set(lead))) else {}
-        else:
-            lacking.update(s[0] for s in split if s[0] not in rest)
-        new = list(lacking)
-        got = dict(zip(new, self._encode([" " + p for p in new] if self.leading else new), strict=True)) if new else {}
-        rest.update(got if len(got) <= KEPT_PIECES else {})
-        look = rest if len(got) <= KEPT_PIECES else {**rest, **got}
-        out = []
-        for s in split:
-            ids = b"".join([look[p] for p in (s[1:] if self.leading else s)])
-            out.append(first[s[0]] + ids if self.leading else ids)
-        for p in new:
+        if len(self.new) > KEPT_PIECES:
+            self.old, self.new = self.new, {}
+        lacking: set[str] = set()
+        for _, pieces in split:
+            lacking.update(pieces)
+        lacking = lacking - self.new.keys()
+        self._learn(lacking)
+        firsts = list({f for f, _ in split})
+        first = dict(zip(firsts, self._encode(firsts), strict=True)) if self.leading else {"": b""}
+        look = self.new.__getitem__
+        out = [first[f] + b"".join(map(look, pieces)) for f, pieces in split]
+        for p in lacking:
             if len(p) > LONG_PIECE:
-                rest.pop(p, None)
+                del self.new[p]
         return out
 
 
