@@ -101,9 +101,10 @@ def linked_groups(banded: DataFrame, fetch: Callable[[DataFrame], DataFrame], fe
     feature(text) and similarity(feature, feature, threshold) verify a pair.
     """
     rows = banded.select("id", "keys").mapInArrow(_locally_starred, "key long, id long, head long")
-    rows = checkpointed_rows(rows)
-    across = rows.where("head is null").select("key", "id").withColumn("head", F.first("id").over(Window.partitionBy("key").orderBy("id"))).where("id <> head")
-    pairs = across.union(rows.where("head is not null").select("key", "id", "head")).groupBy(F.col("id").alias("a"), F.col("head").alias("b")).agg(F.collect_set("key").alias("keys"))
+    # Rows without a head come first in a bucket, so the first id is the least of all tasks' heads; the frame doesn't hold the bucket.
+    least = F.first("id").over(Window.partitionBy("key").orderBy(F.col("head").isNotNull(), "id").rowsBetween(Window.unboundedPreceding, 0))
+    starred = rows.withColumn("head", F.coalesce("head", least)).where("id <> head")
+    pairs = starred.groupBy(F.col("id").alias("a"), F.col("head").alias("b")).agg(F.collect_set("key").alias("keys"))
     pairs = checkpointed(pairs)
     texts = checkpointed(fetch(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()))
 
@@ -124,6 +125,7 @@ def linked_groups(banded: DataFrame, fetch: Callable[[DataFrame], DataFrame], fe
     of_key = pairs.select("a", "b", F.explode("keys").alias("key")).join(keys, "key", "left_semi")
     members = checkpointed(of_key.select("key", F.col("a").alias("id")).union(of_key.select("key", F.col("b").alias("id"))).distinct().join(named, "id"))
     main = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("of_main"))
+    main = main.where("n > 2")  # the one pair of a bucket of two was tried
     members = checkpointed(members.join(main.withColumn("s", F.col("n") - F.col("of_main")), "key").select("key", "id", "node", "root", (F.col("root") != F.col("main")).alias("side"), "n", "s"))
     # Each item outside a bucket's main component meets all others of the bucket, tile by tile; only links come out.
     count = lambda c: F.ceil(F.col(c) / TILE).cast("int")
@@ -176,13 +178,6 @@ def _tiled(similarity: Callable, threshold: float, feature: Callable):
     return run
 
 
-def checkpointed_rows(rows: DataFrame) -> DataFrame:
-    """Band rows are read twice; they are written once, as Parquet."""
-    from corpuscle.cluster import staged
-
-    return staged(rows, "bands")
-
-
 def semi(rows: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
     """rows whose id is among the (checkpointed) ids: by broadcast if these were counted to be few, else by a shuffled join."""
     return rows.join(small_side(checkpointed(ids)), on, "left_semi")
