@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.llm.encoding import plain_pieces
+
 #: Bounds of the tables; each starts anew beyond it.
 KEPT_STATES, KEPT_PIECES, KEPT_PAIRS = 200_000, 300_000, 400_000
 LONG_PIECE = 64
@@ -182,28 +184,8 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
-class Kept(dict):
-    """A table of two generations: when the newer is full it becomes the older, so what recurs stays."""
-
-    def __init__(self, make, size: int):
-        super().__init__()
-        self.make, self.size, self.older = make, size, {}
-
-    def __missing__(self, key: str) -> bytes:
-        got = self.older.get(key)
-        if got is None:
-            got = self.make(key)
-            if len(key) > LONG_PIECE:
-                return got
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        self[key] = got
-        return got
-
-
 class Encoder:
-    """Pattern and transducer; keeps the ids of pieces between spaces, where this pattern always parts a text."""
+    """Pattern and transducer; keeps the ids of the pieces between spaces and newlines, where this pattern parts a text with no other white space."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -212,28 +194,40 @@ class Encoder:
         self.fst = BpeTransducer(read_ranks(path))
         self.find = regex.compile(pattern).findall
         self.splits = pattern.endswith(r"|\s+(?!\S)|\s+") and r"| ?\p{L}+|" in pattern and r"| ?[^\s\p{L}\p{N}]+|" in pattern
-        self.odd = re.compile(r" (?=\s|$)")
-        self.matches = Kept(lambda m: array("I", self.fst.encode(m.encode())).tobytes(), KEPT_PIECES)
-        self.pieces = Kept(self._piece, KEPT_PIECES)
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        matches = self.matches
-        return b"".join([matches[m] for m in self.find(text)])
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece and the space before it. Letters, and letters with one mark after them, need no search."""
-        if piece.isalpha():
-            return self.matches[" " + piece]
-        if piece[-1:] in ",." and piece[:-1].isalpha():
-            return self.matches[" " + piece[:-1]] + self.matches[piece[-1]]
-        return self._ids(" " + piece)
+        ids: list[int] = []
+        for m in self.find(text):
+            ids += self.fst.encode(m.encode())
+        return array("I", ids).tobytes()
+
+    def _learned(self, piece: str) -> bytes:
+        """Ids of a piece and the space (or newline) before it. Letters, and letters with one mark after them, need no search."""
+        got = self.old.get(piece)
+        if got is None:
+            if piece.isalpha():
+                got = array("I", self.fst.encode(b" " + piece.encode())).tobytes()
+            elif piece[-1:] in (",", ".") and piece[:-1].isalpha():
+                got = (self.new.get(piece[:-1]) or self._learned(piece[:-1])) + array("I", self.fst.encode(piece[-1].encode())).tobytes()
+            else:
+                got = self._ids(piece if piece[:1] == "\n" else " " + piece)
+        if len(piece) <= LONG_PIECE:
+            if len(self.new) > KEPT_PIECES:
+                self.old, self.new = self.new, {}
+            self.new[piece] = got
+        return got
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit bytes."""
         if not self.splits:
             return self._ids(text)
-        pieces = re.split(r" (?=\S)", text) if self.odd.search(text) else text.split(" ")
-        return self._ids(pieces[0]) + b"".join(map(self.pieces.__getitem__, pieces[1:]))
+        pieces = plain_pieces(text, True) or re.split(r" (?=\S)", text)
+        learned, out = self._learned, [self._ids(pieces[0])]
+        for p in pieces[1:]:
+            out.append(self.new.get(p) or learned(p))
+        return b"".join(out)
 
 
 def decoded(ids: list[int], bytes_of: list[bytes]):
