@@ -22,10 +22,10 @@ from corpuscle.cluster import staged
 
 #: Rows of the sample that planes are fitted on.
 FIT_ROWS = 16_384
-TREES, LEAF, DEGREE, ROUNDS = 8, 1024, 32, 2
+TREES, LEAF, DEGREE, ROUNDS = 8, 1024, 40, 3
 #: Neighbours that a leaf offers a vector; most that one joint neighbour offers it; members of a joint neighbour compared at once.
-OFFERED, JOINED, GROUP = 24, 10, 160
-BEAM, VISITS = 48, 2
+OFFERED, JOINED, GROUP = 24, 16, 200
+BEAM, VISITS = 96, 3
 
 
 def usable(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
