@@ -25,6 +25,7 @@ from corpuscle.llm.linkage import linked_groups, semi, set_jaccard
 from corpuscle.llm.neardup import blocks, mixed
 
 SHINGLE, THRESHOLD = 10, 0.8
+#: At the threshold 0.997 of all pairs share a band.
 BANDS, ROWS = 8, 3
 #: Characters that are hashed at once; small enough for a processor's cache.
 BLOCK = 1 << 18
@@ -140,12 +141,17 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = B
     """The lines that go: doc_id, row (a hash of doc_id and text), lines (places from 0), for each document that loses any."""
     keyed = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
     lines = staged(keyed.mapInArrow(_signed(bands, rows), "doc_id long, row long, line int, node binary, id long, keys array<long>"), "lines")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "line")
-    first = lines.groupBy("node").agg(F.min(place).alias("at"), F.count("*").alias("n"))
+    # The place of a line as one number, so that its least value is a hash aggregate: doc_id (nulls last), a part of the row's hash, place.
+    number = lambda c: c.cast("decimal(38,0)")
+    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+    place = number(number(doc) * number(F.lit(10**9)) + number(F.pmod("row", F.lit(10**9))))
+    place = number(place * number(F.lit(10**9)) + number(F.col("line")))
+    first = lines.select("node", place.alias("at")).groupBy("node").agg(F.min("at").alias("at"), F.count("*").alias("n"))
 
     def fetch(ids: DataFrame) -> DataFrame:
-        at = semi(lines.select("id", "node", "doc_id", "row", "line"), ids).groupBy("node").agg(F.min("id").alias("id"), F.min(place).alias("at"))
-        at = at.groupBy(F.col("at.doc_id").alias("d"), F.col("at.row").alias("r")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "id")).alias("wanted"))
+        # Any copy of a line will do; of equal ids every node is fetched.
+        at = semi(lines.select("id", "node", "doc_id", "row", "line"), ids).dropDuplicates(["node"])
+        at = at.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("line", "id")).alias("wanted"))
         own = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
         found = own.join(small_side(checkpointed(at)), own["doc_id"].eqNullSafe(F.col("d")) & (own["row"] == F.col("r"))).select("text", "wanted")
         return found.mapInArrow(_lines_at, "id long, node binary, text string").dropDuplicates(["node"])
@@ -154,7 +160,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, bands: int = B
     named = first.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = named.groupBy("root").agg(F.min("at").alias("head"), F.sum("n").alias("size")).where("size > 1").select("root", "head")
     several = checkpointed(named.select("node", "root").join(heads, "root").select("node", "head"))
-    gone = lines.select("doc_id", "row", "line", "node").join(small_side(several), "node").where(~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("row") == F.col("head.row")) & (F.col("line") == F.col("head.line"))))
+    gone = lines.select("doc_id", "row", "line", "node").join(small_side(several), "node").where(place != F.col("head"))
     return gone.groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines"))
 
 
@@ -163,7 +169,7 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     gone = checkpointed(repeated_lines(docs, threshold)).select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("lines").alias("_gone"))
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     joined = keyed.join(small_side(gone), keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("_gone")))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(_without(F.when(F.col("_gone").isNotNull(), F.col("text")), F.col("_gone")))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
