@@ -53,7 +53,7 @@ def benchmark_items(spark: SparkSession, path: str, meta: DataFrame | None = Non
 def eval_csv(spark: SparkSession, path: str) -> DataFrame:
     """(file, task, accuracy, centered) of rows with a number; a header and short rows are passed over."""
     lines = spark.read.text(path).withColumn("file", F.input_file_name())
-    p = F.transform(F.split("value", ","), F.trim)
+    p = F.transform(F.split("value", ","), lambda x: F.trim(x))
     rows = lines.select("file", p.alias("p")).where(F.size("p") >= 3)
     return rows.select("file", F.col("p")[0].alias("task"), F.expr("try_cast(p[1] as double)").alias("accuracy"), F.expr("try_cast(p[2] as double)").alias("centered")).where("centered is not null")
 
