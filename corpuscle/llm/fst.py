@@ -4,8 +4,8 @@ A token sequence is the BPE encoding of its bytes exactly if each token encodes
 themselves, so the merges compile into two relations: tokens that can occur, and pairs that can stand together. The transducer
 reads bytes and follows, as its hypotheses, every way to part what it has read into tokens that satisfy both, the last one
 perhaps unfinished. There is one hypothesis for each start of an unfinished token, so lookahead is bounded by the longest token. What all
-hypotheses share is emitted. States (the last emitted token and the hypotheses beyond it) and moves are made when a text
-first needs them, and kept in a bounded table.
+hypotheses share is emitted. States (the last emitted token and the hypotheses beyond it) and moves are made when they are needed
+a second time, and kept in a bounded table; until then the hypotheses themselves are followed.
 
 Texts are split by a pattern first, and each match is encoded separately; a match that is a token is that token. Encodings of
 recurring pieces between spaces are kept. Null texts count as empty and have no tokens. Rows are encoded one by one; other
@@ -57,6 +57,7 @@ class BpeTransducer:
         self.states = [(-1, (((), b""),))]
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
+        self.once: set[int] = set()
 
     def _merged(self, text: bytes, stop: int = 1) -> list[int]:
         """The merges applied by rank: the relation that the transducer is compiled from."""
@@ -139,12 +140,18 @@ class BpeTransducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > KEPT_STATES:
+        if len(self.states) > KEPT_STATES or len(self.once) > 4 * KEPT_STATES:
             self._restart()
         out: list[int] = []
-        state, moves = 0, self.moves
-        for byte in piece:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
+        state, moves, once = 0, self.moves, self.once
+        for i, byte in enumerate(piece):
+            key = state << 8 | byte
+            move = moves.get(key)
+            if move is None:
+                if key not in once:  # a move is made when it is needed a second time
+                    once.add(key)
+                    return out + self._followed(state, piece[i:])
+                move = self._move(state, byte)
             state = move[0]
             if move[1]:
                 out += move[1]
@@ -154,6 +161,25 @@ class BpeTransducer:
         out += end
         return out
 
+    def _followed(self, state: int, rest: bytes) -> list[int]:
+        """What the hypotheses of a state give for the rest of a piece, without making states."""
+        last, hypotheses = self.states[state]
+        opened, rank_of, together = self.open, self.ranks.get, self.together
+        for byte in rest:
+            step, out = _BYTES[byte], []
+            for pending, begun in hypotheses:
+                begun += step
+                if begun in opened:
+                    out.append((pending, begun))
+                token = rank_of(begun)
+                if token is not None:
+                    before = pending[-1] if pending else last
+                    ok = together.get((before, token))
+                    if ok or (ok is None and self._can_follow(before, token)):
+                        out.append(((*pending, token), b""))
+            hypotheses = out
+        return list(next(p for p, b in hypotheses if not b))
+
 
 class Utf8Stream:
     """Decodes bytes that come in parts: holds back an unfinished character until its other bytes come."""
