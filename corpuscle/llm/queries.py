@@ -121,3 +121,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
+
+
+_CONTROL_SQL = r"<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|</s>|<s>"
+ORACLE_SQL["op1_chat_formatting"] = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER w AS k, lag(coalesce(role, '')) OVER w AS prev
+  FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)
+), e AS (
+  SELECT *, length(text) + 2 * len(regexp_extract_all(text, '{_CONTROL_SQL}')) + length(text) - length(replace(text, '␛', '')) AS text_chars,
+         length(role) + 2 * len(regexp_extract_all(role, '{_CONTROL_SQL}')) + 2 * length(role) - length(replace(role, '␛', '')) - length(replace(role, chr(10), '')) AS role_chars,
+         (prev IS NULL AND role IN ('system', 'user')) OR (prev = 'system' AND role = 'user') OR (prev = 'user' AND role = 'assistant') OR (prev = 'assistant' AND role = 'user') AS ok
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(12 + role_chars + 1 + text_chars + 11)::BIGINT AS formatted_chars,
+       bool_and(ok IS TRUE) AND max_by(role, k) = 'assistant' AS valid
+FROM e GROUP BY conv_id
+"""
