@@ -341,30 +341,36 @@ def token_rows(docs: DataFrame, merges: list[Merge], pattern: str, keyed_by: str
     return spread.select(*keep, "cpos", F.posexplode("ids").alias("tpos", "id"))
 
 
-def evaluate_candidates(spark: SparkSession, train_chunks: DataFrame, held_out: DataFrame, words: list[str], candidates: list[tuple[int, Rules]], vocab_size: int) -> DataFrame:
+def evaluate_candidates(spark: SparkSession, train_chunks: DataFrame, held_out: DataFrame, words: list[str], candidates: list[tuple[int, Rules]], vocab_size: int, most: int = 2_000_000) -> DataFrame:
     """(cand, base, infl, tokens map, dead map, error): each candidate's rules trained and measured in a task of its own.
 
-    held_out: (shard, chunk, n). A candidate that fails gives its error, the others their figures.
+    held_out: (shard, chunk, n). A candidate that fails gives its error, the others their figures. Chunk tables of up to `most`
+    rows are broadcast; larger ones are sent to each candidate's task by a shuffle.
     """
-    from corpuscle.functions.text import stems as _  # noqa: F401  the same inflection rule as stems()
+    rows = train_chunks.select(F.lit(None).cast("string").alias("shard"), "chunk", "n").union(held_out.select("shard", "chunk", "n"))
+    rules_of, dictionary = dict(candidates), frozenset(words)
+    out = "cand int, base int, infl int, tokens map<string,long>, dead map<string,long>, error string"
+    names = ["cand", "base", "infl", "tokens", "dead", "error"]
 
-    train_rows = [(c, n) for c, n in train_chunks.select("chunk", "n").orderBy("chunk").toPandas().itertuples(index=False)]
-    held_rows = [tuple(r) for r in held_out.select("shard", "chunk", "n").toPandas().itertuples(index=False)]
-    shared = spark.sparkContext.broadcast((train_rows, held_rows, frozenset(words)))
-    rules_of = dict(candidates)
+    def measure(cand: int, table) -> tuple:
+        try:
+            return (cand, *_measure(table, dictionary, rules_of[cand], vocab_size), None)
+        except Exception as e:  # one candidate's failure is its result
+            return (cand, None, None, None, None, repr(e))
+
+    frame = spark.createDataFrame([(c,) for c, _ in candidates], "cand int")
+    if rows.limit(most + 1).count() > most:
+        def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([measure(int(pdf["cand"].iloc[0]), list(pdf[["shard", "chunk", "n"]].itertuples(index=False)))], columns=names)
+
+        return rows.crossJoin(F.broadcast(frame)).groupBy("cand").applyInPandas(grouped, out)
+    shared = spark.sparkContext.broadcast([tuple(r) for r in rows.toPandas().itertuples(index=False)])
 
     def measured(batches):
         for pdf in batches:
-            rows = []
-            for cand in pdf["cand"]:
-                try:
-                    rows.append((cand, *_measure(shared.value, rules_of[cand], vocab_size), None))
-                except Exception as e:  # one candidate's failure is its result
-                    rows.append((cand, None, None, None, None, repr(e)))
-            yield pd.DataFrame(rows, columns=["cand", "base", "infl", "tokens", "dead", "error"])
+            yield pd.DataFrame([measure(int(c), shared.value) for c in pdf["cand"]], columns=names)
 
-    frame = spark.createDataFrame([(c,) for c, _ in candidates], "cand int").repartition(len(candidates))
-    return frame.mapInPandas(measured, "cand int, base int, infl int, tokens map<string,long>, dead map<string,long>, error string")
+    return frame.repartition(len(candidates)).mapInPandas(measured, out)
 
 
 def inflects(w: str, words: frozenset) -> bool:
@@ -374,8 +380,10 @@ def inflects(w: str, words: frozenset) -> bool:
     return w.endswith("ies") and len(w) > 4 and w[:-3] + "y" in words
 
 
-def _measure(shared, rules: Rules, vocab_size: int):
-    train_rows, held_rows, words = shared
+def _measure(table, words: frozenset, rules: Rules, vocab_size: int):
+    """table: (shard, chunk, n), without a shard for the rows to train on."""
+    train_rows = sorted((c, n) for s, c, n in table if s is None)
+    held_rows = [r for r in table if r[0] is not None]
     merges = train_local([c.encode() for c, _ in train_rows], [n for _, n in train_rows], vocab_size, rules)
     vocab = {i: bytes((i,)) for i in range(BYTES)} | {m.id: m.bytes for m in merges}
     base = infl = 0

@@ -97,7 +97,7 @@ def chosen(scores: DataFrame, item: str = "item", option: str = "option", nats:
 
 
 def swapped(items: DataFrame, key: str, value: str, by: int = 1) -> DataFrame:
-    """items with the value of the item so many places on, in key order and around; never an item's own (of two or more)."""
+    """items (a benchmark, of bounded size) with the value of the item so many places on, in key order and around; never an item's own (of two or more)."""
     ranked = items.select(key, value, F.row_number().over(Window.orderBy(key)).alias("_i"))
     n = ranked.agg(F.max("_i").alias("_n"))
     shift = ranked.crossJoin(F.broadcast(n)).withColumn("_j", F.pmod(F.col("_i") - 1 + by, F.col("_n")) + 1)
@@ -106,7 +106,7 @@ def swapped(items: DataFrame, key: str, value: str, by: int = 1) -> DataFrame:
 
 
 def few_shot(items: DataFrame, key: str, k: int, seed: int = 1234, candidates: int = 64) -> DataFrame:
-    """(key, shot, r): k other items for each, by a hash; each item looks at the items at so many hashed places."""
+    """(key, shot, r): k other items (of a benchmark, of bounded size) for each, by a hash; each item looks at the items at so many hashed places."""
     ranked = items.select(key, F.row_number().over(Window.orderBy(key)).alias("_i"))
     n = ranked.agg(F.max("_i").alias("_n"))
     tries = ranked.crossJoin(F.broadcast(n)).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))).withColumn("_j", F.pmod(F.xxhash64(F.lit(seed), "_i", "_t"), F.col("_n")) + 1).where("_i <> _j")

@@ -121,6 +121,8 @@ def test_candidates_are_measured_and_failures_reported(spark, counted):
     out = {r.cand: r for r in bpe.evaluate_candidates(spark, c, held, ["the", "cat"], [(0, bpe.Rules()), (1, bad)], bpe.BYTES + 20).collect()}
     assert out[0].error is None and out[0].tokens["s"] > 0 and out[0].base >= 1
     assert out[1].error is None or out[1].tokens is None
+    sent = {r.cand: r for r in bpe.evaluate_candidates(spark, c, held, ["the", "cat"], [(0, bpe.Rules()), (1, bad)], bpe.BYTES + 20, most=1).collect()}
+    assert sent[0] == out[0]
 
 
 def test_unshadowed():
