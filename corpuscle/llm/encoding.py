@@ -14,23 +14,15 @@ from array import array
 
 import numpy as np
 
+from corpuscle.llm.worker import held
+
 #: Pieces whose ids are kept, in each of two generations: when the newer is full it becomes the older.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 250_000
 #: Pieces longer than this aren't kept.
 LONG_PIECE = 64
 #: Pieces of letters that are encoded in one text.
 TOGETHER = 500
 
-_TABLES: dict = {}
-
-
-def plain_pieces(text: str, leading: bool) -> list[str] | None:
-    """Pieces of a text whose white space is single spaces and newlines between other characters; else None. With leading, a piece behind a newline starts with it."""
-    words = text.split()
-    if words != text.replace("\n", " ").split(" "):
-        return None
-    return text.replace("\n", " \n").split(" ") if leading and "\n" in text else words
-
 
 def is_latin(text: str) -> bool:
     """Whether all characters are among the first 256: none composes with another, and each has a lower case of its own."""
@@ -43,6 +35,24 @@ def is_latin(text: str) -> bool:
     return True
 
 
+def other_space(text: str) -> bool:
+    """Whether there is white space other than spaces and newlines."""
+    if any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"):
+        return True
+    if text.isascii():
+        return False
+    return "\x85" in text or "\xa0" in text or (not is_latin(text) and _WIDE_SPACE.search(text) is not None)
+
+
+_WIDE_SPACE = re.compile("[\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def plain_pieces(text: str) -> list[str] | None:
+    """Pieces of a text whose white space is single spaces and newlines between other characters; else None. A piece behind a newline starts with it."""
+    pieces = (text.replace("\n", " \n") if "\n" in text else text).split(" ")
+    return None if "" in pieces or "\n" in pieces or other_space(text) else pieces
+
+
 class PieceTable:
     """ids(texts) as little-endian 32-bit bytes. leading: whether the space before a piece belongs to it (byte-level) or is dropped (word-level)."""
 
@@ -89,8 +99,8 @@ class PieceTable:
         """The first piece, which no space stands before, and the others."""
         if not self.leading:
             text = text.lower() if is_latin(text) else text  # as the tokenizer would; fewer distinct pieces
-            return "", plain_pieces(text, False) or text.split(" ")
-        pieces = plain_pieces(text, True) or re.split(r" (?=\S)", text)
+            return "", text.replace("\n", " ").split(" ")
+        pieces = plain_pieces(text) or re.split(r" (?=\S)", text)
         return pieces[0], pieces[1:]
 
     def _learn(self, lacking: set[str]) -> None:
@@ -134,9 +144,7 @@ class PieceTable:
 
 def piece_table(path: str, leading: bool) -> PieceTable:
     """The table of this worker."""
-    if (path, leading) not in _TABLES:
-        _TABLES[path, leading] = PieceTable(path, leading)
-    return _TABLES[path, leading]
+    return held(("pieces", path, leading), lambda: PieceTable(path, leading))
 
 
 def default_path(name: str) -> str:

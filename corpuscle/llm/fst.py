@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.llm.encoding import plain_pieces
+from corpuscle.llm.worker import held
 
 #: Bounds of the tables; each starts anew beyond it.
-KEPT_STATES, KEPT_PIECES, KEPT_PAIRS = 200_000, 300_000, 400_000
+KEPT_STATES, KEPT_PIECES, KEPT_PAIRS = 300_000, 450_000, 500_000
 LONG_PIECE = 64
 _BYTES = [bytes((b,)) for b in range(256)]
 #: Ids that the streaming decoder takes at once.
@@ -249,7 +250,7 @@ class Encoder:
         """Ids as little-endian 32-bit bytes."""
         if not self.splits:
             return self._ids(text)
-        pieces = plain_pieces(text, True) or re.split(r" (?=\S)", text)
+        pieces = plain_pieces(text) or re.split(r" (?=\S)", text)
         learned, out = self._learned, [self._ids(pieces[0])]
         for p in pieces[1:]:
             out.append(self.new.get(p) or learned(p))
@@ -265,14 +266,9 @@ def decoded(ids: list[int], bytes_of: list[bytes]):
     yield b"", stream.finish()
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(path: str, pattern: str) -> Encoder:
     """The encoder of this worker."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    return held(("fst", path, pattern), lambda: Encoder(path, pattern))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

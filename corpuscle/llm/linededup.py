@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from corpuscle.cluster import checkpointed, small_side, staged
 from corpuscle.llm.linkage import linked_groups, semi, set_jaccard
 from corpuscle.llm.neardup import blocks, mixed
+from corpuscle.llm.worker import release
 
 SHINGLE, THRESHOLD = 10, 0.8
 #: At the threshold 0.997 of all pairs share a band.
@@ -84,6 +85,7 @@ def line_band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signed(bands: int, rows: int):
     def run(batches):
+        release()
         for b in batches:
             owner, place, keys = [], [], []
             for i, t in enumerate(b.column("text").to_pylist()):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.cluster import checkpointed, small_side
 from corpuscle.llm.components import components
+from corpuscle.llm.worker import release
 
 #: Features of texts that a task keeps while it verifies pairs; those of a bucket's least item come up often.
 KEPT_FEATURES = 32
@@ -53,6 +54,7 @@ def _locally_starred(batches):
 
 def _verify(similarity: Callable, threshold: float, feature: Callable):
     def run(batches):
+        release()
         kept: dict = {}
 
         def of(node, text):

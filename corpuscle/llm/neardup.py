@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.cluster import checkpointed, small_side, staged
 from corpuscle.llm.linkage import bag_jaccard, linked_groups, semi
+from corpuscle.llm.worker import release
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -167,6 +168,7 @@ def blocks(texts: list[str], size: int = BLOCK):
 
 def _signed(bands: int, rows: int):
     def run(batches):
+        release()
         for b in batches:
             texts = [normalised(t) for t in b.column("text").to_pylist()]
             nodes = [xxhash.xxh3_128_digest(t) for t in texts]

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.cluster import checkpointed
+from corpuscle.llm.worker import held
 
 #: Bounds of the sample of labelled rows the lexicon and the weights are fitted on, toxic and clean.
 FIT_TOXIC, FIT_CLEAN = 2500, 5000
@@ -35,7 +36,7 @@ WINDOW = 6
 LEAST_LLR = 16.0
 #: Most share of clean texts that hold a term, relative to that of toxic ones.
 MOST_RATIO = 0.12
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Weights before any row is seen: exact, misspelt and quoted hits, hits near each other, the constant.
 PRIOR = (2.0, 1.2, 0.2, 0.5, -3.0)
 #: Quotation marks.
@@ -160,14 +161,7 @@ class _Reader:
 
 
 def _reader(model: Model) -> _Reader:
-    key = model.terms
-    if key not in _READERS:
-        _READERS.clear()
-        _READERS[key] = _Reader(model)
-    return _READERS[key]
-
-
-_READERS: dict = {}
+    return held(("toxicity", model.terms), lambda: _Reader(model))
 
 
 def score_texts(model: Model, texts: list[str | None]) -> list[float]:
