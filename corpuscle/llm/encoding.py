@@ -76,24 +76,21 @@ class PieceTable:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _encode_units(self, units: list[str]) -> list[bytes]:
-        """Ids of pieces, with the space before them. Runs of letters are encoded many at once: a token (a newline, or one that ends a word) tells where each ends."""
-        letters = [k for k, p in enumerate(units) if p.isalpha()]
-        out: list = [None] * len(units)
-        for i in range(0, len(letters), TOGETHER):
-            some = letters[i : i + TOGETHER]
-            text = "".join([f" {units[k]}\n" for k in some]) if self.leading else " ".join([units[k] for k in some])
+    def _learn_letters(self, units: list[str]) -> None:
+        """Puts runs of letters into the table, encoded many at once: a token (a newline, or one that ends a word) tells where each ends."""
+        new = self.new
+        for i in range(0, len(units), TOGETHER):
+            some = units[i : i + TOGETHER]
+            text = " " + "\n ".join(some) + "\n" if self.leading else " ".join(some)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids])
             if len(ends) == len(some):
-                raw, start = ids.tobytes(), 0
-                for k, e in zip(some, (4 * ends + 4).tolist(), strict=True):
-                    out[k] = raw[start : e - 4 if self.leading else e]
+                raw, start, cut = ids.tobytes(), 0, 4 * self.leading
+                for p, e in zip(some, (4 * ends + 4).tolist(), strict=True):
+                    new[p] = raw[start : e - cut]
                     start = e
-        rest = [k for k, got in enumerate(out) if got is None]
-        for k, got in zip(rest, self._encode([p if p[:1] == "\n" else " " + p for p in (units[k] for k in rest)] if self.leading else [units[k] for k in rest]), strict=True):
-            out[k] = got
-        return out
+            else:
+                new.update(zip(some, self._encode([" " + p for p in some] if self.leading else some), strict=True))
 
     def _pieces(self, text: str) -> tuple[str, list[str]]:
         """The first piece, which no space stands before, and the others."""
@@ -105,22 +102,25 @@ class PieceTable:
 
     def _learn(self, lacking: set[str]) -> None:
         """Puts pieces into the table. Letters with one mark behind them are the letters' ids and the mark's."""
-        old, new, marked, units = self.old, self.new, [], set()
+        old, new, marks = self.old, self.new, self.marks
+        letters, marked, others = set(), [], []
         for p in lacking:
             if p in old:
                 new[p] = old[p]
-            elif p[-1:] in self.marks and p[:-1].isalpha():
-                marked.append(p)
-                if p[:-1] in old:
-                    new[p[:-1]] = old[p[:-1]]
-                elif p[:-1] not in new:
-                    units.add(p[:-1])
+            elif p.isalpha():
+                letters.add(p)
+            elif p[-1:] in marks and (core := p[:-1]).isalpha():
+                marked.append((p, core))
+                if core in old:
+                    new[core] = old[core]
+                elif core not in new:
+                    letters.add(core)
             else:
-                units.add(p)
-        units = list(units)
-        new.update(zip(units, self._encode_units(units), strict=True))
-        for p in marked:
-            new[p] = new[p[:-1]] + self.marks[p[-1]]
+                others.append(p)
+        self._learn_letters(list(letters))
+        new.update(zip(others, self._encode([p if p[:1] == "\n" else " " + p for p in others] if self.leading else others), strict=True))
+        for p, core in marked:
+            new[p] = new[core] + marks[p[-1]]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Give it texts of a few million characters at most."""
