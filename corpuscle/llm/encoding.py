@@ -17,7 +17,7 @@ import numpy as np
 from corpuscle.llm.worker import held
 
 #: Pieces whose ids are kept, in each of two generations: when the newer is full it becomes the older.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 200_000
 #: Pieces longer than this aren't kept.
 LONG_PIECE = 64
 #: Pieces of letters that are encoded in one text.

@@ -29,7 +29,7 @@ from corpuscle.llm.worker import release
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Bytes of text that are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 

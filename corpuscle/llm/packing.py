@@ -118,7 +118,7 @@ def _pieces(path: str, leading: bool, end_id: int, capacity: int, with_ids: bool
         for b in batches:
             texts, docs = [t or "" for t in b.column("text").to_pylist()], b.column("doc_id").to_pylist()
             rows: list[tuple] = []
-            for i, j in blocks(texts, 1 << 21):
+            for i, j in blocks(texts, 1 << 20):
                 for d, ids in zip(docs[i:j], table.ids(texts[i:j]), strict=True):
                     for k, piece in enumerate(cut(ids + end, capacity)):
                         n = len(piece) // 4

@@ -100,7 +100,7 @@ def _chunked(path: str, leading: bool, end_id: int):
         table, end = piece_table(path, leading), np.array([end_id], "<u4").tobytes()
         for b in batches:
             texts, docs = [t or "" for t in b.column("text").to_pylist()], b.column("doc_id").to_pylist()
-            for i, j in blocks(texts, 1 << 21):
+            for i, j in blocks(texts, 1 << 20):
                 rows = []
                 for d, ids in zip(docs[i:j], table.ids(texts[i:j]), strict=True):
                     ids += end

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _HELD: dict = {}
 
 
@@ -17,7 +20,12 @@ def held(key, make: Callable):
 
 
 def release() -> None:
-    """Lets go of what is kept; operators without tables call it as a task begins."""
+    """Lets go of what is kept and gives free memory back to the system; operators without tables call it as a task begins."""
     if _HELD:
         _HELD.clear()
         gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
