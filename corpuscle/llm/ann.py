@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by largest inner product: NN-descent builds a neighbour graph, queries search it greedily.
 
 The graph starts from the neighbours within leaves of a few random-projection trees (planes are fitted on a bounded sample; every
-vector is dealt to its leaves). Each round joins neighbours of neighbours: the neighbours of a vector, in both directions, are
+vector is dealt to its leaves; a leaf that is too large is split on at its own medians, by other planes in each tree). Each round joins neighbours of neighbours: the neighbours of a vector, in both directions, are
 compared with each other, and what is nearer than a vector's worst neighbour is offered to it. A query starts from its neighbours
 in the graph and again and again visits the neighbours of the nearest vectors found; those found are ranked in double precision
 on the original vectors.
@@ -23,6 +23,8 @@ from corpuscle.cluster import staged
 #: Rows of the sample that planes are fitted on.
 FIT_ROWS = 16_384
 TREES, LEAF, DEGREE, ROUNDS = 8, 1024, 40, 3
+#: Bytes of vectors that one task splits further; a leaf beyond is dealt to several tasks, to others in each tree.
+HELD = 1 << 25
 #: Neighbours that a leaf offers a vector; most that one joint neighbour offers it; members of a joint neighbour compared at once.
 OFFERED, JOINED, GROUP = 24, 16, 200
 BEAM, VISITS = 96, 3
@@ -116,18 +118,34 @@ _LIST = (["id", "nbrs", "scores"], [pa.int64(), pa.binary(), pa.binary()])
 _LISTS = "id long, nbrs binary, scores binary"
 
 
-def _in_leaves(kind: str):
+def halved(v: np.ndarray, most: int, seed) -> list[np.ndarray]:
+    """Rows of v in parts of at most `most`: halves at the median along random directions, equal vectors dealt by lot."""
+    rng, todo, out = np.random.default_rng(seed), [np.arange(len(v))], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most:
+            out.append(rows)
+            continue
+        along = v[rows] @ rng.standard_normal(v.shape[1]).astype(np.float32)
+        rows = rows[np.lexsort((rng.random(len(rows)), along))]
+        todo += [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
+    return out
+
+
+def _in_leaves(kind: str, leaf: int):
     def run(batches):
-        for _, rows in _grouped(batches, ("tree", "leaf", "part"), 2 * LEAF):
-            ids, v = np.array(rows["id"], np.int64), _matrix(rows["vec"], kind).astype(np.float32)
-            if len(ids) < 2:
-                continue
-            s = v @ v.T
-            np.fill_diagonal(s, -np.inf)
-            k = min(OFFERED, len(ids) - 1)
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            near = np.take_along_axis(s, top, 1)
-            yield _emit([(int(i), ids[t].tobytes(), n.astype("<f4").tobytes()) for i, t, n in zip(ids, top, near, strict=True)], *_LIST)
+        for key, rows in _grouped(batches, ("tree", "leaf", "part")):
+            all_ids, vectors = np.array(rows["id"], np.int64), _matrix(rows["vec"], kind).astype(np.float32)
+            for part in halved(vectors, 2 * leaf, key):
+                ids, v = all_ids[part], vectors[part]
+                if len(ids) < 2:
+                    continue
+                s = v @ v.T
+                np.fill_diagonal(s, -np.inf)
+                k = min(OFFERED, len(ids) - 1)
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                near = np.take_along_axis(s, top, 1)
+                yield _emit([(int(i), ids[t].tobytes(), n.astype("<f4").tobytes()) for i, t, n in zip(ids, top, near, strict=True)], *_LIST)
 
     return run
 
@@ -196,11 +214,11 @@ def _small(kind: str):
     return run
 
 
-def neighbour_graph(vectors: DataFrame, kind: str, degree: int = DEGREE, trees: int = TREES, rounds: int = ROUNDS) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, kind: str, degree: int = DEGREE, trees: int = TREES, rounds: int = ROUNDS, leaf: int = LEAF, fit_rows: int = FIT_ROWS, held: int = HELD) -> DataFrame:
     """(id, nbrs, scores): the best neighbours found for each vector. vectors: (id, vec)."""
     n = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("vec").toArrow().column("vec").to_pylist()
-    depth = max(0, min(int(np.ceil(np.log2(max(1, n / LEAF)))), int(np.log2(max(1, len(sample) / 16)))))
+    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("vec").toArrow().column("vec").to_pylist()
+    depth = max(0, min(int(np.ceil(np.log2(max(1, n / leaf)))), int(np.log2(max(1, len(sample) / 16)))))
     fitted = fit_trees(_matrix(sample, kind).astype(np.float32), depth, trees) if sample else []
 
     def dealt(batches):
@@ -211,11 +229,12 @@ def neighbour_graph(vectors: DataFrame, kind: str, degree: int = DEGREE, trees:
 
     rows = vectors.mapInArrow(dealt, "tree int, leaf long, id long, vec binary")
     sizes = staged(vectors.mapInArrow(dealt, "tree int, leaf long, id long, vec binary").groupBy("tree", "leaf").count(), "leaves")
-    # A leaf far larger than the others (many equal vectors) is dealt to several tasks.
-    parts = F.greatest(F.lit(1), F.ceil(F.col("count") / (2 * LEAF)))
-    rows = rows.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).select("tree", "leaf", "part", "id", "vec")
+    # A leaf larger than a task can hold (many equal vectors) is dealt to several tasks; the tree is hashed too, so that two vectors apart in one tree can meet in another.
+    together = max(2 * leaf, held // len(sample[0])) if sample else 1
+    parts = F.greatest(F.lit(1), F.ceil(F.col("count") / together))
+    rows = rows.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("tree", "id"), parts).cast("int")).select("tree", "leaf", "part", "id", "vec")
     rows = rows.repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part")
-    graph = staged(merged(rows.mapInArrow(_in_leaves(kind), _LISTS), degree), "graph")
+    graph = staged(merged(rows.mapInArrow(_in_leaves(kind, leaf), _LISTS), degree), "graph")
     for _ in range(rounds):
         small = vectors.join(graph.select("id", "scores"), "id", "left").select("id", "vec", F.coalesce("scores", F.lit(b"")).alias("scores")).mapInArrow(_small(kind), "member long, vec binary, worst float")
         around = links(graph).join(small, "member").repartition("pivot").sortWithinPartitions("pivot", F.xxhash64("member"))

@@ -193,6 +193,24 @@ def test_neighbours_reach_recall_and_handle_odd_vectors(spark):
     assert found >= 0.9 * 10 * len(by)
 
 
+def test_split_leaves_keep_neighbours_together(spark):
+    """Depth bounded by a small sample: leaves are split by planes within a task, or, where a task cannot hold them, over tasks that differ by tree."""
+    rng = np.random.default_rng(8)
+    v = (rng.standard_normal((40, 24))[np.arange(2000) % 40] + 0.3 * rng.standard_normal((2000, 24))).astype("<f4")
+    v[100:200] = v[100]  # equal vectors
+    vectors = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(v)], "id long, vec binary")
+    s = v @ v.T
+    np.fill_diagonal(s, -np.inf)
+    worst = np.sort(s, axis=1)[:, -10]
+    lists = {r.id: np.frombuffer(r.nbrs, "<i8") for r in ann.neighbour_graph(vectors, "<f4", rounds=0, leaf=16, fit_rows=64).collect()}
+    assert np.mean([min(10, (s[i, lists[i]] >= worst[i] - 1e-5).sum()) / 10 for i in range(2000)]) >= 0.8
+    # Only parts of about 32 for all 2000: eight trees show a vector more than one part's members.
+    lists = {r.id: np.frombuffer(r.nbrs, "<i8") for r in ann.neighbour_graph(vectors, "<f4", rounds=0, leaf=16, fit_rows=16, held=1).collect()}
+    assert len(lists) == 2000 and np.mean([len(x) for x in lists.values()]) > 39
+    parts = ann.halved(v, 32, 3)
+    assert sorted(np.concatenate(parts).tolist()) == list(range(2000)) and max(map(len, parts)) <= 32
+
+
 def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (21, [0.0, 1.0]), (21, [0.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(few, F.col("id") % 20 == 0).collect())
