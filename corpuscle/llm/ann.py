@@ -2,9 +2,9 @@
 
 The graph starts from the neighbours within leaves of a few random-projection trees (planes are fitted on a bounded sample; every
 vector is dealt to its leaves; a leaf that is too large is split on at its own medians, by other planes in each tree). Each round joins neighbours of neighbours: the neighbours of a vector, in both directions, are
-compared with each other, and what is nearer than a vector's worst neighbour is offered to it. A query starts from its neighbours
-in the graph and again and again visits the neighbours of the nearest vectors found; those found are ranked in double precision
-on the original vectors.
+compared with each other, every pair with a link that the last round brought, and what is nearer than a vector's worst neighbour is offered
+to it; rounds end when few lists still change. A query starts from its neighbours in the graph and visits the neighbours of the nearest
+vectors found until all of these have been visited; those found are ranked in double precision on the original vectors.
 
 Vectors that are null, zero, hold a null or non-finite component, or have another length than most, take no part, neither do rows with a null
 id; of rows with one id the least vector counts. Ties go to the smaller id. With fewer candidates than asked for all are
@@ -15,19 +15,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.cluster import staged
 
 #: Rows of the sample that planes are fitted on.
 FIT_ROWS = 16_384
-TREES, LEAF, DEGREE, ROUNDS = 8, 1024, 40, 3
+TREES, LEAF, DEGREE = 8, 1024, 40
+#: Rounds end when no more than this share of all list entries is new.
+FEW = 0.001
 #: Bytes of vectors that one task splits further; a leaf beyond is dealt to several tasks, to others in each tree.
 HELD = 1 << 25
-#: Neighbours that a leaf offers a vector; most that one joint neighbour offers it; members of a joint neighbour compared at once.
-OFFERED, JOINED, GROUP = 24, 16, 200
-BEAM, VISITS = 96, 3
+#: Neighbours that a leaf offers a vector; members in one side of a tile, where a joint neighbour has many.
+OFFERED, GROUP = 24, 200
+BEAM = 96
 
 
 def usable(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -168,37 +170,81 @@ def merged(lists: DataFrame, k: int) -> DataFrame:
     return lists.repartition("id").sortWithinPartitions("id").select("id", "nbrs", "scores").mapInArrow(_merged(k), _LISTS)
 
 
+def _graph(k: int):
+    """The k best of each id, with a flag for each that is not in the id's own list."""
+
+    def run(batches):
+        out = []
+        for (i,), rows in _grouped(batches, ("id",)):
+            nbrs, scores = _best(np.frombuffer(b"".join(rows["nbrs"]), "<i8"), np.frombuffer(b"".join(rows["scores"]), "<f4"), k)
+            own = np.frombuffer(b"".join(x for x, o in zip(rows["nbrs"], rows["own"], strict=True) if o), "<i8")
+            new = ~np.isin(np.frombuffer(nbrs, "<i8"), own)
+            out.append((i, nbrs, scores, new.tobytes(), int(new.sum())))
+            if len(out) >= 2000:
+                yield _emit(out, *_GRAPH)
+                out = []
+        yield _emit(out, *_GRAPH)
+
+    return run
+
+
+_GRAPH = (["id", "nbrs", "scores", "new", "n_new"], [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()])
+
+
+def as_graph(found: DataFrame, k: int, own: DataFrame | None = None) -> DataFrame:
+    """The lists found merged with each id's own."""
+    lists = found.select("id", "nbrs", "scores", F.lit(False).alias("own"))
+    if own is not None:
+        lists = lists.union(own.select("id", "nbrs", "scores", F.lit(True)))
+    return staged(lists.repartition("id").sortWithinPartitions("id").mapInArrow(_graph(k), f"{_LISTS}, new binary, n_new int"), "graph")
+
+
 def _links(batches):
-    """Links (pivot, member) in both directions; worst holds the member's worst score where it is known from its own list."""
+    """Links (pivot, member) in both directions; new if the last round brought them."""
     for b in batches:
         ids, nbrs = b.column("id").to_pylist(), [np.frombuffer(x, "<i8") for x in b.column("nbrs").to_pylist()]
         own = np.repeat(np.array(ids, np.int64), [len(x) for x in nbrs])
         other = np.concatenate(nbrs) if nbrs else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[own, other]), pa.array(np.r_[other, own])], ["pivot", "member"])
+        new = np.frombuffer(b"".join(b.column("new").to_pylist()), bool)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[own, other]), pa.array(np.r_[other, own]), pa.array(np.r_[new, new])], ["pivot", "member", "new"])
 
 
 def links(graph: DataFrame) -> DataFrame:
-    return graph.select("id", "nbrs").mapInArrow(_links, "pivot long, member long").distinct()
+    rows = graph.select("id", "nbrs", "new").mapInArrow(_links, "pivot long, member long, new boolean")
+    return rows.repartition("pivot").groupBy("pivot", "member").agg(F.max("new").alias("new"))
+
+
+def tiled(around: DataFrame) -> DataFrame:
+    """Links of pivots that have a new one, in tiles: (pivot, tile, side, member, new). Members are dealt to groups of about GROUP; tile i, j
+    holds groups i (side 0) and j (side 1), so that all pairs of members meet, each in one tile."""
+    of = Window.partitionBy("pivot")
+    rows = around.withColumn("n", F.count("*").over(of)).withColumn("any", F.max("new").over(of)).where("any")
+    groups = F.when(F.col("n") < 2 * GROUP, 1).otherwise(F.ceil(F.col("n") / GROUP)).cast("long")
+    rows = rows.withColumn("groups", groups).withColumn("own", F.pmod(F.xxhash64("member"), F.col("groups")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    tile = F.least("own", "other") * F.col("groups") + F.greatest("own", "other")
+    return rows.select("pivot", tile.alias("tile"), (F.col("own") > F.col("other")).alias("side"), "member", "new")
 
 
 def _joined(batches):
-    """The members of each pivot compared with each other."""
-    out = []
-    for _, rows in _grouped(batches, ("pivot",), GROUP):
+    """The members in each tile compared with each other: pairs of which a link is new, across the sides if there are two."""
+    out, held = [], 0
+    for _, rows in _grouped(batches, ("pivot", "tile")):
         ids, v = np.array(rows["member"], np.int64), _matrix(rows["vec"], "<f2").astype(np.float32)
-        if len(ids) < 2:
+        new, side = np.array(rows["new"], bool), np.array(rows["side"], bool)
+        if len(ids) < 2 or not new.any():
             continue
         s = v @ v.T
-        np.fill_diagonal(s, -np.inf)
-        k = min(JOINED, len(ids) - 1)
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        near = np.take_along_axis(s, top, 1)
-        better = near > np.array(rows["worst"], np.float32)[:, None]
+        better = (s > np.array(rows["worst"], np.float32)[:, None]) & (new[:, None] | new)
+        if side.any():
+            better &= side[:, None] != side
+        np.fill_diagonal(better, False)
         for n in np.flatnonzero(better.any(1)):
-            out.append((int(ids[n]), ids[top[n][better[n]]].tobytes(), near[n][better[n]].astype("<f4").tobytes()))
-        if len(out) >= 5000:
+            out.append((int(ids[n]), ids[better[n]].tobytes(), s[n][better[n]].astype("<f4").tobytes()))
+            held += len(out[-1][1])
+        if len(out) >= 5000 or held > 1 << 22:
             yield _emit(out, *_LIST)
-            out = []
+            out, held = [], 0
     yield _emit(out, *_LIST)
 
 
@@ -214,8 +260,8 @@ def _small(kind: str):
     return run
 
 
-def neighbour_graph(vectors: DataFrame, kind: str, degree: int = DEGREE, trees: int = TREES, rounds: int = ROUNDS, leaf: int = LEAF, fit_rows: int = FIT_ROWS, held: int = HELD) -> DataFrame:
-    """(id, nbrs, scores): the best neighbours found for each vector. vectors: (id, vec)."""
+def neighbour_graph(vectors: DataFrame, kind: str, degree: int = DEGREE, trees: int = TREES, rounds: int | None = None, leaf: int = LEAF, fit_rows: int = FIT_ROWS, held: int = HELD) -> DataFrame:
+    """(id, nbrs, scores): the best neighbours found for each vector. vectors: (id, vec). Rounds go on until few entries are new, or as many as told."""
     n = vectors.count()
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("vec").toArrow().column("vec").to_pylist()
     depth = max(0, min(int(np.ceil(np.log2(max(1, n / leaf)))), int(np.log2(max(1, len(sample) / 16)))))
@@ -234,15 +280,23 @@ def neighbour_graph(vectors: DataFrame, kind: str, degree: int = DEGREE, trees:
     parts = F.greatest(F.lit(1), F.ceil(F.col("count") / together))
     rows = rows.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("tree", "id"), parts).cast("int")).select("tree", "leaf", "part", "id", "vec")
     rows = rows.repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part")
-    graph = staged(merged(rows.mapInArrow(_in_leaves(kind, leaf), _LISTS), degree), "graph")
-    for _ in range(rounds):
-        small = vectors.join(graph.select("id", "scores"), "id", "left").select("id", "vec", F.coalesce("scores", F.lit(b"")).alias("scores")).mapInArrow(_small(kind), "member long, vec binary, worst float")
-        around = links(graph).join(small, "member").repartition("pivot").sortWithinPartitions("pivot", F.xxhash64("member"))
-        found = around.select("pivot", "member", "vec", "worst").mapInArrow(_joined, _LISTS)
-        graph = staged(merged(graph.union(found), degree), "graph")
+    graph, done = as_graph(rows.mapInArrow(_in_leaves(kind, leaf), _LISTS), degree), 0
+    while done != rounds:
+        graph, done = joined(vectors, graph, kind, degree), done + 1
+        if rounds is None and (graph.agg(F.sum("n_new")).first()[0] or 0) <= FEW * n * degree:
+            break
     return graph
 
 
+def joined(vectors: DataFrame, graph: DataFrame, kind: str, degree: int) -> DataFrame:
+    """The graph after one more round."""
+    small = vectors.join(graph.select("id", "scores", F.octet_length("nbrs").alias("n")), "id", "left")
+    full = F.coalesce(F.col("n") >= 8 * degree, F.lit(False))
+    small = small.select("id", "vec", F.when(full, F.col("scores")).otherwise(F.lit(b"")).alias("scores")).mapInArrow(_small(kind), "member long, vec binary, worst float")
+    around = tiled(links(graph)).join(small, "member").repartition("pivot", "tile").sortWithinPartitions("pivot", "tile")
+    return as_graph(around.select("pivot", "tile", "side", "member", "new", "vec", "worst").mapInArrow(_joined, _LISTS), degree, graph)
+
+
 def _visited(beam: int, kind: str):
     """Candidates of each query scored; its own vector comes first, as candidate null."""
 
@@ -281,7 +335,7 @@ def _ranked(k: int, kind: str):
     return run
 
 
-def searched(vectors: DataFrame, graph: DataFrame, queries: DataFrame, kind: str, k: int = 20, beam: int = BEAM, visits: int = VISITS) -> DataFrame:
+def searched(vectors: DataFrame, graph: DataFrame, queries: DataFrame, kind: str, k: int = 20, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score. queries: (id), of vectors in the graph."""
 
     def half(batches):
@@ -295,13 +349,15 @@ def searched(vectors: DataFrame, graph: DataFrame, queries: DataFrame, kind: str
 
     light = staged(vectors.mapInArrow(half, "id long, vec binary"), "half")
     around = staged(links(graph), "links")
-    best = graph.join(queries, "id", "left_semi")
+    best = graph.select("id", "nbrs", "scores").join(queries, "id", "left_semi")
     opened = None
-    for _ in range(visits):
+    while True:
         front = best.select("id", "nbrs").mapInArrow(_exploded, "query long, node long")
         if opened is not None:
             front = front.join(opened, ["query", "node"], "left_anti")
         front = staged(front, "front")
+        if front.isEmpty():
+            break
         new = front.join(around, front["node"] == around["pivot"]).select("query", F.col("member").alias("node")).where("query <> node").distinct()
         found = with_vectors(new, light).mapInArrow(_visited(beam, "<f2"), _LISTS)
         best = staged(merged(best.union(found), beam), "best")

@@ -211,6 +211,27 @@ def test_split_leaves_keep_neighbours_together(spark):
     assert sorted(np.concatenate(parts).tolist()) == list(range(2000)) and max(map(len, parts)) <= 32
 
 
+def test_rounds_go_on_and_hubs_lose_no_pair(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((1000, 8)).astype("<f4")
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    vectors = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(v)], "id long, vec binary").repartition(4)
+    s = v @ v.T
+    np.fill_diagonal(s, -np.inf)
+    true = np.argsort(-s, axis=1)[:, :10]
+
+    def recall(graph, ids):
+        lists = {r.id: np.frombuffer(r.nbrs, "<i8").tolist() for r in graph.collect()}
+        return np.mean([len(set(true[i]) & set(lists.get(i, ()))) / 10 for i in ids])
+
+    # All know only vector 0: one round brings every pair together.
+    star = spark.createDataFrame([(i, np.array([0], "<i8").tobytes(), np.array([s[i, 0]], "<f4").tobytes(), b"\1", 1) for i in range(1, 1000)], "id long, nbrs binary, scores binary, new binary, n_new int")
+    assert recall(ann.joined(vectors, star, "<f4", 40), range(1, 1000)) > 0.98
+    # A poor start, short lists: more rounds than three are needed.
+    poor = dict(degree=10, trees=2, leaf=4, fit_rows=16, held=1)
+    assert recall(ann.neighbour_graph(vectors, "<f4", **poor), range(1000)) > max(0.9, recall(ann.neighbour_graph(vectors, "<f4", rounds=3, **poor), range(1000)))
+
+
 def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (21, [0.0, 1.0]), (21, [0.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(few, F.col("id") % 20 == 0).collect())
