@@ -25,7 +25,8 @@ from corpuscle.llm.linkage import linked_groups, semi, set_jaccard
 from corpuscle.llm.neardup import blocks, mixed
 from corpuscle.llm.worker import release
 
-SHINGLE, THRESHOLD = 10, 0.8
+#: Short enough that one changed character leaves a line of 49 characters or more at the threshold.
+SHINGLE, THRESHOLD = 5, 0.8
 #: At the threshold 0.997 of all pairs share a band.
 BANDS, ROWS = 8, 3
 #: Characters that are hashed at once; small enough for a processor's cache.

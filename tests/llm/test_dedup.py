@@ -136,6 +136,15 @@ def test_line_dedup_equals_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute_lines(texts)
 
 
+def test_line_dedup_links_a_typo_in_a_short_line(spark):
+    lines = [f"{k} of the quick brown foxes jumped over lazy dogs near the river" for k in ("one", "a hundred and twenty")]
+    typo = [x.replace("jumped", "jumbed") for x in lines]
+    other = "nothing in this line of text is like what the other lines are saying"
+    docs = spark.createDataFrame([(0, "\n".join(lines), "r"), (1, "\n".join([*typo, other]), "r"), (2, "nine char", "r"), (3, "nine chat", "r")], DOCS)
+    got = {r.doc_id: r.text for r in linededup.deduplicated(docs).collect()}
+    assert got[1] == other and got[2] == "nine char" and got[3] == "nine chat"
+
+
 def test_line_dedup_hot_line_repeats_nulls_and_empty(spark):
     rows = [(i, f"license line that all share\nown line number {i} of this text here", 0) for i in range(120)] + [(3, "license line that all share\nown line number 3 of this text here", 0), (None, "license line that all share", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
