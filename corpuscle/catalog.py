@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.cluster import ship_code
+from corpuscle.cluster import checkpointed, ship_code
 from corpuscle.functions import text as T
 from corpuscle.functions.patterns import BASE, SPACELESS, SUFFIXES, duckdb_chunks
 from corpuscle.operators import bpe, chunks, metrics, morphology, registers, search, surface
@@ -43,8 +43,8 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def trained(spark: SparkSession, sf_dir: str, rules: bpe.Rules = bpe.Rules(), by: tuple[str, ...] = (), merges: int = MERGES):
-    """(merge table, chunks with ids, vocabulary) of the small vocabulary on documents."""
-    counts = chunks.counted(documents(spark, sf_dir, *by, "text"), by=by)
+    """(merge table, chunks with ids, vocabulary) of the small vocabulary on documents. Texts are split and counted once, and the vocabulary is trained once."""
+    counts = checkpointed(chunks.counted(documents(spark, sf_dir, *by, "text"), by=by))
     table = bpe.train(counts.groupBy("chunk").agg(F.sum("n").alias("n")) if by else counts, bpe.BYTES + merges, rules, "task")
     made = bpe.collected(table)  # as many rows as there are merges
     own = spark.createDataFrame(bpe._frame(made), bpe.MERGES)
@@ -165,8 +165,7 @@ def split_sizes(spark, sf_dir):
 
 @query(f"""WITH {staged_sql(0)} SELECT t[i] AS a, t[i + 1] AS b, sum(n)::BIGINT AS n FROM (SELECT t, n, unnest(range(1, len(t))) AS i FROM (SELECT string_split(trim(w, '<>'), '><') AS t, n FROM w0)) GROUP BY 1, 2""")
 def byte_pair_counts(spark, sf_dir):
-    c = chunks.counted(documents(spark, sf_dir, "text"))
-    return bpe.pair_counts(c.select(bpe.word(F.col("chunk")).alias("w"), "n"))
+    return bpe.byte_pairs(chunks.counted(documents(spark, sf_dir, "text")))
 
 
 def named(merges: DataFrame) -> DataFrame:
@@ -217,8 +216,16 @@ def bpe_space_rules(spark, sf_dir):
     return named(bpe.train(chunks.counted(documents(spark, sf_dir, "text"), r"[^\n]+"), bpe.BYTES + 12, rules, "task"))
 
 
-@query()
+#: Bytes that forced pairs and the blocked one keep from merging naturally; "the" can't come about without "th" or "he".
+_BARRED = " AND ".join(f"NOT (t[i] = '{a}' AND t[i + 1] = '{b}')" for a, b in (("74", "68"), ("61", "6E"), ("68", "65")))
+_NATURAL = " UNION ALL ".join(f"SELECT {256 + k if k < 20 else 279} AS id, a, b FROM p{k}" for k in range(21))
+
+
+@query(f"""WITH {staged_sql(21, _BARRED)}, {vocab_sql(21)}, m AS ({_NATURAL})
+SELECT m.id::INT AS id, {_ID.replace('t[', 'a[').replace('|| t)', '|| a)')}::INT AS "left", {_ID.replace('t[', 'b[').replace('|| t)', '|| b)')}::INT AS "right", x.hex || y.hex AS hex, false AS forced FROM m JOIN v21 x ON x.name = a JOIN v21 y ON y.name = b
+UNION ALL VALUES (276, 116, 104, '7468', true), (277, 276, 101, '746865', true), (278, 97, 110, '616E', true)""")
 def bpe_forced_merges(spark, sf_dir):
+    """Twenty natural merges, three forced ones (the fourth is blocked), one more natural one in the place that is left."""
     rules = bpe.Rules.of(blocked=(("h", "e"),), forced=(("t", "h"), ("th", "e"), ("a", "n"), ("h", "e")))
     m = bpe.train(chunks.counted(documents(spark, sf_dir, "text")), bpe.BYTES + 24, rules, "task")
     return m.select("id", "left", "right", F.hex("bytes").alias("hex"), "forced")
@@ -421,8 +428,10 @@ def surface_roundtrip(spark, sf_dir):
 
 @query()
 def bestfit_rows(spark, sf_dir):
-    d = documents(spark, sf_dir, "doc_id", "text").select("doc_id", (F.size(F.split("text", " ")) + 1).alias("n"))
-    return surface.packed_rows(d, 2048)
+    made = bpe.collected(bpe.train(chunks.counted(documents(spark, sf_dir, "text")), bpe.BYTES + 64, mode="task"))
+    rows = bpe.token_rows(documents(spark, sf_dir, "doc_id", "text"), made, BASE)
+    whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("cpos", "tpos", "id"))).alias("x")).select("doc_id", F.transform("x", lambda v: v["id"]).alias("ids"))
+    return surface.shifted(surface.packed_rows(surface.with_bos(whole, "ids", bpe.BYTES + 64), 2049))
 
 
 # --- words ---
@@ -470,19 +479,21 @@ def top_gainers(spark, sf_dir):
 _GRAMS = {
     "word": "regexp_extract_all(text, '[a-z'']+')",
     "bigram": "list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])",
-    "char4": "list_transform(range(1, length(text) - 2), lambda i: text[i:i + 3])",
+    "char4": "list_transform(list_zip(cs, cs[2:], cs[3:], cs[4:])[:length(text) - 3], lambda x: x[1] || x[2] || x[3] || x[4])",
 }
 
 
 def register_sql(kind: str) -> str:
-    return f"""WITH d AS MATERIALIZED (SELECT lang, text, regexp_extract_all(text, '[a-z'']+') AS ws FROM (SELECT lang, lower(left(text, 8000)) AS text FROM documents)), b AS (SELECT text, regexp_extract_all(text, '[a-z'']+') AS ws FROM (SELECT lower(left(text, 8000)) AS text FROM benchmark)),
+    """The texts of each language as one, in order, with newlines between."""
+    return f"""WITH d AS MATERIALIZED (SELECT lang, text, string_split(text, '') AS cs, regexp_extract_all(text, '[a-z'']+') AS ws FROM (SELECT lang, string_agg(lower(coalesce(text, '')), chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY lang)),
+b AS (SELECT text, string_split(text, '') AS cs, regexp_extract_all(text, '[a-z'']+') AS ws FROM (SELECT string_agg(lower(coalesce(text, '')), chr(10) ORDER BY item_id) AS text FROM benchmark)),
 p AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest({_GRAMS[kind]}) AS gram FROM d) GROUP BY ALL), q AS (SELECT gram, count(*) AS m FROM (SELECT unnest({_GRAMS[kind]}) AS gram FROM b) GROUP BY gram)"""
 
 
 def _registers(spark, sf_dir, kind):
     d = corpus.registers(documents(spark, sf_dir, "doc_id", "lang", "text"), "lang")
-    b = table(spark, sf_dir, "benchmark").select(F.lit("b").alias("lang"), F.lower(F.substring("text", 1, 8000)).alias("text"))
-    return registers.grams(d, kind, "lang"), registers.grams(b, kind, "lang").select("gram", "n")
+    b = table(spark, sf_dir, "benchmark").select(F.lit("b").alias("lang"), F.col("item_id").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return registers.grams(d, kind, "lang", order="doc_id"), registers.grams(b, kind, "lang", order="doc_id").select("gram", "n")
 
 
 @query(f"{register_sql('word')} SELECT lang, round(coalesce(sum(n::DOUBLE * m) / sqrt(sum(n::DOUBLE * n) * (SELECT sum(m::DOUBLE * m) FROM q)), 0), 6) AS cosine FROM p LEFT JOIN q USING (gram) GROUP BY lang")
@@ -581,11 +592,37 @@ def stem_swap(spark, sf_dir):
     return s.select("item_id", F.md5("text").alias("own"), F.md5("text_swapped").alias("other"))
 
 
-@query()
+_CANDIDATES = ((), BLOCKED, ((" ", "t"),))
+
+
+def candidates_sql(steps: int) -> str:
+    """Each candidate's merges on documents of even ids; tokens, dead tokens and dictionary words on those of odd ids, by source."""
+    out = [
+        f"tr AS MATERIALIZED (SELECT chunk, count(*) AS n FROM ({chunk_sql(source='(SELECT * FROM documents WHERE doc_id % 2 = 0)')}) GROUP BY chunk)",
+        f"he AS MATERIALIZED (SELECT source, chunk, count(*) AS n FROM ({chunk_sql(columns='source, ', source='(SELECT * FROM documents WHERE doc_id % 2 = 1)')}) GROUP BY ALL)",
+        "d AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM benchmark)",
+    ]
+    stems = " OR ".join(f"(ends_with(w, '{s}') AND length(w) > {len(s) + 1} AND w[:-{len(s) + 1}] IN (SELECT w FROM d))" for s in ("s", "es", "ed", "ing", "d"))
+    rows = []
+    for c, pairs in enumerate(_CANDIDATES):
+        barred = " AND ".join(f"NOT (t[i] = '{a.encode().hex().upper()}' AND t[i + 1] = '{b.encode().hex().upper()}')" for a, b in pairs) or "true"
+        out.append(f"c{c}w0 AS MATERIALIZED (SELECT regexp_replace(hex(chunk), '(..)', '<\\1>', 'g') AS w, n FROM tr), c{c}h0 AS (SELECT source, regexp_replace(hex(chunk), '(..)', '<\\1>', 'g') AS w, n FROM he), c{c}v0 AS (SELECT printf('%02X', i) AS name, printf('%02X', i) AS hex FROM range(256) t(i))")
+        for k in range(steps):
+            out.append(f"c{c}p{k} AS MATERIALIZED (SELECT t[i] AS a, t[i + 1] AS b, sum(n)::BIGINT AS c FROM (SELECT t, n, unnest(range(1, len(t))) AS i FROM (SELECT string_split(trim(w, '<>'), '><') AS t, n FROM c{c}w{k})) WHERE {barred} GROUP BY 1, 2 ORDER BY c DESC, a, b LIMIT 1)")
+            for x, own in (("w", "w, n"), ("h", "source, w, n")):
+                out.append(f"c{c}{x}{k + 1} AS MATERIALIZED (SELECT {own.replace('w,', f"replace(w, '<' || a || '><' || b || '>', '<T{k:05d}>') AS w,")} FROM c{c}{x}{k}, c{c}p{k})")
+            out.append(f"c{c}v{k + 1} AS MATERIALIZED (SELECT * FROM c{c}v{k} UNION ALL SELECT 'T{k:05d}', x.hex || y.hex FROM c{c}p{k} JOIN c{c}v{k} x ON x.name = a JOIN c{c}v{k} y ON y.name = b)")
+        out.append(f"c{c}s AS (SELECT lower(s[2:]) AS w FROM (SELECT try(decode(unhex(hex))) AS s FROM c{c}v{steps}) WHERE starts_with(s, ' ')), c{c}k AS (SELECT w IN (SELECT w FROM d) AS base, {stems} OR (ends_with(w, 'ies') AND length(w) > 4 AND w[:-4] || 'y' IN (SELECT w FROM d)) AS infl FROM c{c}s)")
+        out.append(f"c{c}t AS (SELECT source, sum(n)::BIGINT AS tokens, {256 + steps} - count(DISTINCT t) AS dead FROM (SELECT source, n, unnest(string_split(trim(w, '<>'), '><')) AS t FROM c{c}h{steps}) GROUP BY source)")
+        rows.append(f"SELECT {c} AS cand, (SELECT count(*) FILTER (base) FROM c{c}k)::INT AS base, (SELECT count(*) FILTER (infl AND NOT base) FROM c{c}k)::INT AS infl, (SELECT sum(tokens) FROM c{c}t)::BIGINT AS tokens, (SELECT sum(dead) FROM c{c}t)::BIGINT AS dead, NULL::VARCHAR AS error")
+    return f"WITH {', '.join(out)} {' UNION ALL '.join(rows)}"
+
+
+@query(candidates_sql(10))
 def evaluate_many_small(spark, sf_dir):
     d = documents(spark, sf_dir, "doc_id", "source", "text")
     words = [r.word for r in corpus.words_of(table(spark, sf_dir, "benchmark").select("text")).collect()]
     held = chunks.counted(d.where("doc_id % 2 = 1"), by=("source",)).withColumnRenamed("source", "shard")
-    out = bpe.evaluate_candidates(spark, chunks.counted(d.where("doc_id % 2 = 0")), held, words, [(0, bpe.Rules()), (1, bpe.Rules.of(BLOCKED)), (2, bpe.Rules.of(((" ", "t"),)))], bpe.BYTES + 64)
+    out = bpe.evaluate_candidates(spark, chunks.counted(d.where("doc_id % 2 = 0")), held, words, [(k, bpe.Rules.of(p)) for k, p in enumerate(_CANDIDATES)], bpe.BYTES + 10)
     total = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select("cand", "base", "infl", total("tokens").alias("tokens"), total("dead").alias("dead"), "error")

@@ -18,21 +18,22 @@ VOCAB_SIZE, VOCAB_SIZE_WITH_PHRASES = 32768, 32890
 
 # English suffixes, longest kinds first as in the inventory, and space-prefixed prefixes.
 SUFFIXES = (
-    "izations isations ization isation ifications ification abilities ability ibilities ibility ologically ological "
-    "fullness lessness ousness fully lessly ously ically ical ationally ationality ations ation tions tion sions sion ments ment "
-    "nesses ness ities ity izing izes ized ize ising ises ised ise ifying ifies ified ify ables able ibles ible fulnesses ful "
-    "less ous ative atives itive itives ives ive ally al ier iest ists ist isms ism ings ing ors or ers er ies ily ly ed es "
-    "ences ence ances ance ents ent ants ant ages age aries ary ories ory eries ery ians ian ish "
-    "icials icial ially ials ial itures iture atures ature ures ure ices ice eties ety acies acy hoods hood"
-).split()
-PREFIXES = tuple(
-    " " + p
-    for p in (
-        "counter electr therm chron hetero hydr photo macro micro neur astr cosm inter trans under super hyper ultra infra "
-        "intra extra retro ortho multi pseudo proto endo ecto meso hypo hemi homo mono poly mega mini tele para meta anti semi auto "
-        "exo iso peri epi bio geo neo over dis mis non pre pro sub out fore post un re in im de ex en co"
-    ).split()
-)
+    "izations", "isations", "ization", "isation", "ifications", "ification", "abilities", "ability", "ibilities", "ibility", "ologically",
+    "ological", "fullness", "lessness", "ousness", "fully", "lessly", "ously", "ically", "ical", "ationally", "ationality", "ations", "ation",
+    "tions", "tion", "sions", "sion", "ments", "ment", "nesses", "ness", "ities", "ity", "izing", "izes", "ized", "ize", "ising", "ises", "ised",
+    "ise", "ifying", "ifies", "ified", "ify", "ables", "able", "ibles", "ible", "fulnesses", "ful", "less", "ous", "ative", "atives", "itive",
+    "itives", "ives", "ive", "ally", "al", "ier", "iest", "ists", "ist", "isms", "ism", "ings", "ing", "ors", "or", "ers", "er", "ies", "ily", "ly",
+    "ed", "es", "ences", "ence", "ances", "ance", "ents", "ent", "ants", "ant", "ages", "age", "aries", "ary", "ories", "ory", "eries", "ery",
+    "ians", "ian", "ish", "icials", "icial", "ially", "ials", "ial", "itures", "iture", "atures", "ature", "ures", "ure", "ices", "ice", "eties",
+    "ety", "acies", "acy", "hoods", "hood",
+)
+PREFIXES = (
+    " counter", " electr", " therm", " chron", " hetero", " hydr", " photo", " macro", " micro", " neur", " astr", " cosm", " inter", " trans",
+    " under", " super", " hyper", " ultra", " infra", " intra", " extra", " retro", " ortho", " multi", " pseudo", " proto", " endo", " ecto",
+    " meso", " hypo", " hemi", " homo", " mono", " poly", " mega", " mini", " tele", " para", " meta", " anti", " semi", " auto", " exo", " iso",
+    " peri", " epi", " bio", " geo", " neo", " over", " dis", " mis", " non", " pre", " pro", " sub", " out", " fore", " post", " un", " re", " in",
+    " im", " de", " ex", " en", " co",
+)
 
 
 def java(pattern: str) -> str:

@@ -2,17 +2,21 @@
 
 A word is a string of tokens: <74> for a byte, <T00042> for the token that merge 42 made. Replacing the text of a pair is
 then the left-to-right, non-overlapping merge, and text order of tokens is id order. Few merges are trained as a
-DataFrame loop; a vocabulary is trained in one task over the distinct chunks with counts kept up to date, as long as there are not more of
-them than MOST_IN_TASK; beyond that, the DataFrame loop is the way.
+DataFrame loop; a vocabulary is trained in one task over the distinct chunks, by array operations with counts kept up to date, as long as
+there are not more of them than MOST_IN_TASK; beyond that, the DataFrame loop makes the same merges.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +66,11 @@ def token_name(i: int) -> str:
     return f"{i:02X}" if i < BYTES else f"T{i - BYTES:05d}"
 
 
+def number(name: str) -> int:
+    """The id of a token's name."""
+    return BYTES + int(name[1:]) if name.startswith("T") else int(name, 16)
+
+
 def token_id(name: Column) -> Column:
     return F.when(name.startswith("T"), F.substring(name, 2, 9).cast("int") + BYTES).otherwise(F.conv(name, 16, 10).cast("int"))
 
@@ -73,6 +82,28 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
 
 
+def byte_pairs(chunks: DataFrame) -> DataFrame:
+    """pair_counts() of chunks (chunk, n) as bytes: a table of all byte pairs in each task, summed."""
+
+    def counted(batches):
+        sums = np.zeros(BYTES * BYTES, np.int64)
+        for b in batches:
+            chunk, n = b.column("chunk").cast(pa.binary()), b.column("n").to_numpy(zero_copy_only=False)
+            data = np.frombuffer(b"".join(x or b"" for x in chunk.to_pylist()), np.uint8)
+            sizes = pc.fill_null(pc.binary_length(chunk), 0).to_numpy(zero_copy_only=False)
+            if len(data) > 1:
+                inside = np.ones(len(data), bool)
+                inside[np.cumsum(sizes)[sizes > 0] - 1] = False  # a chunk's last byte begins no pair
+                at = np.flatnonzero(inside)
+                weights = np.repeat(n, sizes)[at]
+                np.add.at(sums, data[at].astype(np.int64) * BYTES + data[at + 1], weights)
+        k = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(k // BYTES, pa.int32()), pa.array(k % BYTES, pa.int32()), pa.array(sums[k])], ["a", "b", "n"])
+
+    name = lambda c: F.lpad(F.hex(c), 2, "0").alias(c)
+    return chunks.select("chunk", "n").mapInArrow(counted, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).select(name("a"), name("b"), "n")
+
+
 def top_pair(words: DataFrame):
     """The most frequent pair, of equal ones the least; None if there is none."""
     return pair_counts(words).orderBy(F.desc("n"), "a", "b").limit(1).first()
@@ -90,80 +121,26 @@ def _allowed(rules: Rules, left: bytes, right: bytes, blocked: set, forced: set,
     return (left, right) not in blocked and (left, right) not in forced and left + right not in forced_whole
 
 
-class _Trainer:
-    """Words of ids with counts, pair counts with the words that hold a pair, and a heap of pairs whose counts are checked when they come up."""
+class _Book:
+    """Tokens and merges made so far, and which pairs may be merged."""
 
-    def __init__(self, chunks: list[bytes], counts: list[int], rules: Rules):
-        self.words = [list(c) for c in chunks]
-        self.counts = counts
+    def __init__(self, rules: Rules):
         self.rules = rules
         self.blocked, self.forced = set(rules.blocked), set(rules.forced)
         self.forced_whole = {a + b for a, b in rules.forced}
         self.bytes = [bytes((i,)) for i in range(BYTES)]
         self.merges: list[Merge] = []
         self.rule_of: dict[tuple[int, int], int] = {}
-        self.pairs: dict[tuple[int, int], int] = defaultdict(int)
-        self.where: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for i, w in enumerate(self.words):
-            for p in zip(w, w[1:], strict=False):
-                self.pairs[p] += counts[i]
-                self.where[p].add(i)
-        self.heap = [(-n, p) for p, n in self.pairs.items()]
-        heapq.heapify(self.heap)
-        self.banned: set[tuple[int, int]] = set()
-
-    def _best(self):
-        while self.heap:
-            n, pair = heapq.heappop(self.heap)
-            now = self.pairs.get(pair, 0)
-            if now != -n:
-                if now > 0:
-                    heapq.heappush(self.heap, (-now, pair))
-            elif now <= 0:
-                return None
-            elif pair not in self.rule_of and pair not in self.banned:
-                if _allowed(self.rules, self.bytes[pair[0]], self.bytes[pair[1]], self.blocked, self.forced, self.forced_whole):
-                    return pair, now
-                self.banned.add(pair)
-        return None
 
-    def _apply(self, pair: tuple[int, int], new: int) -> None:
-        a, b = pair
-        touched = set()
-        for i in self.where.pop(pair, ()):
-            w, n = self.words[i], self.counts[i]
-            out, k, changed = [], 0, False
-            while k < len(w):
-                if k + 1 < len(w) and w[k] == a and w[k + 1] == b:
-                    out.append(new)
-                    k += 2
-                    changed = True
-                else:
-                    out.append(w[k])
-                    k += 1
-            if not changed:
-                continue
-            for p in zip(w, w[1:], strict=False):
-                self.pairs[p] -= n
-            for p in zip(out, out[1:], strict=False):
-                self.pairs[p] += n
-                if new in p:
-                    self.where[p].add(i)
-                    touched.add(p)
-            self.words[i] = out
-        for p in touched:
-            if self.pairs[p] > 0:
-                heapq.heappush(self.heap, (-self.pairs[p], p))
+    def allows(self, a: int, b: int) -> bool:
+        return (a, b) not in self.rule_of and _allowed(self.rules, self.bytes[a], self.bytes[b], self.blocked, self.forced, self.forced_whole)
 
-    def natural(self, until: int) -> None:
-        """Merges until there are so many tokens."""
-        while len(self.bytes) < until and (found := self._best()):
-            pair, n = found
-            new = len(self.bytes)
-            self.bytes.append(self.bytes[pair[0]] + self.bytes[pair[1]])
-            self.merges.append(Merge(new, *pair, self.bytes[new], n))
-            self.rule_of[pair] = new
-            self._apply(pair, new)
+    def add(self, a: int, b: int, n: int) -> int:
+        new = len(self.bytes)
+        self.bytes.append(self.bytes[a] + self.bytes[b])
+        self.merges.append(Merge(new, a, b, self.bytes[new], n))
+        self.rule_of[a, b] = new
+        return new
 
     def force(self, until: int) -> None:
         """Forced pairs in order: skipped if blocked, an operand is missing, or made already; an existing token of the same bytes is reused."""
@@ -181,20 +158,111 @@ class _Trainer:
             self.rule_of[pair] = known[whole]
             self.merges.append(Merge(known[whole], *pair, whole, 0, True))
 
-    def run(self, vocab_size: int) -> list[Merge]:
-        """Room is held for the forced pairs; what they leave is filled by further natural merges."""
-        self.natural(max(BYTES, vocab_size - len(self.rules.forced)))
+    def run(self, natural: Callable[[int], None], vocab_size: int) -> list[Merge]:
+        """Room is held for the forced pairs; what they leave is filled by further natural merges. natural(n) merges until there are n tokens."""
+        natural(max(BYTES, vocab_size - len(self.rules.forced)))
         if self.rules.forced:
             self.force(vocab_size)
-            self.natural(vocab_size)
+            natural(vocab_size)
         return self.merges
 
 
+class _Trainer:
+    """All words behind one another in arrays: tokens, the places of the tokens before and behind, weights. A merge changes all places of a pair at once.
+
+    A pair is a number (left * WIDE + right); for each there is its count and the places where it stood when it was counted, which
+    are checked when it is merged. A heap holds pairs by count; counts that have changed are checked when they come up.
+    """
+
+    WIDE = 1 << 32
+
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, counts: np.ndarray, rules: Rules):
+        self.book = _Book(rules)
+        n = len(data)
+        self.token = data.astype(np.int64)
+        self.weight = np.repeat(counts.astype(np.int64), sizes)
+        ends = np.cumsum(sizes)
+        self.after, self.before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        full = sizes > 0
+        self.after[ends[full] - 1] = -1
+        self.before[(ends - sizes)[full]] = -1
+        places = np.flatnonzero(self.after >= 0)
+        keys = self.token[places] * self.WIDE + self.token[places + 1]
+        order = np.argsort(keys, kind="stable")
+        places, keys = places[order], keys[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        names = keys[starts].tolist()
+        self.count: dict[int, int] = dict(zip(names, np.add.reduceat(self.weight[places], starts).tolist() if len(keys) else [], strict=True))
+        self.where: dict[int, list[np.ndarray]] = {k: [p] for k, p in zip(names, np.split(places, starts[1:]), strict=True)} if names else {}
+        self.heap = [(-c, k) for k, c in self.count.items()]
+        heapq.heapify(self.heap)
+
+    def _best(self) -> tuple[int, int] | None:
+        while self.heap:
+            c, key = heapq.heappop(self.heap)
+            now = self.count.get(key, 0)
+            if now != -c:
+                if now > 0:
+                    heapq.heappush(self.heap, (-now, key))
+            elif now > 0 and self.book.allows(*divmod(key, self.WIDE)):
+                return key, now
+        return None
+
+    def _sums(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pairs, their weights, which of them stands at each place)."""
+        keys, which = np.unique(self.token[places] * self.WIDE + self.token[self.after[places]], return_inverse=True)
+        return keys, np.bincount(which, self.weight[places], len(keys)).astype(np.int64), which
+
+    def _apply(self, key: int, new: int) -> None:
+        a, b = divmod(key, self.WIDE)
+        token, after, before = self.token, self.after, self.before
+        at = np.unique(np.concatenate(self.where.pop(key)))
+        at = at[(token[at] == a) & (after[at] >= 0)]
+        at = at[token[after[at]] == b]
+        if not len(at):
+            self.count.pop(key, None)
+            return
+        if a == b:  # of overlapping places in a run every other one, from the left
+            first = np.r_[True, after[at[:-1]] != at[1:]]
+            starts = np.flatnonzero(first)
+            at_all, at = at, at[(np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))) % 2 == 0]
+        else:
+            at_all = at
+        second = after[at]
+        left, right = before[at], after[second]
+        gone = np.unique(np.concatenate([at_all, left[left >= 0], second[right >= 0]]))
+        keys, sums, _ = self._sums(gone)
+        for k, c in zip(keys.tolist(), sums.tolist(), strict=True):
+            self.count[k] -= c
+        token[at], token[second] = new, -1
+        after[at] = right
+        before[right[right >= 0]] = at[right >= 0]
+        left = before[at]
+        made = np.unique(np.concatenate([at[right >= 0], left[left >= 0]]))
+        keys, sums, which = self._sums(made)
+        made = made[np.argsort(which, kind="stable")]
+        ends = np.cumsum(np.bincount(which, minlength=len(keys))).tolist()
+        for k, c, i, j in zip(keys.tolist(), sums.tolist(), [0, *ends], ends, strict=False):
+            self.count[k] = now = self.count.get(k, 0) + c
+            self.where.setdefault(k, []).append(made[i:j])
+            heapq.heappush(self.heap, (-now, k))
+        if not self.count.get(key):
+            self.count.pop(key, None)
+
+    def natural(self, until: int) -> None:
+        """Merges until there are so many tokens."""
+        while len(self.book.bytes) < until and (found := self._best()):
+            self._apply(found[0], self.book.add(*divmod(found[0], self.WIDE), found[1]))
+
+
 def train_local(chunks: list[bytes], counts: list[int], vocab_size: int, rules: Rules = Rules()) -> list[Merge]:
-    return _Trainer(chunks, counts, rules).run(vocab_size)
+    data, sizes = np.frombuffer(b"".join(chunks), np.uint8), np.fromiter(map(len, chunks), np.int64, len(chunks))
+    trainer = _Trainer(data, sizes, np.array(counts, np.int64), rules)
+    return trainer.book.run(trainer.natural, vocab_size)
 
 
 MERGES = "id int, left int, right int, bytes binary, n long, forced boolean"
+_ARROW = pa.schema([("id", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("bytes", pa.binary()), ("n", pa.int64()), ("forced", pa.bool_())])
 
 
 def _frame(merges: list[Merge]) -> pd.DataFrame:
@@ -202,46 +270,58 @@ def _frame(merges: list[Merge]) -> pd.DataFrame:
 
 
 def train(chunks: DataFrame, vocab_size: int, rules: Rules = Rules(), mode: str = "auto") -> DataFrame:
-    """The merge table (id, left, right, bytes, n, forced) learned from chunks (chunk, n)."""
+    """The merge table (id, left, right, bytes, n, forced) learned from chunks (chunk, n). Both modes make the same merges.
+
+    mode: "task" trains in one task, which holds about 40 bytes for each byte of the distinct chunks; "dataframe" runs a job for each
+    merge and holds nothing; "auto" takes the task for up to MOST_IN_TASK distinct chunks.
+    """
     if mode == "auto":
-        mode = "task" if chunks.limit(MOST_IN_TASK + 1).count() <= MOST_IN_TASK else "dataframe"
+        chunks = checkpointed(chunks.select("chunk", "n"))
+        mode = "task" if chunks.count() <= MOST_IN_TASK else "dataframe"
     if mode == "dataframe":
         return train_by_frames(chunks, vocab_size - BYTES, rules)
 
-    def trained(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        return _frame(train_local([c.encode() for c in pdf["chunk"]], pdf["n"].tolist(), vocab_size, rules))
+    def trained(batches):
+        texts, sizes, counts = [], [], []
+        for b in batches:
+            chunk = b.column("chunk").cast(pa.binary())
+            texts.append(b"".join(chunk.to_pylist()))
+            sizes.append(pc.binary_length(chunk).to_numpy(zero_copy_only=False).astype(np.int64))
+            counts.append(b.column("n").to_numpy(zero_copy_only=False))
+        if texts:
+            trainer = _Trainer(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(sizes), np.concatenate(counts), rules)
+            del texts, sizes, counts
+            yield from pa.Table.from_pandas(_frame(trainer.book.run(trainer.natural, vocab_size)), preserve_index=False).cast(_ARROW).to_batches()
 
-    return chunks.select("chunk", "n", F.lit(0).alias("all")).groupBy("all").applyInPandas(trained, MERGES)
+    return chunks.select("chunk", "n").where("chunk is not null").repartition(1).mapInArrow(trained, MERGES)
 
 
 def train_by_frames(chunks: DataFrame, steps: int, rules: Rules = Rules()) -> DataFrame:
-    """The same by a DataFrame job for each merge; without forced pairs."""
-    if rules.forced:
-        raise ValueError("forced pairs need the task mode")
+    """The same by a DataFrame job for each merge."""
     spark = chunks.sparkSession
+    book = _Book(rules)
     words = checkpointed(chunks.select(word(F.col("chunk")).alias("w"), "n"))
-    of = {token_name(i): bytes((i,)) for i in range(BYTES)}
-    ids = {token_name(i): i for i in range(BYTES)}
-    out: list[Merge] = []
     banned: list[tuple[str, str]] = []
-    while len(out) < steps:
-        counts = pair_counts(words)
-        if banned:
-            counts = counts.join(F.broadcast(spark.createDataFrame(banned, "a string, b string")), ["a", "b"], "left_anti")
-        best = counts.orderBy(F.desc("n"), "a", "b").limit(1).first()
-        if best is None:
-            break
-        if not _allowed(rules, of[best.a], of[best.b], set(rules.blocked), set(), set()):
-            banned.append((best.a, best.b))
-            continue
-        name = token_name(BYTES + len(out))
-        of[name], ids[name] = of[best.a] + of[best.b], BYTES + len(out)
-        out.append(Merge(ids[name], ids[best.a], ids[best.b], of[name], best.n))
-        words = merged(words, best.a, best.b, name)
-        if len(out) % 8 == 0:
-            words = checkpointed(words)
-    return spark.createDataFrame(_frame(out), MERGES) if out else spark.createDataFrame([], MERGES)
+
+    def natural(until: int) -> None:
+        nonlocal words
+        while len(book.bytes) < until:
+            counts = pair_counts(words)
+            if banned:
+                counts = counts.join(F.broadcast(spark.createDataFrame(banned, "a string, b string")), ["a", "b"], "left_anti")
+            best = counts.orderBy(F.desc("n"), "a", "b").limit(1).first()
+            if best is None:
+                return
+            a, b = number(best.a), number(best.b)
+            if not book.allows(a, b):
+                banned.append((best.a, best.b))
+                continue
+            words = merged(words, best.a, best.b, token_name(book.add(a, b, best.n)))
+            if len(book.merges) % 8 == 0:
+                words = checkpointed(words)
+
+    made = book.run(natural, BYTES + steps)
+    return spark.createDataFrame(_frame(made), MERGES) if made else spark.createDataFrame([], MERGES)
 
 
 def vocabulary(merges: DataFrame, specials: tuple[str, ...] = ()) -> DataFrame:
@@ -319,8 +399,9 @@ def encoded(chunks: DataFrame, merges: list[Merge], keyed_by: str = "pair", chun
 
 
 def collected(merges: DataFrame) -> list[Merge]:
-    """A merge table as a list, in the order in which it was made."""
-    return [Merge(r.id, r.left, r.right, bytes(r.bytes), r.n, r.forced) for r in merges.orderBy("forced", "id", "left", "right").collect()]
+    """A merge table (of a vocabulary, of bounded size) as a list, by id, forced ones last. Sorted here: a sort in Spark would run the training twice, for its sample."""
+    rows = [Merge(r.id, r.left, r.right, bytes(r.bytes), r.n, r.forced) for r in merges.collect()]
+    return sorted(rows, key=lambda m: (m.forced, m.id, m.left, m.right))
 
 
 def decoded(ids: DataFrame, vocab: DataFrame, key: str, pos: str = "pos", id: str = "id") -> DataFrame:
@@ -341,36 +422,50 @@ def token_rows(docs: DataFrame, merges: list[Merge], pattern: str, keyed_by: str
     return spread.select(*keep, "cpos", F.posexplode("ids").alias("tpos", "id"))
 
 
-def evaluate_candidates(spark: SparkSession, train_chunks: DataFrame, held_out: DataFrame, words: list[str], candidates: list[tuple[int, Rules]], vocab_size: int, most: int = 2_000_000) -> DataFrame:
+def _packed(batches):
+    """Of (shard, chunk, n): blocks of many chunks of one shard, their sizes and counts."""
+    for b in batches:
+        shards = b.column("shard").to_pylist()
+        names = list(dict.fromkeys(shards))
+        which = np.array([names.index(s) for s in shards])
+        chunk, n = b.column("chunk").cast(pa.binary()), b.column("n").to_numpy(zero_copy_only=False)
+        rows = [(s, chunk.filter(pa.array(which == k)).to_pylist(), n[which == k]) for k, s in enumerate(names)]
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, *_ in rows], pa.string()), pa.array([b"".join(c) for _, c, _ in rows], pa.binary()), pa.array([np.array([len(x) for x in c], "<i8").tobytes() for _, c, _ in rows], pa.binary()), pa.array([x.astype("<i8").tobytes() for *_, x in rows], pa.binary())], ["shard", "data", "sizes", "counts"])
+
+
+def evaluate_candidates(spark: SparkSession, train_chunks: DataFrame, held_out: DataFrame, words: list[str], candidates: list[tuple[int, Rules]], vocab_size: int) -> DataFrame:
     """(cand, base, infl, tokens map, dead map, error): each candidate's rules trained and measured in a task of its own.
 
-    held_out: (shard, chunk, n). A candidate that fails gives its error, the others their figures. Chunk tables of up to `most`
-    rows are broadcast; larger ones are sent to each candidate's task by a shuffle.
+    held_out: (shard, chunk, n). A candidate that fails gives its error, the others their figures. The chunk tables go to each
+    candidate's task by a shuffle, in blocks, at every size; a task holds about 40 bytes for each byte of the distinct chunks.
     """
     rows = train_chunks.select(F.lit(None).cast("string").alias("shard"), "chunk", "n").union(held_out.select("shard", "chunk", "n"))
     rules_of, dictionary = dict(candidates), frozenset(words)
-    out = "cand int, base int, infl int, tokens map<string,long>, dead map<string,long>, error string"
-    names = ["cand", "base", "infl", "tokens", "dead", "error"]
-
-    def measure(cand: int, table) -> tuple:
-        try:
-            return (cand, *_measure(table, dictionary, rules_of[cand], vocab_size), None)
-        except Exception as e:  # one candidate's failure is its result
-            return (cand, None, None, None, None, repr(e))
-
     frame = spark.createDataFrame([(c,) for c, _ in candidates], "cand int")
-    if rows.limit(most + 1).count() > most:
-        def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([measure(int(pdf["cand"].iloc[0]), list(pdf[["shard", "chunk", "n"]].itertuples(index=False)))], columns=names)
-
-        return rows.crossJoin(F.broadcast(frame)).groupBy("cand").applyInPandas(grouped, out)
-    shared = spark.sparkContext.broadcast([tuple(r) for r in rows.toPandas().itertuples(index=False)])
+    blocks = rows.where("chunk is not null").mapInArrow(_packed, "shard string, data binary, sizes binary, counts binary")
+    dealt = frame.join(blocks, F.lit(True), "left").repartition(max(1, len(candidates)), "cand").sortWithinPartitions("cand")
 
     def measured(batches):
+        def out(cand, blocks):
+            try:
+                row = (cand, *_measure(blocks, dictionary, rules_of[cand], vocab_size), None)
+            except Exception as e:  # one candidate's failure is its result
+                row = (cand, None, None, None, None, repr(e))
+            return pd.DataFrame([row], columns=["cand", "base", "infl", "tokens", "dead", "error"])
+
+        now, blocks = None, []
         for pdf in batches:
-            yield pd.DataFrame([measure(int(c), shared.value) for c in pdf["cand"]], columns=names)
+            for cand, shard, data, sizes, counts in pdf[["cand", "shard", "data", "sizes", "counts"]].itertuples(index=False):
+                if cand != now:
+                    if now is not None:
+                        yield out(now, blocks)
+                    now, blocks = int(cand), []
+                if data is not None:
+                    blocks.append((shard, data, np.frombuffer(sizes, "<i8"), np.frombuffer(counts, "<i8")))
+        if now is not None:
+            yield out(now, blocks)
 
-    return frame.repartition(len(candidates)).mapInPandas(measured, out)
+    return dealt.select("cand", "shard", "data", "sizes", "counts").mapInPandas(measured, "cand int, base int, infl int, tokens map<string,long>, dead map<string,long>, error string")
 
 
 def inflects(w: str, words: frozenset) -> bool:
@@ -380,11 +475,12 @@ def inflects(w: str, words: frozenset) -> bool:
     return w.endswith("ies") and len(w) > 4 and w[:-3] + "y" in words
 
 
-def _measure(table, words: frozenset, rules: Rules, vocab_size: int):
-    """table: (shard, chunk, n), without a shard for the rows to train on."""
-    train_rows = sorted((c, n) for s, c, n in table if s is None)
-    held_rows = [r for r in table if r[0] is not None]
-    merges = train_local([c.encode() for c, _ in train_rows], [n for _, n in train_rows], vocab_size, rules)
+def _measure(blocks, words: frozenset, rules: Rules, vocab_size: int):
+    """blocks: (shard, chunks joined, sizes, counts), without a shard for those to train on."""
+    own = [b for b in blocks if b[0] is None]
+    none = np.zeros(0, np.int64)
+    trainer = _Trainer(np.frombuffer(b"".join(b[1] for b in own), np.uint8), np.concatenate([none, *(b[2] for b in own)]), np.concatenate([none, *(b[3] for b in own)]), rules)
+    merges = trainer.book.run(trainer.natural, vocab_size)
     vocab = {i: bytes((i,)) for i in range(BYTES)} | {m.id: m.bytes for m in merges}
     base = infl = 0
     for b in vocab.values():
@@ -396,12 +492,19 @@ def _measure(table, words: frozenset, rules: Rules, vocab_size: int):
             w = s[1:].lower()
             base += w in words
             infl += w not in words and inflects(w, words)
-    encode, ids = encoder(merges), {}
+    rule_of = {(m.left, m.right): m.id for m in merges}
+    ids: dict[bytes, list[int]] = {}
     tokens: dict[str, int] = defaultdict(int)
     fired: dict[str, set] = defaultdict(set)
-    for shard, chunk, n in held_rows:
-        if chunk not in ids:
-            ids[chunk] = encode(chunk)
-        tokens[shard] += n * len(ids[chunk])
-        fired[shard].update(ids[chunk])
+    for shard, data, sizes, counts in blocks:
+        if shard is None:
+            continue
+        at = 0
+        for size, n in zip(sizes.tolist(), counts.tolist(), strict=True):
+            chunk = data[at : at + size]
+            at += size
+            if chunk not in ids:
+                ids[chunk] = encode_word(list(chunk), rule_of)
+            tokens[shard] += n * len(ids[chunk])
+            fired[shard].update(ids[chunk])
     return base, infl, dict(tokens), {s: len(vocab) - len(f) for s, f in fired.items()}

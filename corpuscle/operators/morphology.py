@@ -130,3 +130,51 @@ def unshadowed(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
             out.append((left, right))
             taken.add(right)
     return out
+
+
+def gaps(vocab: DataFrame, size: int) -> DataFrame:
+    """One row: ids below size, and those without bytes."""
+    ids = vocab.sparkSession.range(size).select(F.col("id").cast("int"))
+    return ids.join(vocab.where(F.col("bytes").isNotNull()).select("id", F.lit(1).alias("_there")), "id", "left").agg(F.count("*").alias("n_ids"), F.count_if(F.col("_there").isNull()).alias("n_gaps"))
+
+
+def atom_firings(fires: dict[str, DataFrame], suffix: bool = True) -> DataFrame:
+    """(atom, tokenizer, fires) of the affixes that any of the tokenizers has: fires holds tables (s, fires)."""
+    spark = next(iter(fires.values())).sparkSession
+    atoms = F.broadcast(spark.createDataFrame([(a,) for a in (SUFFIXES if suffix else PREFIXES)], "atom string").distinct())
+    rows = None
+    for name, f in sorted(fires.items()):
+        own = atoms.join(f, F.col("atom") == F.col("s")).select("atom", F.lit(name).alias("tokenizer"), "fires")
+        rows = own if rows is None else rows.union(own)
+    names = spark.createDataFrame([(n,) for n in sorted(fires)], "tokenizer string")
+    there = rows.select("atom").distinct().join(F.broadcast(names), F.lit(True))
+    return there.join(rows, ["atom", "tokenizer"], "left").groupBy("atom", "tokenizer").agg(F.coalesce(F.sum("fires"), F.lit(0)).alias("fires"))
+
+
+def latent_routes(blocks: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(l, r, target, l_rank, r_rank, gap): blocks (l, r) whose target was made before one of its operands, the widest gap first. ranks: (s, rank)."""
+    rank = lambda key, name: ranks.select(F.col("s").alias(key), F.col("rank").alias(name))
+    j = blocks.select("l", "r", F.concat("l", "r").alias("t")).join(rank("t", "target"), "t").join(rank("l", "l_rank"), "l").join(rank("r", "r_rank"), "r")
+    late = j.where((F.col("l_rank") >= F.col("target")) | (F.col("r_rank") >= F.col("target"))).withColumn("gap", F.greatest("l_rank", "r_rank") - F.col("target"))
+    return late.select("l", "r", "target", "l_rank", "r_rank", "gap").orderBy(F.desc("gap"), "l", "r")
+
+
+def annotated(surfaces: DataFrame, words: DataFrame, counts: DataFrame, ambient_list: DataFrame, tag: str = "AMBIENT") -> DataFrame:
+    """(s, fires, n, status, flags, note) of surfaces (s, fires): how often the bare word stands alone (counts: word, n), whether a dictionary
+    holds it (DICT) or a stem of it (INFL), and flags: ART? if it fires but never stands alone, and the tag if it is in the ambient list (s)."""
+    t = surfaces.select("s", "fires", T.without_space(F.col("s")).alias("word")).withColumn("_low", F.lower("word"))
+    stems = t.select("_low").distinct().select("_low", F.explode(T.stems(F.col("_low"))).alias("w"))
+    infl = stems.join(words.select(F.col("word").alias("w")), "w", "left_semi").select("_low").distinct().withColumn("_infl", F.lit(1))
+    j = t.join(words.select(F.col("word").alias("_low"), F.lit(1).alias("_dict")).distinct(), "_low", "left").join(infl, "_low", "left")
+    j = j.join(counts.select("word", "n"), "word", "left").join(ambient_list.select("s", F.lit(1).alias("_ambient")).distinct(), "s", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    status = F.when(F.col("word") == "", "-").when(F.col("_dict") == 1, "DICT").when(F.col("_infl") == 1, "INFL").otherwise("-")
+    flags = F.array_compact(F.array(F.when((F.col("fires") > 0) & (F.col("n") == 0), F.lit("ART?")), F.when(F.col("_ambient") == 1, F.lit(tag))))
+    j = j.select("s", "fires", "n", status.alias("status"), flags.alias("flags"))
+    return j.withColumn("note", F.concat("s", F.lit(":"), "fires", F.lit("["), F.concat_ws(" ", F.concat(F.lit("s"), "n"), "status", "flags"), F.lit("]")))
+
+
+def lost_words(base: DataFrame, variant: DataFrame, words: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    """(word, n): the k dictionary words that only the base vocabulary (s) holds behind a space, the most frequent first. counts: (word, n)."""
+    own = lambda v: v.where(F.col("s").startswith(" ")).select(F.lower(F.substring("s", 2, 1 << 30)).alias("word")).join(words.select("word"), "word", "left_semi").distinct()
+    lost = own(base).join(own(variant), "word", "left_anti").join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    return lost.orderBy(F.desc("n"), "word").limit(k)

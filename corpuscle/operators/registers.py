@@ -10,14 +10,26 @@ from corpuscle.functions import text as T
 WORD = "[a-z']+"
 
 
-def grams(texts: DataFrame, kind: str, by: str, text: str = "text") -> DataFrame:
-    """(by, gram, n) of lower-case texts: word, bigram or char4. N-grams don't cross documents."""
+def grams(texts: DataFrame, kind: str, by: str, text: str = "text", order: str | None = None) -> DataFrame:
+    """(by, gram, n) of lower-case texts: word, bigram or char4. With an order, the texts of each register are read as one, in that
+    order with a newline between them, so that n-grams cross from text to text; else they don't."""
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
     if kind == "word":
         g = words
     elif kind == "bigram":
+        if order:
+            w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+            ends = texts.select(by, order, words.alias("_w")).withColumn("_last", F.when(F.size("_w") > 0, F.element_at("_w", -1)))
+            texts, words = ends.withColumn("_first", F.last("_last", ignorenulls=True).over(w)), F.concat(F.array_compact(F.array("_first")), "_w")
         g = T.bound(words, lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
     else:
+        if order:  # what stands before a text: at most three characters, of at most three texts
+            w = Window.partitionBy(by).orderBy(order)
+            before = F.concat(*[F.coalesce(F.concat(F.lag(F.right(F.col(text), F.lit(3)), k).over(w), F.lit("\n")), F.lit("")) for k in (3, 2, 1)])
+            tails = texts.select(by, F.col(text).alias("_t"), F.when(F.lag(order).over(w).isNotNull(), before).otherwise(F.lit("")).alias("_b"))
+            # The newline before a text is its first character, and three characters stand before that.
+            lead = F.when(F.col("_b") == "", F.lit("")).otherwise(F.right("_b", F.lit(4)))
+            texts, text = tails.select(by, F.concat(lead, "_t").alias("_x")), "_x"
         g = F.regexp_extract_all(F.col(text), F.lit("(?s)(?=(.{4}))"), F.lit(1))
     return texts.select(by, F.explode(g).alias("gram")).groupBy(by, "gram").agg(F.count("*").alias("n"))
 
@@ -69,14 +81,26 @@ def spans_in_band(docs: DataFrame, frequency: DataFrame, low: int, high: int, sp
 
 
 def bootstrap(rows: DataFrame, a: str, b: str, weight: str, resamples: int = 2000, seed: int = 1234) -> DataFrame:
-    """One row: the difference of ratios sum(a)/sum(weight) - sum(b)/sum(weight), and its 2.5 and 97.5 % resample values. Items are weighted by hashed Poisson counts."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "_k", F.monotonically_increasing_id()), F.lit(1 << 53)) / float(1 << 53)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    count = F.lit(0)
-    for c in cuts:
-        count = count + (u > c).cast("int")
-    r = rows.select(a, b, weight).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_c", count)
-    d = r.groupBy("_k").agg(((F.sum(F.col(a) * F.col("_c")) - F.sum(F.col(b) * F.col("_c"))) / F.sum(F.col(weight) * F.col("_c"))).alias("d"))
+    """One row: the difference of ratios sum(a)/sum(weight) - sum(b)/sum(weight), and its 2.5 and 97.5 % resample values.
+
+    Each resample gives every item a Poisson count, the limit of drawing as many items as there are with replacement. Sums of all
+    resamples are kept as arrays in each task, so a row is read once and nothing is copied; only one row per task is shuffled.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def drawn(batches):
+        sums = np.zeros((3, resamples))
+        for pdf in batches:
+            x = pdf[["a", "b", "w"]].to_numpy(float)
+            for i, h in enumerate(pdf["h"].tolist()):
+                counts = np.random.default_rng((seed, h & 0xFFFFFFFFFFFFFFFF)).poisson(1.0, resamples)
+                sums += x[i][:, None] * counts
+        yield pd.DataFrame({"k": np.arange(resamples), "a": sums[0], "b": sums[1], "w": sums[2]})
+
+    r = rows.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), F.col(weight).cast("double").alias("w"))
+    r = r.withColumn("h", F.xxhash64("a", "b", "w", F.monotonically_increasing_id()))
+    d = r.mapInPandas(drawn, "k int, a double, b double, w double").groupBy("k").agg(((F.sum("a") - F.sum("b")) / F.sum("w")).alias("d"))
     whole = rows.agg(((F.sum(a) - F.sum(b)) / F.sum(weight)).alias("diff"))
     return d.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high")).crossJoin(F.broadcast(whole)).select("diff", "low", "high")
 
@@ -105,14 +129,26 @@ def swapped(items: DataFrame, key: str, value: str, by: int = 1) -> DataFrame:
     return shift.join(other, "_j").select(key, value, f"{value}_swapped")
 
 
-def few_shot(items: DataFrame, key: str, k: int, seed: int = 1234, candidates: int = 64) -> DataFrame:
-    """(key, shot, r): k other items (of a benchmark, of bounded size) for each, by a hash; each item looks at the items at so many hashed places."""
-    ranked = items.select(key, F.row_number().over(Window.orderBy(key)).alias("_i"))
-    n = ranked.agg(F.max("_i").alias("_n"))
-    tries = ranked.crossJoin(F.broadcast(n)).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))).withColumn("_j", F.pmod(F.xxhash64(F.lit(seed), "_i", "_t"), F.col("_n")) + 1).where("_i <> _j")
-    first = tries.groupBy(key, "_j").agg(F.min("_t").alias("_t"))
-    r = first.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("_t"))).where(F.col("r") <= k)
-    return r.join(ranked.select(F.col("_i").alias("_j"), F.col(key).alias("shot")), "_j").select(key, "shot", "r")
+def few_shot(items: DataFrame, key: str, k: int, seed: int = 1234) -> DataFrame:
+    """(key, shot, r): k other items (of a benchmark, of bounded size) for each, by a hash; all others, if there are fewer.
+
+    Items stand in a circle in the order of a hash. An item takes the k at places that step round the circle from itself, by a step
+    of its own that has no divisor in common with their number, so that it meets every other item once before itself.
+    """
+    ranked = items.select(key, (F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), key), key)) - 1).alias("_i"))
+    n = ranked.agg(F.count("*").alias("_n"))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.pmod(F.xxhash64(F.lit(seed + 1), key, t), F.greatest(F.col("_n") - 1, F.lit(1))) + 1)
+    coprime = F.filter(steps, lambda s: _gcd(s, F.col("_n")) == 1)
+    placed = ranked.crossJoin(F.broadcast(n)).where("_n > 1").withColumn("_s", F.coalesce(F.get(coprime, F.lit(0)), F.lit(1).cast("long")))
+    shots = placed.withColumn("r", F.explode(F.sequence(F.lit(1), F.least(F.lit(k).cast("long"), F.col("_n") - 1))))
+    shots = shots.withColumn("_j", F.pmod(F.col("_i") + F.col("r") * F.col("_s"), F.col("_n")))
+    return shots.join(ranked.select(F.col("_i").alias("_j"), F.col(key).alias("shot")), "_j").select(key, "shot", F.col("r").cast("int").alias("r"))
+
+
+def _gcd(a: Column, b: Column) -> Column:
+    """Euclid's steps; 92 of them do for 64-bit numbers."""
+    pair = F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(a.cast("long").alias("x"), b.cast("long").alias("y")), lambda p, _: F.when(p["y"] == 0, p).otherwise(F.struct(p["y"].alias("x"), F.pmod(p["x"], F.nullif(p["y"], F.lit(0))).alias("y"))))
+    return pair["x"]
 
 
 def shuffled(choices: Column, key: Column, seed: int = 1234) -> Column:
@@ -143,6 +179,50 @@ def task_changes(control: DataFrame, candidate: DataFrame, meta: DataFrame) -> D
     return j.select("task", "n", (F.col("c1") - F.col("c0")).alias("d_centered"), se.alias("se")).withColumn("z", F.when(F.col("se") > 0, F.col("d_centered") / F.col("se")))
 
 
+def mean_of_all(scores: DataFrame, by: str, key: str, value: str, keys: tuple[str, ...]) -> DataFrame:
+    """(by, mean) over the values of the keys; null unless all are there."""
+    there = scores.where(F.col(key).isin(list(keys))).groupBy(by).agg(F.avg(value).alias("m"), F.count(value).alias("n"))
+    return scores.select(by).distinct().join(there, by, "left").select(by, F.when(F.col("n") == len(keys), F.col("m")).alias("mean"))
+
+
+def combined_change(control: DataFrame, candidate: DataFrame, meta: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row: the mean change of centered accuracy over the keys that both have, its sampling error and their ratio. meta: (task, n, baseline)."""
+    k = len(keys)
+    j = control.select("task", "accuracy", F.col("centered").alias("c0")).join(candidate.select("task", F.col("centered").alias("c1")), "task").join(meta, "task").where(F.col("task").isin(list(keys)))
+    se = F.sqrt(F.col("accuracy") * (1 - F.col("accuracy")) / F.col("n")) / (1 - F.col("baseline")) / k
+    g = j.agg(F.sum((F.col("c1") - F.col("c0")) / k).alias("change"), F.sqrt(F.sum(se * se)).alias("se"))
+    return g.withColumn("sigma", F.when(F.col("se") > 0, F.abs("change") / F.col("se")))
+
+
+def split_gap(nll: DataFrame, bucket: str, split: str, nats: str = "nats", byte_len: str = "bytes") -> DataFrame:
+    """(bucket, train, val, gap): bits a byte of each bucket on two splits."""
+    bits = lambda s: F.sum(F.when(F.col(split) == s, F.col(nats))) / F.log(F.lit(2.0)) / F.sum(F.when(F.col(split) == s, F.col(byte_len)))
+    return nll.groupBy(bucket).agg(bits("train").alias("train"), bits("val").alias("val")).withColumn("gap", F.col("val") - F.col("train"))
+
+
+def from_first(series: DataFrame, key: str, step: str, value: str) -> DataFrame:
+    """series with the change from each key's first step."""
+    w = Window.partitionBy(key).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    return series.withColumn("from_first", F.col(value) - F.first(value).over(w))
+
+
+def sparklines(series: DataFrame, key: str, value: str) -> DataFrame:
+    """series with a level from 0 to 7 between the least and the greatest value of its key."""
+    w = Window.partitionBy(key)
+    return series.withColumn("level", sparkline(F.col(value), F.min(value).over(w), F.max(value).over(w)))
+
+
+def in_batches(rows: DataFrame, size: int, order: tuple[str, ...]) -> DataFrame:
+    """rows (candidates, few) with the batch of so many that each falls into."""
+    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
+
+
+def rarest_first(spans: DataFrame, k: int, rarest: bool = True) -> DataFrame:
+    """The k rarest spans (of more words first among equals), or the most common ones."""
+    first = F.asc("min_freq") if rarest else F.desc("min_freq")
+    return spans.orderBy(first, F.desc("n_words"), "doc_id", "k").limit(k)
+
+
 def sparkline(value: Column, low: Column, high: Column) -> Column:
     """0 to 7 by place between low and high."""
     return F.when(high > low, F.least(F.lit(7), F.floor((value - low) / (high - low) * 8))).otherwise(F.lit(0)).cast("int")

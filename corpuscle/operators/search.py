@@ -19,9 +19,46 @@ def gate(cov: Column, comp: Column, dead: Column, dead_tolerance: float = 0.0, c
     return keep
 
 
-def harvest_gate(cov: Column, comp: Column, dead: Column) -> Column:
-    """A looser one: coverage isn't lost, compression costs at most 3, dead tokens at most 0, and one axis gains."""
-    return (cov >= 0) & (comp <= 3) & (dead <= 0) & ((cov > 0) | (comp < 0) | (dead < 0))
+def harvest_gate(cov: Column, comp: Column, dead: Column, comp_tolerance: float = 3.0, dead_tolerance: float = 1.0) -> Column:
+    """A looser one: coverage isn't lost, compression and dead tokens cost no more than is tolerated, and one axis gains."""
+    return (cov >= 0) & (comp <= comp_tolerance) & (dead <= dead_tolerance) & ((cov > 0) | (comp < 0) | (dead < 0))
+
+
+def free_wins(scored: DataFrame, floor: float) -> DataFrame:
+    """Scored candidates (l, r, cov, comp, dead) that pass the harvest gate and compress at least to the floor, the most compressive first."""
+    passing = scored.where(harvest_gate(F.col("cov"), F.col("comp"), F.col("dead")) & (F.col("comp") <= floor))
+    return passing.withColumn("place", F.row_number().over(Window.orderBy("comp", "l", "r")))
+
+
+def keyed_verdicts(verdicts: DataFrame, pool: DataFrame) -> DataFrame:
+    """Verdicts (pair: "L+R", ...) with the operands l and r of the pool's pair of that key; of pairs that share a key the last in order counts."""
+    keys = pool.select("l", "r", F.concat_ws("+", "l", "r").alias("pair")).groupBy("pair").agg(F.max(F.struct("l", "r")).alias("p"))
+    return verdicts.join(keys, "pair").select("*", "p.l", "p.r").drop("p")
+
+
+def round_tallies(verdicts: DataFrame) -> DataFrame:
+    """(round, mode, n, least_comp, most_cov) of scored candidates (round, l, r, cov, comp, dead)."""
+    mode = failure(F.col("cov"), F.col("comp"), F.col("dead"))
+    return verdicts.groupBy("round", mode.alias("mode")).agg(F.count("*").alias("n"), F.min("comp").alias("least_comp"), F.max("cov").alias("most_cov"))
+
+
+def common_rights(kept: DataFrame, k: int = 8) -> DataFrame:
+    """(r, n): the right operands that most kept pairs share."""
+    return kept.groupBy("r").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "r").limit(k)
+
+
+def trajectory(events: DataFrame, every: int, rounds: int) -> DataFrame:
+    """(round, n_kept, l, r): the kept pairs after every so many rounds and the last; rounds whose set is that of the sampled round before are left out.
+
+    events: (round, seq, l, r, kind) with kinds commit, eject.
+    """
+    at = sorted({r for r in range(every, rounds + 1, every)} | {rounds})
+    steps = events.sparkSession.createDataFrame([(r,) for r in at], "at int")
+    last = events.join(F.broadcast(steps), events["round"] <= steps["at"]).groupBy("at", "l", "r").agg(F.max_by("kind", F.struct("round", "seq")).alias("kind")).where("kind = 'commit'")
+    sets = steps.join(last.groupBy("at").agg(F.array_sort(F.collect_set(F.struct("l", "r"))).alias("kept")), "at", "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<struct<l: string, r: string>>")))
+    w = Window.orderBy("at")  # a row for each sampled round
+    own = sets.withColumn("_before", F.lag("kept").over(w)).where(F.col("_before").isNull() | (F.col("_before") != F.col("kept")))
+    return own.select(F.col("at").alias("round"), F.size("kept").alias("n_kept"), F.explode_outer("kept").alias("p")).select("round", "n_kept", "p.l", "p.r")
 
 
 def failure(cov: Column, comp: Column, dead: Column) -> Column:

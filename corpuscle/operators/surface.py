@@ -1,14 +1,16 @@
 """The dual stream: tokens of case-folded text without its spaces between words, with a space bit and capital bits beside each.
 
 A lone space before other characters becomes a bit of the next chunk's first token; a word's first letter that was folded
-becomes a bit of the token that owns it. Decoding gives the text back. Ownership (which token's bytes hold a word's start) is also a join of
-intervals, by document.
+becomes a bit of the token that owns it. Decoding gives the text back. Ownership (which token's bytes hold a word's start) is also one
+ordered pass over the spans and starts of a document.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 import pandas as pd
 import regex
@@ -163,44 +165,161 @@ def start_offsets(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ownership(spans: DataFrame, starts: DataFrame) -> DataFrame:
-    """(doc_id, pos, owned): word starts in each span; a join on the document with the interval as residual."""
-    return spans.join(starts, "doc_id").where("at >= lo and at < hi").groupBy("doc_id", "pos").agg(F.count("*").alias("owned"))
+    """(doc_id, pos, owned): word starts in each span. Spans and starts of a document are read in order of their bytes; a start belongs to the
+    last span that begins at or before it, if that reaches so far."""
+    rows = spans.select("doc_id", F.col("lo").alias("at"), F.lit(0).alias("kind"), F.struct("pos", "hi").alias("span")).unionByName(starts.select("doc_id", "at", F.lit(1).alias("kind"), F.lit(None).cast("struct<pos: int, hi: long>").alias("span")))
+    w = Window.partitionBy("doc_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    owner = rows.withColumn("owner", F.last("span", ignorenulls=True).over(w)).where((F.col("kind") == 1) & (F.col("at") < F.col("owner.hi")))
+    return owner.groupBy("doc_id", F.col("owner.pos").alias("pos")).agg(F.count("*").alias("owned"))
+
+
+def with_bos(docs: DataFrame, ids: str, bos: int) -> DataFrame:
+    """ids behind a token that begins a document."""
+    return docs.withColumn(ids, F.concat(F.array(F.lit(bos)), F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
 def packed_rows(docs: DataFrame, capacity: int, buffer: int = 1000) -> DataFrame:
-    """(part, row, doc_ids, crops, used): rows of `capacity` tokens filled with the largest buffered document that fits, else with the start of the shortest.
+    """(part, row, doc_ids, crops, ids): rows of `capacity` tokens (the last ones of a task may be shorter), each filled with the largest
+    buffered document that fits, of equal ones the one that came first, else with the beginning of the shortest.
 
-    docs: (doc_id, n). Each task packs its own documents from a buffer, as a loader does.
+    docs: (doc_id, ids), with a token that begins each. Each task packs its own documents from a buffer, as a loader does. Inputs
+    are a row without its last token, targets the row without its first.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
         part, pool, row = TaskContext.get().partitionId(), [], 0
-        source = ((int(d), int(n)) for pdf in batches for d, n in zip(pdf["doc_id"], pdf["n"], strict=True))
+        source = ((int(d), list(map(int, x))) for pdf in batches for d, x in zip(pdf["doc_id"], pdf["ids"], strict=True))
         done = False
         while True:
-            while not done and len(pool) < buffer:
-                item = next(source, None)
-                done = item is None
-                if item:
-                    pool.append(item)
-            if not pool:
-                return
-            ids, crops, used = [], 0, 0
-            while used < capacity and pool:
-                fits = [x for x in pool if x[1] <= capacity - used]
-                pick = max(fits, key=lambda x: (x[1], -x[0])) if fits else min(pool, key=lambda x: (x[1], x[0]))
-                pool.remove(pick)
-                ids.append(pick[0])
+            doc_ids, crops, out = [], 0, []
+            while len(out) < capacity:
+                while not done and len(pool) < buffer:
+                    item = next(source, None)
+                    done = item is None
+                    if item:
+                        pool.append(item)
+                if not pool:
+                    break
+                room = capacity - len(out)
+                fits = [k for k, x in enumerate(pool) if len(x[1]) <= room]
+                k = max(fits, key=lambda k: (len(pool[k][1]), -k)) if fits else min(range(len(pool)), key=lambda k: (len(pool[k][1]), k))
+                d, x = pool.pop(k)
+                doc_ids.append(d)
                 crops += not fits
-                used += min(pick[1], capacity - used)
-            yield pd.DataFrame({"part": [part], "row": [row], "doc_ids": [ids], "crops": [crops], "used": [used]})
+                out += x[:room]
+            if not doc_ids:
+                return
+            yield pd.DataFrame({"part": [part], "row": [row], "doc_ids": [doc_ids], "crops": [crops], "ids": [out]})
             row += 1
 
-    return docs.select("doc_id", "n").mapInPandas(run, "part int, row long, doc_ids array<long>, crops int, used int")
+    return docs.select("doc_id", "ids").mapInPandas(run, "part int, row long, doc_ids array<long>, crops int, ids array<int>")
+
+
+def shifted(rows: DataFrame, ids: str = "ids") -> DataFrame:
+    """rows with x, all ids but the last, and y, all but the first."""
+    n = F.greatest(F.size(ids) - 1, F.lit(0))
+    return rows.withColumn("x", F.slice(ids, F.lit(1), n)).withColumn("y", F.slice(ids, F.lit(2), n))
 
 
 def padded(rows: DataFrame, ids: str, pad: int, width: int) -> DataFrame:
     """ids filled up on the right."""
     return rows.withColumn(ids, F.concat(F.col(ids), F.array_repeat(F.lit(pad), F.greatest(F.lit(width) - F.size(ids), F.lit(0)))))
+
+
+class OneCapCodec(SurfaceCodec):
+    """One capital bit beside a token: chunks are folded one by one, and a chunk has one capital at most."""
+
+    def encode(self, text: str) -> list[tuple[int, int, int]]:
+        find, encode, size, _ = self._tools()
+        pieces, out, space = find(text), [], 0
+        for i, piece in enumerate(pieces):
+            if piece == " " and i + 1 < len(pieces) and not pieces[i + 1][0].isspace():
+                space = 1
+                continue
+            folded = fold(piece)
+            raw, low = piece.encode(), folded.encode()
+            cap = next((k for k in range(len(raw)) if raw[k] != low[k]), None) if folded != piece else None
+            at = 0
+            for token in encode(folded):
+                end = at + size[token]
+                out.append((token, space, int(cap is not None and at <= cap < end)))
+                at, space = end, 0
+        return out
+
+    def decode(self, stream) -> str:
+        """A bit stands for the first letter of its token, or behind it."""
+        *_, raw = self._tools()
+        data, caps = bytearray(), []
+        for token, space, cap in stream:
+            data += b" " * space
+            if cap:
+                caps.append(len(data))
+            data += raw[token]
+        chars = list(data.decode("utf-8", "replace"))
+        starts = list(accumulate((len(c.encode()) for c in chars), initial=0))
+        for at in caps:
+            k = bisect_right(starts, at) - 1
+            while k < len(chars) and not chars[k].isalpha():
+                k += 1
+            if k < len(chars):
+                chars[k] = chars[k].upper()
+        return "".join(chars)
+
+
+class OffsetCodec(SurfaceCodec):
+    """Beside each token the byte places inside it of letters that were folded."""
+
+    def encode(self, text: str) -> list[tuple[int, int, list[int]]]:
+        find, encode, size, _ = self._tools()
+        folded = fold(text)
+        low, raw = folded.encode(), text.encode()
+        caps = {k for k in range(len(low)) if low[k] != raw[k]} if low != raw else set()
+        pieces, out, space, at = find(folded), [], 0, 0
+        for i, piece in enumerate(pieces):
+            if piece == " " and i + 1 < len(pieces) and not pieces[i + 1][0].isspace():
+                space, at = 1, at + 1
+                continue
+            for token in encode(piece):
+                out.append((token, space, [k for k in range(size[token]) if at + k in caps]))
+                at, space = at + size[token], 0
+        return out
+
+    def decode(self, stream) -> str:
+        *_, raw = self._tools()
+        data, caps = bytearray(), []
+        for token, space, places in stream:
+            data += b" " * space
+            caps += [len(data) + k for k in places]
+            data += raw[token]
+        chars = list(data.decode("utf-8", "replace"))
+        starts = list(accumulate((len(c.encode()) for c in chars), initial=0))
+        for k in {bisect_right(starts, at) - 1 for at in caps}:
+            chars[k] = chars[k].upper()
+        return "".join(chars)
+
+
+def round_trips(docs: DataFrame, codec: SurfaceCodec, text: str = "text") -> DataFrame:
+    """docs with n_tokens, n_spaces, n_caps and whether the text comes back, by a codec of any kind."""
+
+    @F.pandas_udf("struct<n_tokens: int, n_spaces: int, n_caps: int, same: boolean>")
+    def of_text(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in s:
+            x = codec.encode(t or "")
+            caps = sum(v[2] if isinstance(v[2], int) else len(v[2]) if isinstance(codec, OffsetCodec) else sum(v[2]) for v in x)
+            rows.append((len(x), sum(v[1] for v in x), caps, codec.decode(x) == (t or "")))
+        return pd.DataFrame(rows, columns=["n_tokens", "n_spaces", "n_caps", "same"])
+
+    return docs.withColumn("_x", of_text(F.col(text))).select(*docs.columns, "_x.*")
+
+
+def growing(codec: SurfaceCodec, stream) -> list[str]:
+    """The text after each token of a growing stream, without the beginning of a character that isn't whole yet."""
+    return [codec.decode(stream[: k + 1]).rstrip("\ufffd") for k in range(len(stream))]
+
+
+def surface_keys(stream):
+    """(a Spark column) what two streams must share at a place to be alike there: token, space bit, capital bits and mask."""
+    return F.transform(stream, lambda t: F.struct(t["base"], t["space"], t["cap_bits"], t["cap_mask"]))

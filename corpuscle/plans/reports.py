@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscle.cluster import checkpointed
 from corpuscle.functions import text as T
 from corpuscle.functions.patterns import BASE, SPACELESS, VOCAB_SIZE
 from corpuscle.operators import bpe, chunks, metrics, morphology, registers, surface
@@ -49,6 +50,21 @@ def tokenizer_report(docs: DataFrame, merges: DataFrame, pattern: str = BASE) ->
     }
 
 
+def pass_metrics(docs: DataFrame, vocabularies: dict[str, DataFrame], pattern: str = BASE, bound: float = 0.05) -> DataFrame:
+    """(name, chars, tokens, chars_per_token, n_tokens, n_dead, wmean_id, n_mangled) of each merge table on the same documents, which are split and counted once."""
+    counts = checkpointed(chunks.counted(docs.select("text"), pattern))
+    out = None
+    for name, merges in vocabularies.items():
+        enc = checkpointed(bpe.encoded(counts, bpe.collected(merges)))
+        vocab = bpe.vocabulary(merges)
+        fires = checkpointed(metrics.fire_counts(enc))
+        mangled = morphology.verdicts(morphology.strings(vocab), fires, bound=bound).agg(F.count_if(F.col("reason") == "MANGLED").alias("n_mangled"))
+        row = metrics.totals(enc).join(metrics.dead(vocab, fires), F.lit(True)).join(metrics.weighted_mean_id(fires), F.lit(True)).join(mangled, F.lit(True))  # one row each
+        row = row.select(F.lit(name).alias("name"), "chars", "tokens", (F.col("chars") / F.col("tokens")).alias("chars_per_token"), "n_tokens", "n_dead", "wmean_id", "n_mangled")
+        out = row if out is None else out.union(row)
+    return out
+
+
 def compared_tokenizers(docs: DataFrame, a: DataFrame, b: DataFrame, pattern: str = BASE, shard: str = "source") -> dict[str, DataFrame]:
     """Tokens by shard and the shards where b has fewer, strings born and died, greatest changes of firings."""
     counts = chunks.counted(docs.select(shard, "text"), pattern, (shard,))
@@ -99,13 +115,13 @@ def factoring_report(docs: DataFrame, vocab_size: int = 4096, slots: int = 4) ->
     return {"plain": tokens, "dual": two, "spark_bits": surface.space_bits(docs), "merges": spark.createDataFrame(bpe._frame(dual), bpe.MERGES)}
 
 
-def register_report(docs: DataFrame, items: DataFrame, by: str = "lang") -> DataFrame:
+def register_report(docs: DataFrame, items: DataFrame, by: str = "lang", key: str = "item_id") -> DataFrame:
     """(by, kind, cosine, kl) of each register to the items, for words, word pairs and runs of four characters."""
     d = corpus.registers(docs, by)
-    b = items.select(F.lit("").alias(by), F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 8000)).alias("text"))
+    b = items.select(F.lit("").alias(by), F.col(key).alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     out = None
     for kind in ("word", "bigram", "char4"):
-        p, q = registers.grams(d, kind, by), registers.grams(b, kind, by).select("gram", "n")
+        p, q = registers.grams(d, kind, by, order="doc_id"), registers.grams(b, kind, by, order="doc_id").select("gram", "n")
         row = registers.cosine(p, q, by).join(registers.divergence(p, q, by), by).select(by, F.lit(kind).alias("kind"), "cosine", "kl")
         out = row if out is None else out.union(row)
     return out

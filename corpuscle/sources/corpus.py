@@ -38,9 +38,40 @@ def capped(docs: DataFrame, max_chars: int, order: tuple[str, ...] = ("doc_id",)
     return cut.drop("_n").join(kept, list(order), "left_semi")
 
 
-def registers(docs: DataFrame, by: str, doc_chars: int = 8000, text: str = "text") -> DataFrame:
-    """(by, doc_id, text): lower case, null as empty, cut."""
-    return docs.select(by, "doc_id", F.lower(F.substring(F.coalesce(F.col(text), F.lit("")), 1, doc_chars)).alias("text"))
+def capped_batches(docs: DataFrame, max_chars: int, batch: str, text: str = "text") -> DataFrame:
+    """Whole batches (by the column batch, in order) until max_chars: the cap is looked at between batches alone, so the last one may exceed it."""
+    sizes = docs.groupBy(batch).agg(F.sum(F.coalesce(F.length(text), F.lit(0)).cast("long")).alias("_n"))  # a row per batch
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return docs.join(sizes.withColumn("_before", before).where(F.col("_before") < max_chars).select(batch), batch, "left_semi")
+
+
+def capped_equally(docs: DataFrame, max_chars: int, shards: int, shard: str, order: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """capped() by shard, with the cap split among so many shards."""
+    return capped(docs, max_chars // shards, order, shard, text=text)
+
+
+def first_documents(docs: DataFrame, n: int, doc_cap: int | None = None, order: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The first n documents in order, cut to doc_cap characters."""
+    out = docs.orderBy(*order).limit(n)
+    return out.withColumn(text, F.substring(text, 1, doc_cap)) if doc_cap else out
+
+
+def last_shard(spark: SparkSession, folder: str) -> DataFrame:
+    """The last Parquet file of a folder by name, in any file system that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    names = sorted(f.getPath().toString() for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p) if f.getPath().getName().endswith(".parquet"))
+    if not names:
+        raise FileNotFoundError(folder)
+    return spark.read.parquet(names[-1])
+
+
+def registers(docs: DataFrame, by: str, doc_chars: int | None = None, text: str = "text", drop_last: str | None = None) -> DataFrame:
+    """(by, doc_id, text): lower case, null as empty; cut to doc_chars, if given. drop_last: a column of file names, whose last file is left out."""
+    if drop_last:
+        last = docs.agg(F.max(drop_last).alias("_last"))  # one row
+        docs = docs.crossJoin(F.broadcast(last)).where(F.col(drop_last) < F.col("_last")).drop("_last")
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(by, "doc_id", F.lower(F.substring(t, 1, doc_chars) if doc_chars else t).alias("text"))
 
 
 def benchmark_items(spark: SparkSession, path: str, meta: DataFrame | None = None) -> DataFrame:
@@ -66,14 +97,13 @@ def eval_meta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def last_match(spark: SparkSession, path: str, pattern: str, groups: tuple[str, ...]) -> DataFrame:
-    """(file, groups...): numbers of the last line of each log that matches."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
-    hit = lines.select("file", F.element_at(F.filter("lines", lambda x: x.rlike(pattern)), -1).alias("line"))
-    return hit.select("file", *[F.expr(f"try_cast(regexp_extract(line, {pattern_literal(pattern)}, {k + 1}) as double)").alias(g) for k, g in enumerate(groups)])
-
-
-def pattern_literal(pattern: str) -> str:
-    return "r'" + pattern.replace("'", "\\'") + "'"
+    """(file, groups...): numbers of the last match in each log. Lines are read apart, so a log may be of any size."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value").where(F.col("value").rlike(pattern))
+    at = lambda k: F.element_at(F.regexp_extract_all("value", F.lit(pattern), F.lit(k + 1)), -1)
+    found = lines.select("file", "place", F.struct(*[at(k).alias(g) for k, g in enumerate(groups)]).alias("found"))
+    last = found.groupBy("file").agg(F.max_by("found", "place").alias("found"))
+    return last.select("file", *[F.expr(f"try_cast(found.{g} as double)").alias(g) for g in groups])
 
 
 def run_index(spark: SparkSession, root: str) -> DataFrame:
@@ -86,8 +116,12 @@ def run_index(spark: SparkSession, root: str) -> DataFrame:
     return named.where("run <> 'dummy'").groupBy("run").agg(F.max_by("folder", F.struct("time", "folder")).alias("folder"))
 
 
-def word_list(spark: SparkSession, path: str) -> DataFrame:
-    """(word): distinct, in lower case."""
+def word_list(spark: SparkSession, path: str) -> DataFrame | None:
+    """(word): distinct, in lower case; None if there is no such file."""
+    from corpuscle.sources.vocabularies import exists
+
+    if not exists(spark, path):
+        return None
     return spark.read.text(path).select(F.lower(F.trim("value")).alias("word")).where("word <> ''").distinct()
 
 
