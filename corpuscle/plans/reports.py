@@ -144,3 +144,8 @@ def archive_report(spark: SparkSession, root: str, control: str, meta: DataFrame
     base = named.where(F.col("run") == control).select("task", "accuracy", F.col("centered").alias("c0"))
     j = rest.join(base, "task").join(meta, "task")
     return j.select("run", "task", "n", (F.col("c1") - F.col("c0")).alias("d_centered"), F.sqrt(F.col("accuracy") * (1 - F.col("accuracy")) / F.col("n")).alias("se")).orderBy(F.desc(F.abs("d_centered")), "run", "task")
+
+
+def run_table(scores: DataFrame, boundary: DataFrame, index: DataFrame) -> DataFrame:
+    """Scores (run, ...) with each run's boundary counters and folder, null where a run has none."""
+    return scores.join(boundary, "run", "left").join(index, "run", "left")
