@@ -1,19 +1,24 @@
 """HTML extraction by two passes of block rules.
 
-The markup is read once into blocks: runs of text between block-level tags. First pass: a block inside an element that holds no
-article text (navigation, footers, asides, forms, scripts, or a class, id or role that says so), or one made of links, is
-bad; a long one with stop words, or a long one inside an article element, is good; the others are undecided. Second pass: an
-undecided block takes the label of the nearest decided neighbours, looking within its article first; good wins where they
-differ inside an article or if it is a heading, else bad. Inside an article without any decided block all are good.
+The markup is read once, in linear time, into blocks: runs of text between block-level tags. First pass: a block inside an element
+that holds no article text (navigation, footers, asides, forms, or a class, id or role that says so), or one made of links, is bad; a
+long one with stop words, or a long one inside an article element, is good; the others are undecided. Names of a looser kind
+(related, social, legal) are a hint only: inside an article a long block with stop words and few links is good in spite of one.
+Second pass: an undecided block takes the label of the nearest decided neighbour, looking within its article first, and never at
+parts that are no article text by their element; where two are equally near, good wins inside an article or if the block is a
+heading. Blocks that no decided one stands beside are good.
 
 Character references are decoded, white space inside a block becomes one space, ends are trimmed, and blocks are joined by one
 space. Null and empty pages give an empty text, as do pages without a good block. Broken markup is read as browsers do, roughly: unknown and
-unclosed tags are passed over; an unfinished comment or script hides the rest. Rows are handled one by one; other columns pass through.
+unclosed tags are passed over; a quote inside an unquoted value is a plain character; a quoted value that never ends, ends with its
+tag; an unfinished comment or script hides the rest. Rows are handled one by one, so repeated rows give alike texts; other columns
+pass through, but one with the name of the text column is replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
@@ -22,18 +27,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Tags that end a block, tags whose text is never read, tags that hold no article text, tags without an end.
+#: Tags that end a block, tags whose content is not markup, tags whose text is not shown as text, tags that hold no article text, tags without an end.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-HIDDEN_TAGS = frozenset("script style template noscript textarea svg math iframe object canvas select button datalist head title audio video".split())
+RAW_TAGS = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+HIDDEN_TAGS = frozenset("template svg math object canvas select button datalist head audio video".split())
 OUTSIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in a class, id or role that name a part other than the article.
+#: Tags that end an open one of their kind.
+SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
+#: Words in a class, id or role that name a part other than the article; words that only hint at one; words that may stand beside either.
 OUTSIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar "
-    "comment comments disqus discussion replies reply respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended "
-    "recommendations widget pagination pager copyright legal disclaimer skip complementary contentinfo".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead topbar toolbar "
+    "comment comments disqus cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing pagination pager contentinfo complementary".split()
+)
+HINT_WORDS = frozenset("aside header alert discussion replies reply respond search social related recommended recommendations widget widgets copyright legal disclaimer skip".split())
+BESIDE_WORDS = frozenset(
+    "area bar block body bottom box btn buttons c card col column container content count feed first form group id inner item items js l last layer left link links list main message msg n "
+    "news outer page panel policy post posts r right row section site slot small stories thread toggle top topics unit user users wrap wrapper".split()
 )
 #: Frequent function words of the corpora's languages.
 STOP_WORDS = frozenset(
@@ -42,8 +54,12 @@ STOP_WORDS = frozenset(
 )
 _EDGES = ".,;:!?()[]\"'“”„«»#*$%&|"
 
-_TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_BETWEEN = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
 
 
 @dataclass(frozen=True)
@@ -58,85 +74,164 @@ class Block:
     text: str
     links: int  # characters of it inside links
     outside: bool
+    hinted: bool
     article: int  # number of the article it stands in, or 0
     heading: bool
     label: bool | None = None
 
 
-def _outside(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in OUTSIDE_TAGS or (tag == "header" and not in_article):
-        return True
-    if "=" in attributes and tag not in ("html", "body", *ARTICLE_TAGS):
-        for m in _NAMED.finditer(attributes):
-            if not OUTSIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower())):
-                return True
-    return False
+class _Page:
+    """Reads tags. Remembers which characters don't occur any more, so that no tag looks for them again."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.missing: dict[str, int] = {}  # from where on
+
+    def find(self, text: str, at: int) -> int:
+        if at >= self.missing.get(text, len(self.html) + 1):
+            return -1
+        found = self.html.find(text, at)
+        if found < 0:
+            self.missing[text] = at
+        return found
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+        """(names and values of class, id and role; whether the tag closes itself; the place behind the tag)."""
+        html, out = self.html, []
+        end = self.find(">", at)
+        if end < 0:
+            return out, False, len(html)
+        if "=" not in html[at:end]:
+            return out, html[end - 1] == "/", end + 1
+        while True:
+            start = at
+            at = _BETWEEN.match(html, at).end()
+            if at >= len(html) or html[at] == ">":
+                return out, at > start and html[at - 1] == "/", min(at + 1, len(html))
+            m = _ATTRIBUTE.match(html, at)
+            name, value, at = m[0].lower(), "", m.end()
+            if m := _EQUALS.match(html, at):
+                at = m.end()
+                quote = html[at : at + 1]
+                if quote in ("'", '"') and (close := self.find(quote, at + 1)) >= 0:
+                    value, at = html[at + 1 : close], close + 1
+                elif quote in ("'", '"'):
+                    close = self.find(">", at)
+                    value, at = html[at + 1 : close if close >= 0 else len(html)], close if close >= 0 else len(html)
+                else:
+                    m = _BARE.match(html, at)
+                    value, at = m[0], m.end()
+            if name in ("class", "id", "role"):
+                out.append((name, value))
+
+
+def named(attributes: list[tuple[str, str]]) -> int:
+    """2 if a class, id or role names a part other than the article, 1 if it hints at one, else 0. All words of a name must be such words, or stand beside them."""
+    most = 0
+    for _, value in attributes:
+        for name in value.split():
+            words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) - {""}
+            if not words <= OUTSIDE_WORDS | HINT_WORDS | BESIDE_WORDS:
+                continue
+            most = max(most, 2 if words & OUTSIDE_WORDS else 1 if words & HINT_WORDS else 0)
+    return most
+
+
+@dataclass(frozen=True)
+class _Open:
+    """What holds inside an element."""
+
+    tag: str = ""
+    outside: bool = False
+    hinted: bool = False
+    hidden: bool = False
+    article: int = 0
+    heading: bool = False
 
 
 def read_blocks(html: str) -> list[Block]:
-    blocks: list[Block] = []
-    parts: list[str] = []
-    links = 0
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, outside, article, heading
-    outside, article, heading, articles, in_link = False, 0, False, 0, 0
+    page, blocks, parts = _Page(html), [], []
+    stack, now, opened = [], _Open(), Counter()
+    links = articles = in_link = 0
 
     def close() -> None:
         nonlocal links
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(text, links, outside, article, heading))
+                blocks.append(Block(text, links, now.outside, now.hinted, now.article, now.heading))
             parts.clear()
             links = 0
 
+    def leave(tag: str) -> None:
+        nonlocal now
+        while True:
+            inner, now = now, stack.pop()
+            opened[inner.tag] -= 1
+            if inner.tag == tag:
+                return
+
     at, end = 0, len(html)
     while at < end:
-        m = _TOKEN.search(html, at)
+        m = _MARKUP.search(html, at)
         text = html[at : m.start() if m else end]
-        if text:
+        if text and not now.hidden:
             parts.append(text)
             if in_link:
                 links += len(text.strip())
         if not m:
             break
         at = m.end()
-        if m[3] is None:
+        if html.startswith("!--", at):
+            at = found + 3 if (found := page.find("-->", at + 3)) >= 0 else end
+            continue
+        closing = html[at] == "/"
+        m = _NAME.match(html, at + closing)
+        if not m:  # a declaration, or a bogus comment
+            at = found + 1 if (found := page.find(">", at)) >= 0 else end
             continue
-        closing, tag = bool(m[2]), m[3].lower()
-        if tag in HIDDEN_TAGS and not closing:
+        tag = m[0].lower()
+        attributes, empty, at = page.attributes(m.end())
+        if tag in RAW_TAGS and not closing:
             if tag in BLOCK_TAGS:
                 close()
-            if m[4].rstrip().endswith("/"):
-                continue
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = stop.end() if stop else (html.lower().find("<body", at) if tag == "head" and "<body" in html[at:].lower() else end)
+            if not empty:
+                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+                at = page.attributes(stop.end())[2] if stop else end
             continue
-        if tag == "br":
+        if tag == "br" and not now.hidden:
             parts.append(" ")
         elif tag == "a":
             in_link = max(0, in_link + (-1 if closing else 1))
         if closing:
             if tag in BLOCK_TAGS:
                 close()
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                _, outside, article, heading = stack[depth]
-                del stack[depth:]
-        elif tag not in VOID_TAGS and not m[4].rstrip().endswith("/"):
+            if opened[tag]:
+                leave(tag)
+            continue
+        if tag in VOID_TAGS or empty:
             if tag in BLOCK_TAGS:
                 close()
-            elif not _outside(tag, m[4], article > 0):
-                continue  # inline, and nothing changes inside
-            if tag == "p" and stack and stack[-1][0] == "p":
-                _, outside, article, heading = stack.pop()  # a paragraph ends where the next begins
-            stack.append((tag, outside, article, heading))
-            outside = outside or _outside(tag, m[4], article > 0)
-            if tag in ARTICLE_TAGS and not outside and not article:
-                articles += 1
-                article = articles
-            heading = tag in HEADINGS
-        elif tag in BLOCK_TAGS:
+            continue
+        kind = 0 if tag in ("html", "body") or tag in ARTICLE_TAGS else named(attributes)
+        outside, hidden = tag in OUTSIDE_TAGS or kind == 2 or (tag == "header" and not now.article) or (kind == 1 and not now.article), tag in HIDDEN_TAGS
+        if tag in BLOCK_TAGS:
             close()
+            if now.tag == "p":
+                leave("p")  # a paragraph ends where the next block begins
+            if now.tag in SIBLINGS.get(tag, "").split():
+                leave(now.tag)
+            if opened["head"] and tag == "body":
+                leave("head")
+        elif not (outside or hidden or kind):
+            continue  # inline, and nothing changes inside
+        stack.append(now)
+        opened[tag] += 1
+        article = now.article
+        if tag in ARTICLE_TAGS and not now.outside and not outside and not article:
+            articles += 1
+            article = articles
+        now = _Open(tag, now.outside or outside, now.hinted or kind == 1, now.hidden or hidden, article, tag in HEADINGS)
     close()
     return blocks
 
@@ -150,27 +245,33 @@ def first_pass(b: Block, rules: Rules) -> bool | None:
     if b.outside or b.links > rules.max_link_density * len(b.text):
         return False
     if len(b.text) >= rules.long_chars:
-        return True if b.article or stop_density(b.text) >= rules.stop_density else None
-    return None
+        dense = stop_density(b.text) >= rules.stop_density
+        return True if dense or (b.article and not b.hinted) else False if b.hinted else None
+    return False if b.hinted else None
 
 
 def second_pass(blocks: list[Block]) -> None:
-    def nearest(order) -> list[bool | None]:
-        """The last decided label before each block, within its article if it stands in one."""
-        out: list[bool | None] = [None] * len(blocks)
-        last: dict[int, bool | None] = {}
+    """Labels the undecided blocks. Neighbours that are outside by their element don't tell."""
+
+    def nearest(order) -> list[tuple[int, bool] | None]:
+        """Place and label of the last decided block before each, within its article if it stands in one."""
+        out: list[tuple[int, bool] | None] = [None] * len(blocks)
+        last: dict[int, tuple[int, bool]] = {}
         for k in order:
             b = blocks[k]
             out[k] = last.get(b.article) if b.article else last.get(-1)
-            if b.label is not None:
-                last[b.article] = last[-1] = b.label
+            if b.label is not None and not b.outside:
+                last[b.article] = last[-1] = (k, b.label)
         return out
 
     before, after = nearest(range(len(blocks))), nearest(range(len(blocks) - 1, -1, -1))
-    for b, x, y in zip(blocks, before, after, strict=True):
+    for k, (b, x, y) in enumerate(zip(blocks, before, after, strict=True)):
         if b.label is None:
-            found = {v for v in (x, y) if v is not None}
-            b.label = bool(b.article) if not found else found == {True} or (len(found) == 2 and bool(b.article or b.heading))
+            found = sorted((abs(k - at), label) for at, label in (z for z in (x, y) if z is not None))
+            if len(found) == 2 and found[0][0] == found[1][0] and found[0][1] != found[1][1]:
+                b.label = bool(b.article or b.heading)
+            else:
+                b.label = found[0][1] if found else True
 
 
 def main_text(html: str | None, rules: Rules = Rules()) -> str:
@@ -179,10 +280,7 @@ def main_text(html: str | None, rules: Rules = Rules()) -> str:
     blocks = read_blocks(html)
     for b in blocks:
         b.label = first_pass(b, rules)
-    decided = [b.label for b in blocks]
     second_pass(blocks)
-    for b, d in zip(blocks, decided, strict=True):
-        b.label = d if d is not None else b.label
     return " ".join(b.text for b in blocks if b.label)
 
 
@@ -192,5 +290,5 @@ def _main_texts(pages: pd.Series) -> pd.Series:
 
 
 def extracted(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
-    """pages with the main text."""
+    """pages with the main text, in a column that replaces one of the same name."""
     return pages.withColumn(text, _main_texts(F.coalesce(F.col(html), F.lit(""))))
