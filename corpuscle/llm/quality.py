@@ -39,7 +39,7 @@ RULES = (
     Rule("symbols_per_word", None, 0.1),
     Rule("stop_word_share", 0.02, None),
     Rule("dup_line_share", None, 0.5),
-    Rule("words_per_line", 1.0, 3000.0),
+    Rule("words_per_line", 1.0, None),
 )
 
 
@@ -49,7 +49,7 @@ def _bind(value: Column, body) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words covered by 3-word windows that occur at least twice. Windows are compared by a 64-bit hash of their words."""
+    """Words covered by 3-word windows that occur at least twice. Windows are sorted by a 64-bit hash of their words; where hashes are equal the words are compared."""
     n = F.size(words)
     tag = lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2])
     hashes = F.transform(F.sequence(F.lit(0), n - 3), tag)
@@ -59,7 +59,14 @@ def _repeat_words(words: Column) -> Column:
 
         def of_sorted(s: Column) -> Column:
             last = F.size(s) - 1
-            same = lambda x, k: ((k > 0) & (s[F.greatest(k - 1, F.lit(0))]["h"] == x["h"])) | ((k < last) & (s[F.least(k + 1, last)]["h"] == x["h"]))
+
+            def alike(x: Column, y: Column) -> Column:
+                out = x["h"] == y["h"]
+                for k in range(3):
+                    out = out & (words[x["i"] + k] == words[y["i"] + k])
+                return out
+
+            same = lambda x, k: ((k > 0) & alike(x, s[F.greatest(k - 1, F.lit(0))])) | ((k < last) & alike(x, s[F.least(k + 1, last)]))
             at = F.transform(F.filter(s, same), lambda x: x["i"])
             return F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
 
@@ -75,7 +82,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     has_word = f"[^{SPACE[0]}\\x09-\\x0D]"
     count = lambda c: c.cast("long")
     a = docs.withColumn("_words", F.array_remove(F.split(flat, " "), "")).withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(has_word)))
-    stop = F.array(*[F.lit(w) for w in sorted(set(STOP_WORDS))])
+    stop = sorted(set(STOP_WORDS))
     b = a.select(
         *docs.columns,
         count(F.size("_words")).alias("n_words"),
@@ -84,7 +91,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         count(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
         count(_repeat_words(F.col("_words"))).alias("n_repeat_words"),
         count(F.size("_lines")).alias("n_lines"),
-        F.size(F.filter(F.col("_words"), lambda w: F.array_contains(stop, F.lower(w)))).alias("_stop"),
+        F.size(F.filter(F.col("_words"), lambda w: F.lower(w).isin(stop))).alias("_stop"),
     )
     words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     return b.select(

@@ -58,7 +58,7 @@ WITH t AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars / d BETWEEN 2 AND 12 AND n_symbols / d <= 0.1 AND n_stop / d >= 0.02
-       AND n_dup_lines / l <= 0.5 AND n_words / l BETWEEN 1 AND 3000 AS kept
+       AND n_dup_lines / l <= 0.5 AND n_words / l >= 1 AS kept
 FROM v
 """
 
