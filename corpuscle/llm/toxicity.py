@@ -4,9 +4,9 @@ The lexicon (whole words and word stems) and the weights are learned from labell
 its states are sets of (trie node, edits so far), determinised as words reach them. A hit counts by whether it is exact or
 misspelt, and by its window of words: between quotation marks it is taken as quotation, near other hits as abuse.
 
-Null and empty texts have no hits and get the score of a text without hits. Texts are read whole. A null doc_id is kept and
+Null and empty texts have no hits and get the score of a text without hits. Texts and words of any length are read whole. A null doc_id is kept and
 has no label. Rows are scored one by one, so repeated rows score alike; labels that repeat count once, contradicting ones count
-as toxic. Without labels of both classes the lexicon is empty and all scores are the smoothed share of toxic labels. Only
+as toxic. Of labelled texts that share their least shingle hash (near copies) the one of the least doc_id is learned from. Without labels of both classes the lexicon is empty and all scores are the smoothed share of toxic labels. Only
 text is an input of a score; other columns pass through.
 """
 
@@ -28,8 +28,12 @@ from corpuscle.llm.worker import held
 
 #: Bounds of the sample of labelled rows the lexicon and the weights are fitted on, toxic and clean.
 FIT_TOXIC, FIT_CLEAN = 2500, 5000
-#: Most terms of a lexicon; shortest and longest stem.
-MAX_TERMS, STEM = 2000, (4, 8)
+#: Shortest and longest stem.
+STEM = (4, 8)
+#: Terms of so many letters may be misspelt in their first letter, too; of shorter ones, of which many words differ in the first letter alone, it must match.
+FIRST_LETTER = 7
+#: States after which the automaton is begun anew; words longer than this aren't kept with their hits.
+MAX_STATES, LONG_WORD = 200_000, 40
 #: Words on each side of a hit that its context is read from.
 WINDOW = 6
 #: A term must be this much likelier (log likelihood ratio) to belong to the toxic texts than to be spread evenly.
@@ -51,31 +55,45 @@ def edits_allowed(term: str, stem: bool) -> int:
 
 
 class LexiconAutomaton:
-    """Deterministic automaton of all terms within their edits, built state by state when words need them. The first letter must match."""
+    """Deterministic automaton of all terms within their edits, built state by state when words need them; when there are many states it is begun anew.
+
+    The first letter of a term must match, unless the term has at least FIRST_LETTER letters.
+    """
 
     def __init__(self, terms: list[tuple[str, bool, float]]):
         self.children: list[dict[str, int]] = [{}]
-        self.limit = [0]  # most edits of any term below
-        self.word_end: list[tuple[int, float] | None] = [None]  # (edits allowed, weight)
-        self.stem_end: list[tuple[int, float] | None] = [None]
+        self.limit = [[0, 0]]  # most edits of any term below; of any whose first letter may differ
+        self.word_end: list[tuple[int, float, bool] | None] = [None]  # (edits allowed, weight, whether the first letter may differ)
+        self.stem_end: list[tuple[int, float, bool] | None] = [None]
         for text, stem, weight in terms:
-            node, most = 0, edits_allowed(text, stem)
+            node, most, free = 0, edits_allowed(text, stem), len(text) >= FIRST_LETTER
+            path = [0]
             for ch in text:
                 if ch not in self.children[node]:
                     self.children[node][ch] = len(self.children)
                     self.children.append({})
-                    self.limit.append(0)
+                    self.limit.append([0, 0])
                     self.word_end.append(None)
                     self.stem_end.append(None)
                 node = self.children[node][ch]
-                self.limit[node] = max(self.limit[node], most)
-            (self.stem_end if stem else self.word_end)[node] = (most, weight)
+                path.append(node)
+            for k in path:
+                self.limit[k] = [max(self.limit[k][0], most), max(self.limit[k][1], most if free else 0)]
+            (self.stem_end if stem else self.word_end)[node] = (most, weight, free)
         self.alphabet = {ch for c in self.children for ch in c}
+        self._begin()
+
+    def _begin(self) -> None:
         self.moves: list[dict[str, int]] = []
         self.states: list[tuple[frozenset, tuple[int, float] | None]] = []
         self.hits: list[tuple[int, float] | None] = []  # of a word that ends here
         self.numbers: dict = {}
-        self.start = self._number(frozenset({(0, 0)}), None)
+        out: dict[tuple[int, bool], int] = {}
+        self._put(out, 0, False, 0)
+        self.start = self._number(frozenset((n, late, e) for (n, late), e in out.items()), None)
+
+    def _ends(self, pairs, table) -> list[tuple[int, float]]:
+        return [(e, x[1]) for n, late, e in pairs if (x := table[n]) and e <= x[0] and (x[2] or not late)]
 
     def _number(self, pairs: frozenset, stem_hit) -> int:
         key = (pairs, stem_hit)
@@ -83,35 +101,35 @@ class LexiconAutomaton:
             self.numbers[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
-            ends = [(e, self.word_end[n][1]) for n, e in pairs if self.word_end[n] and e <= self.word_end[n][0]]
-            self.hits.append(min([*ends, *([stem_hit] if stem_hit else [])], key=lambda h: (h[0], -h[1]), default=None))
+            self.hits.append(min([*self._ends(pairs, self.word_end), *([stem_hit] if stem_hit else [])], key=lambda h: (h[0], -h[1]), default=None))
         return self.numbers[key]
 
+    def _put(self, out: dict, node: int, late: bool, edits: int) -> None:
+        """Adds a place in the trie, and those reached if letters of the term are missing. late: an edit was made at the first letter."""
+        if edits <= self.limit[node][late] and out.get((node, late), 99) > edits:
+            out[node, late] = edits
+            for child in self.children[node].values():
+                self._put(out, child, late or not node, edits + 1)
+
     def _move(self, state: int, ch: str) -> int:
         pairs, hit = self.states[state]
-        out: dict[int, int] = {}
-
-        def put(node: int, edits: int) -> None:
-            if edits <= self.limit[node] and out.get(node, 99) > edits:
-                out[node] = edits
-                for child in self.children[node].values():  # a letter of the term is missing
-                    put(child, edits + 1)
-
-        for node, edits in pairs:
+        out: dict[tuple[int, bool], int] = {}
+        for node, late, edits in pairs:
             for c, child in self.children[node].items():
                 if c == ch:
-                    put(child, edits)
-                elif node:
-                    put(child, edits + 1)
-            if node:
-                put(node, edits + 1)
-        stems = [(e, self.stem_end[n][1]) for n, e in out.items() if self.stem_end[n] and e <= self.stem_end[n][0]]
-        hit = min([*stems, *([hit] if hit else [])], key=lambda h: (h[0], -h[1]), default=None)
-        self.moves[state][ch] = to = self._number(frozenset(out.items()), hit)
+                    self._put(out, child, late, edits)
+                else:
+                    self._put(out, child, late or not node, edits + 1)
+            self._put(out, node, late or not node, edits + 1)
+        found = [(n, late, e) for (n, late), e in out.items()]
+        hit = min([*self._ends(found, self.stem_end), *([hit] if hit else [])], key=lambda h: (h[0], -h[1]), default=None)
+        self.moves[state][ch] = to = self._number(frozenset(found), hit)
         return to
 
     def match(self, word: str) -> tuple[int, float] | None:
         """(edits, weight) of the nearest term, or None."""
+        if len(self.states) > MAX_STATES:
+            self._begin()
         s, moves = self.start, self.moves
         for ch in word:
             if ch not in self.alphabet:
@@ -138,9 +156,11 @@ class _Reader:
         self.cache: dict[str, tuple[int, float] | None] = {}
 
     def hit(self, raw: str):
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        h = self.cache[raw] = self.automaton.match(raw.strip(_EDGES))
+        h = self.automaton.match(raw.strip(_EDGES))
+        if len(raw) <= LONG_WORD:
+            if len(self.cache) > CACHE_WORDS:
+                self.cache.clear()
+            self.cache[raw] = h
         return h
 
     def features(self, text: str) -> list[float]:
@@ -179,7 +199,7 @@ def _grams(text: str) -> set[str]:
     out = set()
     for raw in set(text.lower().split()):
         w = raw.strip(_EDGES)
-        if 3 <= len(w) <= 40:
+        if w:
             out.add(w + "$")
             out.update(w[:k] for k in range(STEM[0], min(STEM[1], len(w)) + 1))
     return out
@@ -192,7 +212,7 @@ def _sketched(batches):
         for t in b.column("text").to_pylist():
             w = (t or "").lower().split()
             least.append(min(xxhash.xxh64_intdigest(" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))) >> 1)
-        yield pa.RecordBatch.from_arrays([b.column("text"), b.column("toxic"), pa.array(least, pa.int64())], ["text", "toxic", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column("text"), b.column("toxic"), b.column("doc_id"), pa.array(least, pa.int64())], ["text", "toxic", "doc_id", "sketch"])
 
 
 def _counted(batches):
@@ -232,7 +252,7 @@ def _chosen(rows: list[tuple[str, int, int]], a_all: int, b_all: int) -> list[tu
         else:
             out.append((s, True, weight(*counts[s])))
     out += [(w, False, weight(*counts[w + "$"])) for w in words if w not in covered]
-    return sorted(out)
+    return sorted(set(out))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05) -> tuple[float, ...]:
@@ -259,8 +279,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = FIT_TOXIC, max_clea
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(known.where("toxic = 0").orderBy(*order).limit(max_clean))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    rows = checkpointed(rows.mapInArrow(_sketched, "text string, toxic int, sketch long").dropDuplicates(["sketch", "toxic"]).select("text", "toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic")
+    sketched = rows.mapInArrow(_sketched, "text string, toxic int, doc_id long, sketch long")
+    rows = checkpointed(sketched.groupBy("sketch", "toxic").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text")).select("text", "toxic"))
     counts = dict(rows.groupBy("toxic").count().collect())
     a_all, b_all = counts.get(1, 0), counts.get(0, 0)
     if not a_all or not b_all:
@@ -271,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = FIT_TOXIC, max_clea
     llr = n * (p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0))
     terms = rows.mapInArrow(_counted, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     telling = terms.where((F.col("a") > 0) & (p > share) & (F.col("b") / b_all < MOST_RATIO * F.col("a") / a_all)).withColumn("llr", llr).where(F.col("llr") >= LEAST_LLR)
-    lexicon = tuple(_chosen([(r.term, r.a, r.b) for r in telling.orderBy(F.desc("llr"), "term").limit(MAX_TERMS * 10).collect()], a_all, b_all)[:MAX_TERMS])
+    lexicon = tuple(_chosen([(r.term, r.a, r.b) for r in telling.collect()], a_all, b_all))  # as many as the bounded sample tells
     blank = Model(lexicon)
 
     def featured(batches):

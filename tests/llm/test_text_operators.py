@@ -1,6 +1,7 @@
 """Chat, quality, toxicity, HTML: fixtures, edge cases, reference computations."""
 
 import hashlib
+import math
 import re
 
 import pytest
@@ -54,6 +55,17 @@ def test_chat_repeats_and_empty(spark):
     assert chat_rows(spark, []) == {}
 
 
+def test_chat_long_texts_and_ties(spark):
+    """Rows with one turn number go by role, then text; a turn of a megabyte, and a very long conversation."""
+    long = "ab </s> " * 130_000
+    rows = [(1, 0, "user", "b"), (1, 0, "assistant", "z"), (1, 0, "user", "a"), (1, 0, "user", None), (2, 0, "user", long), (2, 1, "assistant", long)]
+    rows += [(3, k, "user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(5000)]
+    got = chat_rows(spark, rows)
+    assert got[1].turns_sha256 == sha("assistant\nz\nuser\n\nuser\na\nuser\nb\n") and not got[1].valid
+    assert got[2].loss_sha256 == sha(long) and got[2].loss_chars == len(long) and got[2].valid
+    assert got[3].n_turns == 5000 and got[3].valid
+
+
 # --- quality ---
 
 
@@ -102,9 +114,9 @@ def distance(a, b):
 def test_automaton_equals_distance():
     terms = [("moron", False, 1.0), ("worthless", False, 2.0), ("scum", False, 3.0), ("vequ", True, 1.5)]
     a = toxicity.LexiconAutomaton(terms)
-    words = ["moron", "morn", "morron", "norom", "moroni", "worthless", "worthles", "wrthlss", "wortless!", "scum", "scumm", "scu", "vequta", "veq", "veku", "m", "", "mxron", "worthlessness", "wxrthlxss"]
+    words = ["moron", "morn", "morron", "norom", "moroni", "worthless", "worthles", "wrthlss", "wortless!", "scum", "scumm", "scu", "vequta", "veq", "veku", "m", "", "mxron", "worthlessness", "wxrthlxss", "orthless", "vorthless", "xxworthless", "rthless", "aworthles", "1moron", "oron"]
     for w in words:
-        whole = [distance(w, t) for t, stem, _ in terms if not stem and w[:1] == t[0] and distance(w, t) <= toxicity.edits_allowed(t, False)]
+        whole = [distance(w, t) for t, stem, _ in terms if not stem and (w[:1] == t[0] or len(t) >= toxicity.FIRST_LETTER) and distance(w, t) <= toxicity.edits_allowed(t, False)]
         stems = [0 for t, stem, _ in terms if stem and w.startswith(t)]
         got = a.match(w)
         # A first letter that matches may also be followed by an edit at once; the distance covers that.
@@ -129,6 +141,52 @@ def test_toxicity_learns_and_is_null_safe(spark):
     assert none.terms == () and toxicity.score_texts(none, ["idiot"])[0] == pytest.approx(0.5)
 
 
+def test_automaton_is_begun_anew_and_still_equal(monkeypatch):
+    a, b = (toxicity.LexiconAutomaton([("worthless", False, 2.0), ("scumbags", False, 3.0)]) for _ in range(2))
+    monkeypatch.setattr(toxicity, "MAX_STATES", 5)
+    words = ["worthless", "w0rthless", "scumbag", "skumbags", "z" * 5000, "plain", "vorthless"] * 2
+    got = [b.match(w) for w in words]
+    monkeypatch.undo()
+    assert got == [a.match(w) for w in words] and len(b.states) < 60
+
+
+def test_toxicity_keeps_every_telling_term_and_fits_the_same(spark):
+    """Also terms late in the alphabet, very short and very long ones; the order of rows doesn't matter."""
+    long = "z" + "q" * 60
+    docs = [(i, f"plain words of item{i} stand here in line{i}", "x") for i in range(200)] + [(1000 + i, f"zzt{i % 3}x is zy and {long} in item{i} at line{i}", "x") for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i, *_ in docs], "doc_id long, toxic int")
+    schema = DOCS + ", score string"
+    one = toxicity.fit(spark.createDataFrame(docs, schema), labels)
+    assert {"zy", long} <= {t for t, *_ in one.terms} and any(t.startswith("zzt") for t, *_ in one.terms)
+    other = toxicity.fit(spark.createDataFrame(docs[::-1], schema).repartition(7), labels)
+    assert one.terms == other.terms and one.coefficients == pytest.approx(other.coefficients, rel=1e-9)
+    scores = {r.doc_id: r.tox for r in toxicity.scored(spark.createDataFrame(docs, schema), one, score="tox").collect()}
+    # The same by brute force: sums of weights over all words.
+    c = one.coefficients
+    for d, t, _ in docs[::37]:
+        x = brute_features(t, one)
+        assert scores[d] == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(c, [*x, 1.0], strict=True)))))
+
+
+def brute_features(text, model):
+    """Features without quotation marks: each word against each term."""
+    hits = []
+    for i, raw in enumerate(text.lower().split()):
+        w, found = raw.strip(toxicity._EDGES), []
+        for term, stem, weight in model.terms:
+            heads = [w[:k] for k in range(len(w) + 1)] if stem else [w]
+            d = min(distance(h, term) if h[:1] == term[0] or len(term) >= toxicity.FIRST_LETTER else 99 for h in heads)
+            if d <= toxicity.edits_allowed(term, stem):
+                found.append((d, -weight))
+        if found:
+            hits.append((i, min(found)[0], -min(found)[1]))
+    sums, near = [0.0, 0.0, 0.0], 0
+    for k, (i, edits, weight) in enumerate(hits):
+        near += any(j != k and abs(x[0] - i) <= toxicity.WINDOW for j, x in enumerate(hits))
+        sums[1 if edits else 0] += weight
+    return [math.log1p(v) for v in sums] + [near / len(hits) if hits else 0.0]
+
+
 def test_held_out_rule(spark):
     import zlib
 
@@ -162,8 +220,67 @@ def test_html_odd_input():
     assert len(html.main_text("<article>" + f"<p>{BODY}</p>" * 20000 + "</article>")) == 20000 * (len(BODY) + 1) - 1
 
 
-def test_html_in_frames(spark):
-    pages = spark.createDataFrame([(1, f"<article><p>{BODY}</p></article>", "x"), (2, None, "y")], "page_id long, html string, n_chars string")
+def test_html_quotes_and_names():
+    assert html.main_text(f"<article><p title=it's>{BODY}</p></article>") == BODY
+    assert html.main_text(f"<article><p title=\"it's\" class='a>b'>{BODY}</p></article>") == BODY
+    assert html.main_text(f'<article><p title="never closed>{BODY}</p></article>') == BODY
+    assert html.main_text(f"<article><div class='related-work'>{BODY}</div><div class=related><p>{BODY}</p><p>More</p></div><p>{BODY}</article>") == f"{BODY} {BODY} {BODY}"
+    assert html.main_text(f"<article><p>{BODY}</p><div class='comment-list'><p>{BODY}</p></div><div class=cookieNotice>{BODY}</div></article>") == BODY
+    assert html.main_text(f"<article><button>go {BODY}</button><svg><title>x</title><text>{BODY}</text></svg><p>{BODY}</p></article>") == BODY
+    assert html.main_text(f"<body><div>{BODY}</div><div>The end.</div><footer>{BODY}</footer></body>") == f"{BODY} The end."
+    assert html.main_text("<body><nav><a href=x>one</a></nav><p>Short.</p><footer>foot</footer>") == "Short."
+    assert html.main_text(f"<ul><li class=ad>{BODY}<li>{BODY}</ul>") == BODY
+
+
+def test_html_hostile_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for page in ('<a href="x' * 100_000, "<a b='" * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<" * 200_000, "<!--" * 100_000, "<script" * 50_000, "</" * 100_000, "<p a= " * 100_000, "&#" * 100_000):
+        html.main_text(page)
+    assert time.time() - began < 10
+
+
+def plain_article(page):
+    """The article's text by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            if tag in ("p", "h1", "article"):
+                self.blocks.append("")
+            elif tag == "br":
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+            if tag in ("p", "h1", "article"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    r = Reader()
+    r.feed(page)
+    return " ".join(x for x in (" ".join(b.split()) for b in r.blocks) if x)
+
+
+def test_html_pages_equal_a_plain_reader(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
     got = {r.page_id: r.text for r in html.extracted(pages).collect()}
-    assert got == {1: BODY, 2: ""}
+    for r in pages.collect():
+        assert got[r.page_id] == plain_article(r.html)
+
+
+def test_html_in_frames(spark):
+    one = f"<article><p>{BODY}</p></article>"
+    pages = spark.createDataFrame([(1, one, "x", "own"), (1, one, "x", "own"), (2, None, "y", None)], "page_id long, html string, n_chars string, text string")
+    got = sorted((r.page_id, r.n_chars, r.text) for r in html.extracted(pages).collect())
+    assert got == [(1, "x", BODY), (1, "x", BODY), (2, "y", "")]
     assert html.extracted(pages.where("false")).count() == 0
