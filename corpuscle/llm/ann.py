@@ -1,10 +1,14 @@
 """Approximate nearest neighbours by largest inner product: NN-descent builds a neighbour graph, queries search it greedily.
 
 The graph starts from the neighbours within leaves of a few random-projection trees (planes are fitted on a bounded sample; every
-vector is dealt to its leaves; a leaf that is too large is split on at its own medians, by other planes in each tree). Each round joins neighbours of neighbours: the neighbours of a vector, in both directions, are
-compared with each other, every pair with a link that the last round brought, and what is nearer than a vector's worst neighbour is offered
-to it; rounds end when few lists still change. A query starts from its neighbours in the graph and visits the neighbours of the nearest
-vectors found until all of these have been visited; those found are ranked in double precision on the original vectors.
+vector is dealt to its leaves; a leaf that is too large is split on at its own medians, by other planes in each tree). Each round joins
+neighbours of neighbours: the neighbours of a vector, in both directions, are compared with each other, every pair with a link that the
+last round brought, and what is nearer than a vector's worst neighbour is offered to it; rounds end when few lists still change. A query
+starts from its neighbours in the graph and visits the neighbours of the nearest vectors found until all of these have been visited; those
+found are ranked in double precision on the original vectors. Queries that reach too few vectors this way are compared with all, in blocks.
+
+Candidates are compared in half precision, each vector scaled to its greatest component (and all to that of the table), so that very
+large and very small vectors keep their digits.
 
 Vectors that are null, zero, hold a null or non-finite component, or have another length than most, take no part, neither do rows with a null
 id; of rows with one id the least vector counts. Ties go to the smaller id. With fewer candidates than asked for all are
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.cluster import staged
+from corpuscle.cluster import Scratch, checkpointed
 
 #: Rows of the sample that planes are fitted on.
 FIT_ROWS = 16_384
@@ -32,8 +36,12 @@ OFFERED, GROUP = 24, 200
 BEAM = 96
 
 
-def usable(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """(id, vec) of the rows that take part; vec holds little-endian floats of the column's own precision."""
+#: Queries that are compared with all vectors at once.
+AT_ONCE = 1024
+
+
+def usable(table: DataFrame, vec_id: str, vector: str, scratch: Scratch) -> tuple[DataFrame, float]:
+    """(id, vec) of the rows that take part, where vec holds little-endian floats of the column's own precision; and the greatest component's size."""
     wide = "double" in dict(table.dtypes)[vector]
     v = F.col("v")
     ok = F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -42,11 +50,12 @@ def usable(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
     def packed(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([np.array(x, "<f8" if wide else "<f4").tobytes() for x in b.column("v").to_pylist()], pa.binary())], ["id", "vec"])
+            v = [np.array(x, "<f8" if wide else "<f4") for x in b.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([float(np.abs(x).max()) for x in v], pa.float64())], ["id", "vec", "most"])
 
-    rows = staged(rows.mapInArrow(packed, "id long, vec binary"), "vectors")
-    common = rows.groupBy(F.octet_length("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.octet_length("vec") == (common["n"] if common else 0))
+    rows = scratch.staged(rows.mapInArrow(packed, "id long, vec binary, most double"), "vectors")
+    common = rows.groupBy(F.octet_length("vec").alias("n")).agg(F.count("*").alias("count"), F.max("most").alias("most")).orderBy(F.desc("count"), "n").first()
+    return rows.where(F.octet_length("vec") == (common["n"] if common else 0)).select("id", "vec"), common["most"] if common else 1.0
 
 
 def _matrix(column, kind: str) -> np.ndarray:
@@ -54,6 +63,20 @@ def _matrix(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1)
 
 
+def _halves(v: np.ndarray, top: float) -> list[bytes]:
+    """Vectors in half precision: the greatest component's size, relative to the table's, then components relative to it."""
+    v = v.astype(np.float64) / top
+    most = np.abs(v).max(1, keepdims=True)
+    v = (v / np.where(most > 0, most, 1.0)).astype("<f2")
+    return [m.tobytes() + x.tobytes() for m, x in zip(most.astype("<f4"), v, strict=True)]
+
+
+def _whole(column) -> np.ndarray:
+    """What _halves made, in single precision."""
+    raw = _matrix(column, "<u2")
+    return np.ascontiguousarray(raw[:, 2:]).view("<f2").astype(np.float32) * np.ascontiguousarray(raw[:, :2]).view("<f4")
+
+
 def fit_trees(sample: np.ndarray, depth: int, trees: int = TREES, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each tree: a random direction and the sample's median along it for every inner node."""
     rng, out = np.random.default_rng(seed), []
@@ -134,10 +157,10 @@ def halved(v: np.ndarray, most: int, seed) -> list[np.ndarray]:
     return out
 
 
-def _in_leaves(kind: str, leaf: int):
+def _in_leaves(kind: str, leaf: int, top: float):
     def run(batches):
         for key, rows in _grouped(batches, ("tree", "leaf", "part")):
-            all_ids, vectors = np.array(rows["id"], np.int64), _matrix(rows["vec"], kind).astype(np.float32)
+            all_ids, vectors = np.array(rows["id"], np.int64), (_matrix(rows["vec"], kind) / top).astype(np.float32)
             for part in halved(vectors, 2 * leaf, key):
                 ids, v = all_ids[part], vectors[part]
                 if len(ids) < 2:
@@ -191,12 +214,12 @@ def _graph(k: int):
 _GRAPH = (["id", "nbrs", "scores", "new", "n_new"], [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()])
 
 
-def as_graph(found: DataFrame, k: int, own: DataFrame | None = None) -> DataFrame:
+def as_graph(found: DataFrame, k: int, scratch: Scratch, own: DataFrame | None = None) -> DataFrame:
     """The lists found merged with each id's own."""
     lists = found.select("id", "nbrs", "scores", F.lit(False).alias("own"))
     if own is not None:
         lists = lists.union(own.select("id", "nbrs", "scores", F.lit(True)))
-    return staged(lists.repartition("id").sortWithinPartitions("id").mapInArrow(_graph(k), f"{_LISTS}, new binary, n_new int"), "graph")
+    return scratch.staged(lists.repartition("id").sortWithinPartitions("id").mapInArrow(_graph(k), f"{_LISTS}, new binary, n_new int"), "graph")
 
 
 def _links(batches):
@@ -230,7 +253,7 @@ def _joined(batches):
     """The members in each tile compared with each other: pairs of which a link is new, across the sides if there are two."""
     out, held = [], 0
     for _, rows in _grouped(batches, ("pivot", "tile")):
-        ids, v = np.array(rows["member"], np.int64), _matrix(rows["vec"], "<f2").astype(np.float32)
+        ids, v = np.array(rows["member"], np.int64), _whole(rows["vec"])
         new, side = np.array(rows["new"], bool), np.array(rows["side"], bool)
         if len(ids) < 2 or not new.any():
             continue
@@ -248,62 +271,62 @@ def _joined(batches):
     yield _emit(out, *_LIST)
 
 
-def _small(kind: str):
+def _small(kind: str, top: float):
     """Vectors in half precision, for comparing candidates; with the worst score of each vector's list."""
 
     def run(batches):
         for b in batches:
-            v = _matrix(b.column("vec"), kind).astype("<f2")
             worst = [float(np.frombuffer(s, "<f4")[-1]) if s else -np.inf for s in b.column("scores").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(worst, pa.float32())], ["member", "vec", "worst"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_halves(_matrix(b.column("vec"), kind), top), pa.binary()), pa.array(worst, pa.float32())], ["member", "vec", "worst"])
 
     return run
 
 
-def neighbour_graph(vectors: DataFrame, kind: str, degree: int = DEGREE, trees: int = TREES, rounds: int | None = None, leaf: int = LEAF, fit_rows: int = FIT_ROWS, held: int = HELD) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, kind: str, scratch: Scratch, top: float = 1.0, degree: int = DEGREE, trees: int = TREES, rounds: int | None = None, leaf: int = LEAF, fit_rows: int = FIT_ROWS, held: int = HELD) -> DataFrame:
     """(id, nbrs, scores): the best neighbours found for each vector. vectors: (id, vec). Rounds go on until few entries are new, or as many as told."""
     n = vectors.count()
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("vec").toArrow().column("vec").to_pylist()
     depth = max(0, min(int(np.ceil(np.log2(max(1, n / leaf)))), int(np.log2(max(1, len(sample) / 16)))))
-    fitted = fit_trees(_matrix(sample, kind).astype(np.float32), depth, trees) if sample else []
+    fitted = fit_trees((_matrix(sample, kind) / top).astype(np.float32), depth, trees) if sample else []
 
     def dealt(batches):
         for b in batches:
-            v = _matrix(b.column("vec"), kind).astype(np.float32)
+            v = (_matrix(b.column("vec"), kind) / top).astype(np.float32)
             for t, tree in enumerate(fitted):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(leaves_of(v, tree, depth)), b.column("id"), b.column("vec")], ["tree", "leaf", "id", "vec"])
 
     rows = vectors.mapInArrow(dealt, "tree int, leaf long, id long, vec binary")
-    sizes = staged(vectors.mapInArrow(dealt, "tree int, leaf long, id long, vec binary").groupBy("tree", "leaf").count(), "leaves")
+    sizes = scratch.staged(vectors.mapInArrow(dealt, "tree int, leaf long, id long, vec binary").groupBy("tree", "leaf").count(), "leaves")
     # A leaf larger than a task can hold (many equal vectors) is dealt to several tasks; the tree is hashed too, so that two vectors apart in one tree can meet in another.
     together = max(2 * leaf, held // len(sample[0])) if sample else 1
     parts = F.greatest(F.lit(1), F.ceil(F.col("count") / together))
     rows = rows.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("tree", "id"), parts).cast("int")).select("tree", "leaf", "part", "id", "vec")
     rows = rows.repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part")
-    graph, done = as_graph(rows.mapInArrow(_in_leaves(kind, leaf), _LISTS), degree), 0
+    graph, done = as_graph(rows.mapInArrow(_in_leaves(kind, leaf, top), _LISTS), degree, scratch), 0
     while done != rounds:
-        graph, done = joined(vectors, graph, kind, degree), done + 1
+        before, graph, done = graph, joined(vectors, graph, kind, degree, scratch, top), done + 1
+        scratch.drop(before)
         if rounds is None and (graph.agg(F.sum("n_new")).first()[0] or 0) <= FEW * n * degree:
             break
     return graph
 
 
-def joined(vectors: DataFrame, graph: DataFrame, kind: str, degree: int) -> DataFrame:
+def joined(vectors: DataFrame, graph: DataFrame, kind: str, degree: int, scratch: Scratch, top: float = 1.0) -> DataFrame:
     """The graph after one more round."""
     small = vectors.join(graph.select("id", "scores", F.octet_length("nbrs").alias("n")), "id", "left")
     full = F.coalesce(F.col("n") >= 8 * degree, F.lit(False))
-    small = small.select("id", "vec", F.when(full, F.col("scores")).otherwise(F.lit(b"")).alias("scores")).mapInArrow(_small(kind), "member long, vec binary, worst float")
+    small = small.select("id", "vec", F.when(full, F.col("scores")).otherwise(F.lit(b"")).alias("scores")).mapInArrow(_small(kind, top), "member long, vec binary, worst float")
     around = tiled(links(graph)).join(small, "member").repartition("pivot", "tile").sortWithinPartitions("pivot", "tile")
-    return as_graph(around.select("pivot", "tile", "side", "member", "new", "vec", "worst").mapInArrow(_joined, _LISTS), degree, graph)
+    return as_graph(around.select("pivot", "tile", "side", "member", "new", "vec", "worst").mapInArrow(_joined, _LISTS), degree, scratch, graph)
 
 
-def _visited(beam: int, kind: str):
+def _visited(beam: int):
     """Candidates of each query scored; its own vector comes first, as candidate null."""
 
     def run(batches):
         out = []
         for (q,), rows in _grouped(batches, ("query",)):
-            v = _matrix(rows["vec"], kind).astype(np.float64)
+            v = _whole(rows["vec"])
             ids = np.array(rows["candidate"][1:], np.int64)
             if rows["candidate"][0] is not None or not len(ids):
                 continue
@@ -335,41 +358,75 @@ def _ranked(k: int, kind: str):
     return run
 
 
-def searched(vectors: DataFrame, graph: DataFrame, queries: DataFrame, kind: str, k: int = 20, beam: int = BEAM) -> DataFrame:
+def searched(vectors: DataFrame, graph: DataFrame, queries: DataFrame, kind: str, scratch: Scratch, top: float = 1.0, k: int = 20, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score. queries: (id), of vectors in the graph."""
 
     def half(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in _matrix(b.column("vec"), kind).astype("<f2")], pa.binary())], ["id", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_halves(_matrix(b.column("vec"), kind), top), pa.binary())], ["id", "vec"])
 
     def with_vectors(pairs: DataFrame, of: DataFrame) -> DataFrame:
         own = queries.join(of, "id").select(F.col("id").alias("query"), F.lit(None).cast("long").alias("candidate"), "vec")
         rows = pairs.join(of, pairs["node"] == of["id"]).select("query", F.col("node").alias("candidate"), "vec")
         return rows.union(own).repartition("query").sortWithinPartitions("query", F.asc_nulls_first("candidate"))
 
-    light = staged(vectors.mapInArrow(half, "id long, vec binary"), "half")
-    around = staged(links(graph), "links")
+    light = scratch.staged(vectors.mapInArrow(half, "id long, vec binary"), "half")
+    around = scratch.staged(links(graph), "links")
     best = graph.select("id", "nbrs", "scores").join(queries, "id", "left_semi")
     opened = None
     while True:
         front = best.select("id", "nbrs").mapInArrow(_exploded, "query long, node long")
         if opened is not None:
             front = front.join(opened, ["query", "node"], "left_anti")
-        front = staged(front, "front")
+        front = scratch.staged(front, "front")
         if front.isEmpty():
             break
         new = front.join(around, front["node"] == around["pivot"]).select("query", F.col("member").alias("node")).where("query <> node").distinct()
-        found = with_vectors(new, light).mapInArrow(_visited(beam, "<f2"), _LISTS)
-        best = staged(merged(best.union(found), beam), "best")
-        opened = front if opened is None else staged(opened.union(front), "opened")
+        found = with_vectors(new, light).mapInArrow(_visited(beam), _LISTS)
+        best = scratch.staged(merged(best.union(found), beam), "best")
+        opened = front if opened is None else scratch.staged(opened.union(front), "opened")
     pairs = best.select("id", "nbrs").mapInArrow(_exploded, "query long, node long")
-    return with_vectors(pairs, vectors).mapInArrow(_ranked(k, kind), "query_id long, rank int, vec_id long, score double")
+    ranked = scratch.staged(with_vectors(pairs, vectors).mapInArrow(_ranked(k, kind), "query_id long, rank int, vec_id long, score double"), "ranked")
+    whole = min(k, vectors.count() - 1)
+    enough = ranked.groupBy("query_id").count().where(F.col("count") >= whole).select(F.col("query_id").alias("id"))
+    short = scratch.staged(queries.join(enough, "id", "left_anti"), "short")
+    if whole < 1 or short.isEmpty():
+        return ranked
+    return ranked.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(compared_with_all(vectors, short, kind, k))
+
+
+def compared_with_all(vectors: DataFrame, queries: DataFrame, kind: str, k: int = 20) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of all other vectors for each of few queries (id), which are taken AT_ONCE at a time."""
+    out, last = None, None
+    while True:
+        todo = vectors.join(queries, "id", "left_semi")
+        todo = (todo if last is None else todo.where(F.col("id") > last)).orderBy("id").limit(AT_ONCE).toArrow()
+        if not len(todo):
+            return out
+        own, ids = _matrix(todo.column("vec").combine_chunks(), kind).astype(np.float64), np.array(todo.column("id").to_pylist(), np.int64)
+        last = int(ids[-1])
+
+        def scored(batches, own=own, ids=ids):
+            for b in batches:
+                v, others = _matrix(b.column("vec"), kind).astype(np.float64), b.column("id").to_numpy()
+                rows = []
+                for q, x in zip(ids.tolist(), own, strict=True):
+                    s = (v * x).sum(1)
+                    order = np.lexsort((others, -s))[: k + 1]
+                    rows += [(q, int(others[j]), float(s[j])) for j in order if others[j] != q][:k]
+                yield _emit(rows, ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()])
+
+        found = vectors.mapInArrow(scored, "query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+        found = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = found if out is None else out.union(found)
 
 
 def nearest(table: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
     """The k nearest found of each row that is_query (a column over `id`) marks, among all other rows."""
     kind = "<f8" if "double" in dict(table.dtypes)[vector] else "<f4"
-    vectors = usable(table, vec_id, vector)
-    graph = neighbour_graph(vectors, kind)
-    queries = staged(vectors.select("id").where(is_query), "queries")
-    return searched(vectors, graph, queries, kind, k)
+    with Scratch(table.sparkSession, "neighbours") as scratch:
+        vectors, top = usable(table, vec_id, vector, scratch)
+        graph = neighbour_graph(vectors, kind, scratch, top)
+        queries = scratch.staged(vectors.select("id").where(is_query), "queries")
+        return checkpointed(searched(vectors, graph, queries, kind, scratch, top, k))
