@@ -48,9 +48,7 @@ def trained(spark: SparkSession, sf_dir: str, rules: bpe.Rules = bpe.Rules(), by
     table = bpe.train(counts.groupBy("chunk").agg(F.sum("n").alias("n")) if by else counts, bpe.BYTES + merges, rules, "task")
     made = bpe.collected(table)  # as many rows as there are merges
     own = spark.createDataFrame(bpe._frame(made), bpe.MERGES)
-    words = bpe.folded_encode(counts.withColumn("w", bpe.word(F.col("chunk"))), made)
-    ids = F.transform(bpe.tokens(F.col("w")), bpe.token_id)
-    return own, words.withColumn("ids", ids), bpe.vocabulary(own)
+    return own, checkpointed(bpe.encoded(counts, made)), bpe.vocabulary(own)
 
 
 # --- the same in SQL ---
@@ -279,10 +277,8 @@ SELECT count(*) AS shards, count(*) FILTER (t < u) AS wins FROM s JOIN h USING (
 def shard_winrate(spark, sf_dir):
     """The small vocabulary against its first half."""
     own, e, _ = trained(spark, sf_dir, by=("source",))
-    half = bpe.folded_encode(e.select("source", "chunk", "n", bpe.word(F.col("chunk")).alias("w")), bpe.collected(own)[: MERGES // 2])
-    size = lambda w: F.size(bpe.tokens(F.col(w)))
-    a = e.groupBy("source").agg(F.sum(size("w") * F.col("n")).alias("t"))
-    b = half.groupBy("source").agg(F.sum(size("w") * F.col("n")).alias("u"))
+    half = bpe.encoded(e.drop("ids"), bpe.collected(own)[: MERGES // 2])
+    a, b = (x.groupBy("source").agg(F.sum(F.size("ids") * F.col("n")).alias(name)) for x, name in ((e, "t"), (half, "u")))
     return metrics.win_rate(a.join(b, "source"), "t", "u")
 
 
