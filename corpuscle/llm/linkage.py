@@ -1,9 +1,10 @@
 """From band keys to groups of near-duplicates: candidates, exact verification, components.
 
-Items that share a band key form a bucket. A bucket's items are linked to its least item (first within a task, so that a hot
-bucket sends one row per task), each such pair is verified exactly, and components are formed. Where a bucket still holds several
-components, every pair of its items from different components is verified too, so no link between two items of a bucket is
-lost, while a bucket of thousands of alike items costs one pair for each. No bucket is gathered in a task.
+Items that share a band key form a bucket. Buckets are found by a shuffle of blocks of (key, id) pairs, after the copies of a key in
+a task were linked to the least of them, so that a hot bucket sends one pair per block. A bucket's items are linked to its least
+item, each such pair is verified exactly, and components are formed. Where a bucket still holds several components, every pair of
+its items from different components is verified too, in tiles, so no link between two items of a bucket is lost, while a bucket of
+thousands of alike items costs one pair for each. No bucket is gathered in a task.
 """
 
 from __future__ import annotations
@@ -12,62 +13,135 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.cluster import checkpointed, small_side
+from corpuscle.cluster import Scratch, small_side
 from corpuscle.llm.components import components
 from corpuscle.llm.worker import release
 
-#: Features of texts that a task keeps while it verifies pairs; those of a bucket's least item come up often.
-KEPT_FEATURES = 32
+#: Items of one head that a task compares with it.
+ITEMS = 1000
 #: Keys that a task links among themselves before it sends on the least item of each.
-STAR_KEYS = 500_000
+STAR_KEYS = 1_000_000
 #: Items on each side of a tile, the unit in which the rest of a bucket is compared.
 TILE = 200
+#: Pairs with an estimated similarity so far below the threshold, in standard deviations of the estimate, are not compared in a tile.
+SLACK = 5.0
 
 
-def _locally_starred(batches):
-    """Of (id, keys): a row (key, id, null) for the least id of each key among so many rows of a task, (key, id, least) for the others."""
+def _least(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each place the least id of its key; equal keys stand together."""
+    first = np.r_[True, keys[1:] != keys[:-1]]
+    return np.minimum.reduceat(ids, np.flatnonzero(first))[np.cumsum(first) - 1]
 
-    def starred(parts):
-        flat, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((ids, flat))
+
+def _blocks(parts: int):
+    """Of (id, keys): for each of `parts` parts of the keys a block of (key, id) of the least id of each key among so many rows, its head, and one
+    of (key, id, head) of the other ids."""
+
+    def block(rows):
+        flat, ids = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.argsort(flat)
         flat, ids = flat[order], ids[order]
-        first = np.r_[True, flat[1:] != flat[:-1]]
-        least = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
-        keep = first | (ids != least)
-        return pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(ids[keep]), pa.array(least[keep], mask=first[keep])], ["key", "id", "head"])
+        head = _least(flat, ids)
+        part = (flat.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        flat, ids, head, part = flat[order], ids[order], head[order], part[order]
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        blocks, others = [], head != ids
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
+            o = others[i:j]
+            blocks.append((np.stack([flat[i:j][~o], ids[i:j][~o]], 1).tobytes(), np.stack([flat[i:j][o], ids[i:j][o], head[i:j][o]], 1).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int64()), *(pa.array([x[k] for x in blocks], pa.binary()) for k in (0, 1))], ["part", "heads", "others"])
 
-    parts: list = []
-    for b in batches:
-        keys = b.column("keys")
-        flat, sizes = keys.flatten().to_numpy(zero_copy_only=False), keys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        if len(flat):
-            parts.append((flat, np.repeat(b.column("id").to_numpy(zero_copy_only=False), sizes)))
-        if sum(len(f) for f, _ in parts) >= STAR_KEYS:
-            yield starred(parts)
-            parts = []
-    if parts:
-        yield starred(parts)
-
-
-def _verify(similarity: Callable, threshold: float, feature: Callable):
     def run(batches):
-        release()
-        kept: dict = {}
+        rows, n = [], 0
+        for b in batches:
+            keys = b.column("keys").to_pylist()
+            flat = np.frombuffer(b"".join(keys), "<i8")
+            if len(flat):
+                rows.append((flat, np.repeat(b.column("id").to_numpy(zero_copy_only=False), [len(k) // 8 for k in keys])))
+                n += len(flat)
+            if n >= STAR_KEYS:
+                yield block(rows)
+                rows, n = [], 0
+        if rows:
+            yield block(rows)
+
+    return run
+
+
+def _starred(batches):
+    """Links (key, a, b) of the ids of each key to their head, and of heads to the key's least id. A task holds 24 bytes for each of its triples."""
+    heads, others = [], []
+    for b in batches:
+        heads += b.column("heads").to_pylist()
+        others += b.column("others").to_pylist()
+    if not heads:
+        return
+    heads, others = np.frombuffer(b"".join(heads), np.int64).reshape(-1, 2), np.frombuffer(b"".join(others), np.int64).reshape(-1, 3)
+    key, ids, head = (np.concatenate(x) for x in ((heads[:, 0], others[:, 0]), (heads[:, 1], others[:, 1]), (heads[:, 1], others[:, 2])))
+    order = np.argsort(key)
+    key, ids, head = key[order], ids[order], head[order]
+    head = np.where(head == ids, _least(key, ids), head)
+    keep = np.flatnonzero(ids != head)
+    for i in range(0, len(keep), 100_000):
+        k = keep[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(key[k]), pa.array(ids[k]), pa.array(head[k])], ["key", "a", "b"])
+
+
+class Seen:
+    """Which rows a task has seen lately, so that rows that repeat many times aren't sent on as often."""
+
+    def __init__(self, most: int = 100_000):
+        self.rows: set = set()
+        self.most = most
+
+    def again(self, row) -> bool:
+        if row in self.rows:
+            return True
+        if len(self.rows) >= self.most:
+            self.rows.clear()
+        self.rows.add(row)
+        return False
 
-        def of(node, text):
-            if node not in kept:
-                if len(kept) >= KEPT_FEATURES:
-                    kept.pop(next(iter(kept)))
-                kept[node] = feature(text)
-            return kept[node]
 
+def spread(ids: list, nodes: list, texts: list, heads: list, salts: list) -> pa.RecordBatch:
+    """A row for each head that an item is compared with; first is true where the item is the head."""
+    rows = [(h, s, h == i, i, n, t) for i, n, t, hs, ss in zip(ids, nodes, texts, heads, salts, strict=True) for h, s in zip(hs, ss, strict=True)]
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.string())
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["head", "salt", "first", "id", "node", "text"])
+
+
+SPREAD = "head long, salt int, first boolean, id long, node binary, text string"
+
+
+def plain(ids: list, nodes: list, texts: list, heads: list, salts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.binary()), pa.array(texts, pa.string())], ["id", "node", "text"])
+
+
+PLAIN = "id long, node binary, text string"
+
+
+def _verified(similarity: Callable, threshold: float, feature: Callable):
+    """Of rows sorted by head and salt, heads first: each item compared with its head (with all heads, if nodes share an id)."""
+
+    def run(batches):
+        release()
+        now, heads = None, []
         for b in batches:
-            c = {n: b.column(n).to_pylist() for n in ("na", "nb", "ta", "tb")}
-            sims = [similarity(of(na, ta), of(nb, tb), threshold) for na, nb, ta, tb in zip(c["na"], c["nb"], c["ta"], c["tb"], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("na"), b.column("nb"), pa.array(sims, pa.float64())], ["a", "b", "na", "nb", "sim"])
+            out = []
+            for h, s, first, i, node, text in zip(*(b.column(n).to_pylist() for n in ("head", "salt", "first", "id", "node", "text")), strict=True):
+                if now != (h, s):
+                    now, heads = (h, s), []
+                own = feature(text)
+                out += [(i, h, node, n, similarity(own, f, threshold)) for n, f in heads if n != node]
+                if first and all(n != node for n, _ in heads):
+                    heads.append((node, own))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 5, kinds, strict=True)], ["a", "b", "na", "nb", "sim"])
 
     return run
 
@@ -96,39 +170,44 @@ def bag_jaccard(x: tuple[dict, int], y: tuple[dict, int], threshold: float) -> f
     return both / (n + m - both)
 
 
-def linked_groups(banded: DataFrame, fetch: Callable[[DataFrame], DataFrame], feature: Callable, similarity: Callable, threshold: float) -> DataFrame:
+def linked_groups(banded: DataFrame, fetch: Callable[[DataFrame, Callable, str], DataFrame], feature: Callable, similarity: Callable, threshold: float, scratch: Scratch, sketch: Callable | None = None) -> DataFrame:
     """(node, root) for all items of groups of two or more but the roots.
 
-    banded: id long (a hash that items may share), keys array<long>; fetch(ids): id, node, text of the items with those ids;
-    feature(text) and similarity(feature, feature, threshold) verify a pair.
+    banded: id long (a hash that items may share), keys binary (little-endian 64-bit band keys, one behind another). fetch(wanted, out,
+    schema), where wanted is a table (id, heads, salts): the batches that out makes of lists of ids, nodes, texts, heads and salts of the
+    items with those ids. feature(text) and similarity(feature, feature, threshold) verify a pair; sketch(texts): MinHash values of
+    texts, a row each, by which pairs in tiles are passed over that are far from the threshold.
     """
-    rows = banded.select("id", "keys").mapInArrow(_locally_starred, "key long, id long, head long")
-    # Rows without a head come first in a bucket, so the first id is the least of all tasks' heads; the frame doesn't hold the bucket.
-    least = F.first("id").over(Window.partitionBy("key").orderBy(F.col("head").isNotNull(), "id").rowsBetween(Window.unboundedPreceding, 0))
-    starred = rows.withColumn("head", F.coalesce("head", least)).where("id <> head")
-    pairs = starred.groupBy(F.col("id").alias("a"), F.col("head").alias("b")).agg(F.collect_set("key").alias("keys"))
-    pairs = checkpointed(pairs)
-    texts = checkpointed(fetch(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()))
-
-    def verified(p: DataFrame) -> DataFrame:
-        left, right = (texts.select(F.col("id").alias(x), F.col("node").alias(f"n{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
-        joined = p.select("a", "b").join(left, "a").join(right, "b").where("na <> nb").select("a", "b", "na", "nb", "ta", "tb")
-        return joined.mapInArrow(_verify(similarity, threshold, feature), "a long, b long, na binary, nb binary, sim double")
-
-    tried = checkpointed(verified(pairs))
-    links = tried.where(F.col("sim") >= threshold).select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    groups = components(links)
+    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = banded.select("id", "keys").mapInArrow(_blocks(parts), "part long, heads binary, others binary")
+    stars = scratch.staged(blocks.repartition("part").select("heads", "others").mapInArrow(_starred, "key long, a long, b long"), "stars")
+    pairs = scratch.staged(stars.select("a", "b").distinct(), "pairs")
+    # A text goes once to each head that it is compared with; the items of a head of many are dealt to several tasks.
+    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / ITEMS).cast("int").alias("shares"))
+    items = pairs.join(small_side(scratch.staged(shares.where("shares > 1"), "shares")), "b", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
+    rows = items.select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("salt"))
+    rows = rows.union(shares.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt")))
+    wanted = rows.groupBy("id").agg(F.collect_list(F.struct("b", "salt")).alias("to")).select("id", F.col("to.b").alias("heads"), F.col("to.salt").alias("salts"))
+    texts = fetch(scratch.staged(wanted, "wanted"), spread, SPREAD).repartition("head", "salt").sortWithinPartitions("head", "salt", F.desc("first"))
+    tried = scratch.staged(texts.mapInArrow(_verified(similarity, threshold, feature), "a long, b long, na binary, nb binary, sim double"), "tried")
+    scratch.drop(pairs)
+    groups = components(tried.where(F.col("sim") >= threshold).select(F.col("na").alias("a"), F.col("nb").alias("b")), scratch)
     missed = tried.where(F.col("sim") < threshold)
     if missed.isEmpty():
         return groups
-    named = texts.select("id", "node").join(groups, "node", "left").select("id", F.coalesce("root", "node").alias("root"), "node")
+    nodes = tried.select(F.col("a").alias("id"), F.col("na").alias("node")).union(tried.select(F.col("b").alias("id"), F.col("nb").alias("node"))).distinct()
+    named = scratch.staged(nodes.join(groups, "node", "left").select("id", F.coalesce("root", "node").alias("root"), "node"), "named")
     apart = missed.select("a", "b").join(named.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(named.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
-    keys = pairs.join(apart.select("a", "b").distinct(), ["a", "b"]).select(F.explode("keys").alias("key")).distinct()
-    of_key = pairs.select("a", "b", F.explode("keys").alias("key")).join(keys, "key", "left_semi")
-    members = checkpointed(of_key.select("key", F.col("a").alias("id")).union(of_key.select("key", F.col("b").alias("id"))).distinct().join(named, "id"))
+    keys = scratch.staged(stars.join(apart.select("a", "b").distinct(), ["a", "b"], "left_semi").select("key").distinct(), "keys")
+    scratch.drop(tried)
+    of_key = stars.join(small_side(keys), "key", "left_semi")
+    members = scratch.staged(of_key.select("key", F.col("a").alias("id")).union(of_key.select("key", F.col("b").alias("id"))).distinct().join(named, "id"), "members")
+    scratch.drop(stars, named)
     main = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("of_main"))
     main = main.where("n > 2")  # the one pair of a bucket of two was tried
-    members = checkpointed(members.join(main.withColumn("s", F.col("n") - F.col("of_main")), "key").select("key", "id", "node", "root", (F.col("root") != F.col("main")).alias("side"), "n", "s"))
+    members = scratch.staged(members.join(main.withColumn("s", F.col("n") - F.col("of_main")), "key").select("key", "id", "node", "root", (F.col("root") != F.col("main")).alias("side"), "n", "s"), "members")
+    none = F.array().cast("array<long>")
+    texts = scratch.staged(fetch(scratch.staged(members.select("id").distinct().select("id", none.alias("heads"), none.alias("salts")), "wanted"), plain, PLAIN), "texts")
     # Each item outside a bucket's main component meets all others of the bucket, tile by tile; only links come out.
     count = lambda c: F.ceil(F.col(c) / TILE).cast("int")
     mine = lambda c, salt: F.pmod(F.xxhash64("id", F.lit(salt)), count(c)).cast("int")
@@ -136,15 +215,26 @@ def linked_groups(banded: DataFrame, fetch: Callable[[DataFrame], DataFrame], fe
     rows = members.where("side").select("key", mine("s", 1).alias("i"), every("n").alias("j"), F.lit(True).alias("left"), "id", "node", "root", "side")
     rows = rows.union(members.select("key", every("s").alias("i"), mine("n", 2).alias("j"), F.lit(False).alias("left"), "id", "node", "root", "side"))
     shared = members.groupBy("id").agg(F.collect_set("key").alias("keys"))  # at most as many as there are bands
-    tiles = rows.join(shared, "id").join(texts.select("node", "text"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "left")
-    more = checkpointed(tiles.select("key", "i", "j", "left", "id", "node", "root", "side", "keys", "text").mapInArrow(_tiled(similarity, threshold, feature), "a binary, b binary"))
-    return groups if more.isEmpty() else components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    tiles = rows.join(shared, "id").join(texts.select("node", "text").dropDuplicates(["node"]), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "left")
+    more = scratch.staged(tiles.select("key", "i", "j", "left", "id", "node", "root", "side", "keys", "text").mapInArrow(_tiled(similarity, threshold, feature, sketch), "a binary, b binary"), "more")
+    return groups if more.isEmpty() else components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch)
 
 
-def _tiled(similarity: Callable, threshold: float, feature: Callable):
+def _tiled(similarity: Callable, threshold: float, feature: Callable, sketch: Callable | None):
     """Links within tiles. A pair is compared in one of the buckets that it shares, and not at all if it was linked before."""
 
+    def near(left: list, right: list) -> np.ndarray | None:
+        """Which pairs may reach the threshold by the estimate of their sketches."""
+        if sketch is None:
+            return None
+        x, y = (np.stack([item[-1] for item in side]) for side in (left, right))
+        m = x.shape[1]
+        least = threshold * m - SLACK * (threshold * (1 - threshold) * m) ** 0.5
+        return np.stack([(row == y).sum(1) >= least for row in x])
+
     def links(right: list, left: list):
+        if not left or not right:
+            return
         features: dict = {}
 
         def of(node, text):
@@ -152,14 +242,17 @@ def _tiled(similarity: Callable, threshold: float, feature: Callable):
                 features[node] = feature(text)
             return features[node]
 
-        for key, u, nu, ru, _, ku, tu in left:
+        may = near(left, right)
+        for at, (key, u, nu, ru, _, ku, tu, _) in enumerate(left):
             met = {ru}
-            for _, v, nv, rv, sv, kv, tv in right:
+            for k in range(len(right)) if may is None else np.flatnonzero(may[at]).tolist():
+                _, v, nv, rv, sv, kv, tv, _ = right[k]
                 if rv not in met and (not sv or u < v) and min(ku & kv) == key and similarity(of(nu, tu), of(nv, tv), threshold) >= threshold:
                     met.add(rv)
                     yield nu, nv
 
     def run(batches):
+        release()
         now, right, left = None, [], []
 
         def out(found):
@@ -168,7 +261,8 @@ def _tiled(similarity: Callable, threshold: float, feature: Callable):
         for b in batches:
             found = []
             c = {n: b.column(n).to_pylist() for n in b.schema.names}
-            for key, i, j, is_left, *item in zip(*(c[n] for n in ("key", "i", "j", "left", "id", "node", "root", "side", "keys", "text")), strict=True):
+            c["sketch"] = sketch(c["text"]) if sketch and c["text"] else [None] * b.num_rows  # of all rows at once
+            for key, i, j, is_left, *item in zip(*(c[n] for n in ("key", "i", "j", "left", "id", "node", "root", "side", "keys", "text", "sketch")), strict=True):
                 if now != (key, i, j):
                     found += links(right, left)
                     now, right, left = (key, i, j), [], []
@@ -178,8 +272,3 @@ def _tiled(similarity: Callable, threshold: float, feature: Callable):
         yield out(list(links(right, left)))
 
     return run
-
-
-def semi(rows: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
-    """rows whose id is among the (checkpointed) ids: by broadcast if these were counted to be few, else by a shuffled join."""
-    return rows.join(small_side(checkpointed(ids)), on, "left_semi")

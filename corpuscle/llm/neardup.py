@@ -9,7 +9,8 @@ two documents agree in it with the probability of their weighted Jaccard similar
 
 Documents of fewer than five words have one shingle of all their words. Texts that are null, empty or of white space alike form
 one class. Copies (equal words) form a class and are signed once. doc_id may be null or repeat: groups are formed by text; the
-least non-null doc_id names a class and a group, and a group without any has a null name. Other columns pass through.
+least non-null doc_id names a class and a group, and a group without any has a null name. Other columns pass through, whatever their
+names. Texts are compared whole, however long. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.cluster import checkpointed, small_side, staged
-from corpuscle.llm.linkage import bag_jaccard, linked_groups, semi
+from corpuscle.cluster import Scratch, checkpointed, small_side
+from corpuscle.llm.linkage import Seen, bag_jaccard, linked_groups
 from corpuscle.llm.worker import release
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -178,9 +179,8 @@ def _signed(bands: int, rows: int):
                 if some:
                     doc, item, weight = shingle_bags([texts[k] for k in some])
                     keys[some] = band_keys(bag_signatures(doc, item, weight, len(some), bands * rows), bands, rows)
-            ids = np.array([int.from_bytes(x[:8], "big", signed=True) for x in nodes], np.int64)
-            sizes = np.fromiter((bands if t else 0 for t in texts), np.int64, len(texts))
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(keys[sizes > 0].ravel()))
+            ids = np.frombuffer(b"".join(nodes), ">i8")[::2].astype(np.int64)
+            lists = pa.array([k.tobytes() if t else b"" for t, k in zip(texts, keys, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(nodes, pa.binary()), pa.array(ids), lists], ["doc_id", "row", "node", "id", "keys"])
 
     return run
@@ -193,46 +193,56 @@ def _bag(text: str) -> tuple[dict, int]:
     return bag, sum(bag.values())
 
 
-def _named(batches):
-    for b in batches:
-        texts = [normalised(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(texts, pa.string())], ["id", "node", "text"])
+def _named(out):
+    def run(batches):
+        seen = Seen()
+        for b in batches:
+            columns = {n: b.column(n).to_pylist() for n in ("id", "r", "text", "heads", "salts")}
+            rows = [x for x in zip(*columns.values(), strict=True) if not seen.again(x[:2])]
+            texts = [normalised(t) for _, _, t, _, _ in rows]
+            yield out([x[0] for x in rows], [xxhash.xxh3_128_digest(t) for t in texts], texts, [x[3] for x in rows], [x[4] for x in rows])
+
+    return run
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """A row for each row of docs (doc_id, text): doc_id, row (a hash of doc_id and text), class_id, class_size, group_id, group_size.
+    """A row for each row of docs (doc_id, text): doc_id, row (a hash of doc_id and text), class_id, class_size, group_id, group_size, kept.
 
     class_id is the least doc_id with the same words, group_id the least of all texts linked by a similarity of threshold or more, directly or by way of others.
     """
     keyed = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    signed = staged(keyed.mapInArrow(_signed(bands, rows), "doc_id long, row long, node binary, id long, keys array<long>"), "signed")
-    classes = staged(signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.first("id").alias("id"), F.first("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("at")), "classes")
-
-    def fetch(ids: DataFrame) -> DataFrame:
-        at = checkpointed(semi(classes.select("id", "at"), ids).select("id", F.col("at.doc_id").alias("d"), F.col("at.row").alias("r")))
-        wanted = keyed.join(small_side(at), keyed["doc_id"].eqNullSafe(at["d"]) & (keyed["row"] == at["r"])).select("id", "text")
-        return wanted.dropDuplicates(["id"]).mapInArrow(_named, "id long, node binary, text string")
-
-    groups = linked_groups(classes, fetch, _bag, bag_jaccard, threshold)
-    named = classes.select("node", "class_id", "class_size", "at").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = named.groupBy("root").agg(F.min("class_id").alias("group_id"), F.sum("class_size").alias("group_size"), F.min("at").alias("first")).where("group_size > 1")
-    several = checkpointed(named.join(heads, "root").select("node", "class_id", "class_size", "group_id", "group_size", "first"))
-    found = signed.select("doc_id", "row", "node").join(small_side(several), "node", "left")
-    alone, own, one = F.col("group_size").isNull(), F.col("doc_id"), F.lit(1).cast("long")
-    kept = alone | (own.eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")))
-    filled = [F.when(alone, own if c.endswith("id") else one).otherwise(F.col(c)).alias(c) for c in ("class_id", "class_size", "group_id", "group_size")]
-    return found.select("doc_id", "row", *filled, kept.alias("kept"))
+    with Scratch(docs.sparkSession, "near") as scratch:
+        signed = scratch.staged(keyed.mapInArrow(_signed(bands, rows), "doc_id long, row long, node binary, id long, keys binary"), "signed")
+        classes = scratch.staged(signed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.first("id").alias("id"), F.first("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("at")), "classes")
+
+        def fetch(wanted: DataFrame, out, schema: str) -> DataFrame:
+            at = classes.select("id", "at").join(wanted, "id").select("id", F.col("at.doc_id").alias("d"), F.col("at.row").alias("r"), "heads", "salts")
+            at = small_side(scratch.staged(at, "at"))
+            found = keyed.join(at, keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["row"] == F.col("r")))
+            return found.select("id", "r", "text", "heads", "salts").mapInArrow(_named(out), schema)
+
+        groups = linked_groups(classes, fetch, _bag, bag_jaccard, threshold, scratch)
+        named = classes.select("node", "class_id", "class_size", "at").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = scratch.staged(named, "named")
+        heads = named.groupBy("root").agg(F.min("class_id").alias("group_id"), F.sum("class_size").alias("group_size"), F.min("at").alias("first")).where("group_size > 1")
+        several = scratch.staged(named.join(small_side(scratch.staged(heads, "heads")), "root").select("node", "class_id", "class_size", "group_id", "group_size", "first"), "several")
+        found = signed.select("doc_id", "row", "node").join(small_side(several), "node", "left")
+        alone, own, one = F.col("group_size").isNull(), F.col("doc_id"), F.lit(1).cast("long")
+        kept = alone | (own.eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row")))
+        filled = [F.when(alone, own if c.endswith("id") else one).otherwise(F.col(c)).alias(c) for c in ("class_id", "class_size", "group_id", "group_size")]
+        return checkpointed(found.select("doc_id", "row", *filled, kept.alias("kept")))
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each group: the first by doc_id (nulls last, then by a hash of the row); of rows equal in doc_id and text one stays."""
-    g = checkpointed(near_groups(docs, threshold).where("group_size > 1").select("doc_id", "row", "kept"))
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    g = near_groups(docs, threshold).where("group_size > 1").select("doc_id", "row", "kept")
+    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("row"))  # a struct, so that no name can clash
 
     def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        keys = small_side(checkpointed(keys.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"))))
-        return rows.join(keys, rows["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), how)
+        keys = small_side(checkpointed(keys.select(F.col("doc_id").alias("d"), F.col("row").alias("r"))))
+        return rows.join(keys, rows["doc.doc_id"].eqNullSafe(F.col("d")) & (rows["row"] == F.col("r")), how)
 
     rest = among(keyed, g.where("not kept").distinct(), "left_anti")
     repeated = g.where("kept").groupBy("doc_id", "row").count().where("count > 1")
-    return among(rest, repeated, "left_anti").unionByName(among(rest, repeated, "left_semi").dropDuplicates(["doc_id", "_row"])).select(docs.columns)
+    once = among(rest, repeated, "left_semi").select("doc", "row", F.col("doc.doc_id").alias("id")).dropDuplicates(["id", "row"]).select("doc", "row")
+    return among(rest, repeated, "left_anti").unionByName(once).select("doc.*")

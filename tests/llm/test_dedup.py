@@ -6,7 +6,8 @@ import random
 import numpy as np
 import pytest
 
-from corpuscle.cluster import ship_code
+from corpuscle.cluster import Scratch, ship_code
+from corpuscle.llm import components as module
 from corpuscle.llm import linededup, neardup
 from corpuscle.llm.components import components
 from corpuscle.llm.linkage import bag_jaccard, set_jaccard
@@ -34,16 +35,20 @@ class Sets:
         self.p[max(a, b)] = min(a, b)
 
 
-def test_components_of_chains_stars_and_noise(spark):
+def test_components_of_chains_stars_and_noise(spark, monkeypatch):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + k) for k in range(1, 400)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(120)] + [(5, 5)]
     s = Sets()
     for a, b in links:
         s.join(a, b)
     df = spark.createDataFrame(links + [(None, 3)], "a long, b long").repartition(7)
-    got = {r.node: r.root for r in components(df).collect()}
-    assert all(got.get(x, x) == s.root(x) for x in s.p)
-    assert components(df.where("false")).count() == 0
+    with Scratch(spark, "test") as scratch:
+        got = {r.node: r.root for r in components(df, scratch).collect()}
+        assert all(got.get(x, x) == s.root(x) for x in s.p)
+        assert components(df.where("false"), scratch).count() == 0
+        monkeypatch.setattr(module, "UNITE_AT_ONCE", 20)  # rounds, as for links beyond one task
+        got = {r.node: r.root for r in components(df, scratch).collect()}
+        assert all(got.get(x, x) == s.root(x) for x in s.p)
 
 
 def documents(rng):
@@ -101,6 +106,17 @@ def test_shingle_bags_count_repeats():
     assert [int(count[doc == d].sum()) for d in range(3)] == [4, 1, 1] and sorted(count[doc == 0].tolist()) == [2, 2]
 
 
+def test_line_signatures_and_codes_equal_plain_ones():
+    rng = random.Random(9)
+    lines = ["".join(rng.choices("abc é日👍.", k=rng.choice((linededup.SHINGLE, 9, 10, 40, 41, 300, 2000)))) for _ in range(80)] + ["abcdefg"] * 3
+    got = linededup.line_signatures(lines, 7)
+    for line, row in zip(lines, got, strict=True):
+        assert (linededup.line_signatures([line], 7)[0] == row).all()
+    plain = ["".join(rng.choices("abé", k=rng.choice((3, 5, 30, 31)))) for _ in range(60)] + lines
+    for a, b in zip(plain, plain[1:], strict=False):
+        assert linededup.codes_jaccard(linededup._codes(a), linededup._codes(b), 0.1) == set_jaccard(linededup._shingles(a), linededup._shingles(b), 0.1)
+
+
 def brute_lines(texts):
     keys = [(i, k, linededup.line_key(line)) for i, t in enumerate(texts) if t for k, line in enumerate(t.split("\n"))]
     names = list(dict.fromkeys(s for *_, s in keys if s))
@@ -154,3 +170,52 @@ def test_line_dedup_hot_line_repeats_nulls_and_empty(spark):
     assert last.text == "" and last.n_chars == 0
     assert len({r.text for r in out if r.doc_id == 3}) == 1
     assert linededup.deduplicated(docs.where("false")).count() == 0
+
+
+def test_dedup_keeps_columns_of_any_name(spark):
+    """Columns that are named like those the operators use inside, very long lines, and an empty table."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, "a shared line of this length\n" + long, "x", 7, "g", "k", 9), (2, "a shared line of this length", None, 8, "h", "l", 9), (2, "a shared line of this length", None, 8, "h", "l", 9), (3, None, "y", 1, "i", "m", 9), (4, long + " more", "z", 2, "j", "n", 9)]
+    schema = "doc_id long, text string, _row string, row int, gone string, d string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    out = sorted(linededup.deduplicated(docs).collect(), key=lambda r: (r.doc_id, str(r.text)))
+    assert linededup.deduplicated(docs).columns == docs.columns and len(out) == 5
+    assert [(r._row, r["row"], r.gone, r.d) for r in out] == sorted([r[2:6] for r in rows], key=lambda x: x[2])
+    assert [r.text for r in out if r.doc_id == 2] == ["", ""] and [r.n_chars for r in out if r.doc_id == 2] == [0, 0]
+    assert out[-1].text == "" and out[0].text == rows[0][1]  # the long line of 4 is near that of 1
+    near = neardup.deduplicated(docs)
+    assert near.columns == docs.columns and sorted(r.doc_id for r in near.collect()) == [1, 2, 3]
+    assert neardup.deduplicated(docs.where("false")).count() == linededup.deduplicated(docs.where("false")).count() == 0
+
+
+def test_a_hot_bucket_of_unlike_items_loses_no_link(spark):
+    """All items share a key; alike ones are found though neither is the least, and only once."""
+    import pyarrow as pa
+
+    from corpuscle.llm import linkage
+
+    rng = random.Random(6)
+    base = ["".join(rng.choices("abcdefgh ", k=60)) for _ in range(150)]
+    texts = sorted(base + [t[:-1] + "z" for t in base[:70]])
+    key = np.array([42], "<i8").tobytes()
+    own = np.array([7], "<i8").tobytes()
+    banded = spark.createDataFrame([(i, key + (own if i % 50 == 0 else b"")) for i in range(len(texts))], "id long, keys binary").repartition(3)
+
+    def fetch(wanted, out, schema):
+        def run(batches):
+            for b in batches:
+                ids = b.column("id").to_pylist()
+                yield out(ids, [b"%09d" % i for i in ids], [texts[i] for i in ids], b.column("heads").to_pylist(), b.column("salts").to_pylist())
+
+        return wanted.select("id", "heads", "salts").mapInArrow(run, schema)
+
+    assert pa is not None
+    want = Sets()
+    sets = [linededup._shingles(t) for t in texts]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if set_jaccard(sets[i], sets[j], 0.8) >= 0.8:
+            want.join(i, j)
+    for sketch in (None, linededup._sketch):
+        with Scratch(spark, "hot") as scratch:
+            got = {int(r.node): int(r.root) for r in linkage.linked_groups(banded, fetch, linededup._codes, linededup.codes_jaccard, 0.8, scratch, sketch).collect()}
+        assert all(got.get(i, i) == want.root(i) for i in range(len(texts))) and len(got) >= 60
