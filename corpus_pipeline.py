@@ -1,12 +1,17 @@
-"""The cleaning pipeline: quality rules, toxicity, line dedup, near-dedup, packing. Each stage's result is written and read again as the next one's documents."""
+"""The cleaning pipeline: quality rules, toxicity, line dedup, near-dedup, packing. Each stage's result is written and read again as the next one's documents.
+
+Rows whose text is null or empty fail the quality rules. Rows that repeat are judged alike, and near-dedup keeps one of them; a null doc_id
+is a document like others. Further columns pass through all stages but the last, whatever their names. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuscle.cluster import shared_dir, ship_code
+from corpuscle.cluster import remove, shared_dir, ship_code
 from corpuscle.llm import linededup, neardup, packing, quality, toxicity
 from corpuscle.llm.encoding import default_path
 
@@ -22,7 +27,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship_code(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
-    return toxicity.scored(docs, model, score="_score").where("_score < 0.7").select(docs.columns)
+    rows = docs.select(F.struct("*").alias("doc"), "text")  # a struct, so that no name can clash
+    return toxicity.scored(rows, model).where("score < 0.7").select("doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +62,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written as Parquet in the shared folder and read again; a stage's result goes when the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs

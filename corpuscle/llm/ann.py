@@ -4,8 +4,8 @@ The graph starts from the neighbours within leaves of a few random-projection tr
 vector is dealt to its leaves; a leaf that is too large is split on at its own medians, by other planes in each tree). Each round joins
 neighbours of neighbours: the neighbours of a vector, in both directions, are compared with each other, every pair with a link that the
 last round brought, and what is nearer than a vector's worst neighbour is offered to it; rounds end when few lists still change. A query
-starts from its neighbours in the graph and visits the neighbours of the nearest vectors found until all of these have been visited; those
-found are ranked in double precision on the original vectors. Queries that reach too few vectors this way are compared with all, in blocks.
+starts from its neighbours in the graph and visits the neighbours of the nearest vectors found (their lists, and the nearest vectors that
+list them) until all of these have been visited; those found are ranked in double precision on the original vectors. Queries that reach too few vectors this way are compared with all, in blocks.
 
 Candidates are compared in half precision, each vector scaled to its greatest component (and all to that of the table), so that very
 large and very small vectors keep their digits.
@@ -34,6 +34,8 @@ HELD = 1 << 25
 #: Neighbours that a leaf offers a vector; members in one side of a tile, where a joint neighbour has many.
 OFFERED, GROUP = 24, 200
 BEAM = 96
+#: Vectors that a search looks at around one that it visits, besides its own list: the nearest of those that list it.
+AROUND = 160
 
 
 #: Queries that are compared with all vectors at once.
@@ -232,6 +234,25 @@ def _links(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[own, other]), pa.array(np.r_[other, own]), pa.array(np.r_[new, new])], ["pivot", "member", "new"])
 
 
+def _scored_links(batches):
+    """Links (pivot, member, score) in both directions; own is true for those of the pivot's list."""
+    for b in batches:
+        ids, nbrs = b.column("id").to_pylist(), [np.frombuffer(x, "<i8") for x in b.column("nbrs").to_pylist()]
+        own = np.repeat(np.array(ids, np.int64), [len(x) for x in nbrs])
+        other = np.concatenate(nbrs) if nbrs else np.zeros(0, np.int64)
+        score = np.frombuffer(b"".join(b.column("scores").to_pylist()), "<f4")
+        mine = np.r_[np.ones(len(own), bool), np.zeros(len(own), bool)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[own, other]), pa.array(np.r_[other, own]), pa.array(np.r_[score, score]), pa.array(mine)], ["pivot", "member", "score", "own"])
+
+
+def search_links(graph: DataFrame, around: int = AROUND) -> DataFrame:
+    """(pivot, member): each list, and the nearest vectors that list it, so that a search that visits a hub doesn't look at all that do."""
+    rows = graph.select("id", "nbrs", "scores").mapInArrow(_scored_links, "pivot long, member long, score float, own boolean")
+    rank = F.row_number().over(Window.partitionBy("pivot").orderBy(F.desc("score"), "member"))
+    near = rows.where("not own").withColumn("rank", rank).where(F.col("rank") <= around).select("pivot", "member")
+    return rows.where("own").select("pivot", "member").union(near).distinct()
+
+
 def links(graph: DataFrame) -> DataFrame:
     rows = graph.select("id", "nbrs", "new").mapInArrow(_links, "pivot long, member long, new boolean")
     return rows.repartition("pivot").groupBy("pivot", "member").agg(F.max("new").alias("new"))
@@ -371,7 +392,7 @@ def searched(vectors: DataFrame, graph: DataFrame, queries: DataFrame, kind: str
         return rows.union(own).repartition("query").sortWithinPartitions("query", F.asc_nulls_first("candidate"))
 
     light = scratch.staged(vectors.mapInArrow(half, "id long, vec binary"), "half")
-    around = scratch.staged(links(graph), "links")
+    around = scratch.staged(search_links(graph), "links")
     best = graph.select("id", "nbrs", "scores").join(queries, "id", "left_semi")
     opened = None
     while True:

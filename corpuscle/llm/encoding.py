@@ -1,27 +1,31 @@
-"""Token ids by the tokenizers library, with each distinct piece of text encoded once.
+"""Token ids by the tokenizers library, with each distinct piece of a block of texts looked up or encoded once.
 
 Both vocabularies split text before any merge, also at a space or newline between two other characters, so a text whose white
 space is single spaces and newlines has the ids of its pieces, one after another. (With the byte-level one a space goes to the
 piece behind it, a newline stands alone.) Pieces recur; a bounded table keeps their ids, and pieces that it lacks are encoded
-in one call for a block of texts. Other texts are split only at a space that a non-space follows.
+in one call for a block of texts. Other texts are split only at a space that a non-space follows. Texts that hold an added token
+(such as an end mark) are encoded whole, as the library finds these before it splits.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from corpuscle.llm.worker import held
 
-#: Pieces whose ids are kept, in each of two generations: when the newer is full it becomes the older.
-KEPT_PIECES = 200_000
-#: Pieces longer than this aren't kept.
+#: Pieces whose ids are kept; of a full table the half goes that wasn't seen for longest.
+KEPT_PIECES = 700_000
+#: Pieces of more bytes than this go first.
 LONG_PIECE = 64
 #: Pieces of letters that are encoded in one text.
 TOGETHER = 500
+#: Marks that often stand behind letters.
+MARKS = (",", ".")
 
 
 def is_latin(text: str) -> bool:
@@ -47,99 +51,177 @@ def other_space(text: str) -> bool:
 _WIDE_SPACE = re.compile("[\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def plain_pieces(text: str) -> list[str] | None:
-    """Pieces of a text whose white space is single spaces and newlines between other characters; else None. A piece behind a newline starts with it."""
-    pieces = (text.replace("\n", " \n") if "\n" in text else text).split(" ")
-    return None if "" in pieces or "\n" in pieces or other_space(text) else pieces
+def is_plain(text: str) -> bool:
+    """Whether the white space of a text is single spaces and newlines between other characters. A piece behind a newline starts with it."""
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return not any(x in text for x in ("  ", " \n", "\n ", "\n\n")) and not other_space(text)
 
 
 class PieceTable:
-    """ids(texts) as little-endian 32-bit bytes. leading: whether the space before a piece belongs to it (byte-level) or is dropped (word-level)."""
+    """Ids of texts. leading: whether the space before a piece belongs to it (byte-level) or is dropped (word-level)."""
 
     def __init__(self, path: str, leading: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added_folded = tuple(x.lower() for x in self.added)
         self.leading = leading
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.names = pa.array([], pa.string())
+        self.lists = pa.array([], pa.list_(pa.uint32()))  # ids of each name
+        self.used = np.zeros(0, np.int64)  # when it was last seen
+        self.clock = 0
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(names.values(), default=0) + 1, bool)  # tokens that end a unit
         if leading:
             self.last[self.tokenizer.encode("\n", add_special_tokens=False).ids] = True
         else:
             self.last[[i for t, i in names.items() if t.endswith("</w>")]] = True
-        self.marks = dict(zip(",.", self._encode([",", "."]), strict=True))
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+    def _encode(self, texts: list[str]) -> pa.ListArray:
+        return pa.array([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else [], pa.list_(pa.uint32()))
+
+    def _spaced(self, pieces: list[str]) -> pa.ListArray:
+        return self._encode([p if p[:1] == "\n" else " " + p for p in pieces] if self.leading else pieces)
 
-    def _learn_letters(self, units: list[str]) -> None:
-        """Puts runs of letters into the table, encoded many at once: a token (a newline, or one that ends a word) tells where each ends."""
-        new = self.new
+    def _letters(self, units: list[str]) -> pa.ListArray:
+        """Ids of runs of letters, encoded many at once: a token (a newline, or one that ends a word) tells where each ends."""
+        out = [pa.array([], pa.list_(pa.uint32()))]
         for i in range(0, len(units), TOGETHER):
             some = units[i : i + TOGETHER]
             text = " " + "\n ".join(some) + "\n" if self.leading else " ".join(some)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.last[ids])
-            if len(ends) == len(some):
-                raw, start, cut = ids.tobytes(), 0, 4 * self.leading
-                for p, e in zip(some, (4 * ends + 4).tolist(), strict=True):
-                    new[p] = raw[start : e - cut]
-                    start = e
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            last = self.last[ids]
+            ends = np.cumsum(~last)[last] if self.leading else np.flatnonzero(last) + 1
+            whole = len(ends) == len(some)
+            out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids[~last] if self.leading else ids)) if whole else self._spaced(some))
+        return pa.concat_arrays(out)
+
+    def _holds_added(self, text: str) -> bool:
+        """Whether the library may find an added token in the text, which it looks for before it splits, or would in lower case."""
+        return any(x in text for x in self.added) or (not self.leading and any(x in low for low in (text.lower(),) for x in self.added_folded))
+
+    def _split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """All pieces of the texts, one text behind another, and where each text's begin (and the last one's end). The first piece of a text has no space before it."""
+        plain, others = [], {}
+        for i, t in enumerate(texts):
+            if self._holds_added(t):
+                others[i] = [t]
+            elif not self.leading:
+                plain.append((t.lower() if is_latin(t) else t).replace("\n", " "))  # as the tokenizer would; fewer distinct pieces
+            elif is_plain(t):
+                plain.append(t.replace("\n", " \n"))
             else:
-                new.update(zip(some, self._encode([" " + p for p in some] if self.leading else some), strict=True))
-
-    def _pieces(self, text: str) -> tuple[str, list[str]]:
-        """The first piece, which no space stands before, and the others."""
-        if not self.leading:
-            text = text.lower() if is_latin(text) else text  # as the tokenizer would; fewer distinct pieces
-            return "", text.replace("\n", " ").split(" ")
-        pieces = plain_pieces(text) or re.split(r" (?=\S)", text)
-        return pieces[0], pieces[1:]
-
-    def _learn(self, lacking: set[str]) -> None:
-        """Puts pieces into the table. Letters with one mark behind them are the letters' ids and the mark's."""
-        old, new, marks = self.old, self.new, self.marks
-        letters, marked, others = set(), [], []
-        for p in lacking:
-            if p in old:
-                new[p] = old[p]
-            elif p.isalpha():
-                letters.add(p)
-            elif p[-1:] in marks and (core := p[:-1]).isalpha():
-                marked.append((p, core))
-                if core in old:
-                    new[core] = old[core]
-                elif core not in new:
-                    letters.add(core)
+                others[i] = re.split(r" (?=\S)", t)
+        lists = pc.split_pattern(pa.array(plain, pa.string()), " ")
+        sizes = np.empty(len(texts), np.int64)
+        is_plain_one = np.ones(len(texts), bool)
+        is_plain_one[list(others)] = False
+        sizes[is_plain_one] = np.diff(lists.offsets.to_numpy())
+        for i, p in others.items():
+            sizes[i] = len(p)
+        starts = np.r_[0, np.cumsum(sizes)]
+        flat = lists.flatten()
+        if others:
+            rest = pa.array([x for i in sorted(others) for x in others[i]], pa.string())
+            flat = pa.concat_arrays([flat, rest])
+            order = np.argsort(np.repeat(np.r_[np.flatnonzero(is_plain_one), np.array(sorted(others), np.int64)], np.r_[sizes[is_plain_one], sizes[sorted(others)]]), kind="stable")
+            flat = flat.take(pa.array(order))
+        return flat, starts
+
+    def _learned(self, pieces: list[str], cores: dict[str, int]) -> tuple[list[str], pa.ListArray, pa.ListArray]:
+        """Ids of pieces that the table lacks; before them, names and ids of letters that came with a mark alone. cores: where letters before a mark
+        stand in the table. Letters with one mark behind them are the letters' ids and the mark's."""
+        letters, others, plan = {}, [], []
+        for p in pieces:
+            if p.isalpha():
+                plan.append((letters.setdefault(p, len(letters)), -1))
+            elif p[-1:] in MARKS and p[:-1].isalpha():
+                plan.append((letters.setdefault(p[:-1], len(letters)), MARKS.index(p[-1])))
             else:
+                plan.append((-1 - len(others), -1))
                 others.append(p)
-        self._learn_letters(list(letters))
-        new.update(zip(others, self._encode([p if p[:1] == "\n" else " " + p for p in others] if self.leading else others), strict=True))
-        for p, core in marked:
-            new[p] = new[core] + marks[p[-1]]
+        units = list(letters)
+        at = np.fromiter((cores.get(u, -1) for u in units), np.int64, len(units))
+        lacking = at < 0
+        fresh = [u for u, x in zip(units, lacking.tolist(), strict=True) if x]
+        known = self.lists.take(pa.array(at[~lacking]))
+        table = pa.concat_arrays([known, self._letters(fresh), self._spaced(others), self._encode(list(MARKS))])
+        place = np.empty(len(units), np.int64)
+        place[~lacking], place[lacking] = np.arange(len(known)), len(known) + np.arange(len(fresh))
+        plan = np.array(plan, np.int64).reshape(-1, 2)
+        first = np.where(plan[:, 0] >= 0, place[np.maximum(plan[:, 0], 0)] if len(place) else 0, len(known) + len(fresh) - 1 - plan[:, 0])
+        marked = plan[:, 1] >= 0
+        parts = np.repeat(first, 1 + marked)
+        ends = np.cumsum(1 + marked)
+        parts[ends[marked] - 1] = len(table) - len(MARKS) + plan[marked, 1]
+        taken = table.take(pa.array(parts))
+        offsets = taken.offsets.to_numpy()
+        lists = pa.ListArray.from_arrays(pa.array(offsets[np.r_[0, ends]].astype(np.int32)), taken.values)
+        return fresh, table.slice(len(known), len(fresh)), lists
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where distinct pieces stand in the table; those that it lacks are learned."""
+        self.clock += 1
+        marked = pc.or_(pc.ends_with(pieces, MARKS[0]), pc.ends_with(pieces, MARKS[1]))
+        cores = pc.utf8_slice_codeunits(pieces.filter(marked), 0, -1)
+        found = pc.index_in(pa.concat_arrays([pieces, cores]), value_set=self.names)
+        at, of_cores = found.slice(0, len(pieces)), found.slice(len(pieces))
+        out = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if at.null_count:
+            lacking = pc.is_null(at)
+            new = pieces.filter(lacking)
+            there = pc.and_(pc.is_valid(of_cores), pc.is_null(at.filter(marked)))
+            known = dict(zip(cores.filter(there).to_pylist(), of_cores.filter(there).to_pylist(), strict=True))
+            more, more_lists, lists = self._learned(new.to_pylist(), known)
+            more = pa.array(more, pa.string())
+            other = pc.invert(pc.is_in(more, value_set=new))  # letters that came with a mark alone
+            more, more_lists = more.filter(other), more_lists.filter(other)
+            out[lacking.to_numpy(zero_copy_only=False)] = len(self.names) + len(more) + np.arange(len(new))
+            self.names = pa.concat_arrays([self.names, more, new])
+            self.lists = pa.concat_arrays([self.lists, more_lists, lists])
+            self.used = np.r_[self.used, np.full(len(more) + len(new), self.clock)]
+        self.used[out] = self.clock
+        return out
+
+    def _forget(self) -> None:
+        """Keeps the half of a full table that was seen last."""
+        if len(self.names) > KEPT_PIECES or self.names.nbytes > 64 * KEPT_PIECES:
+            keep = np.sort(np.argsort(self.used, kind="stable")[-KEPT_PIECES // 2 :])
+            keep = keep[pc.binary_length(self.names).to_numpy(zero_copy_only=False)[keep] <= LONG_PIECE]
+            self.names, self.lists, self.used = self.names.take(pa.array(keep)), self.lists.take(pa.array(keep)), self.used[keep]
+
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text behind another, and where each text's begin (and the last one's end). Give it texts of some million characters at most."""
+        pieces, starts = self._split(texts)
+        coded = pieces.dictionary_encode()
+        codes, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        self._forget()
+        if self.leading:  # what no space stands before is a piece of its own kind
+            at = starts[:-1][np.diff(starts) > 0]
+            firsts, which = np.unique(codes[at], return_inverse=True)
+            bare = self._encode(names.take(pa.array(firsts)).to_pylist())
+            codes[at] = len(names) + which
+            used = np.zeros(len(names), bool)
+            used[codes[codes < len(names)]] = True
+            place = np.zeros(len(names) + len(bare), np.int64)
+            place[: len(names)][used] = self._places(names.filter(pa.array(used)))
+            place[len(names) :] = len(self.names) + np.arange(len(bare))
+            table = pa.concat_arrays([self.lists, bare])
+        else:
+            place = self._places(names)
+            table = self.lists
+        at = place[codes]
+        sizes = np.diff(table.offsets.to_numpy())
+        ids = table.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+        return ids, np.r_[0, np.cumsum(sizes[at])][starts]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Give it texts of a few million characters at most."""
-        split = [self._pieces(t) for t in texts]
-        if len(self.new) > KEPT_PIECES:
-            self.old, self.new = self.new, {}
-        lacking: set[str] = set()
-        for _, pieces in split:
-            lacking.update(pieces)
-        lacking = lacking - self.new.keys()
-        self._learn(lacking)
-        firsts = list({f for f, _ in split})
-        first = dict(zip(firsts, self._encode(firsts), strict=True)) if self.leading else {"": b""}
-        look = self.new.__getitem__
-        out = [first[f] + b"".join(map(look, pieces)) for f, pieces in split]
-        for p in lacking:
-            if len(p) > LONG_PIECE:
-                del self.new[p]
-        return out
+        """Of each text, as little-endian 32-bit bytes."""
+        ids, at = self.flat(texts)
+        return [ids[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def piece_table(path: str, leading: bool) -> PieceTable:

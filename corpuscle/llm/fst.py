@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.llm.encoding import plain_pieces
+from corpuscle.llm.encoding import is_plain
 from corpuscle.llm.worker import held
 
 #: Bounds of the tables; each starts anew beyond it.
@@ -250,7 +250,7 @@ class Encoder:
         """Ids as little-endian 32-bit bytes."""
         if not self.splits:
             return self._ids(text)
-        pieces = plain_pieces(text) or re.split(r" (?=\S)", text)
+        pieces = text.replace("\n", " \n").split(" ") if is_plain(text) else re.split(r" (?=\S)", text)
         learned, out = self._learned, [self._ids(pieces[0])]
         for p in pieces[1:]:
             out.append(self.new.get(p) or learned(p))

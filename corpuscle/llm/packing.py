@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.cluster import staged
+from corpuscle.cluster import Scratch, checkpointed
 from corpuscle.llm.encoding import piece_table
 from corpuscle.llm.neardup import blocks
 
@@ -118,7 +118,7 @@ def _pieces(path: str, leading: bool, end_id: int, capacity: int, with_ids: bool
         for b in batches:
             texts, docs = [t or "" for t in b.column("text").to_pylist()], b.column("doc_id").to_pylist()
             rows: list[tuple] = []
-            for i, j in blocks(texts, 1 << 20):
+            for i, j in blocks(texts, 1 << 22):
                 for d, ids in zip(docs[i:j], table.ids(texts[i:j]), strict=True):
                     for k, piece in enumerate(cut(ids + end, capacity)):
                         n = len(piece) // 4
@@ -134,13 +134,19 @@ def _pieces(path: str, leading: bool, end_id: int, capacity: int, with_ids: bool
 def packed(docs: DataFrame, path: str, leading: bool = False, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, as little-endian 32-bit bytes)."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * with_ids
-    pieces = staged(docs.select("doc_id", "text").mapInArrow(_pieces(path, leading, end_id, capacity, with_ids), schema), "pieces")
-    # Ranks within a task become ranks within a length; the counts have a row for each task and length.
-    counts = staged(pieces.groupBy("length", "part").agg((F.max("rank") + 1).alias("n")), "counts")
-    histogram = dict(counts.groupBy("length").agg(F.sum("n").alias("n")).collect())  # at most `capacity` rows
-    places = placed(plan(histogram, capacity))
-    before = counts.withColumn("before", F.expr("sum(n) over (partition by length order by part rows between unbounded preceding and 1 preceding)")).select("length", "part", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    with Scratch(docs.sparkSession, "packing") as scratch:
+        pieces = scratch.staged(docs.select("doc_id", "text").mapInArrow(_pieces(path, leading, end_id, capacity, with_ids), schema), "pieces")
+        # Ranks within a task become ranks within a length; the counts have a row for each task and length, so they are joined by a shuffle.
+        counts = scratch.staged(pieces.groupBy("length", "part").agg((F.max("rank") + 1).alias("n")), "counts")
+        histogram = dict(counts.groupBy("length").agg(F.sum("n").alias("n")).collect())  # at most `capacity` rows
+        places = placed(plan(histogram, capacity))
+        before = counts.withColumn("before", F.expr("sum(n) over (partition by length order by part rows between unbounded preceding and 1 preceding)")).select("length", "part", F.coalesce("before", F.lit(0)).alias("before"))
+        ranked = pieces.hint("merge").join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+        return checkpointed(_placed_rows(ranked, places, with_ids))
+
+
+def _placed_rows(ranked: DataFrame, places: dict[int, tuple[np.ndarray, ...]], with_ids: bool) -> DataFrame:
+    """Pieces with their sequence and offset, by their rank among those of their length."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def place(batches):

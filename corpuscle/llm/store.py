@@ -2,8 +2,8 @@
 
 A document's ids (with its end id) are cut where a rolling hash of the last WINDOW ids hits a mask, so that equal passages give
 equal chunks. A chunk is named by the SHA-256 of its ids as little-endian 32-bit integers; each is written once, compressed, to
-chunks/. recipes/ holds, in ascending doc_id order (nulls first), each document's chunk names, lengths, start in the whole
-stream and Merkle root; manifest/ holds a Merkle root for each part of the recipes and one over all.
+chunks/. recipes/ holds, in ascending doc_id order (nulls first), each document's chunk names, lengths, part, start inside its part
+and Merkle root; manifest/ holds a Merkle root and the start in the whole stream for each part of the recipes, and a root over all.
 
 Files: Parquet. chunks: name binary, n int, data binary (zstd of 16-bit ids where all fit, else of 32-bit ids; `wide` tells),
 crc long. Null texts count as empty, so their stream is the end id alone. Rows that repeat are documents of their own. Rows
@@ -14,35 +14,45 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.cluster import staged
+from corpuscle.cluster import Scratch, small_side
 from corpuscle.llm.encoding import piece_table
 from corpuscle.llm.neardup import blocks, mixed
 
 WINDOW, MASK_BITS, LEAST, MOST = 16, 10, 256, 8192
 
 
-def boundaries(ids: np.ndarray, least: int = LEAST, most: int = MOST) -> list[int]:
-    """Ends of the chunks of an id stream. The hash at an id depends on the WINDOW ids up to it alone."""
+def _hits(ids: np.ndarray) -> np.ndarray:
+    """Places behind ids at which the rolling hash of the last WINDOW ids hits the mask."""
     h, span = mixed(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), 1
     while span < WINDOW:
         h = h.copy()
         h[span:] += h[:-span] * np.uint64(pow(0xD1342543DE82EF95, span, 1 << 64))
         span *= 2
-    hits = np.flatnonzero(h >> np.uint64(64 - MASK_BITS) == 0) + 1
-    ends, start, k = [], 0, 0
-    while start < len(ids):
-        k = int(np.searchsorted(hits, start + least))
-        end = min(int(hits[k]) if k < len(hits) else len(ids), start + most, len(ids))
-        ends.append(end)
-        start = end
-    return ends
+    return np.flatnonzero(h >> np.uint64(64 - MASK_BITS) == 0) + 1
+
+
+def boundaries(ids: np.ndarray, least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of an id stream. The hash at an id depends on the WINDOW ids up to it alone."""
+    return stream_ends(_hits(ids).tolist(), 0, len(ids), least, most)
+
+
+def stream_ends(hits: list[int], start: int, end: int, least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of the stream from start to end among streams that lie one behind another. A chunk has at least `least` ids, more than WINDOW, so no hash that counts reaches into the stream before."""
+    out, n = [], len(hits)
+    while start < end:
+        k = bisect_left(hits, start + least)
+        start = min(hits[k] if k < n else end, start + most, end)
+        out.append(start)
+    return out
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -53,10 +63,9 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
-def packed_ids(raw: bytes) -> tuple[bytes, bool]:
-    ids = np.frombuffer(raw, "<u4")
+def packed_ids(ids: np.ndarray, compressor: zstandard.ZstdCompressor) -> tuple[bytes, bool]:
     wide = bool(ids.max(initial=0) > 0xFFFF)
-    return zstandard.ZstdCompressor(level=1).compress(raw if wide else ids.astype("<u2").tobytes()), wide
+    return compressor.compress(ids.astype("<u4" if wide else "<u2").tobytes()), wide
 
 
 def unpacked_ids(data: bytes, wide: bool) -> bytes:
@@ -94,62 +103,88 @@ def crc_joined(first: int, second: int, second_bytes: int) -> int:
 
 
 def _chunked(path: str, leading: bool, end_id: int):
-    """A row per chunk (seq from 0), with the document's root and number of ids on each."""
+    """A row per chunk; a document's first chunk bears the document's recipe."""
+    names = ["at", "name", "n", "wide", "data", "doc_id", "root", "n_tokens", "names", "sizes"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
 
     def run(batches):
-        table, end = piece_table(path, leading), np.array([end_id], "<u4").tobytes()
+        table, compressor = piece_table(path, leading), zstandard.ZstdCompressor(level=1)
+        at = TaskContext.get().partitionId() << 40  # the place of a row in the whole table
         for b in batches:
             texts, docs = [t or "" for t in b.column("text").to_pylist()], b.column("doc_id").to_pylist()
-            for i, j in blocks(texts, 1 << 20):
-                rows = []
-                for d, ids in zip(docs[i:j], table.ids(texts[i:j]), strict=True):
-                    ids += end
-                    ends = boundaries(np.frombuffer(ids, "<u4"))
-                    parts = [ids[4 * s : 4 * e] for s, e in zip([0, *ends], ends, strict=False)]
-                    names = [hashlib.sha256(p).digest() for p in parts]
-                    root = merkle_root(names)
-                    for k, (p, name) in enumerate(zip(parts, names, strict=True)):
-                        data, wide = packed_ids(p)
-                        rows.append((d, root, len(ids) // 4, name, len(p) // 4, wide, data, names if not k else None, [len(p) // 4 for p in parts] if not k else None))
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "root", "n_tokens", "name", "n", "wide", "data", "names", "sizes"])
+            for i, j in blocks(texts, 1 << 22):
+                ids, ends = table.flat(texts[i:j])
+                ids = np.insert(ids, ends[1:], end_id).astype("<u4", copy=False)
+                ends = (ends + np.arange(len(ends))).tolist()
+                hits, rows = _hits(ids).tolist(), []
+                for d, start, end in zip(docs[i:j], ends, ends[1:], strict=False):
+                    cuts = stream_ends(hits, start, end)
+                    parts = [ids[x:y] for x, y in zip([start, *cuts], cuts, strict=False)]
+                    hashes = [hashlib.sha256(p).digest() for p in parts]
+                    recipe = (d, merkle_root(hashes), end - start, hashes, [len(p) for p in parts])
+                    for p, name in zip(parts, hashes, strict=True):
+                        data, wide = packed_ids(p, compressor)
+                        rows.append((at, name, len(p), wide, data, *recipe))
+                        at, recipe = at + 1, (None,) * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-_CHUNKS = "name binary, n int, wide boolean, data binary"
-_RECIPES = "doc_id long, root binary, n_tokens long, names array<binary>, sizes array<int>"
+_CHUNKED = "at long, name binary, n int, wide boolean, data binary, doc_id long, root binary, n_tokens long, names array<binary>, sizes array<int>"
+
+
+def _roots(batches):
+    """Of (part, root, n_tokens) in order: each part's Merkle root, documents and ids. A part's roots are held by its task."""
+    now, roots, n = None, [], 0
+
+    def out(part, roots, n):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([merkle_root(roots)], pa.binary()), pa.array([len(roots)], pa.int64()), pa.array([n], pa.int64())], ["part", "root", "documents", "n_tokens"])
+
+    for b in batches:
+        for part, root, k in zip(b.column("part").to_pylist(), b.column("root").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
+            if part != now:
+                if now is not None:
+                    yield out(now, roots, n)
+                now, roots, n = part, [], 0
+            roots.append(root)
+            n += k
+    if now is not None:
+        yield out(now, roots, n)
 
 
 def write_store(docs: DataFrame, out: str, path: str, leading: bool = True, end_id: int = 0, parts: int | None = None) -> None:
-    """Encodes docs (doc_id, text) and writes the store to the folder out, which all executors must see."""
+    """Encodes docs (doc_id, text) and writes the store to the folder out, which all executors must see. Texts are encoded once."""
     spark = docs.sparkSession
-    chunked = docs.select("doc_id", "text").mapInArrow(_chunked(path, leading, end_id), "doc_id long, root binary, n_tokens long, name binary, n int, wide boolean, data binary, names array<binary>, sizes array<int>")
-    # Rows of copies are written once a task group: the first of each name stays.
-    staging = staged(chunked, "chunks")
-    staging.select("name", "n", "wide", "data").dropDuplicates(["name"]).write.option("compression", "uncompressed").parquet(f"{out}/chunks")
-    recipes = staged(staging.where("names is not null").select("doc_id", "root", "n_tokens", "names", "sizes"), "recipes")
-    parts = parts or max(1, recipes.rdd.getNumPartitions())
-    ordered = recipes.repartitionByRange(parts, "doc_id", "root").sortWithinPartitions("doc_id", "root").withColumn("part", F.spark_partition_id())
-    ordered = staged(ordered, "ordered")
-    totals = ordered.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per part
-    before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    running = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    started = ordered.withColumn("_in", running).join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("_in")).drop("_in", "before")
-    started.write.parquet(f"{out}/recipes")
-
-    def roots(batches):
-        by: dict[int, list[bytes]] = {}
-        for b in batches:
-            for p, r in zip(b.column("part").to_pylist(), b.column("root").to_pylist(), strict=True):
-                by.setdefault(p, []).append(r)
-        yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([merkle_root(x) for x in by.values()], pa.binary()), pa.array([len(x) for x in by.values()], pa.int64())], ["part", "root", "documents"])
-
-    manifest = ordered.select("part", "root").mapInArrow(roots, "part int, root binary, documents long").toArrow().sort_by("part")  # one row per part
-    rows = [(p, bytes(r), n) for p, r, n in zip(*(manifest.column(c).to_pylist() for c in ("part", "root", "documents")), strict=True)]
-    rows.append((-1, merkle_root([r for _, r, _ in rows]), sum(n for *_, n in rows)))
-    spark.createDataFrame(rows, "part int, root binary, documents long").coalesce(1).write.parquet(f"{out}/manifest")
+    with Scratch(spark, "store") as scratch:
+        staging = scratch.staged(docs.select("doc_id", "text").mapInArrow(_chunked(path, leading, end_id), _CHUNKED), "chunks")
+        # Copies are found by name alone: of each name the first row stays, payloads aren't shuffled unless there are too many copies to broadcast their places.
+        seen = staging.select("name", "at").join(staging.groupBy("name").agg(F.min("at").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k"), "name")
+        copies = scratch.staged(seen.where("at <> least").select("at"), "copies")
+        chunks = staging.select("at", "name", "n", "wide", "data").join(small_side(copies), "at", "left_anti").drop("at")
+        chunks.write.option("compression", "uncompressed").parquet(f"{out}/chunks")  # the data are compressed
+        recipes = staging.where("names is not null").select("doc_id", "root", "n_tokens", "names", "sizes")
+        ordered = recipes.repartitionByRange(parts, "doc_id", "root") if parts else recipes.repartitionByRange("doc_id", "root")
+        ordered = ordered.withColumn("part", F.spark_partition_id())
+        place = Window.partitionBy("part").orderBy("doc_id", "root", "k").rowsBetween(Window.unboundedPreceding, 0)
+        ordered = scratch.staged(ordered.withColumn("k", F.monotonically_increasing_id()), "ordered")  # k: of rows alike in doc_id and root
+        running = ordered.withColumn("inside", F.sum("n_tokens").over(place) - F.col("n_tokens"))
+        running.select("part", "inside", "doc_id", "root", "n_tokens", "names", "sizes").write.parquet(f"{out}/recipes")
+        narrow = spark.read.parquet(f"{out}/recipes").select("part", "inside", "root", "n_tokens").repartition("part").sortWithinPartitions("part", "inside")
+        manifest = narrow.select("part", "root", "n_tokens").mapInArrow(_roots, "part int, root binary, documents long, n_tokens long").toArrow().sort_by("part")  # one row per part
+    rows, start = [], 0
+    for p, r, n, k in zip(*(manifest.column(c).to_pylist() for c in ("part", "root", "documents", "n_tokens")), strict=True):
+        rows.append((p, r, n, start))
+        start += k
+    rows.append((-1, merkle_root([r for _, r, *_ in rows]), sum(n for _, _, n, _ in rows), start))
+    spark.createDataFrame([(p, bytearray(r), n, s) for p, r, n, s in rows], "part int, root binary, documents long, start long").coalesce(1).write.parquet(f"{out}/manifest")
+
+
+def read_recipes(spark: SparkSession, out: str) -> DataFrame:
+    """part, doc_id, root, start (ids of all documents before it), n_tokens, names, sizes."""
+    before = spark.read.parquet(f"{out}/manifest").select("part", F.col("start").alias("before"))  # one row per part
+    recipes = spark.read.parquet(f"{out}/recipes").join(F.broadcast(before), "part")
+    return recipes.select("part", "doc_id", "root", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "names", "sizes")
 
 
 def read_chunks(spark: SparkSession, out: str) -> DataFrame:
@@ -158,7 +193,7 @@ def read_chunks(spark: SparkSession, out: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, out: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (array): every document rebuilt from its chunks."""
-    recipes = spark.read.parquet(f"{out}/recipes")
+    recipes = read_recipes(spark, out)
     parts = recipes.select("doc_id", "start", "n_tokens", F.posexplode("names").alias("k", "name")).join(read_chunks(spark, out), "name")
 
     def joined(batches):
@@ -185,16 +220,19 @@ def verified_digests(spark: SparkSession, out: str) -> DataFrame:
     def summed(batches):
         for b in batches:
             rows = []
-            for names, chunks, root in zip(b.column("names").to_pylist(), b.column("chunks").to_pylist(), b.column("root").to_pylist(), strict=True):
-                crc, n, good = 0, 0, len(chunks) == len(names) and merkle_root(names) == root
+            for chunks, root, count in zip(b.column("chunks").to_pylist(), b.column("root").to_pylist(), b.column("count").to_pylist(), strict=True):
+                crc, n, good = 0, 0, len(chunks) == count and merkle_root([c["name"] for c in chunks]) == root
                 for c in chunks:
+                    if c["n"] is None:  # its chunk is not in the store
+                        good = False
+                        continue
                     crc, n, good = crc_joined(crc, c["crc"], 4 * c["n"]), n + c["n"], good and c["good"]
                 rows.append((n, crc, good))
             n, crc, good = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(good, pa.bool_())], ["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
-    recipes = spark.read.parquet(f"{out}/recipes")
+    recipes = read_recipes(spark, out)
     chunks = read_chunks(spark, out).select("name", "data", "wide").mapInArrow(digested, "name binary, crc long, n int, good boolean")
-    keyed = recipes.select("part", "start", F.posexplode("names").alias("k", "name")).join(chunks, "name")
-    lists = keyed.groupBy("part", "start").agg(F.sort_array(F.collect_list(F.struct("k", "crc", "n", "good"))).alias("chunks"))
-    return recipes.join(lists, ["part", "start"], "left").select("doc_id", "start", "root", "names", F.coalesce("chunks", F.array()).alias("chunks")).mapInArrow(summed, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+    keyed = recipes.select("doc_id", "start", "root", F.size("names").alias("count"), F.posexplode("names").alias("k", "name")).join(chunks, "name", "left")
+    lists = keyed.groupBy("start", "doc_id", "root", "count").agg(F.sort_array(F.collect_list(F.struct("k", "name", "crc", "n", "good"))).alias("chunks"))
+    return lists.select("doc_id", "start", "root", "count", "chunks").mapInArrow(summed, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
