@@ -7,8 +7,9 @@ last round brought, and what is nearer than a vector's worst neighbour is offere
 starts from its neighbours in the graph and visits the neighbours of the nearest vectors found (their lists, and the nearest vectors that
 list them) until all of these have been visited; those found are ranked in double precision on the original vectors. Queries that reach too few vectors this way are compared with all, in blocks.
 
-Candidates are compared in half precision, each vector scaled to its greatest component (and all to that of the table), so that very
-large and very small vectors keep their digits.
+Candidates are compared in half precision, each vector scaled to its greatest component, whose size is kept beside it, relative to the
+table's median; sizes further than 2^50 from the median count as that far, so that no product over- or underflows. The final ranks
+come from the original vectors.
 
 Vectors that are null, zero, hold a null or non-finite component, or have another length than most, take no part, neither do rows with a null
 id; of rows with one id the least vector counts. Ties go to the smaller id. With fewer candidates than asked for all are
@@ -36,14 +37,15 @@ OFFERED, GROUP = 24, 200
 BEAM = 96
 #: Vectors that a search looks at around one that it visits, besides its own list: the nearest of those that list it.
 AROUND = 160
-
+#: Sizes of vectors are told apart up to this power of two from the median.
+FAR = 50
 
 #: Queries that are compared with all vectors at once.
 AT_ONCE = 1024
 
 
 def usable(table: DataFrame, vec_id: str, vector: str, scratch: Scratch) -> tuple[DataFrame, float]:
-    """(id, vec) of the rows that take part, where vec holds little-endian floats of the column's own precision; and the greatest component's size."""
+    """(id, vec) of the rows that take part, where vec holds little-endian floats of the column's own precision; and the median size of their greatest components."""
     wide = "double" in dict(table.dtypes)[vector]
     v = F.col("v")
     ok = F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -56,7 +58,7 @@ def usable(table: DataFrame, vec_id: str, vector: str, scratch: Scratch) -> tupl
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([float(np.abs(x).max()) for x in v], pa.float64())], ["id", "vec", "most"])
 
     rows = scratch.staged(rows.mapInArrow(packed, "id long, vec binary, most double"), "vectors")
-    common = rows.groupBy(F.octet_length("vec").alias("n")).agg(F.count("*").alias("count"), F.max("most").alias("most")).orderBy(F.desc("count"), "n").first()
+    common = rows.groupBy(F.octet_length("vec").alias("n")).agg(F.count("*").alias("count"), F.percentile_approx("most", 0.5).alias("most")).orderBy(F.desc("count"), "n").first()
     return rows.where(F.octet_length("vec") == (common["n"] if common else 0)).select("id", "vec"), common["most"] if common else 1.0
 
 
@@ -65,12 +67,23 @@ def _matrix(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1)
 
 
-def _halves(v: np.ndarray, top: float) -> list[bytes]:
-    """Vectors in half precision: the greatest component's size, relative to the table's, then components relative to it."""
-    v = v.astype(np.float64) / top
+def _sized(v: np.ndarray, middle: float) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes of the greatest components relative to the table's middle, within 2^-FAR and 2^FAR; vectors over their greatest component's size)."""
+    v = v.astype(np.float64)
     most = np.abs(v).max(1, keepdims=True)
-    v = (v / np.where(most > 0, most, 1.0)).astype("<f2")
-    return [m.tobytes() + x.tobytes() for m, x in zip(most.astype("<f4"), v, strict=True)]
+    return np.exp2(np.clip(np.log2(most) - np.log2(middle), -FAR, FAR)), v / most
+
+
+def _single(v: np.ndarray, middle: float) -> np.ndarray:
+    """Vectors relative to the table's middle, in single precision."""
+    size, v = _sized(v, middle)
+    return (v * size).astype(np.float32)
+
+
+def _halves(v: np.ndarray, middle: float) -> list[bytes]:
+    """Vectors in half precision: the greatest component's size in single precision, then components relative to it."""
+    size, v = _sized(v, middle)
+    return [m.tobytes() + x.tobytes() for m, x in zip(size.astype("<f4"), v.astype("<f2"), strict=True)]
 
 
 def _whole(column) -> np.ndarray:
@@ -159,10 +172,10 @@ def halved(v: np.ndarray, most: int, seed) -> list[np.ndarray]:
     return out
 
 
-def _in_leaves(kind: str, leaf: int, top: float):
+def _in_leaves(kind: str, leaf: int, middle: float):
     def run(batches):
         for key, rows in _grouped(batches, ("tree", "leaf", "part")):
-            all_ids, vectors = np.array(rows["id"], np.int64), (_matrix(rows["vec"], kind) / top).astype(np.float32)
+            all_ids, vectors = np.array(rows["id"], np.int64), _single(_matrix(rows["vec"], kind), middle)
             for part in halved(vectors, 2 * leaf, key):
                 ids, v = all_ids[part], vectors[part]
                 if len(ids) < 2:
@@ -292,27 +305,27 @@ def _joined(batches):
     yield _emit(out, *_LIST)
 
 
-def _small(kind: str, top: float):
+def _small(kind: str, middle: float):
     """Vectors in half precision, for comparing candidates; with the worst score of each vector's list."""
 
     def run(batches):
         for b in batches:
             worst = [float(np.frombuffer(s, "<f4")[-1]) if s else -np.inf for s in b.column("scores").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_halves(_matrix(b.column("vec"), kind), top), pa.binary()), pa.array(worst, pa.float32())], ["member", "vec", "worst"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_halves(_matrix(b.column("vec"), kind), middle), pa.binary()), pa.array(worst, pa.float32())], ["member", "vec", "worst"])
 
     return run
 
 
-def neighbour_graph(vectors: DataFrame, kind: str, scratch: Scratch, top: float = 1.0, degree: int = DEGREE, trees: int = TREES, rounds: int | None = None, leaf: int = LEAF, fit_rows: int = FIT_ROWS, held: int = HELD) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, kind: str, scratch: Scratch, middle: float = 1.0, degree: int = DEGREE, trees: int = TREES, rounds: int | None = None, leaf: int = LEAF, fit_rows: int = FIT_ROWS, held: int = HELD) -> DataFrame:
     """(id, nbrs, scores): the best neighbours found for each vector. vectors: (id, vec). Rounds go on until few entries are new, or as many as told."""
     n = vectors.count()
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("vec").toArrow().column("vec").to_pylist()
     depth = max(0, min(int(np.ceil(np.log2(max(1, n / leaf)))), int(np.log2(max(1, len(sample) / 16)))))
-    fitted = fit_trees((_matrix(sample, kind) / top).astype(np.float32), depth, trees) if sample else []
+    fitted = fit_trees(_single(_matrix(sample, kind), middle), depth, trees) if sample else []
 
     def dealt(batches):
         for b in batches:
-            v = (_matrix(b.column("vec"), kind) / top).astype(np.float32)
+            v = _single(_matrix(b.column("vec"), kind), middle)
             for t, tree in enumerate(fitted):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(leaves_of(v, tree, depth)), b.column("id"), b.column("vec")], ["tree", "leaf", "id", "vec"])
 
@@ -323,20 +336,20 @@ def neighbour_graph(vectors: DataFrame, kind: str, scratch: Scratch, top: float
     parts = F.greatest(F.lit(1), F.ceil(F.col("count") / together))
     rows = rows.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("tree", "id"), parts).cast("int")).select("tree", "leaf", "part", "id", "vec")
     rows = rows.repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part")
-    graph, done = as_graph(rows.mapInArrow(_in_leaves(kind, leaf, top), _LISTS), degree, scratch), 0
+    graph, done = as_graph(rows.mapInArrow(_in_leaves(kind, leaf, middle), _LISTS), degree, scratch), 0
     while done != rounds:
-        before, graph, done = graph, joined(vectors, graph, kind, degree, scratch, top), done + 1
+        before, graph, done = graph, joined(vectors, graph, kind, degree, scratch, middle), done + 1
         scratch.drop(before)
         if rounds is None and (graph.agg(F.sum("n_new")).first()[0] or 0) <= FEW * n * degree:
             break
     return graph
 
 
-def joined(vectors: DataFrame, graph: DataFrame, kind: str, degree: int, scratch: Scratch, top: float = 1.0) -> DataFrame:
+def joined(vectors: DataFrame, graph: DataFrame, kind: str, degree: int, scratch: Scratch, middle: float = 1.0) -> DataFrame:
     """The graph after one more round."""
     small = vectors.join(graph.select("id", "scores", F.octet_length("nbrs").alias("n")), "id", "left")
     full = F.coalesce(F.col("n") >= 8 * degree, F.lit(False))
-    small = small.select("id", "vec", F.when(full, F.col("scores")).otherwise(F.lit(b"")).alias("scores")).mapInArrow(_small(kind, top), "member long, vec binary, worst float")
+    small = small.select("id", "vec", F.when(full, F.col("scores")).otherwise(F.lit(b"")).alias("scores")).mapInArrow(_small(kind, middle), "member long, vec binary, worst float")
     around = tiled(links(graph)).join(small, "member").repartition("pivot", "tile").sortWithinPartitions("pivot", "tile")
     return as_graph(around.select("pivot", "tile", "side", "member", "new", "vec", "worst").mapInArrow(_joined, _LISTS), degree, scratch, graph)
 
@@ -379,12 +392,12 @@ def _ranked(k: int, kind: str):
     return run
 
 
-def searched(vectors: DataFrame, graph: DataFrame, queries: DataFrame, kind: str, scratch: Scratch, top: float = 1.0, k: int = 20, beam: int = BEAM) -> DataFrame:
+def searched(vectors: DataFrame, graph: DataFrame, queries: DataFrame, kind: str, scratch: Scratch, middle: float = 1.0, k: int = 20, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score. queries: (id), of vectors in the graph."""
 
     def half(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_halves(_matrix(b.column("vec"), kind), top), pa.binary())], ["id", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_halves(_matrix(b.column("vec"), kind), middle), pa.binary())], ["id", "vec"])
 
     def with_vectors(pairs: DataFrame, of: DataFrame) -> DataFrame:
         own = queries.join(of, "id").select(F.col("id").alias("query"), F.lit(None).cast("long").alias("candidate"), "vec")
@@ -447,7 +460,7 @@ def nearest(table: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "e
     """The k nearest found of each row that is_query (a column over `id`) marks, among all other rows."""
     kind = "<f8" if "double" in dict(table.dtypes)[vector] else "<f4"
     with Scratch(table.sparkSession, "neighbours") as scratch:
-        vectors, top = usable(table, vec_id, vector, scratch)
-        graph = neighbour_graph(vectors, kind, scratch, top)
+        vectors, middle = usable(table, vec_id, vector, scratch)
+        graph = neighbour_graph(vectors, kind, scratch, middle)
         queries = scratch.staged(vectors.select("id").where(is_query), "queries")
-        return checkpointed(searched(vectors, graph, queries, kind, scratch, top, k))
+        return checkpointed(searched(vectors, graph, queries, kind, scratch, middle, k))
