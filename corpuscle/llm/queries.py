@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.cluster import shared_dir, ship_code
-from corpuscle.llm import ann, chat, fst, html, linededup, neardup, packing, quality, store, toxicity
+from corpuscle.llm import ann, chat, divergence, fst, html, linededup, neardup, packing, quality, store, toxicity
 from corpuscle.llm.encoding import default_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,37 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        bool_and(ok IS TRUE) AND max_by(role, k) = 'assistant' AS valid
 FROM e GROUP BY conv_id
 """
+
+
+@_query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+ORACLE_SQL["op11_source_divergence"] = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), o AS MATERIALIZED (
+  SELECT lang, source, id, term, count(*) AS n FROM (SELECT lang, source, id, unnest(terms) AS term FROM d) GROUP BY ALL
+), k AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM o GROUP BY ALL HAVING count(*) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS MATERIALIZED (
+  SELECT s.lang, s.source, coalesce(x.n, 0) AS total, coalesce(v.v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) s
+  LEFT JOIN (SELECT o.lang, o.source, sum(o.n) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL) x USING (lang, source) LEFT JOIN v USING (lang)
+), c AS (SELECT lang, source, term, sum(n) AS n FROM o GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT k.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + g.v))::BIGINT AS p,
+         (1 + 1000000000::HUGEINT * (k.n + 1) // (v.n + v.v))::BIGINT AS q
+  FROM k JOIN g USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = k.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) f
+  ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+r AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms
+)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
