@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.cluster import shared_dir, ship_code
-from corpuscle.llm import ann, chat, divergence, fst, html, linededup, neardup, packing, quality, store, toxicity
+from corpuscle.llm import alignment, ann, chat, divergence, fst, html, licenses, linededup, neardup, packing, quality, store, toxicity
 from corpuscle.llm.encoding import default_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,43 @@ r AS (
 )
 SELECT lang, source, part, item, value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 200
 """
+
+
+@_query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{label}', '{text.replace("'", "''")}')" for k, (label, text) in enumerate(licenses.TEMPLATES))
+_FOLD_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS_SQL = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL["op13_license_scan"] = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {_FOLD_SQL.format("coalesce(text, '')")} AS text FROM documents),
+w AS MATERIALIZED (SELECT id, doc_id, {_WORDS_SQL.format("text")} AS w FROM d),
+h AS (
+  SELECT id, i, CASE WHEN w[i + 1] = 'mit' THEN 'mit' WHEN w[i + 1] = 'apache' THEN 'apache' ELSE 'gpl' END AS label FROM (SELECT id, w, unnest(range(0, len(w))) AS i FROM w)
+  WHERE (w[i + 1] IN ('mit', 'apache') AND w[i + 2] = 'license') OR (w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license')
+), base AS (SELECT id, count(*) AS n, min(i) AS a, max(i) AS b, list(DISTINCT label) AS labels FROM h GROUP BY id),
+b AS (SELECT id, row_number() OVER () AS block, {_WORDS_SQL.format("block")} AS w FROM (SELECT id, unnest(regexp_split_to_array(text, '
+[ 	
+]*
+[ 	
+
+]*')) AS block FROM d)),
+g AS (SELECT DISTINCT id, block, w[i:i + 2] AS t FROM (SELECT id, block, w, unnest(range(1, len(w) - 1)) AS i FROM b)),
+x AS (SELECT k, label, {_WORDS_SQL.format(_FOLD_SQL.format("text"))} AS w FROM (VALUES {_TEMPLATE_ROWS}) t(k, label, text)),
+y AS MATERIALIZED (SELECT DISTINCT k, label, w[i:i + 2] AS t FROM (SELECT k, label, w, unnest(range(1, len(w) - 1)) AS i FROM x)),
+s AS (SELECT k, count(*) AS n FROM y GROUP BY k),
+links AS (SELECT id, label, count(*)::DOUBLE / any_value(n) AS share FROM g JOIN y USING (t) JOIN s USING (k) GROUP BY id, block, k, label HAVING count(*)::DOUBLE / any_value(n) >= 0.8),
+m AS (SELECT id, list(DISTINCT label) AS labels, max(share) AS share FROM links GROUP BY id),
+n AS (SELECT id, count(*) AS n_links FROM links GROUP BY id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0) AS n_base, a AS first_word, base.b AS last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(m.labels, [])))), ',') AS labels,
+       CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(m.share, 0) END::DOUBLE AS score, coalesce(n_links, 0) AS n_links
+FROM w LEFT JOIN base USING (id) LEFT JOIN m USING (id) LEFT JOIN n USING (id)
+"""
+
+
+@_query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), default_path("piece_bpe_32k.model"))
