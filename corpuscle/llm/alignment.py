@@ -34,9 +34,9 @@ from corpuscle.llm.encoding import is_plain
 from corpuscle.llm.worker import held
 
 #: Characters of texts that are aligned at once; units that a worker keeps; bytes of a unit beyond which it isn't kept.
-BLOCK, KEPT_UNITS, LONG_UNIT = 14 << 20, 400_000, 64
-#: Units that are encoded as one text.
-TOGETHER = 500
+BLOCK, KEPT_UNITS, LONG_UNIT = 6 << 20, 300_000, 64
+#: Units that are encoded as one text; and in one call.
+TOGETHER, AT_ONCE = 500, 50_000
 WIDE = 1 << 32
 #: The character that stands for a space in pieces.
 SPACE = "▁"
@@ -232,7 +232,7 @@ class UnitTable:
         lacking = pc.is_null(at)
         place = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         new = names.filter(lacking)
-        fresh = self._fresh(new) if len(new) else Aligned.none()
+        fresh = Aligned.joined([Aligned.none(), *(self._fresh(new.slice(i, AT_ONCE)) for i in range(0, len(new), AT_ONCE))])
         place[lacking.to_numpy(zero_copy_only=False)] = len(self.names) + np.arange(len(new))
         every = Aligned.joined([self.units, fresh])
         known = place[place < len(self.names)]
