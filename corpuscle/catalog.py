@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpuscle.cluster import checkpointed, ship_code
 from corpuscle.functions import text as T
 from corpuscle.functions.patterns import BASE, SPACELESS, SUFFIXES, duckdb_chunks
-from corpuscle.operators import bpe, chunks, metrics, morphology, registers, search, surface
+from corpuscle.operators import bpe, chunks, evaluation, metrics, morphology, registers, search, surface
 from corpuscle.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -619,6 +619,6 @@ def evaluate_many_small(spark, sf_dir):
     d = documents(spark, sf_dir, "doc_id", "source", "text")
     words = [r.word for r in corpus.words_of(table(spark, sf_dir, "benchmark").select("text")).collect()]
     held = chunks.counted(d.where("doc_id % 2 = 1"), by=("source",)).withColumnRenamed("source", "shard")
-    out = bpe.evaluate_candidates(spark, chunks.counted(d.where("doc_id % 2 = 0")), held, words, [(k, bpe.Rules.of(p)) for k, p in enumerate(_CANDIDATES)], bpe.BYTES + 10)
+    out = evaluation.evaluate_candidates(spark, chunks.counted(d.where("doc_id % 2 = 0")), held, words, [(k, bpe.Rules.of(p)) for k, p in enumerate(_CANDIDATES)], bpe.BYTES + 10)
     total = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select("cand", "base", "infl", total("tokens").alias("tokens"), total("dead").alias("dead"), "error")

@@ -3,13 +3,12 @@
 A word is a string of tokens: <74> for a byte, <T00042> for the token that merge 42 made. Replacing the text of a pair is
 then the left-to-right, non-overlapping merge, and text order of tokens is id order. Few merges are trained as a
 DataFrame loop; a vocabulary is trained in one task over the distinct chunks, by array operations with counts kept up to date, as long as
-there are not more of them than MOST_IN_TASK; beyond that, the DataFrame loop makes the same merges.
+there are not more of them than MOST_IN_TASK; beyond that, rounds over blocks of chunks make the same merges (merging.py).
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.cluster import checkpointed
@@ -132,6 +131,12 @@ class _Book:
         self.merges: list[Merge] = []
         self.rule_of: dict[tuple[int, int], int] = {}
 
+    def copy(self, rules: Rules) -> _Book:
+        """The same tokens and merges under other rules."""
+        out = _Book(rules)
+        out.bytes, out.merges, out.rule_of = list(self.bytes), list(self.merges), dict(self.rule_of)
+        return out
+
     def allows(self, a: int, b: int) -> bool:
         return (a, b) not in self.rule_of and _allowed(self.rules, self.bytes[a], self.bytes[b], self.blocked, self.forced, self.forced_whole)
 
@@ -249,6 +254,17 @@ class _Trainer:
         if not self.count.get(key):
             self.count.pop(key, None)
 
+    def copy(self, rules: Rules, found: tuple[int, int] | None = None) -> _Trainer:
+        """The trainer as it stands, to go on by other rules. found: a pair and its count that were taken from the heap and not merged."""
+        out = object.__new__(_Trainer)
+        out.book = self.book.copy(rules)
+        out.weight = self.weight  # never changed
+        out.token, out.after, out.before = self.token.copy(), self.after.copy(), self.before.copy()
+        out.count, out.where, out.heap = dict(self.count), {k: list(v) for k, v in self.where.items()}, list(self.heap)
+        if found:
+            heapq.heappush(out.heap, (-found[1], found[0]))
+        return out
+
     def natural(self, until: int) -> None:
         """Merges until there are so many tokens."""
         while len(self.book.bytes) < until and (found := self._best()):
@@ -272,12 +288,17 @@ def _frame(merges: list[Merge]) -> pd.DataFrame:
 def train(chunks: DataFrame, vocab_size: int, rules: Rules = Rules(), mode: str = "auto") -> DataFrame:
     """The merge table (id, left, right, bytes, n, forced) learned from chunks (chunk, n). Both modes make the same merges.
 
-    mode: "task" trains in one task, which holds about 40 bytes for each byte of the distinct chunks; "dataframe" runs a job for each
-    merge and holds nothing; "auto" takes the task for up to MOST_IN_TASK distinct chunks.
+    mode: "task" trains in one task, which holds about 40 bytes for each byte of the distinct chunks; "rounds" makes several merges a pass
+    over blocks of chunks, which no task holds together; "dataframe" runs a job for each merge and holds nothing. "auto" takes the task for up to
+    MOST_IN_TASK distinct chunks, and rounds beyond.
     """
     if mode == "auto":
         chunks = checkpointed(chunks.select("chunk", "n"))
-        mode = "task" if chunks.count() <= MOST_IN_TASK else "dataframe"
+        mode = "task" if chunks.count() <= MOST_IN_TASK else "rounds"
+    if mode == "rounds":
+        from corpuscle.operators.merging import train_in_rounds  # builds on this module
+
+        return train_in_rounds(chunks, vocab_size, rules)[0]
     if mode == "dataframe":
         return train_by_frames(chunks, vocab_size - BYTES, rules)
 
@@ -355,27 +376,73 @@ def folded_encode(words: DataFrame, merges: list[Merge]) -> DataFrame:
     return words.withColumn("w", w)
 
 
+def _merged_lowest(parts: list, rank: Callable, made: Callable) -> list:
+    """Parts merged, the pair of the lowest rank first, of equal ones the leftmost. rank(a, b): a pair's rank, or None; made(a, b, rank): what it becomes.
+    Places wait on a heap, so that a long run costs no more than its length times a logarithm."""
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, k) for k in range(n - 1) if (r := rank(parts[k], parts[k + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, k = heapq.heappop(heap)
+        j = after[k]
+        if parts[k] is None or j >= n or rank(parts[k], parts[j]) != r:
+            continue  # one of the two is gone, or another by now
+        parts[k], parts[j] = made(parts[k], parts[j], r), None
+        after[k] = after[j]
+        if after[k] < n:
+            before[after[k]] = k
+        for left in (before[k], k):
+            if left >= 0 and after[left] < n and (r := rank(parts[left], parts[after[left]])) is not None:
+                heapq.heappush(heap, (r, left))
+    return [p for p in parts if p is not None]
+
+
 def encode_word(ids: list[int], rule_of: dict[tuple[int, int], int]) -> list[int]:
     """Lowest id first, of equal ones the leftmost."""
-    while len(ids) > 1:
-        best = min(((rule_of.get(p, 1 << 60), k) for k, p in enumerate(zip(ids, ids[1:], strict=False))))
-        if best[0] == 1 << 60:
-            break
-        ids[best[1] : best[1] + 2] = [best[0]]
-    return ids
+    return _merged_lowest(ids, lambda a, b: rule_of.get((a, b)), lambda a, b, r: r)
 
 
 def encode_bytes(text: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merges found by the bytes they make, whatever pair makes them."""
     if text in ranks:
         return [ranks[text]]
-    parts = [text[i : i + 1] for i in range(len(text))]
-    while len(parts) > 1:
-        best = min(((ranks.get(a + b, 1 << 60), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
-        if best[0] == 1 << 60:
+    return [ranks[p] for p in _merged_lowest([text[i : i + 1] for i in range(len(text))], lambda a, b: ranks.get(a + b), lambda a, b, r: a + b)]
+
+
+def encode_arrays(tokens: np.ndarray, sizes: np.ndarray, merges: list[Merge]) -> tuple[np.ndarray, np.ndarray]:
+    """encode_word() for many words at once, one's tokens behind another's: (ids, sizes). Every step merges the lowest pair of each word, at all its places. For merges without
+    forced ones, whose ids rise with those of their operands."""
+    wide = 1 << 32
+    rules = sorted((m.left * wide + m.right, m.id) for m in merges)
+    keys, ids = (np.array(x, np.int64) for x in (zip(*rules, strict=True) if rules else ((), ())))
+    tokens, word = tokens.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(keys) and len(tokens):
+        at = np.flatnonzero(word[1:] == word[:-1])
+        pair = tokens[at] * wide + tokens[at + 1]
+        rule = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        hit = keys[rule] == pair
+        at, rank = at[hit], ids[rule[hit]]
+        if not len(at):
             break
-        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-    return [ranks[p] for p in parts]
+        starts = np.flatnonzero(np.r_[True, word[at[1:]] != word[at[:-1]]])
+        lowest = rank == np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(at)]))
+        at, rank = at[lowest], rank[lowest]
+        runs = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])  # places in a row are of a token with itself: every other one
+        first = (np.arange(len(at)) - np.repeat(runs, np.diff(np.r_[runs, len(at)]))) % 2 == 0
+        at, rank = at[first], rank[first]
+        busy = np.zeros(len(sizes), bool)
+        busy[word[at]] = True
+        tokens[at] = rank
+        tokens[at + 1] = -1
+        here, left = busy[word] & (tokens >= 0), ~busy[word]
+        done.append((tokens[left], word[left]))
+        tokens, word = tokens[here], word[here]
+    done.append((tokens, word))
+    tokens, word = (np.concatenate(x) for x in zip(*done, strict=True))
+    order = np.argsort(word, kind="stable")
+    return tokens[order], np.bincount(word, minlength=len(sizes))
 
 
 def encoder(merges: list[Merge], keyed_by: str = "pair"):
@@ -390,10 +457,15 @@ def encoder(merges: list[Merge], keyed_by: str = "pair"):
 def encoded(chunks: DataFrame, merges: list[Merge], keyed_by: str = "pair", chunk: str = "chunk", ids: str = "ids") -> DataFrame:
     """chunks with their ids. Encode distinct chunks and join back; merges are a vocabulary, of bounded size."""
     encode = encoder(merges, keyed_by)
+    in_arrays = keyed_by == "pair" and not any(m.forced for m in merges)
 
     @F.pandas_udf("array<int>")
     def of_chunks(s: pd.Series) -> pd.Series:
-        return s.map(lambda c: encode(c) if c else [])
+        if not in_arrays:
+            return s.map(lambda c: encode(c) if c else [])
+        data = [(c or "").encode() for c in s]
+        ids, sizes = encode_arrays(np.frombuffer(b"".join(data), np.uint8), np.fromiter(map(len, data), np.int64, len(data)), merges)
+        return pd.Series(np.split(ids.astype(np.int32), np.cumsum(sizes)[:-1]) if len(data) else [], dtype=object)
 
     return chunks.withColumn(ids, of_chunks(F.col(chunk)))
 
@@ -422,89 +494,8 @@ def token_rows(docs: DataFrame, merges: list[Merge], pattern: str, keyed_by: str
     return spread.select(*keep, "cpos", F.posexplode("ids").alias("tpos", "id"))
 
 
-def _packed(batches):
-    """Of (shard, chunk, n): blocks of many chunks of one shard, their sizes and counts."""
-    for b in batches:
-        shards = b.column("shard").to_pylist()
-        names = list(dict.fromkeys(shards))
-        which = np.array([names.index(s) for s in shards])
-        chunk, n = b.column("chunk").cast(pa.binary()), b.column("n").to_numpy(zero_copy_only=False)
-        rows = [(s, chunk.filter(pa.array(which == k)).to_pylist(), n[which == k]) for k, s in enumerate(names)]
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, *_ in rows], pa.string()), pa.array([b"".join(c) for _, c, _ in rows], pa.binary()), pa.array([np.array([len(x) for x in c], "<i8").tobytes() for _, c, _ in rows], pa.binary()), pa.array([x.astype("<i8").tobytes() for *_, x in rows], pa.binary())], ["shard", "data", "sizes", "counts"])
-
-
-def evaluate_candidates(spark: SparkSession, train_chunks: DataFrame, held_out: DataFrame, words: list[str], candidates: list[tuple[int, Rules]], vocab_size: int) -> DataFrame:
-    """(cand, base, infl, tokens map, dead map, error): each candidate's rules trained and measured in a task of its own.
-
-    held_out: (shard, chunk, n). A candidate that fails gives its error, the others their figures. The chunk tables go to each
-    candidate's task by a shuffle, in blocks, at every size; a task holds about 40 bytes for each byte of the distinct chunks.
-    """
-    rows = train_chunks.select(F.lit(None).cast("string").alias("shard"), "chunk", "n").union(held_out.select("shard", "chunk", "n"))
-    rules_of, dictionary = dict(candidates), frozenset(words)
-    frame = spark.createDataFrame([(c,) for c, _ in candidates], "cand int")
-    blocks = rows.where("chunk is not null").mapInArrow(_packed, "shard string, data binary, sizes binary, counts binary")
-    dealt = frame.join(blocks, F.lit(True), "left").repartition(max(1, len(candidates)), "cand").sortWithinPartitions("cand")
-
-    def measured(batches):
-        def out(cand, blocks):
-            try:
-                row = (cand, *_measure(blocks, dictionary, rules_of[cand], vocab_size), None)
-            except Exception as e:  # one candidate's failure is its result
-                row = (cand, None, None, None, None, repr(e))
-            return pd.DataFrame([row], columns=["cand", "base", "infl", "tokens", "dead", "error"])
-
-        now, blocks = None, []
-        for pdf in batches:
-            for cand, shard, data, sizes, counts in pdf[["cand", "shard", "data", "sizes", "counts"]].itertuples(index=False):
-                if cand != now:
-                    if now is not None:
-                        yield out(now, blocks)
-                    now, blocks = int(cand), []
-                if data is not None:
-                    blocks.append((shard, data, np.frombuffer(sizes, "<i8"), np.frombuffer(counts, "<i8")))
-        if now is not None:
-            yield out(now, blocks)
-
-    return dealt.select("cand", "shard", "data", "sizes", "counts").mapInPandas(measured, "cand int, base int, infl int, tokens map<string,long>, dead map<string,long>, error string")
-
-
 def inflects(w: str, words: frozenset) -> bool:
     """Whether the dictionary holds a stem of the word."""
     if any(w.endswith(s) and len(w) > len(s) + 1 and w[: -len(s)] in words for s in ("s", "es", "ed", "ing", "d")):
         return True
     return w.endswith("ies") and len(w) > 4 and w[:-3] + "y" in words
-
-
-def _measure(blocks, words: frozenset, rules: Rules, vocab_size: int):
-    """blocks: (shard, chunks joined, sizes, counts), without a shard for those to train on."""
-    own = [b for b in blocks if b[0] is None]
-    none = np.zeros(0, np.int64)
-    trainer = _Trainer(np.frombuffer(b"".join(b[1] for b in own), np.uint8), np.concatenate([none, *(b[2] for b in own)]), np.concatenate([none, *(b[3] for b in own)]), rules)
-    merges = trainer.book.run(trainer.natural, vocab_size)
-    vocab = {i: bytes((i,)) for i in range(BYTES)} | {m.id: m.bytes for m in merges}
-    base = infl = 0
-    for b in vocab.values():
-        try:
-            s = b.decode()
-        except UnicodeDecodeError:
-            continue
-        if s.startswith(" "):
-            w = s[1:].lower()
-            base += w in words
-            infl += w not in words and inflects(w, words)
-    rule_of = {(m.left, m.right): m.id for m in merges}
-    ids: dict[bytes, list[int]] = {}
-    tokens: dict[str, int] = defaultdict(int)
-    fired: dict[str, set] = defaultdict(set)
-    for shard, data, sizes, counts in blocks:
-        if shard is None:
-            continue
-        at = 0
-        for size, n in zip(sizes.tolist(), counts.tolist(), strict=True):
-            chunk = data[at : at + size]
-            at += size
-            if chunk not in ids:
-                ids[chunk] = encode_word(list(chunk), rule_of)
-            tokens[shard] += n * len(ids[chunk])
-            fired[shard].update(ids[chunk])
-    return base, infl, dict(tokens), {s: len(vocab) - len(f) for s, f in fired.items()}

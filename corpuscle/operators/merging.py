@@ -240,9 +240,16 @@ class _Rounds:
         sums = self.blocks.select(*_NAMES[:4]).mapInArrow(_pair_sums, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 0")
         rows = sums.orderBy(F.desc("n"), "pair").limit(self.hot + 1).collect()
         self.floor = (-rows[self.hot].n, rows[self.hot].pair) if len(rows) > self.hot else END
-        self.bound = {r.pair: r.n for r in rows[: self.hot]}
+        self._kept([(-r.n, r.pair) for r in rows[: self.hot]])
+
+    def _kept(self, rows: list[tuple[int, int]]) -> None:
+        """Keeps pairs (-count, pair). If none of them may be merged, more are kept, as counting anew would give the same."""
+        self.bound = {pair: -n for n, pair in rows if self.book.allows(*divmod(pair, WIDE))}
         self.heap = [(-n, k) for k, n in self.bound.items()]
         heapq.heapify(self.heap)
+        if not self.bound and self.floor != END:
+            self.hot *= 2
+            self._counted()
 
     def _keep(self, pair: int, n: int) -> None:
         if n > 0 and (-n, pair) < self.floor:

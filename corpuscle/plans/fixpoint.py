@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.cluster import checkpointed
-from corpuscle.operators import bpe, search
+from corpuscle.operators import bpe, evaluation, search
 from corpuscle.operators.search import Delta, Pair, State
 from corpuscle.sources.vocabularies import exists
 
@@ -32,7 +32,7 @@ class Evaluator:
     def table(self, sets: list[list[Pair]]) -> DataFrame:
         """(cand, base, infl, tokens, dead, error), with sums over shards."""
         rules = [(k, bpe.Rules.of(blocked=(*s, *self.base), **self.rules)) for k, s in enumerate(sets)]
-        out = bpe.evaluate_candidates(self.spark, self.train, self.held, self.words, rules, self.vocab_size)
+        out = evaluation.evaluate_candidates(self.spark, self.train, self.held, self.words, rules, self.vocab_size)
         total = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("long"), lambda a, x: a + x)
         return out.select("cand", "base", "infl", total("tokens").alias("tokens"), total("dead").alias("dead"), "error")
 

@@ -114,17 +114,6 @@ def test_metrics_on_a_known_table(spark):
     assert (t.tokens, t.chars, t.bytes) == (7, 12, 12)
 
 
-def test_candidates_are_measured_and_failures_reported(spark, counted):
-    _, c = counted
-    held = c.select(F.lit("s").alias("shard"), "chunk", "n")
-    bad = bpe.Rules(blocked=((b"a", b"b", b"c"),))  # not a pair
-    out = {r.cand: r for r in bpe.evaluate_candidates(spark, c, held, ["the", "cat"], [(0, bpe.Rules()), (1, bad)], bpe.BYTES + 20).collect()}
-    assert out[0].error is None and out[0].tokens["s"] > 0 and out[0].base >= 1
-    assert out[1].error is None or out[1].tokens is None
-    sent = {r.cand: r for r in bpe.evaluate_candidates(spark, c, held, ["the", "cat"], [(0, bpe.Rules()), (1, bad)], bpe.BYTES + 20, most=1).collect()}
-    assert sent[0] == out[0]
-
-
 def test_unshadowed():
     assert morphology.unshadowed([("a", "b"), ("b", "c"), ("c", "d")]) == [("a", "b"), ("c", "d")]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.cluster import Scratch, byte_size, shared_dir, ship_code, small_side
 from corpuscle.functions import text as T
-from corpuscle.operators import bpe, chunks, metrics, registers, surface
+from corpuscle.operators import bpe, chunks, evaluation, metrics, registers, surface
 from corpuscle.plans import fixpoint, reports, sinks
 from corpuscle.sources import corpus, vocabularies
 
@@ -94,7 +94,7 @@ def test_candidates_in_blocks_equal_one_by_one(spark):
     texts = spark.createDataFrame([("the then than a hat that hat", "x"), ("an ant then the the", "y"), (None, "y")], "text string, source string")
     train, held = chunks.counted(texts), chunks.counted(texts, by=("source",)).withColumnRenamed("source", "shard")
     rules = [bpe.Rules(), bpe.Rules.of((("t", "h"),))]
-    got = {r.cand: r for r in bpe.evaluate_candidates(spark, train, held.repartition(5), ["the", "hat", "ant"], list(enumerate(rules)), bpe.BYTES + 12).collect()}
+    got = {r.cand: r for r in evaluation.evaluate_candidates(spark, train, held.repartition(5), ["the", "hat", "ant"], list(enumerate(rules)), bpe.BYTES + 12).collect()}
     for k, r in enumerate(rules):
         made = bpe.collected(bpe.train(train, bpe.BYTES + 12, r, "task"))
         enc = bpe.encoded(held, made)
