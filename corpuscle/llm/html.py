@@ -1,12 +1,15 @@
 """HTML extraction by two passes of block rules.
 
-The markup is read once, in linear time, into blocks: runs of text between block-level tags. First pass: a block inside an element
-that holds no article text (navigation, footers, asides, forms, or a class, id or role that says so), or one made of links, is bad; a
-long one with stop words, or a long one inside an article element, is good; the others are undecided. Names of a looser kind
-(related, social, legal) are a hint only: inside an article a long block with stop words and few links is good in spite of one.
-Second pass: an undecided block takes the label of the nearest decided neighbour, looking within its article first, and never at
-parts that are no article text by their element; where two are equally near, good wins inside an article or if the block is a
-heading. Blocks that no decided one stands beside are good.
+The markup is read once, in linear time, into blocks: runs of text between block-level tags. First pass: a block made of links is bad,
+or undecided if it is short and in an article; a long one with stop words, or a long one inside an article element, is good; the others
+are undecided. Second pass: an undecided block takes the label of the nearest decided neighbour, looking within its article first, and
+never at parts that are no article text; where two are equally near, good wins inside an article or if the block is a heading. Blocks
+that no decided one stands beside are good; headings right before reader comments are bad.
+
+Parts that are no article text, whatever their words: navigation, footers, asides, forms; elements with a class, id or role of which
+any word is a strong name (nav, sidebar, ad, cookie, comments), unless another word takes it back (no-sidebar), or the page's main article,
+or, but for comments, most of its text stands inside; and threads: elements of one kind beside each other of which most tell an author and a time. Words of a looser kind (login,
+related, social, legal) are evidence only: inside an article a long block with stop words and few links is good in spite of one.
 
 Character references are decoded, white space inside a block becomes one space, ends are trimmed, and blocks are joined by one
 space. Null and empty pages give an empty text, as do pages without a good block. Broken markup is read as browsers do, roughly: unknown and
@@ -37,16 +40,23 @@ ARTICLE_TAGS = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags that end an open one of their kind.
 SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
-#: Words in a class, id or role that name a part other than the article; words that only hint at one; words that may stand beside either.
+#: Words in a class, id or role that name a part other than the article; such words for reader comments; words that only hint at one; words that take a name back.
 OUTSIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead topbar toolbar "
-    "comment comments disqus cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing pagination pager contentinfo complementary".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer "
+    "cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription share sharing pagination pager contentinfo complementary".split()
 )
-HINT_WORDS = frozenset("aside header alert discussion replies reply respond search social related recommended recommendations widget widgets copyright legal disclaimer skip".split())
-BESIDE_WORDS = frozenset(
-    "area bar block body bottom box btn buttons c card col column container content count feed first form group id inner item items js l last layer left link links list main message msg n "
-    "news outer page panel policy post posts r right row section site slot small stories thread toggle top topics unit user users wrap wrapper".split()
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
+HINT_WORDS = frozenset(
+    "aside header banner masthead topbar toolbar alert notice notices login signup discussion replies reply respond search social related recommended recommendations widget widgets copyright legal disclaimer skip".split()
 )
+BACK_WORDS = frozenset("no without has with free hide hidden disable disabled open closed layout".split())
+#: Words in a class, or tags, that tell an author or a time.
+AUTHOR_WORDS = frozenset("author byline user username commenter nick nickname poster avatar vcard".split())
+TIME_WORDS = frozenset("time date datetime timestamp ago posted published when".split())
+#: A time as it stands behind an author's name.
+_TIMED = re.compile(r"\b(?:\d+|an?|one) (?:second|minute|hour|day|week|month|year)s? ago\b|\b\d{1,2}:\d{2}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b")
+#: Characters of a block in which an author and a time are looked for.
+BYLINE = 80
 #: Frequent function words of the corpora's languages.
 STOP_WORDS = frozenset(
     "the of and to in is a for it on that was with as by are be this at from or an not have he you der die das und zu den von mit ist ein eine im nicht sich auf auch für des dem als es "
@@ -77,7 +87,26 @@ class Block:
     hinted: bool
     article: int  # number of the article it stands in, or 0
     heading: bool
+    element: int  # number of the innermost element
     label: bool | None = None
+    comment: bool = False
+
+
+@dataclass
+class Element:
+    """A block-level element, or one that a name sets apart, and what stands inside."""
+
+    parent: int
+    tag: str
+    kind: str  # its class
+    name: int  # 3: comments, 2: another part that is no article text, else 0
+    article: int  # number of the article that it opens, or 0
+    author: bool
+    time: bool
+    chars: int = 0
+    bylines: int = 0  # characters of short blocks that tell an author and a time
+    comment: bool = False
+    outside: bool = False
 
 
 class _Page:
@@ -96,7 +125,7 @@ class _Page:
         return found
 
     def attributes(self, at: int) -> tuple[list[tuple[str, str]], bool, int]:
-        """(names and values of class, id and role; whether the tag closes itself; the place behind the tag)."""
+        """(names and values of class, id, role, rel and itemprop; whether the tag closes itself; the place behind the tag)."""
         html, out = self.html, []
         end = self.find(">", at)
         if end < 0:
@@ -121,22 +150,32 @@ class _Page:
                 else:
                     m = _BARE.match(html, at)
                     value, at = m[0], m.end()
-            if name in ("class", "id", "role"):
+            if name in ("class", "id", "role", "rel", "itemprop"):
                 out.append((name, value))
 
 
+def _words(name: str) -> set[str]:
+    return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) - {""}
+
+
 def named(attributes: list[tuple[str, str]]) -> int:
-    """2 if a class, id or role names a part other than the article, 1 if it hints at one, else 0. All words of a name must be such words, or stand beside them."""
+    """3 if a class, id or role names reader comments, 2 if another part that is no article text, 1 if it hints at one, else 0."""
     most = 0
-    for _, value in attributes:
-        for name in value.split():
-            words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) - {""}
-            if not words <= OUTSIDE_WORDS | HINT_WORDS | BESIDE_WORDS:
+    for key, value in attributes:
+        for name in value.split() if key in ("class", "id", "role") else ():
+            words = _words(name)
+            if words & BACK_WORDS:
                 continue
-            most = max(most, 2 if words & OUTSIDE_WORDS else 1 if words & HINT_WORDS else 0)
+            most = max(most, 3 if words & COMMENT_WORDS else 2 if words & OUTSIDE_WORDS else 1 if words & HINT_WORDS else 0)
     return most
 
 
+def told(tag: str, attributes: list[tuple[str, str]]) -> tuple[bool, bool]:
+    """Whether an element tells an author, and a time."""
+    words = {w for _, value in attributes for name in value.split() for w in _words(name)}
+    return tag in ("cite", "address") or bool(words & AUTHOR_WORDS), tag == "time" or bool(words & TIME_WORDS)
+
+
 @dataclass(frozen=True)
 class _Open:
     """What holds inside an element."""
@@ -147,11 +186,13 @@ class _Open:
     hidden: bool = False
     article: int = 0
     heading: bool = False
+    element: int = 0
 
 
 def read_blocks(html: str) -> list[Block]:
     page, blocks, parts = _Page(html), [], []
     stack, now, opened = [], _Open(), Counter()
+    elements = [Element(-1, "", "", 0, 0, False, False)]
     links = articles = in_link = 0
 
     def close() -> None:
@@ -159,7 +200,7 @@ def read_blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(text, links, now.outside, now.hinted, now.article, now.heading))
+                blocks.append(Block(text, links, now.outside, now.hinted, now.article, now.heading, now.element))
             parts.clear()
             links = 0
 
@@ -213,8 +254,11 @@ def read_blocks(html: str) -> list[Block]:
             if tag in BLOCK_TAGS:
                 close()
             continue
-        kind = 0 if tag in ("html", "body") or tag in ARTICLE_TAGS else named(attributes)
-        outside, hidden = tag in OUTSIDE_TAGS or kind == 2 or (tag == "header" and not now.article) or (kind == 1 and not now.article), tag in HIDDEN_TAGS
+        kind = 0 if tag in ("html", "body") else named(attributes)
+        if tag in ARTICLE_TAGS and kind < 3:
+            kind = 0
+        author, time = told(tag, attributes) if attributes or tag in ("cite", "address", "time") else (False, False)
+        outside, hidden = tag in OUTSIDE_TAGS or (tag == "header" and not now.article) or (kind == 1 and not now.article), tag in HIDDEN_TAGS
         if tag in BLOCK_TAGS:
             close()
             if now.tag == "p":
@@ -223,27 +267,71 @@ def read_blocks(html: str) -> list[Block]:
                 leave(now.tag)
             if opened["head"] and tag == "body":
                 leave("head")
-        elif not (outside or hidden or kind):
-            continue  # inline, and nothing changes inside
+        elif not (outside or hidden or kind):  # inline, and nothing changes inside
+            own = elements[now.element]
+            own.author, own.time = own.author or author, own.time or time
+            continue
         stack.append(now)
         opened[tag] += 1
         article = now.article
-        if tag in ARTICLE_TAGS and not now.outside and not outside and not article:
+        if tag in ARTICLE_TAGS and not now.outside and not outside and not article and kind < 3:
             articles += 1
             article = articles
-        now = _Open(tag, now.outside or outside, now.hinted or kind == 1, now.hidden or hidden, article, tag in HEADINGS)
+        elements.append(Element(now.element, tag, " ".join(v for k, v in attributes if k == "class"), kind if kind > 1 else 0, article if article != now.article else 0, author, time))
+        now = _Open(tag, now.outside or outside, now.hinted or kind == 1, now.hidden or hidden, article, tag in HEADINGS, len(elements) - 1)
     close()
+    set_apart(elements, blocks)
     return blocks
 
 
+def set_apart(elements: list[Element], blocks: list[Block]) -> None:
+    """Marks the blocks of elements that a name, or a thread, sets apart."""
+    size = Counter()
+    for b in blocks:
+        e = elements[b.element]
+        e.chars += len(b.text)
+        size[b.article] += len(b.text)
+        if len(b.text) <= BYLINE and (m := _TIMED.search(b.text)) and m.start() > 1:
+            e.author = e.time = True
+            e.bylines += len(b.text)
+    for e in reversed(elements[1:]):  # an element comes before those inside it
+        up = elements[e.parent]
+        up.chars, up.bylines, up.author, up.time = up.chars + e.chars, up.bylines + e.bylines, up.author or e.author, up.time or e.time
+    del size[0]
+    main = max(size, key=lambda a: (size[a], -a), default=0)
+    at, around, inside = next((k for k, e in enumerate(elements) if main and e.article == main), -1), set(), [False] * len(elements)
+    up = at
+    while up >= 0:
+        around.add(up)
+        up = elements[up].parent
+    whole, rows = elements[0].chars, {}
+    for k, e in enumerate(elements[1:], 1):
+        inside[k] = k == at or inside[e.parent]
+        if e.name and k not in around and (main or e.name == 3 or 2 * e.chars <= whole):
+            e.outside, e.comment = True, e.name == 3
+        if e.tag not in ("p", "tr", "td", "th", *HEADINGS) and (inside[e.parent] or e.tag not in ARTICLE_TAGS):
+            rows.setdefault((e.parent, e.tag, e.kind), []).append(k)
+    for same in rows.values():
+        telling = sum(e.author and e.time and (not e.bylines or e.chars >= e.bylines + BYLINE // 4) for e in map(elements.__getitem__, same))
+        if telling > 1 and 10 * telling >= 6 * len(same) and not around.intersection(same) and sum(elements[k].chars for k in same) < whole:
+            for k in same:
+                elements[k].outside = elements[k].comment = True
+    for e in elements[1:]:
+        e.outside, e.comment = e.outside or elements[e.parent].outside, e.comment or elements[e.parent].comment
+    for b in blocks:
+        b.outside, b.comment = b.outside or elements[b.element].outside, elements[b.element].comment
+
+
 def stop_density(text: str) -> float:
     words = text.lower().split()
     return sum(w.strip(_EDGES) in STOP_WORDS for w in words) / len(words)
 
 
 def first_pass(b: Block, rules: Rules) -> bool | None:
-    if b.outside or b.links > rules.max_link_density * len(b.text):
+    if b.outside:
         return False
+    if b.links > rules.max_link_density * len(b.text):
+        return None if b.article and not b.hinted and len(b.text) < rules.long_chars else False
     if len(b.text) >= rules.long_chars:
         dense = stop_density(b.text) >= rules.stop_density
         return True if dense or (b.article and not b.hinted) else False if b.hinted else None
@@ -266,6 +354,8 @@ def second_pass(blocks: list[Block]) -> None:
 
     before, after = nearest(range(len(blocks))), nearest(range(len(blocks) - 1, -1, -1))
     for k, (b, x, y) in enumerate(zip(blocks, before, after, strict=True)):
+        if b.label is None and b.heading and k + 1 < len(blocks) and blocks[k + 1].comment:
+            b.label = False
         if b.label is None:
             found = sorted((abs(k - at), label) for at, label in (z for z in (x, y) if z is not None))
             if len(found) == 2 and found[0][0] == found[1][0] and found[0][1] != found[1][1]:

@@ -284,3 +284,51 @@ def test_html_in_frames(spark):
     got = sorted((r.page_id, r.n_chars, r.text) for r in html.extracted(pages).collect())
     assert got == [(1, "x", BODY), (1, "x", BODY), (2, "y", "")]
     assert html.extracted(pages.where("false")).count() == 0
+
+
+# --- page shapes ---
+
+_FIRST = "The than of the article text that goes on with the words and to the end of it, as it was in the long one that is for this."
+_SECOND = "Another paragraph of the prose that is in the page and that we want to keep, with the stop words of the language and more of it."
+_OTHER = "This is the long prose of a block that is not a part of the article but has all of the words that the language has, and it is long."
+_KEPT = f"Title of it {_FIRST} {_SECOND}"
+
+
+def shaped(inner="", after="", before=""):
+    return f"<html><head><title>x</title></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav>{before}<article><h1>Title of it</h1><p>{_FIRST}</p>{inner}<p>{_SECOND}</p></article>{after}<footer>&copy; x</footer></body></html>"
+
+
+@pytest.mark.parametrize("name", "reader-comments article-comments fb-comments blog-sidebar primary-nav google-ad cookie-law-info newsletter-cta sidebar commentList".split())
+def test_html_names_set_parts_aside(name):
+    for body in (f"<p>{_OTHER}</p>", "<p>Short one.</p>", f"<ul><li>{_OTHER}</li></ul>"):
+        part = f'<div class="{name}">{body}</div>'
+        assert html.main_text(shaped(part)) == html.main_text(shaped("", part)) == html.main_text(shaped("", "", part.replace("class", "id"))) == _KEPT
+
+
+def test_html_looser_names_are_evidence_only():
+    between = f"Title of it {_FIRST} {_OTHER} {_SECOND}"
+    assert html.main_text(shaped(f'<div class="login"><p>{_OTHER}</p></div>')) == html.main_text(shaped(f'<div class="no-sidebar"><p>{_OTHER}</p></div>')) == between
+    assert html.main_text(f'<body><article><div class="login"><p>{_OTHER}</p></div></article></body>') == _OTHER
+    body = f"<h1>Title of it</h1><p>{_FIRST}</p><p>{_SECOND}</p>"
+    assert html.main_text(f'<body class="comments-open"><div class="page sidebar-right"><article>{body}</article></div></body>') == _KEPT
+    assert html.main_text(f'<body><div class="main-nav-wrapper">{body}</div><div class="sidebar"><p>Some short.</p></div></body>') == _KEPT
+
+
+def test_html_list_items_of_links_stay_in_articles():
+    items = "<ul><li><a href=1>Chapter one</a></li><li><a href=2>Chapter two</a></li></ul>"
+    assert html.main_text(shaped(items)) == f"Title of it {_FIRST} Chapter one Chapter two {_SECOND}"
+    assert html.main_text(shaped("", items)) == html.main_text(shaped(f'<div class="share">{items}</div>')) == _KEPT
+    times = "<ul><li>Opening of it 12:30</li><li>Closing of it 18:00</li></ul>"
+    assert html.main_text(shaped(times)) == f"Title of it {_FIRST} Opening of it 12:30 Closing of it 18:00 {_SECOND}"
+
+
+def test_html_threads_are_found_without_names():
+    items = [
+        ["<ol>", *(f"<li><b>{n}</b> <time>2020</time><cite>{n}</cite><p>{_OTHER}</p></li>" for n in ("Ann", "Bob", "Cid")), "</ol>"],
+        [f'<div class="x"><span class="author">{n}</span><span class="date">May</span><p>{_OTHER}</p></div>' for n in ("Ann", "Bob")],
+        ["<section>", *(f"<div><div>{n}, 3 days ago</div><div>{_OTHER}</div></div>" for n in ("Ann Smith", "Bob", "Cid")), "</section>"],
+        [f"<article><address>{n}</address><time>x</time><p>{_OTHER}</p></article>" for n in "ab"],
+    ]
+    for thread in map("".join, items[:3]):
+        assert html.main_text(shaped("", f"<h3>Two answers</h3>{thread}")) == html.main_text(shaped(thread)) == _KEPT
+    assert html.main_text(shaped("".join(items[3]))) == html.main_text(shaped("", f'<article class="comment"><p>{_OTHER}</p></article>')) == _KEPT
