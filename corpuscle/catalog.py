@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpuscle.cluster import checkpointed, ship_code
 from corpuscle.functions import text as T
 from corpuscle.functions.patterns import BASE, SPACELESS, SUFFIXES, duckdb_chunks
-from corpuscle.operators import bpe, chunks, evaluation, metrics, morphology, registers, search, surface
+from corpuscle.operators import bpe, chunks, evaluation, metrics, morphology, registers, surface
 from corpuscle.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,20 +414,31 @@ def word_start_ownership(spark, sf_dir):
     return surface.ownership(surface.chunk_spans(d), surface.start_offsets(d)).groupBy("owned").agg(F.count("*").alias("chunks"))
 
 
-@query()
+@query("SELECT doc_id, strlen(text) AS bytes, true AS same FROM documents WHERE text IS NOT NULL")
 def surface_roundtrip(spark, sf_dir):
+    """Every document through the dual stream and back."""
     made = bpe.collected(bpe.train(chunks.counted(documents(spark, sf_dir, "text").select(T.fold_case(F.col("text")).alias("text")), SPACELESS), bpe.BYTES + 64, mode="task"))
     codec = surface.SurfaceCodec(tuple(made), 4)
-    d = surface.decoded(surface.encoded(documents(spark, sf_dir, "doc_id", "text"), codec), codec)
-    return d.select("doc_id", F.size("stream").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("same"))
+    d = surface.decoded(surface.encoded(documents(spark, sf_dir, "doc_id", "text").where("text is not null"), codec), codec)
+    return d.select("doc_id", F.octet_length("decoded").cast("long").alias("bytes"), (F.col("decoded") == F.col("text")).alias("same"))
 
 
-@query()
-def bestfit_rows(spark, sf_dir):
+def _loader_rows(spark, sf_dir):
     made = bpe.collected(bpe.train(chunks.counted(documents(spark, sf_dir, "text")), bpe.BYTES + 64, mode="task"))
     rows = bpe.token_rows(documents(spark, sf_dir, "doc_id", "text"), made, BASE)
     whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("cpos", "tpos", "id"))).alias("x")).select("doc_id", F.transform("x", lambda v: v["id"]).alias("ids"))
-    return surface.shifted(surface.packed_rows(surface.with_bos(whole, "ids", bpe.BYTES + 64), 2049))
+    return surface.packed_rows(surface.with_bos(whole, "ids", bpe.BYTES + 64), 2049)
+
+
+@query()
+def bestfit_rows(spark, sf_dir):
+    return surface.shifted(_loader_rows(spark, sf_dir))
+
+
+@query("SELECT doc_id, 1::BIGINT AS times FROM documents WHERE text <> ''")
+def bestfit_documents(spark, sf_dir):
+    """How often each document stands in a loader's rows: once."""
+    return _loader_rows(spark, sf_dir).select(F.explode("doc_ids").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("times"))
 
 
 # --- words ---
@@ -519,6 +530,17 @@ def rare_spans(spark, sf_dir):
     return registers.spans_in_band(d, registers.word_frequency(d), 0, 3)
 
 
+@query("""WITH l AS (SELECT quality, octet_length(encode(text)) AS bytes, length(text) AS chars, len(regexp_extract_all(text, '\\p{L}+')) AS words FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL)
+SELECT quality, count(*) AS n, round((sum(words)::DOUBLE - sum(bytes - chars)) / sum(chars), 9) AS diff, true AS inside FROM l GROUP BY quality""")
+def bootstrap_interval(spark, sf_dir):
+    """Words against further bytes a character, of good and bad documents, each with a resampled interval that the difference lies in."""
+    d = documents(spark, sf_dir, "doc_id", "text").where("text is not null").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    chars = F.length("text")
+    rows = d.select("doc_id", "quality", F.size(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("words"), (F.octet_length("text") - chars).alias("more"), chars.alias("chars"))
+    out = registers.bootstrap(rows, "words", "more", "chars", "doc_id", by=("quality",))
+    return out.select("quality", "n", F.round("diff", 9).alias("diff"), F.col("diff").between(F.col("low"), F.col("high")).alias("inside"))
+
+
 # --- conversations ---
 
 
@@ -528,59 +550,7 @@ def turn_prev_role_pairs(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("role", F.coalesce(F.lag("role").over(w), F.lit("")).alias("prev")).groupBy("prev", "role").agg(F.count("*").alias("n"))
 
 
-# --- searches and archives, over small tables given here ---
-
-_DELTAS = [("a", "b", 1, 0, 0), ("a", "c", 0, -11, -2), ("b", "c", 0, -5, 2), ("c", "d", 2, 4, 0), ("d", "e", -1, -30, -4), ("e", "f", 0, 0, 0), ("f", "g", 0, 2, -3), ("g", "h", 3, -1, 9)]
-_EVENTS = [(1, 1, "a", "b", "commit"), (2, 2, "c", "d", "commit"), (3, 3, "a", "b", "eject"), (4, 4, "a", "b", "commit"), (5, 5, "e", "f", "veto"), (6, 6, "a", "b", "eject"), (7, 7, "e", "f", "veto"), (8, 8, "e", "f", "release"), (9, 9, "c", "d", "eject"), (10, 10, "e", "f", "veto")]
-
-
-def values(rows) -> str:
-    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
-
-
-@query(f"""SELECT l, r, (cov >= 0 AND comp <= 0 AND dead <= 0 AND (cov > 0 OR comp < 0 OR dead < 0)) OR (cov >= 0 AND comp < 0 AND dead <= 2) OR (cov > 0 AND comp <= 5 AND dead <= 2) AS keep,
-CASE WHEN cov >= 0 AND comp <= 0 AND dead <= 0 AND (cov > 0 OR comp < 0 OR dead < 0) THEN 'KEEP' WHEN cov <= 0 THEN 'A' WHEN comp > 0 THEN 'B' ELSE 'C' END AS mode FROM (VALUES {values(_DELTAS)}) t(l, r, cov, comp, dead)""")
-def pareto_gate(spark, sf_dir):
-    t = spark.createDataFrame(_DELTAS, "l string, r string, cov int, comp int, dead int")
-    c = [F.col(x) for x in ("cov", "comp", "dead")]
-    return t.select("l", "r", search.gate(*c, 2, 5).alias("keep"), search.failure(*c).alias("mode"))
-
-
-@query(f"""WITH e AS (SELECT * FROM (VALUES {values(_EVENTS)}) t(round, seq, l, r, kind) WHERE kind <> 'commit'), k AS (SELECT *, count(*) FILTER (kind <> 'release') OVER (PARTITION BY l, r ORDER BY round) AS k FROM e)
-SELECT l, r, max(k) AS ejects, max_by(CASE WHEN kind = 'release' THEN round ELSE round + 2 * 2 ** least(k - 1, 10) END, round)::BIGINT AS until FROM k GROUP BY l, r""")
-def cooldown_bench(spark, sf_dir):
-    return search.cooldown(spark.createDataFrame(_EVENTS, "round int, seq int, l string, r string, kind string").where("kind <> 'commit'"), 2)
-
-
-@query(f"""SELECT l, r FROM (SELECT l, r, max_by(kind, seq) AS kind FROM (VALUES {values(_EVENTS)}) t(round, seq, l, r, kind) WHERE round <= 8 AND kind IN ('commit', 'eject') GROUP BY l, r) WHERE kind = 'commit'""")
-def journal_replay(spark, sf_dir):
-    e = spark.createDataFrame(_EVENTS, "round int, seq int, l string, r string, kind string")
-    return search.kept_at(e.where(F.col("kind").isin("commit", "eject")), 8)
-
-
-_RUNS_ROWS = [("base", "arc", 0.40, 0.20), ("base", "boolq", 0.62, 0.24), ("base", "piqa", 0.71, 0.42), ("new", "arc", 0.43, 0.24), ("new", "boolq", 0.60, 0.20)]
-_META_ROWS = [("arc", 1172), ("boolq", 3270), ("piqa", 1838)]
-_HISTORY = [(r, "loss", s, float(5 - s + (r == "b"))) for r in "ab" for s in range(1, 8) if not (r == "b" and s == 3)]
-
-
-@query(f"""WITH e AS (SELECT * FROM (VALUES {values(_RUNS_ROWS)}) t(run, task, accuracy, centered)), m AS (SELECT * FROM (VALUES {values(_META_ROWS)}) t(task, n))
-SELECT task, n, round((b.centered - a.centered)::DOUBLE, 9) AS d_centered, round(sqrt(a.accuracy::DOUBLE * (1 - a.accuracy::DOUBLE) / n), 9) AS se FROM e a JOIN e b USING (task) JOIN m USING (task) WHERE a.run = 'base' AND b.run = 'new'""")
-def task_se(spark, sf_dir):
-    e = spark.createDataFrame(_RUNS_ROWS, "run string, task string, accuracy double, centered double")
-    out = registers.task_changes(e.where("run = 'base'"), e.where("run = 'new'"), spark.createDataFrame(_META_ROWS, "task string, n int"))
-    return out.select("task", "n", F.round("d_centered", 9).alias("d_centered"), F.round("se", 9).alias("se"))
-
-
-@query(f"SELECT key, step FROM (VALUES {values(_HISTORY)}) t(run, key, step, value) GROUP BY ALL HAVING count(DISTINCT run) = 2")
-def trajectory_common_steps(spark, sf_dir):
-    return registers.common_steps(spark.createDataFrame(_HISTORY, "run string, key string, step int, value double"), 2)
-
-
-@query(f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS r FROM (VALUES {values(_HISTORY)}) t(run, key, step, value))
-SELECT run, count(*) AS count, max(value)::DOUBLE AS max, min(value)::DOUBLE AS min, avg(value) FILTER (r <= 5) AS last_mean FROM h GROUP BY run""")
-def loss_summary(spark, sf_dir):
-    return registers.loss_summary(spark.createDataFrame(_HISTORY, "run string, key string, step int, value double"))
-
+# --- swaps and searches ---
 
 @query("""WITH b AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS i, count(*) OVER () AS n FROM benchmark) SELECT a.item_id, md5(a.text) AS own, md5(c.text) AS other FROM b a JOIN b c ON c.i = a.i % a.n + 1""")
 def stem_swap(spark, sf_dir):

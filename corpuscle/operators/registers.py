@@ -2,34 +2,61 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import text as T
+from corpuscle.ranges import ranged
 
 WORD = "[a-z']+"
 
 
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+
+
+def _after_last_word(texts: DataFrame, by: str, text: str, order: str) -> DataFrame:
+    """(by, _w): the words of each text, behind the last word of the texts before it in its register."""
+    rows = texts.select(by, order, _words(text).alias("_w"))
+    rows = ranged(rows.withColumn("_last", F.when(F.size("_w") > 0, F.element_at("_w", -1))), by, order)
+    inside = Window.partitionBy(by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.where("_last is not null").groupBy(by, "_part").agg(F.max_by("_last", order).alias("_end"))  # a row for each range
+    ranges = rows.select(by, "_part").distinct().join(ends, [by, "_part"], "left")
+    handed = F.last("_end", ignorenulls=True).over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_own", F.last("_last", ignorenulls=True).over(inside)).join(ranges.select(by, "_part", handed.alias("_before")), [by, "_part"])
+    return rows.select(by, F.concat(F.array_compact(F.array(F.coalesce("_own", "_before"))), "_w").alias("_w"))
+
+
+def _behind_characters(texts: DataFrame, by: str, text: str, order: str, n: int = 4) -> DataFrame:
+    """(by, _x): each text behind the last n characters of those before it in its register, which a newline ends each."""
+    rows = ranged(texts.select(by, order, F.col(text).alias("_t")), by, order)
+    inside = Window.partitionBy(by, "_part").orderBy(order)
+    tail = lambda c: F.concat(F.right(c, F.lit(n - 1)), F.lit("\n"))
+    before = F.concat(*[F.coalesce(tail(F.lag("_t", k).over(inside)), F.lit("")) for k in range(n, 0, -1)])
+    rows = rows.withColumn("_own", before).withColumn("_place", F.row_number().over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # What a range hands on: its last characters, and those of the n ranges before it, which may be shorter than n.
+    last = rows.groupBy(by, "_part").agg(F.max_by(F.concat("_own", tail(F.col("_t"))), "_place").alias("_end"))  # a row for each range
+    ranges = Window.partitionBy(by).orderBy("_part")
+    handed = F.concat(*[F.coalesce(F.lag(F.right("_end", F.lit(n)), k).over(ranges), F.lit("")) for k in range(n, 0, -1)])
+    rows = rows.join(last.select(by, "_part", handed.alias("_before")), [by, "_part"])
+    return rows.select(by, F.concat(F.right(F.concat("_before", "_own"), F.lit(n)), "_t").alias("_x"))
+
+
 def grams(texts: DataFrame, kind: str, by: str, text: str = "text", order: str | None = None) -> DataFrame:
     """(by, gram, n) of lower-case texts: word, bigram or char4. With an order, the texts of each register are read as one, in that
-    order with a newline between them, so that n-grams cross from text to text; else they don't."""
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+    order with a newline between them, so that n-grams cross from text to text; else they don't. Registers are read in ranges, each of which hands its end on to the next."""
     if kind == "word":
-        g = words
+        g = _words(text)
     elif kind == "bigram":
-        if order:
-            w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-            ends = texts.select(by, order, words.alias("_w")).withColumn("_last", F.when(F.size("_w") > 0, F.element_at("_w", -1)))
-            texts, words = ends.withColumn("_first", F.last("_last", ignorenulls=True).over(w)), F.concat(F.array_compact(F.array("_first")), "_w")
-        g = T.bound(words, lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
+        texts = _after_last_word(texts, by, text, order) if order else texts.select(by, _words(text).alias("_w"))
+        g = T.bound(F.col("_w"), lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
     else:
-        if order:  # what stands before a text: at most three characters, of at most three texts
-            w = Window.partitionBy(by).orderBy(order)
-            before = F.concat(*[F.coalesce(F.concat(F.lag(F.right(F.col(text), F.lit(3)), k).over(w), F.lit("\n")), F.lit("")) for k in (3, 2, 1)])
-            tails = texts.select(by, F.col(text).alias("_t"), F.when(F.lag(order).over(w).isNotNull(), before).otherwise(F.lit("")).alias("_b"))
-            # The newline before a text is its first character, and three characters stand before that.
-            lead = F.when(F.col("_b") == "", F.lit("")).otherwise(F.right("_b", F.lit(4)))
-            texts, text = tails.select(by, F.concat(lead, "_t").alias("_x")), "_x"
+        if order:
+            texts, text = _behind_characters(texts, by, text, order), "_x"
         g = F.regexp_extract_all(F.col(text), F.lit("(?s)(?=(.{4}))"), F.lit(1))
     return texts.select(by, F.explode(g).alias("gram")).groupBy(by, "gram").agg(F.count("*").alias("n"))
 
@@ -80,29 +107,46 @@ def spans_in_band(docs: DataFrame, frequency: DataFrame, low: int, high: int, sp
     return j.select("doc_id", "k", "span", "start", "min_freq", "n_words")
 
 
-def bootstrap(rows: DataFrame, a: str, b: str, weight: str, resamples: int = 2000, seed: int = 1234) -> DataFrame:
-    """One row: the difference of ratios sum(a)/sum(weight) - sum(b)/sum(weight), and its 2.5 and 97.5 % resample values.
+def _poisson(seeds: np.ndarray, resamples: int) -> np.ndarray:
+    """A Poisson count with mean 1 for each seed and resample: a hash of both, looked up in the cumulated probabilities."""
+    z = seeds.astype(np.uint64)[:, None] + np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # the mixing steps of splitmix64
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    z ^= z >> np.uint64(31)
+    share = (z >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    return np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)]), share, side="right")
+
+
+def bootstrap(rows: DataFrame, a: str, b: str, weight: str, key: str, resamples: int = 2000, seed: int = 1234, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., n, diff, low, high): the difference of ratios sum(a)/sum(weight) - sum(b)/sum(weight), and its 2.5 and 97.5 % resample values.
 
-    Each resample gives every item a Poisson count, the limit of drawing as many items as there are with replacement. Sums of all
-    resamples are kept as arrays in each task, so a row is read once and nothing is copied; only one row per task is shuffled.
+    Each resample gives every item a Poisson count, the limit of drawing as many items as there are with replacement. An item's counts
+    follow from its key alone (unique, of any type), so the interval doesn't depend on how rows are dealt. A task sums all resamples of a batch by one
+    product of matrices and sends on a row for each resample and group.
     """
-    import numpy as np
-    import pandas as pd
+    names = list(by)
 
     def drawn(batches):
-        sums = np.zeros((3, resamples))
+        sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            x = pdf[["a", "b", "w"]].to_numpy(float)
-            for i, h in enumerate(pdf["h"].tolist()):
-                counts = np.random.default_rng((seed, h & 0xFFFFFFFFFFFFFFFF)).poisson(1.0, resamples)
-                sums += x[i][:, None] * counts
-        yield pd.DataFrame({"k": np.arange(resamples), "a": sums[0], "b": sums[1], "w": sums[2]})
-
-    r = rows.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), F.col(weight).cast("double").alias("w"))
-    r = r.withColumn("h", F.xxhash64("a", "b", "w", F.monotonically_increasing_id()))
-    d = r.mapInPandas(drawn, "k int, a double, b double, w double").groupBy("k").agg(((F.sum("a") - F.sum("b")) / F.sum("w")).alias("d"))
-    whole = rows.agg(((F.sum(a) - F.sum(b)) / F.sum(weight)).alias("diff"))
-    return d.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high")).crossJoin(F.broadcast(whole)).select("diff", "low", "high")
+            groups = pdf.groupby(names, dropna=False, sort=False) if names else [((), pdf)]
+            for g, part in groups:
+                x, h = part[["_a", "_b", "_w"]].to_numpy(float).T, part["_h"].to_numpy(np.int64).view(np.uint64)
+                own = sums.setdefault(tuple(g) if names else (), np.zeros((3, resamples)))
+                for i in range(0, len(h), 256):
+                    own += x[:, i : i + 256] @ _poisson(h[i : i + 256], resamples)
+        for g, s in sums.items():
+            yield pd.DataFrame({**{n: pd.Series([None if pd.isna(v) else v] * resamples, dtype=object) for n, v in zip(names, g, strict=True)}, "_k": np.arange(resamples), "_a": s[0], "_b": s[1], "_w": s[2]})
+
+    kinds = [f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names]
+    value = lambda c, n: F.col(c).cast("double").alias(n)
+    r = rows.select(*names, value(a, "_a"), value(b, "_b"), value(weight, "_w"), F.xxhash64(F.lit(seed), F.col(key)).alias("_h"))
+    change = (F.sum("_a") - F.sum("_b")) / F.sum("_w")
+    d = r.mapInPandas(drawn, ", ".join([*kinds, "_k int, _a double, _b double, _w double"])).groupBy(*names, "_k").agg(change.alias("_d"))
+    ends = d.groupBy(*names).agg(F.percentile("_d", 0.025).alias("low"), F.percentile("_d", 0.975).alias("high"))
+    whole = r.groupBy(*names).agg(F.count("*").alias("n"), change.alias("diff"))
+    same = [F.col(f"w.`{k}`").eqNullSafe(F.col(f"e.`{k}`")) for k in names] or [F.lit(True)]  # without groups, one row each
+    return whole.alias("w").join(ends.alias("e"), same).select(*[f"w.{k}" for k in names], "n", "diff", "low", "high")
 
 
 def accuracy(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

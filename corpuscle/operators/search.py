@@ -31,9 +31,11 @@ def free_wins(scored: DataFrame, floor: float) -> DataFrame:
 
 
 def keyed_verdicts(verdicts: DataFrame, pool: DataFrame) -> DataFrame:
-    """Verdicts (pair: "L+R", ...) with the operands l and r of the pool's pair of that key; of pairs that share a key the last in order counts."""
-    keys = pool.select("l", "r", F.concat_ws("+", "l", "r").alias("pair")).groupBy("pair").agg(F.max(F.struct("l", "r")).alias("p"))
-    return verdicts.join(keys, "pair").select("*", "p.l", "p.r").drop("p")
+    """Verdicts (pair: "L+R", ...) with the operands l and r of the pool's pair of that key, and whether another pair has that key too: such a verdict stands
+    beside each of them, told to be ambiguous."""
+    keys = pool.select("l", "r", F.concat_ws("+", "l", "r").alias("pair")).distinct()
+    many = keys.groupBy("pair").agg((F.count("*") > 1).alias("ambiguous"))
+    return verdicts.join(keys, "pair").join(many, "pair")
 
 
 def round_tallies(verdicts: DataFrame) -> DataFrame:
@@ -134,6 +136,9 @@ class State:
     kept: list[Pair] = field(default_factory=list)
     rounds: list[dict] = field(default_factory=list)
     status: str = "running"
+    saves: int = 0  # how often it was written
+    scored: dict[Pair, Delta | None] = field(default_factory=dict)  # candidates of the round that is under way
+    ejected: list[Pair] | None = None  # what that round has ejected, once it has
 
     def bench(self, base: int) -> dict[Pair, tuple[int, int]]:
         out: dict[Pair, tuple[int, int]] = {}
@@ -147,12 +152,25 @@ class State:
         return out if base else {}
 
 
-def search(evaluate: Callable[[list[list[Pair]]], list[Delta | None]], mine: Callable[[list[Pair]], list[Pair]], rounds: int = 10, cooldown_base: int = 2, net_commit: bool = True, state: State | None = None, **tolerance) -> State:
+def search(
+    evaluate: Callable[[list[list[Pair]]], list[Delta | None]],
+    mine: Callable[[list[Pair]], list[Pair]],
+    rounds: int = 10,
+    cooldown_base: int = 2,
+    net_commit: bool = True,
+    state: State | None = None,
+    journal: Callable[[State], None] = lambda state: None,
+    batch: int | None = None,
+    **tolerance,
+) -> State:
     """Rounds until no pair helps and none is benched, or `rounds` of them.
 
     evaluate(sets): figures (coverage, tenths, tenths) of each set of blocked pairs, None where one failed; mine(kept): candidate pairs.
     A round ejects kept pairs that no longer earn their place, scores the pool, and commits the best keep; with net_commit
     the commit is undone if, after the ejections that it causes, the set as a whole isn't better.
+
+    The pool is scored in batches, if told; journal(state) is called when a round has ejected, after each batch and after each round, so a search that
+    stops goes on behind the last batch.
     """
     state = state or State()
 
@@ -166,14 +184,24 @@ def search(evaluate: Callable[[list[list[Pair]]], list[Delta | None]], mine: Cal
         return [k for k, o in zip(kept, others, strict=True) if o is not None and whole is not None and not passes(minus(whole, o), **tolerance)]
 
     while len(state.rounds) < rounds:
-        entry: dict = {"ejected": non_earners(state.kept), "vetoed": [], "released": []}
-        state.kept = [k for k in state.kept if k not in entry["ejected"]]
+        if state.ejected is None:
+            state.ejected = non_earners(state.kept)
+            state.kept = [k for k in state.kept if k not in state.ejected]
+            state.scored = {}
+            journal(state)
+        entry: dict = {"ejected": list(state.ejected), "vetoed": [], "released": []}
         number = len(state.rounds) + 1
         bench = State(rounds=[*state.rounds, entry]).bench(cooldown_base)
         resting = {p for p, (_, until) in bench.items() if until >= number}
         pool = sorted(p for p in set(mine(state.kept)) if p not in state.kept and p not in resting)
-        reference, *scores = evaluate([state.kept, *[[*state.kept, p] for p in pool]])
-        verdicts = {p: minus(s, reference) for p, s in zip(pool, scores, strict=True) if s is not None and reference is not None}
+        reference, todo = None, [p for p in pool if p not in state.scored]
+        for i in range(0, max(1, len(todo)), batch or max(1, len(todo))):
+            part = todo[i : i + (batch or len(todo))]
+            reference, *scores = evaluate([state.kept, *[[*state.kept, p] for p in part]])
+            state.scored |= {p: None if s is None or reference is None else minus(s, reference) for p, s in zip(part, scores, strict=True)}
+            if part:
+                journal(state)
+        verdicts = {p: state.scored[p] for p in pool if state.scored.get(p) is not None}
         keeps = sorted((p for p, d in verdicts.items() if passes(d, **tolerance)), key=lambda p: (verdicts[p][1] > 0 or verdicts[p][2] > 0, -verdicts[p][0], verdicts[p][1], verdicts[p][2], p))
         entry |= {"n_pool": len(pool), "n_keeps": len(keeps), "verdicts": verdicts, "committed": None}
         for p in keeps:
@@ -191,7 +219,10 @@ def search(evaluate: Callable[[list[list[Pair]]], list[Delta | None]], mine: Cal
         if entry["committed"] is None and not keeps and resting:
             entry["released"] = [min(resting, key=lambda p: (bench[p][1], bench[p][0], p))]
         state.rounds.append(entry)
+        state.scored, state.ejected = {}, None
         if entry["committed"] is None and not entry["vetoed"] and not resting:
             state.status = "converged"
+        journal(state)
+        if state.status == "converged":
             break
     return state

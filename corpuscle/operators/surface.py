@@ -7,11 +7,14 @@ ordered pass over the spans and starts of a document.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cache
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window
@@ -178,43 +181,59 @@ def with_bos(docs: DataFrame, ids: str, bos: int) -> DataFrame:
     return docs.withColumn(ids, F.concat(F.array(F.lit(bos)), F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
-def packed_rows(docs: DataFrame, capacity: int, buffer: int = 1000) -> DataFrame:
-    """(part, row, doc_ids, crops, ids): rows of `capacity` tokens (the last ones of a task may be shorter), each filled with the largest
+def packed_rows(docs: DataFrame, capacity: int, buffer: int = 1000, loaders: int = 64) -> DataFrame:
+    """(loader, row, doc_ids, crops, ids): rows of `capacity` tokens (a loader's last ones may be shorter), each filled with the largest
     buffered document that fits, of equal ones the one that came first, else with the beginning of the shortest.
 
-    docs: (doc_id, ids), with a token that begins each. Each task packs its own documents from a buffer, as a loader does. Inputs
-    are a row without its last token, targets the row without its first.
+    docs: (doc_id, ids), with a token that begins each. Documents are dealt to loaders by a hash of doc_id, and each loader reads its own in the order of
+    doc_id, through a buffer, so rows don't depend on how the table is dealt. Loaders bound what a task packs: give more for more
+    documents. Inputs are a row without its last token, targets the row without its first. Documents without tokens take no part.
     """
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        part, pool, row = TaskContext.get().partitionId(), [], 0
-        source = ((int(d), list(map(int, x))) for pdf in batches for d, x in zip(pdf["doc_id"], pdf["ids"], strict=True))
-        done = False
+    def packed(loader, source):
+        lengths, pool, row, done = [], {}, 0, False  # lengths: (length, arrival) in order
+        arrivals = itertools.count()
         while True:
-            doc_ids, crops, out = [], 0, []
-            while len(out) < capacity:
+            doc_ids, crops, out, used = [], 0, [], 0
+            while used < capacity:
                 while not done and len(pool) < buffer:
                     item = next(source, None)
                     done = item is None
                     if item:
-                        pool.append(item)
+                        k = next(arrivals)
+                        pool[k] = item
+                        bisect.insort(lengths, (len(item[1]), -k))
                 if not pool:
                     break
-                room = capacity - len(out)
-                fits = [k for k, x in enumerate(pool) if len(x[1]) <= room]
-                k = max(fits, key=lambda k: (len(pool[k][1]), -k)) if fits else min(range(len(pool)), key=lambda k: (len(pool[k][1]), k))
-                d, x = pool.pop(k)
+                room = capacity - used
+                at = bisect.bisect_right(lengths, (room, 0)) - 1  # the longest that fits, of equal ones the first
+                fits = at >= 0
+                if not fits:  # the shortest; of equal ones the first
+                    at = bisect.bisect_right(lengths, (lengths[0][0], 0)) - 1
+                d, x = pool.pop(-lengths.pop(at)[1])
                 doc_ids.append(d)
                 crops += not fits
-                out += x[:room]
+                out.append(x[:room])
+                used += len(out[-1])
             if not doc_ids:
                 return
-            yield pd.DataFrame({"part": [part], "row": [row], "doc_ids": [doc_ids], "crops": [crops], "ids": [out]})
+            yield loader, row, doc_ids, crops, np.concatenate(out)
             row += 1
 
-    return docs.select("doc_id", "ids").mapInPandas(run, "part int, row long, doc_ids array<long>, crops int, ids array<int>")
+    def run(batches):
+        rows = ((int(k), d, np.asarray(x, np.int32)) for pdf in batches for k, d, x in zip(pdf["loader"], pdf["doc_id"], pdf["ids"], strict=True))
+        for loader, own in itertools.groupby(rows, key=lambda r: r[0]):
+            out = []
+            for r in packed(loader, ((int(d), x) for _, d, x in own)):
+                out.append(r)
+                if len(out) >= 500:
+                    yield pd.DataFrame(out, columns=["loader", "row", "doc_ids", "crops", "ids"])
+                    out = []
+            yield pd.DataFrame(out, columns=["loader", "row", "doc_ids", "crops", "ids"])
+
+    own = docs.where(F.size("ids") > 0).select(F.pmod(F.xxhash64("doc_id"), F.lit(loaders)).cast("int").alias("loader"), "doc_id", "ids")
+    rows = own.repartition("loader").sortWithinPartitions("loader", "doc_id")
+    return rows.mapInPandas(run, "loader int, row int, doc_ids array<long>, crops int, ids array<int>")
 
 
 def shifted(rows: DataFrame, ids: str = "ids") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.cluster import checkpointed
-from corpuscle.operators import bpe, evaluation, search
+from corpuscle.operators import bpe, evaluation, metrics, morphology, search
 from corpuscle.operators.search import Delta, Pair, State
 from corpuscle.sources.vocabularies import exists
 
@@ -43,18 +43,20 @@ class Evaluator:
 
 
 def save_state(spark: SparkSession, state: State, folder: str) -> None:
-    """Appends the state to the journal: one small file a round, the last one counts."""
+    """Appends the state to the journal: one small file each time, numbered; the last number counts."""
+    state.saves += 1
     plain = asdict(state)
     for r in plain["rounds"]:
         r["verdicts"] = [[*p, *d] for p, d in r.get("verdicts", {}).items()]
-    spark.createDataFrame([(len(state.rounds), json.dumps(plain))], "round int, state string").coalesce(1).write.mode("overwrite").json(f"{folder}/state/round={len(state.rounds):06d}-{uuid.uuid4().hex[:8]}")
+    plain["scored"] = [[*p, *(d or ())] for p, d in state.scored.items()]
+    spark.createDataFrame([(state.saves, json.dumps(plain))], "save int, state string").coalesce(1).write.mode("overwrite").json(f"{folder}/state/save={state.saves:06d}-{uuid.uuid4().hex[:8]}")
 
 
 def load_state(spark: SparkSession, folder: str) -> State | None:
-    """The last state of a journal; None if there is none."""
+    """The state written last to a journal; None if there is none."""
     if not exists(spark, f"{folder}/state"):
         return None
-    row = spark.read.schema("round int, state string").option("recursiveFileLookup", True).json(f"{folder}/state").orderBy(F.desc("round"), F.desc(F.length("state"))).first()
+    row = spark.read.schema("save int, state string").option("recursiveFileLookup", True).json(f"{folder}/state").where("state is not null").orderBy(F.desc("save")).first()
     if row is None:
         return None
     plain = json.loads(row.state)
@@ -64,7 +66,8 @@ def load_state(spark: SparkSession, folder: str) -> State | None:
         for k in ("ejected", "vetoed", "released"):
             r[k] = pairs(r.get(k, []))
         r["committed"] = tuple(r["committed"]) if r.get("committed") else None
-    return State(pairs(plain["kept"]), plain["rounds"], plain["status"])
+    scored = {(v[0], v[1]): tuple(v[2:]) or None for v in plain["scored"]}
+    return State(pairs(plain["kept"]), plain["rounds"], plain["status"], plain["saves"], scored, None if plain["ejected"] is None else pairs(plain["ejected"]))
 
 
 def events(spark: SparkSession, state: State) -> DataFrame:
@@ -85,12 +88,44 @@ def verdict_table(spark: SparkSession, state: State) -> DataFrame:
 
 
 def run(evaluate: Callable, mine: Callable, folder: str, spark: SparkSession, rounds: int = 10, **options) -> State:
-    """Goes on from the journal in the folder, if there is one, until the search converges or there are so many rounds; writes it after each."""
+    """Goes on from the journal in the folder, if there is one, until the search converges or there are so many rounds; writes it after each step, also within a round.
+    options: of search.search(), such as batch."""
     state = load_state(spark, folder) or State()
-    while state.status != "converged" and len(state.rounds) < rounds:
-        state = search.search(evaluate, mine, rounds=len(state.rounds) + 1, state=state, **options)
-        save_state(spark, state, folder)
-    return state
+    if state.status == "converged":
+        return state
+    return search.search(evaluate, mine, rounds=rounds, state=state, journal=lambda s: save_state(spark, s, folder), **options)
+
+
+def miner(evaluator: Evaluator, percentile: float = 40, most: int = 50) -> Callable[[list[Pair]], list[Pair]]:
+    """Proposes the merges of the tokens that fire least: those at or below a percentile of the merged tokens' firings, the rarest first, in the vocabulary that bars what is kept."""
+
+    def mine(kept: list[Pair]) -> list[Pair]:
+        rules = bpe.Rules.of(blocked=(*kept, *evaluator.base), **evaluator.rules)
+        made = bpe.collected(bpe.train(evaluator.train, evaluator.vocab_size, rules))
+        table = evaluator.spark.createDataFrame(bpe._frame(made), bpe.MERGES)
+        fires = metrics.fire_counts(bpe.encoded(evaluator.train, made))
+        rare = morphology.below_percentile(bpe.vocabulary(table), fires, percentile).orderBy("fires", "id").limit(most).collect()
+        whole = {i: bytes((i,)) for i in range(bpe.BYTES)} | {m.id: m.bytes for m in made}
+        of = {m.id: (whole[m.left], whole[m.right]) for m in made if not m.forced}
+        out = []
+        for r in rare:
+            try:
+                out.append(tuple(x.decode() for x in of[r.id]))
+            except (KeyError, UnicodeDecodeError):  # half a character can't be told as text
+                continue
+        return out
+
+    return mine
+
+
+def searched(evaluator: Evaluator, mine: Callable, rounds: int, **options) -> State:
+    """A search from nothing, without a journal."""
+    return search.search(evaluator, mine, rounds=rounds, **options)
+
+
+def kept_table(spark: SparkSession, state: State) -> DataFrame:
+    """(l, r, kept) of the pairs that a search keeps."""
+    return spark.createDataFrame([(*p, True) for p in state.kept], "l string, r string, kept boolean")
 
 
 def propose(evaluate: Callable, mine: Callable, state: State, **tolerance) -> list[tuple[Pair, Delta]]:
@@ -102,9 +137,9 @@ def propose(evaluate: Callable, mine: Callable, state: State, **tolerance) -> li
     return sorted(keeps, key=lambda x: (x[1][1] > 0 or x[1][2] > 0, -x[1][0], x[1][1], x[1][2], x[0]))
 
 
-def commit(evaluate: Callable, state: State, pairs: list[Pair], passes: Callable[[Delta], bool] = search.passes) -> dict[Pair, str]:
+def commit(evaluate: Callable, state: State, pairs: list[Pair], passes: Callable[[Delta], bool] = search.passes, journal: Callable[[State], None] = lambda state: None) -> dict[Pair, str]:
     """Commits vetted pairs in order, each measured against what is kept by then: committed, evaporated (it helps no more), vetoed
-    (the set is worse after the ejections that it causes), or error. The state gets a round for each that is committed."""
+    (the set is worse after the ejections that it causes), or error. The state gets a round for each that is committed; journal(state) is called behind it."""
     out: dict[Pair, str] = {}
     minus = lambda a, b: tuple(x - y for x, y in zip(a, b, strict=True))
     for p in pairs:
@@ -124,6 +159,7 @@ def commit(evaluate: Callable, state: State, pairs: list[Pair], passes: Callable
             continue
         state.rounds.append({"ejected": [k for k in state.kept if k not in trial], "vetoed": [], "released": [], "committed": p, "verdicts": {p: minus(alone, reference)}})
         state.kept, out[p] = trial, "committed"
+        journal(state)
     return out
 
 
@@ -135,9 +171,9 @@ def left_out(evaluate: Callable, kept: list[Pair], passes: Callable[[Delta], boo
     return [k for k, o in zip(kept, others, strict=True) if whole is not None and o is not None and not passes(tuple(a - b for a, b in zip(whole, o, strict=True)))]
 
 
-def harvest(evaluate: Callable, state: State, candidates: list[Pair], chunk: int = 32, clean_every: int = 16, most_cov: int | None = None, passes: Callable[[Delta], bool] = search.passes) -> int:
+def harvest(evaluate: Callable, state: State, candidates: list[Pair], chunk: int = 32, clean_every: int = 16, most_cov: int | None = None, passes: Callable[[Delta], bool] = search.passes, journal: Callable[[State], None] = lambda state: None) -> int:
     """Commits many candidates: a chunk is scored at once, and what passes is measured again against what is kept by then, the most
-    compressive first. After so many commits, and at the end, pairs that no longer earn their place go. Returns the number of commits."""
+    compressive first. After so many commits, and at the end, pairs that no longer earn their place go. journal(state) is called after each change. Returns the number of commits."""
     minus = lambda a, b: tuple(x - y for x, y in zip(a, b, strict=True))
     good = lambda d: passes(d) and (most_cov is None or d[0] <= most_cov)
     reference, done, since = evaluate([state.kept])[0], 0, 0
@@ -147,6 +183,7 @@ def harvest(evaluate: Callable, state: State, candidates: list[Pair], chunk: int
         if bad := left_out(evaluate, state.kept, passes):
             state.kept = [k for k in state.kept if k not in bad]
             state.rounds.append({"ejected": bad, "vetoed": [], "released": [], "committed": None, "verdicts": {}})
+            journal(state)
             reference = evaluate([state.kept])[0]
 
     todo = [p for p in candidates if p not in state.kept]
@@ -160,6 +197,7 @@ def harvest(evaluate: Callable, state: State, candidates: list[Pair], chunk: int
                 continue
             state.rounds.append({"ejected": [], "vetoed": [], "released": [], "committed": p, "verdicts": {p: minus(now, reference)}})
             state.kept, reference, done, since = [*state.kept, p], now, done + 1, since + 1
+            journal(state)
         if since >= clean_every:
             clean()
             since = 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +49,18 @@ def pair_source(pairs: DataFrame, name: str = "BLOCKED_PAIRS") -> str:
 
 
 def write_wrong(predictions: DataFrame, folder: str) -> bool:
-    """The items that were answered wrongly, as JSON lines. A failure to write them is told, never raised: the evaluation matters more."""
+    """The items that were answered wrongly, as JSON lines. A folder that can't be written is told, not raised, as the evaluation matters more; a query that is
+    wrong, or fails, is raised."""
+    wrong = predictions.where(~F.col("gold").eqNullSafe(F.col("pred")))
+    spark = predictions.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     try:
-        predictions.where(~F.col("gold").eqNullSafe(F.col("pred"))).write.mode("append").json(folder)
-    except Exception:  # noqa: BLE001  any failure of a side output
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.mkdirs(path):
+            return False
+    except Py4JJavaError:  # no such file system, no right to write, or a file in the way
         return False
+    wrong.write.mode("append").json(folder)
     return True
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuscle.ranges import ranged, summed_before
+
 
 def split_of(doc_id: Column, parts: int = 10) -> Column:
     """'val' for the last of so many residues of doc_id, 'train' for the others."""
@@ -19,23 +21,20 @@ def last_file_split(docs: DataFrame) -> DataFrame:
 
 
 def capped(docs: DataFrame, max_chars: int, order: tuple[str, ...] = ("doc_id",), shard: str | None = None, doc_cap: int | None = None, after: bool = False, text: str = "text") -> DataFrame:
-    """Documents in order until max_chars; the one that reaches the cap is the last (with after=True, the one that exceeds it).
+    """Documents in order until max_chars; the one that reaches the cap is the last (with after=True, the one that exceeds it). With a shard, those of each shard.
 
-    Without a shard the running total is in two steps, so that no task holds all rows: totals of ranges of the order, then
-    within the range. doc_cap cuts each text first.
+    The running total is in two steps, so that no task holds all rows or a whole shard: totals of ranges of the order, then
+    within the range. doc_cap cuts each text first. Documents alike in order and text, of which only some fit, are kept or left together with the first of them.
     """
     t = F.substring(F.col(text), 1, doc_cap) if doc_cap else F.col(text)
-    cut = docs.withColumn(text, t).withColumn("_n", F.coalesce(F.length(text), F.lit(0)).cast("long"))
-    within = lambda before: (before <= max_chars) if after else (before < max_chars)
-    if shard:
-        w = Window.partitionBy(shard).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return cut.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).where(within(F.col("_before"))).drop("_n", "_before")
-    sizes = cut.select(*order, "_n").repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    totals = sizes.groupBy("_part").agg(F.sum("_n").alias("_sum"), F.max(F.struct(*order)).alias("_last"))  # a row per part
-    starts = totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = sizes.withColumn("_in", inner).join(F.broadcast(starts), "_part").where(within(F.col("_start") + F.col("_in"))).select(*order)
-    return cut.drop("_n").join(kept, list(order), "left_semi")
+    cut = docs.withColumn(text, t).withColumn("_h", F.xxhash64(text))
+    by = (shard,) if shard else ()
+    # Copies count as one place, with all their characters.
+    places = cut.groupBy(*by, *order, "_h").agg(F.sum(F.coalesce(F.length(text), F.lit(0)).cast("long")).alias("_n"))
+    rows = summed_before(ranged(places, *by, *order, "_h"), "_n", (*order, "_h"), by)
+    kept = rows.where((F.col("_before") <= max_chars) if after else (F.col("_before") < max_chars)).select(*by, *order, "_h")
+    same = [F.col(f"c.`{k}`").eqNullSafe(F.col(f"k.`{k}`")) for k in (*by, *order, "_h")]
+    return cut.alias("c").join(kept.alias("k"), same, "left_semi").drop("_h")
 
 
 def capped_batches(docs: DataFrame, max_chars: int, batch: str, text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.operators import bpe
 from corpuscle.operators.probes import bytes_of_glyphs
+from corpuscle.ranges import ranged, summed_before
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -124,9 +125,11 @@ def kept_folders(folders: DataFrame) -> DataFrame:
 
 
 def ranked_texts(docs: DataFrame, shard: str, max_chars: int, order: str = "doc_id", text: str = "text") -> DataFrame:
-    """(shard, text): the documents of each shard in order, one behind another, up to max_chars; a bound on what a task holds."""
-    w = Window.partitionBy(shard).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    """(shard, text): the documents of each shard in order, one behind another, up to max_chars, which bounds what a task holds: the last one is cut before
+    texts are gathered. To split whole shards without gathering them see operators/joined.py."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(shard, order, t.alias("t")).withColumn("before", F.coalesce(F.sum(F.length("t").cast("long")).over(w), F.lit(0))).where(F.col("before") < max_chars)
-    whole = rows.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct(order, "t"))).alias("x"))
+    rows = docs.select(shard, order, F.xxhash64(t).alias("_h"), t.alias("t"))
+    places = summed_before(ranged(rows.groupBy(shard, order, "_h").agg(F.sum(F.length("t").cast("long")).alias("_n")), shard, order, "_h"), "_n", (order, "_h"), (shard,))
+    near = rows.join(places.where(F.col("_before") < max_chars).select(shard, order, "_h", "_before"), [shard, order, "_h"]).withColumn("t", F.left("t", (F.lit(max_chars) - F.col("_before")).cast("int")))
+    whole = near.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct(order, "_h", "t"))).alias("x"))
     return whole.select(shard, F.substring(F.array_join(F.transform("x", lambda v: v["t"]), ""), 1, max_chars).alias(text))

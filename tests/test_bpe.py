@@ -119,9 +119,17 @@ def test_unshadowed():
 
 
 def test_packed_rows_are_full(spark):
+    """Rows of a loader are full but for the last, hold each document once, and don't depend on partitions. Four documents of two rows, as a loader's test has them."""
     from corpuscle.operators import surface
 
     random.seed(1)
-    docs = spark.createDataFrame([(i, random.randint(1, 60)) for i in range(200)], "doc_id long, n long").coalesce(1)
-    rows = surface.packed_rows(docs, 64, 30).collect()
-    assert all(r.used == 64 for r in rows[:-1]) and sum(len(r.doc_ids) for r in rows) == 200
+    docs = spark.createDataFrame([(i, [random.randrange(9) for _ in range(random.randint(0, 60))]) for i in range(200)], "doc_id long, ids array<int>")
+    got = [sorted((r.loader, r.row, tuple(r.doc_ids), r.crops, tuple(r.ids)) for r in surface.packed_rows(docs.repartition(k), 64, 30, 3).collect()) for k in (1, 5)]
+    assert got[0] == got[1] and {r[0] for r in got[0]} == {0, 1, 2}
+    last = {r[0]: r[1] for r in got[0]}
+    assert all(len(r[4]) == 64 for r in got[0] if r[1] < last[r[0]])
+    with_tokens = sorted(r.doc_id for r in docs.collect() if r.ids)
+    assert sorted(d for r in got[0] for d in r[2]) == with_tokens
+    few = spark.createDataFrame([(i, [7] * n) for i, n in enumerate((30, 20, 40, 10))], "doc_id long, ids array<int>")
+    assert [(list(r.doc_ids), len(r.ids), r.crops) for r in surface.packed_rows(few, 49, 6, 1).orderBy("row").collect()] == [([2, 3], 49, 1), ([0, 1], 49, 1)]
+    assert surface.packed_rows(few.where("false"), 49).isEmpty()

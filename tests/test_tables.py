@@ -202,8 +202,9 @@ def test_few_shots_are_k_others(spark):
 def test_bootstrap_interval(spark):
     rng = np.random.default_rng(3)
     a, b, w = rng.gamma(2, 3, 400), rng.gamma(2, 2.5, 400), rng.integers(1, 9, 400).astype(float)
-    rows = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, w, strict=True)], "a double, b double, w double").repartition(3)
-    got = registers.bootstrap(rows, "a", "b", "w", 1000).first()
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(a, b, w, strict=True))], "key int, a double, b double, w double").repartition(3)
+    got = registers.bootstrap(rows, "a", "b", "w", "key", 1000).first()
+    assert got.n == 400
     pick = rng.integers(0, 400, (4000, 400))
     d = (a[pick].sum(1) - b[pick].sum(1)) / w[pick].sum(1)
     assert got.diff == pytest.approx((a.sum() - b.sum()) / w.sum())
@@ -261,7 +262,7 @@ def test_loader_rows(spark):
     rng = random.Random(4)
     docs = [(i, [rng.randrange(99) for _ in range(rng.randint(0, 14))]) for i in range(70)]
     df = surface.with_bos(spark.createDataFrame(docs, "doc_id long, ids array<int>").coalesce(1), "ids", 999)
-    got = surface.shifted(surface.packed_rows(df, 11, 6)).orderBy("row").collect()
+    got = surface.shifted(surface.packed_rows(df, 11, 6, 1)).orderBy("row").collect()
     assert [(list(r.doc_ids), list(r.ids)) for r in got] == loader([(i, [999, *x]) for i, x in docs], 11, 6)
     assert all(list(r.x) == list(r.ids)[:-1] and list(r.y) == list(r.ids)[1:] for r in got)
 
