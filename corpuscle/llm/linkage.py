@@ -1,10 +1,11 @@
 """From band keys to groups of near-duplicates: candidates, exact verification, components.
 
-Items that share a band key form a bucket. Buckets are found by a shuffle of blocks of (key, id) pairs, after the copies of a key in
-a task were linked to the least of them, so that a hot bucket sends one pair per block. A bucket's items are linked to its least
-item, each such pair is verified exactly, and components are formed. Where a bucket still holds several components, every pair of
-its items from different components is verified too, in tiles, so no link between two items of a bucket is lost, while a bucket of
-thousands of alike items costs one pair for each. No bucket is gathered in a task.
+Items that share a band key form a bucket. A task links the items of a key in a block of rows to the least of them, the key's head in
+that block, and these links are written as they are: only heads are shuffled by key, so a hot bucket sends one pair per block. Heads are linked
+to the bucket's least item, each link is verified exactly, and components are formed. Where a bucket still holds several components, its items from
+different components are compared too, in tiles, while a bucket of thousands of alike items costs one pair for each. No task gathers a bucket's items. In a tile
+a pair is passed over if the estimate by 64 MinHash values lies more than SLACK standard deviations under the threshold, which
+loses a link in about one of three million at the threshold, and fewer above; all others are verified exactly.
 """
 
 from __future__ import annotations
@@ -72,23 +73,32 @@ def _blocks(parts: int):
     return run
 
 
-def _starred(batches):
-    """Links (key, a, b) of the ids of each key to their head, and of heads to the key's least id. A task holds 24 bytes for each of its triples."""
-    heads, others = [], []
+_LINKS = ["key", "a", "b"]
+
+
+def _own_links(batches):
+    """Links (key, a, b) of the ids of each block to their heads, as the blocks hold them."""
     for b in batches:
-        heads += b.column("heads").to_pylist()
-        others += b.column("others").to_pylist()
+        for raw in b.column("others").to_pylist():
+            rows = np.frombuffer(raw, np.int64).reshape(-1, 3)
+            for i in range(0, len(rows), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[i : i + 100_000].T], _LINKS)
+
+
+def _starred(batches):
+    """Links (key, a, b) of a part's heads to the least of their key. A task holds 16 bytes for each of its heads."""
+    heads = [np.frombuffer(x, np.int64).reshape(-1, 2) for b in batches for x in b.column("heads").to_pylist()]
     if not heads:
         return
-    heads, others = np.frombuffer(b"".join(heads), np.int64).reshape(-1, 2), np.frombuffer(b"".join(others), np.int64).reshape(-1, 3)
-    key, ids, head = (np.concatenate(x) for x in ((heads[:, 0], others[:, 0]), (heads[:, 1], others[:, 1]), (heads[:, 1], others[:, 2])))
-    order = np.argsort(key)
-    key, ids, head = key[order], ids[order], head[order]
-    head = np.where(head == ids, _least(key, ids), head)
-    keep = np.flatnonzero(ids != head)
+    rows = np.concatenate(heads)
+    del heads
+    rows = rows[np.argsort(rows[:, 0])]
+    key, ids = np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1])
+    least = _least(key, ids)
+    keep = np.flatnonzero(ids != least)
     for i in range(0, len(keep), 100_000):
         k = keep[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(key[k]), pa.array(ids[k]), pa.array(head[k])], ["key", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[k]), pa.array(ids[k]), pa.array(least[k])], _LINKS)
 
 
 class Seen:
@@ -179,8 +189,11 @@ def linked_groups(banded: DataFrame, fetch: Callable[[DataFrame, Callable, str],
     texts, a row each, by which pairs in tiles are passed over that are far from the threshold.
     """
     parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = banded.select("id", "keys").mapInArrow(_blocks(parts), "part long, heads binary, others binary")
-    stars = scratch.staged(blocks.repartition("part").select("heads", "others").mapInArrow(_starred, "key long, a long, b long"), "stars")
+    blocks = scratch.staged(banded.select("id", "keys").mapInArrow(_blocks(parts), "part long, heads binary, others binary"), "blocks")
+    star = "key long, a long, b long"
+    of_heads = blocks.select("part", "heads").repartition("part").select("heads").mapInArrow(_starred, star)
+    stars = scratch.staged(of_heads.union(blocks.select("others").mapInArrow(_own_links, star)), "stars")
+    scratch.drop(blocks)
     pairs = scratch.staged(stars.select("a", "b").distinct(), "pairs")
     # A text goes once to each head that it is compared with; the items of a head of many are dealt to several tasks.
     shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / ITEMS).cast("int").alias("shares"))
