@@ -218,15 +218,22 @@ class _Trainer:
         keys, which = np.unique(self.token[places] * self.WIDE + self.token[self.after[places]], return_inverse=True)
         return keys, np.bincount(which, self.weight[places], len(keys)).astype(np.int64), which
 
+    #: Places up to which a merge is made by a plain loop, which costs less than array operations do.
+    FEW = 500
+
     def _apply(self, key: int, new: int) -> None:
         a, b = divmod(key, self.WIDE)
         token, after, before = self.token, self.after, self.before
-        at = np.unique(np.concatenate(self.where.pop(key)))
+        parts = [np.asarray(p, np.int64) for p in self.where.pop(key)]
+        at = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
         at = at[(token[at] == a) & (after[at] >= 0)]
         at = at[token[after[at]] == b]
         if not len(at):
             self.count.pop(key, None)
             return
+        if a != b and len(at) <= self.FEW:
+            self._apply_few(a, b, new, at)
+            return
         if a == b:  # of overlapping places in a run every other one, from the left
             first = np.r_[True, after[at[:-1]] != at[1:]]
             starts = np.flatnonzero(first)
@@ -254,6 +261,42 @@ class _Trainer:
         if not self.count.get(key):
             self.count.pop(key, None)
 
+    def _apply_few(self, a: int, b: int, new: int, at: np.ndarray) -> None:
+        """The pair (a, b) merged at its places, all of them, in order."""
+        token, after, before, wide, count = self.token, self.after, self.before, self.WIDE, self.count
+        second = after[at]
+        right, left = after[second], before[at]
+        weights = self.weight[at].tolist()
+        del count[a * wide + b]
+        rights, lefts = token[right].tolist(), token[left].tolist()
+        has_right, has_left = (right >= 0).tolist(), (left >= 0).tolist()
+        # A place that follows right behind another: the pair between them is taken off once.
+        follows = [False, *(left[1:] == second[:-1]).tolist()]
+        for w, x, y, is_left, is_right, follow in zip(weights, lefts, rights, has_left, has_right, follows, strict=True):
+            if is_left and not follow:
+                count[x * wide + a] -= w
+            if is_right:
+                count[b * wide + y] -= w
+        token[at], token[second] = new, -1
+        after[at] = right
+        right = right[right >= 0]
+        before[right] = at[has_right]
+        lefts, rights = token[before[at]].tolist(), token[after[at]].tolist()
+        made: dict[int, tuple[list[int], list[int]]] = {}
+        for k, left_at, w, x, y, is_left, is_right in zip(at.tolist(), before[at].tolist(), weights, lefts, rights, has_left, has_right, strict=True):
+            if is_left and x != new:  # else it is the one before's right
+                places, sums = made.setdefault(x * wide + new, ([], []))
+                places.append(left_at)
+                sums.append(w)
+            if is_right:
+                places, sums = made.setdefault(new * wide + y, ([], []))
+                places.append(k)
+                sums.append(w)
+        for k, (places, sums) in made.items():
+            n = count[k] = count.get(k, 0) + sum(sums)
+            self.where.setdefault(k, []).append(places)
+            heapq.heappush(self.heap, (-n, k))
+
     def copy(self, rules: Rules, found: tuple[int, int] | None = None) -> _Trainer:
         """The trainer as it stands, to go on by other rules. found: a pair and its count that were taken from the heap and not merged."""
         out = object.__new__(_Trainer)
