@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuscle.catalog import MERGES, chunk_sql, documents, merge_rows_sql, named, query, ship_code, staged_sql, table
-from corpuscle.cluster import checkpointed
+from corpuscle import sql
+from corpuscle.catalog import _ID, MERGES, chunk_sql, documents, fires_sql, merge_rows_sql, named, query, register_sql, ship_code, staged_sql, table, vocab_sql
+from corpuscle.cluster import Scratch, checkpointed
 from corpuscle.functions.patterns import BASE, duckdb_chunks
-from corpuscle.operators import bpe, chunks, evaluation, geometry, joined, losses, merging, phrases, surfaces
-from corpuscle.plans import fixpoint
+from corpuscle.operators import bpe, chunks, dropout, evaluation, geometry, joined, losses, merging, phrases, surfaces, unigram
+from corpuscle.plans import fixpoint, reports
 from corpuscle.sources import corpus, physical
+from corpuscle.streaming import decoding
 
 _ROUNDS = 32
 
@@ -162,3 +164,139 @@ def heldout_search(spark, sf_dir):
     evaluator = fixpoint.Evaluator(spark, chunks.counted(d.where("doc_id % 5 <> 0")), held, words, bpe.BYTES + 4 * MERGES)
     state = fixpoint.searched(evaluator, fixpoint.miner(evaluator, most=24), rounds=2, comp_tolerance=20, dead_tolerance=10)
     return fixpoint.verdict_table(spark, state).join(fixpoint.kept_table(spark, state), ["l", "r"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+# --- other ways to encode ---
+
+
+def _small(spark, sf_dir, merges=MERGES):
+    """(chunk counts, the small vocabulary's merges)."""
+    counts = checkpointed(chunks.counted(documents(spark, sf_dir, "text")))
+    return counts, bpe.collected(bpe.train(counts, bpe.BYTES + merges, mode="task"))
+
+
+@query(f"""WITH {staged_sql(by='lang')} SELECT lang, sum(len(string_split(trim(w, '<>'), '><')) * n)::BIGINT AS kept_all, sum(strlen(chunk) * n)::BIGINT AS kept_none, true AS between FROM w{MERGES} GROUP BY lang""")
+def dropout_tokens(spark, sf_dir):
+    """Tokens by language where no merge is left out, where all are, and whether leaving out a tenth lies between."""
+    _, made = _small(spark, sf_dir)
+    d, out = documents(spark, sf_dir, "doc_id", "lang", "text"), None
+    for name, share in (("kept_all", 0.0), ("some", 0.1), ("kept_none", 1.0)):
+        own = dropout.encoded(d, made, share, seed=7).groupBy("lang").agg(F.sum(F.size("ids")).alias(name))
+        out = own if out is None else out.join(own, "lang")
+    return out.select("lang", "kept_all", "kept_none", ((F.col("some") > F.col("kept_all")) & (F.col("some") < F.col("kept_none"))).alias("between"))
+
+
+@query("SELECT doc_id, strlen(text) AS bytes, true AS same FROM documents WHERE text IS NOT NULL")
+def dropout_round_trip(spark, sf_dir):
+    """Every document encoded with a third of its merges left out, and decoded by a function that SQL calls."""
+    _, made = _small(spark, sf_dir)
+    sql.register_vocabulary(spark, made, "small")
+    d = documents(spark, sf_dir, "doc_id", "text").where("text is not null").withColumn("own", F.col("text"))
+    back = dropout.encoded(d, made, 0.33, seed=3).withColumn("back", F.call_function("small_decode", "ids"))
+    return back.select("doc_id", F.octet_length("back").cast("long").alias("bytes"), (F.col("back") == F.col("own")).alias("same"))
+
+
+@query(f"""WITH {staged_sql(by='lang')} SELECT lang, sum(len(string_split(trim(w, '<>'), '><')) * n)::BIGINT AS tokens, sum(len(string_split(trim(w, '<>'), '><')) * n)::BIGINT AS rows FROM w{MERGES} GROUP BY lang""")
+def sql_token_counts(spark, sf_dir):
+    """Tokens counted in SQL, by a function and by a table function."""
+    _, made = _small(spark, sf_dir)
+    sql.register_vocabulary(spark, made, "small")
+    documents(spark, sf_dir, "lang", "text").createOrReplaceTempView("corpuscle_texts")
+    return spark.sql("""SELECT lang, tokens, `rows` FROM (SELECT lang, sum(small_count(text)) AS tokens FROM corpuscle_texts GROUP BY lang)
+        JOIN (SELECT lang, count(*) AS `rows` FROM corpuscle_texts, LATERAL small_tokens(text) GROUP BY lang) USING (lang)""")
+
+
+_SEEDS = 12
+
+
+def seeded_sql(steps: int, most: int) -> str:
+    """Operands' numbers from names; a seed stands behind the later operand, and all later ids move up."""
+    number = lambda c: _ID.replace("t[", f"{c}[").replace("|| t)", f"|| {c})")
+    return f"""WITH {staged_sql(steps)}, {vocab_sql(steps)}, s AS (SELECT a, b, row_number() OVER (ORDER BY c DESC, a, b) AS k FROM
+(SELECT t[i] AS a, t[i + 1] AS b, sum(n) AS c FROM (SELECT t, n, unnest(range(1, len(t))) AS i FROM (SELECT string_split(trim(w, '<>'), '><') AS t, n FROM w{steps})) GROUP BY 1, 2 ORDER BY c DESC, a, b LIMIT {most})),
+h AS (SELECT k, greatest({number('a')}, {number('b')}, 255) AS place, x.hex || y.hex AS hex FROM s JOIN v{steps} x ON x.name = a JOIN v{steps} y ON y.name = b),
+u AS (SELECT min(k) AS k, min_by(place, k) AS place, hex FROM h WHERE hex NOT IN (SELECT hex FROM vocab) GROUP BY hex),
+r AS (SELECT id AS place, 0 AS k, hex, false AS seed FROM vocab UNION ALL SELECT place, k, hex, true FROM u)
+SELECT (row_number() OVER (ORDER BY place, k) - 1)::INT AS id, hex, seed FROM r"""
+
+
+@query(seeded_sql(MERGES, _SEEDS))
+def seeded_vocabulary(spark, sf_dir):
+    """The small vocabulary with the pairs that stand beside each other most often put in behind their operands."""
+    counts, made = _small(spark, sf_dir)
+    w = bpe.folded_encode(counts.select(bpe.word(F.col("chunk")).alias("w"), "n"), made)
+    whole = {i: bytes((i,)) for i in range(bpe.BYTES)} | {m.id: m.bytes for m in made}
+    pairs = [(whole[bpe.number(r.a)], whole[bpe.number(r.b)]) for r in bpe.pair_counts(w).orderBy(F.desc("n"), "a", "b").limit(_SEEDS).collect()]
+    merges, ids = bpe.insert_seeds(made, pairs)
+    rows = [(i, bytes((i,)).hex().upper(), False) for i in range(bpe.BYTES)] + [(m.id, m.bytes.hex().upper(), m.id in set(ids)) for m in merges]
+    return spark.createDataFrame(rows, "id int, hex string, seed boolean")
+
+
+@query()
+def unigram_against_bpe(spark, sf_dir):
+    """Bytes a token of a unigram vocabulary of 2,000 pieces and of a byte-pair one of that size, both learned from all documents."""
+    counts = checkpointed(chunks.counted(documents(spark, sf_dir, "text")))
+    pieces, log = unigram.train(counts, 2000)
+    made = bpe.collected(bpe.train(counts, 2000, mode="task"))
+    total = counts.agg(F.sum(F.octet_length("chunk") * F.col("n")).alias("bytes"))
+    own = unigram.encoded(counts, pieces).agg(F.lit("unigram").alias("kind"), F.lit(len(pieces)).alias("size"), F.sum(F.size("pieces") * F.col("n")).alias("tokens"))
+    other = bpe.encoded(counts, made).agg(F.lit("bpe").alias("kind"), F.lit(bpe.BYTES + len(made)).alias("size"), F.sum(F.size("ids") * F.col("n")).alias("tokens"))
+    return own.union(other).crossJoin(total).select("kind", "size", "tokens", (F.col("bytes") / F.col("tokens")).alias("bytes_per_token"))  # one row each
+
+
+@query("SELECT doc_id, strlen(text) AS bytes, true AS same FROM documents WHERE text <> ''")
+def stream_decoded_documents(spark, sf_dir):
+    """Token rows of all documents as a stream of files, decoded as they arrive; the pieces of each document are its text."""
+    _, made = _small(spark, sf_dir)
+    d = documents(spark, sf_dir, "doc_id", "text").where("text <> ''")
+    with Scratch(spark, "stream") as scratch:
+        rows = bpe.token_rows(d, made, BASE)
+        pos = (F.col("cpos").cast("long") * (1 << 24) + F.col("tpos")).alias("pos")
+        rows.select("doc_id", pos, "id").write.parquet(f"{scratch.folder}/rows")
+        stream = spark.readStream.schema("doc_id long, pos long, id int").parquet(f"{scratch.folder}/rows")
+        pieces = decoding.decoded(stream, made)
+        pieces.writeStream.format("parquet").option("path", f"{scratch.folder}/pieces").option("checkpointLocation", f"{scratch.folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.schema(pieces.schema).parquet(f"{scratch.folder}/pieces").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("text").alias("t")))).alias("x"))
+        back = got.select("doc_id", F.array_join(F.transform("x", lambda v: v["t"]), "").alias("back"))
+        return checkpointed(d.join(back, "doc_id", "left").select("doc_id", F.octet_length("back").cast("long").alias("bytes"), F.coalesce(F.col("back") == F.col("text"), F.lit(False)).alias("same")))
+
+
+# --- reports ---
+
+
+@query(" UNION ALL ".join(f"""SELECT * FROM ({register_sql(kind)}, t AS (SELECT lang, sum(n) AS pt, count(*) AS k, sum(n::DOUBLE * n) AS pp FROM p GROUP BY lang), u AS (SELECT sum(m) AS qt, sum(m::DOUBLE * m) AS qq FROM q)
+SELECT lang, '{kind}' AS kind, round(coalesce(sum(n::DOUBLE * m) / sqrt(any_value(pp) * any_value(qq)), 0), 6) AS cosine, round(sum(n::DOUBLE / pt * ln((n::DOUBLE / pt) / coalesce(m::DOUBLE / qt, 1.0 / (qt + k)))), 6) AS kl FROM p JOIN t USING (lang) LEFT JOIN q USING (gram), u GROUP BY lang)""" for kind in ("word", "bigram", "char4")))
+def register_overlap(spark, sf_dir):
+    """Overlap of each language with the benchmark, in words, pairs of words and runs of four characters."""
+    out = reports.register_report(documents(spark, sf_dir, "doc_id", "lang", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.select("lang", "kind", F.round("cosine", 6).alias("cosine"), F.round("kl", 6).alias("kl"))
+
+
+@query(f"""WITH {fires_sql()}, {vocab_sql()}, t AS (SELECT sum(len(string_split(trim(w, '<>'), '><')) * n)::BIGINT AS tokens, sum(length(chunk) * n)::BIGINT AS chars, sum(strlen(chunk) * n)::BIGINT AS bytes FROM w{MERGES}),
+d AS (SELECT count(*) AS n_tokens, count(*) FILTER (fires IS NULL) AS n_dead, max(id) + 1 - count(DISTINCT id) AS n_holes, max(length(hex) // 2) AS longest FROM vocab LEFT JOIN fires USING (id)),
+m AS (SELECT round(sum(id * fires)::DOUBLE / sum(fires), 9) AS wmean_id FROM fires), r AS (SELECT count(*) AS docs, count(*) AS same FROM documents)
+SELECT tokens, chars, bytes, n_tokens, n_dead, n_holes::BIGINT AS n_holes, longest::INT AS longest, wmean_id, docs, same FROM t, d, m, r""")
+def tokenizer_summary(spark, sf_dir):
+    """The report on the small vocabulary in one row: compression, dead tokens, holes, and documents that come back from their tokens."""
+    d = documents(spark, sf_dir, "doc_id", "text")
+    _, made = _small(spark, sf_dir)
+    rep = reports.tokenizer_report(d, spark.createDataFrame(bpe._frame(made), bpe.MERGES))
+    row = rep["totals"].select("tokens", "chars", "bytes")
+    parts = (rep["dead"].select("n_tokens", "n_dead"), rep["density"].select(F.col("n_holes").cast("long").alias("n_holes")), rep["lengths"].select(F.col("max_len").alias("longest")), rep["mean_id"].select(F.round("wmean_id", 9).alias("wmean_id")), rep["round_trip"])
+    for part in parts:  # one row each
+        row = row.crossJoin(part)
+    return row
+
+
+@query(f"""WITH {fires_sql()}, {vocab_sql()}, h AS (SELECT t, sum(n) AS fires FROM (SELECT n, unnest(string_split(trim(w, '<>'), '><')) AS t FROM w{MERGES // 2}) GROUP BY t),
+a AS (SELECT hex AS token, fires FROM h JOIN v{MERGES // 2} ON name = t), b AS (SELECT hex AS token, fires FROM fires JOIN vocab USING (id)),
+c AS (SELECT token, coalesce(b.fires, 0)::BIGINT - coalesce(a.fires, 0)::BIGINT AS change FROM a FULL JOIN b USING (token))
+SELECT * FROM (SELECT 'gain' AS kind, token, change FROM c ORDER BY change DESC, token LIMIT 15) UNION ALL SELECT * FROM (SELECT 'loss', token, change FROM c ORDER BY change, token LIMIT 15)
+UNION ALL SELECT 'born', hex, NULL FROM vocab WHERE hex NOT IN (SELECT hex FROM v{MERGES // 2})""")
+def tokenizer_changes(spark, sf_dir):
+    """What the small vocabulary's second half changes: tokens that fire more, or less, by their bytes, and those that are new."""
+    _, made = _small(spark, sf_dir)
+    both = [spark.createDataFrame(bpe._frame(m), bpe.MERGES) for m in (made[: MERGES // 2], made)]
+    rep = reports.compared_tokenizers(documents(spark, sf_dir, "source", "text"), *both)
+    rows = [rep[name].select(F.lit(kind).alias("kind"), "token", "change") for kind, name in (("gain", "gainers"), ("loss", "losers"))]
+    return rows[0].union(rows[1]).union(rep["vocabulary"].where("kind = 'born'").select("kind", "token", F.lit(None).cast("long")))

@@ -453,13 +453,13 @@ def encode_bytes(text: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in _merged_lowest([text[i : i + 1] for i in range(len(text))], lambda a, b: ranks.get(a + b), lambda a, b, r: a + b)]
 
 
-def encode_arrays(tokens: np.ndarray, sizes: np.ndarray, merges: list[Merge]) -> tuple[np.ndarray, np.ndarray]:
+def encode_arrays(tokens: np.ndarray, sizes: np.ndarray, merges: list[Merge], skip: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
     """encode_word() for many words at once, one's tokens behind another's: (ids, sizes). Every step merges the lowest pair of each word, at all its places. For merges without
-    forced ones, whose ids rise with those of their operands."""
+    forced ones, whose ids rise with those of their operands. skip(places, ids): which merges are left out where; a place is that of the first token as given."""
     wide = 1 << 32
     rules = sorted((m.left * wide + m.right, m.id) for m in merges)
     keys, ids = (np.array(x, np.int64) for x in (zip(*rules, strict=True) if rules else ((), ())))
-    tokens, word = tokens.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+    tokens, word, place = tokens.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), np.arange(len(tokens))
     done: list[tuple[np.ndarray, np.ndarray]] = []
     while len(keys) and len(tokens):
         at = np.flatnonzero(word[1:] == word[:-1])
@@ -467,12 +467,16 @@ def encode_arrays(tokens: np.ndarray, sizes: np.ndarray, merges: list[Merge]) ->
         rule = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
         hit = keys[rule] == pair
         at, rank = at[hit], ids[rule[hit]]
+        if skip is not None:
+            stays = ~skip(place[at], rank)
+            at, rank = at[stays], rank[stays]
         if not len(at):
             break
         starts = np.flatnonzero(np.r_[True, word[at[1:]] != word[at[:-1]]])
         lowest = rank == np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(at)]))
         at, rank = at[lowest], rank[lowest]
-        runs = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])  # places in a row are of a token with itself: every other one
+        # Places in a row are of a token with itself: every other one.
+        runs = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])
         first = (np.arange(len(at)) - np.repeat(runs, np.diff(np.r_[runs, len(at)]))) % 2 == 0
         at, rank = at[first], rank[first]
         busy = np.zeros(len(sizes), bool)
@@ -481,7 +485,7 @@ def encode_arrays(tokens: np.ndarray, sizes: np.ndarray, merges: list[Merge]) ->
         tokens[at + 1] = -1
         here, left = busy[word] & (tokens >= 0), ~busy[word]
         done.append((tokens[left], word[left]))
-        tokens, word = tokens[here], word[here]
+        tokens, word, place = tokens[here], word[here], place[here]
     done.append((tokens, word))
     tokens, word = (np.concatenate(x) for x in zip(*done, strict=True))
     order = np.argsort(word, kind="stable")
@@ -519,6 +523,31 @@ def collected(merges: DataFrame) -> list[Merge]:
     return sorted(rows, key=lambda m: (m.forced, m.id, m.left, m.right))
 
 
+def insert_seeds(merges: list[Merge], seeds: list[tuple[bytes, bytes]]) -> tuple[list[Merge], list[int]]:
+    """(merges, ids of the seeds among them): pairs put into a vocabulary right behind the later of their operands, as if they had been made there.
+
+    A merge behind that place moves up by one for each seed before it, so ids stay dense and in the old order. An operand may be what an earlier
+    seed makes. Seeds whose bytes are there already, or of which an operand is missing, are passed over. Appended at the end, a seed would hardly ever fire, as
+    merges of its operands with others come first. merges: without forced ones, all ids from 256 on.
+    """
+    place: dict[bytes, tuple[int, int]] = {bytes((i,)): (i, 0) for i in range(BYTES)} | {m.bytes: (m.id, 0) for m in merges}
+    behind: dict[int, int] = {}
+    made: list[tuple[bytes, bytes]] = []
+    for left, right in seeds:
+        if left not in place or right not in place or left + right in place:
+            continue
+        # Behind all 256 bytes, if both operands are bytes.
+        at = max(place[left], place[right], (BYTES - 1, 0))[0]
+        behind[at] = behind.get(at, 0) + 1
+        place[left + right] = (at, behind[at])
+        made.append((left, right))
+    number = {b: i for i, b in enumerate(sorted(place, key=place.__getitem__))}
+    whole = {i: bytes((i,)) for i in range(BYTES)} | {m.id: m.bytes for m in merges}
+    rows = [Merge(number[m.bytes], number[whole[m.left]], number[whole[m.right]], m.bytes, m.n) for m in merges]
+    rows += [Merge(number[a + b], number[a], number[b], a + b, 0) for a, b in made]
+    return sorted(rows, key=lambda m: m.id), sorted(number[a + b] for a, b in made)
+
+
 def decoded(ids: DataFrame, vocab: DataFrame, key: str, pos: str = "pos", id: str = "id") -> DataFrame:
     """(key, text) of token rows (key, pos, id)."""
     named = ids.join(F.broadcast(vocab.select(F.col("id").alias(id), F.hex("bytes").alias("_h"))), id)

@@ -231,7 +231,8 @@ class _Rounds:
 
     def __init__(self, chunks: DataFrame, book: _Book, scratch: Scratch, hot: int, look: int):
         self.book, self.scratch, self.hot, self.look = book, scratch, hot, look
-        self.blocks = scratch.staged(chunks.select("chunk", "n").where("chunk is not null").mapInArrow(_blocks, _BLOCK), "blocks")
+        tasks = chunks.sparkSession.sparkContext.defaultParallelism
+        self.blocks = scratch.staged(chunks.select("chunk", "n").where("chunk is not null").repartition(tasks).mapInArrow(_blocks, _BLOCK), "blocks")
         self.rounds = 0
         self._counted()
 
