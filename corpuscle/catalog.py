@@ -45,7 +45,7 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def trained(spark: SparkSession, sf_dir: str, rules: bpe.Rules = bpe.Rules(), by: tuple[str, ...] = (), merges: int = MERGES):
     """(merge table, chunks with ids, vocabulary) of the small vocabulary on documents. Texts are split and counted once, and the vocabulary is trained once."""
     counts = checkpointed(chunks.counted(documents(spark, sf_dir, *by, "text"), by=by))
-    table = bpe.train(counts.groupBy("chunk").agg(F.sum("n").alias("n")) if by else counts, bpe.BYTES + merges, rules, "task")
+    table = bpe.train(counts.groupBy("chunk").agg(F.sum("n").alias("n")) if by else counts, bpe.BYTES + merges, rules)
     made = bpe.collected(table)  # as many rows as there are merges
     own = spark.createDataFrame(bpe._frame(made), bpe.MERGES)
     return own, checkpointed(bpe.encoded(counts, made)), bpe.vocabulary(own)
@@ -186,7 +186,7 @@ BLOCKED = ((" ", "t"), ("e", "r"), ("t", "h"))
 
 @query(f"""WITH {staged_sql(12, " AND ".join(f"NOT (t[i] = '{a.encode().hex().upper()}' AND t[i + 1] = '{b.encode().hex().upper()}')" for a, b in BLOCKED))} {merge_rows_sql(12)}""")
 def bpe_blocked_merges(spark, sf_dir):
-    return named(bpe.train(chunks.counted(documents(spark, sf_dir, "text")), bpe.BYTES + 12, bpe.Rules.of(BLOCKED), "task"))
+    return named(bpe.train(chunks.counted(documents(spark, sf_dir, "text")), bpe.BYTES + 12, bpe.Rules.of(BLOCKED)))
 
 
 def space_rule_sql(steps: int) -> str:
@@ -211,7 +211,7 @@ def space_rule_sql(steps: int) -> str:
 def bpe_space_rules(spark, sf_dir):
     """Lines as words, so that phrases could form; the rules bar them."""
     rules = bpe.Rules(leading_space=True, trailing_space=True)
-    return named(bpe.train(chunks.counted(documents(spark, sf_dir, "text"), r"[^\n]+"), bpe.BYTES + 12, rules, "task"))
+    return named(bpe.train(chunks.counted(documents(spark, sf_dir, "text"), r"[^\n]+"), bpe.BYTES + 12, rules))
 
 
 #: Bytes that forced pairs and the blocked one keep from merging naturally; "the" can't come about without "th" or "he".
@@ -225,7 +225,7 @@ UNION ALL VALUES (276, 116, 104, '7468', true), (277, 276, 101, '746865', true),
 def bpe_forced_merges(spark, sf_dir):
     """Twenty natural merges, three forced ones (the fourth is blocked), one more natural one in the place that is left."""
     rules = bpe.Rules.of(blocked=(("h", "e"),), forced=(("t", "h"), ("th", "e"), ("a", "n"), ("h", "e")))
-    m = bpe.train(chunks.counted(documents(spark, sf_dir, "text")), bpe.BYTES + 24, rules, "task")
+    m = bpe.train(chunks.counted(documents(spark, sf_dir, "text")), bpe.BYTES + 24, rules)
     return m.select("id", "left", "right", F.hex("bytes").alias("hex"), "forced")
 
 
@@ -417,14 +417,14 @@ def word_start_ownership(spark, sf_dir):
 @query("SELECT doc_id, strlen(text) AS bytes, true AS same FROM documents WHERE text IS NOT NULL")
 def surface_roundtrip(spark, sf_dir):
     """Every document through the dual stream and back."""
-    made = bpe.collected(bpe.train(chunks.counted(documents(spark, sf_dir, "text").select(T.fold_case(F.col("text")).alias("text")), SPACELESS), bpe.BYTES + 64, mode="task"))
+    made = bpe.collected(bpe.train(chunks.counted(documents(spark, sf_dir, "text").select(T.fold_case(F.col("text")).alias("text")), SPACELESS), bpe.BYTES + 64))
     codec = surface.SurfaceCodec(tuple(made), 4)
     d = surface.decoded(surface.encoded(documents(spark, sf_dir, "doc_id", "text").where("text is not null"), codec), codec)
     return d.select("doc_id", F.octet_length("decoded").cast("long").alias("bytes"), (F.col("decoded") == F.col("text")).alias("same"))
 
 
 def _loader_rows(spark, sf_dir):
-    made = bpe.collected(bpe.train(chunks.counted(documents(spark, sf_dir, "text")), bpe.BYTES + 64, mode="task"))
+    made = bpe.collected(bpe.train(chunks.counted(documents(spark, sf_dir, "text")), bpe.BYTES + 64))
     rows = bpe.token_rows(documents(spark, sf_dir, "doc_id", "text"), made, BASE)
     whole = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("cpos", "tpos", "id"))).alias("x")).select("doc_id", F.transform("x", lambda v: v["id"]).alias("ids"))
     return surface.packed_rows(surface.with_bos(whole, "ids", bpe.BYTES + 64), 2049)

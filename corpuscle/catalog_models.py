@@ -46,7 +46,7 @@ def barred_sql(steps: int) -> str:
 def barred_one_by_one(spark, sf_dir):
     """The small vocabulary without each of its merges in turn: what it costs in tokens, and which tokens then never fire."""
     counts = checkpointed(chunks.counted(documents(spark, sf_dir, "text")))
-    plain = bpe.collected(bpe.train(counts, bpe.BYTES + _BARRED, mode="task"))
+    plain = bpe.collected(bpe.train(counts, bpe.BYTES + _BARRED))
     whole = {i: bytes((i,)) for i in range(bpe.BYTES)} | {m.id: m.bytes for m in plain}
     rules = [*(bpe.Rules(blocked=((whole[m.left], whole[m.right]),)) for m in plain), bpe.Rules()]
     out = evaluation.evaluate_candidates(spark, counts, counts.select(F.lit("all").alias("shard"), "chunk", "n"), [], list(enumerate(rules)), bpe.BYTES + _BARRED)
@@ -172,7 +172,7 @@ def heldout_search(spark, sf_dir):
 def _small(spark, sf_dir, merges=MERGES):
     """(chunk counts, the small vocabulary's merges)."""
     counts = checkpointed(chunks.counted(documents(spark, sf_dir, "text")))
-    return counts, bpe.collected(bpe.train(counts, bpe.BYTES + merges, mode="task"))
+    return counts, bpe.collected(bpe.train(counts, bpe.BYTES + merges))
 
 
 @query(f"""WITH {staged_sql(by='lang')} SELECT lang, sum(len(string_split(trim(w, '<>'), '><')) * n)::BIGINT AS kept_all, sum(strlen(chunk) * n)::BIGINT AS kept_none, true AS between FROM w{MERGES} GROUP BY lang""")
@@ -237,7 +237,7 @@ def unigram_against_bpe(spark, sf_dir):
     """Bytes a token of a unigram vocabulary of 2,000 pieces and of a byte-pair one of that size, both learned from all documents."""
     counts = checkpointed(chunks.counted(documents(spark, sf_dir, "text")))
     pieces, log = unigram.train(counts, 2000)
-    made = bpe.collected(bpe.train(counts, 2000, mode="task"))
+    made = bpe.collected(bpe.train(counts, 2000))
     total = counts.agg(F.sum(F.octet_length("chunk") * F.col("n")).alias("bytes"))
     own = unigram.encoded(counts, pieces).agg(F.lit("unigram").alias("kind"), F.lit(len(pieces)).alias("size"), F.sum(F.size("pieces") * F.col("n")).alias("tokens"))
     other = bpe.encoded(counts, made).agg(F.lit("bpe").alias("kind"), F.lit(bpe.BYTES + len(made)).alias("size"), F.sum(F.size("ids") * F.col("n")).alias("tokens"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuscle.catalog import _POOL, MERGES, chunk_sql, documents, fires_sql, query, staged_sql, table, trained, vocab_sql
+from corpuscle.cluster import checkpointed
 from corpuscle.functions import text as T
 from corpuscle.functions.patterns import PREFIXES, SUFFIXES
 from corpuscle.operators import bpe, chunks, metrics, morphology, registers
@@ -115,10 +116,14 @@ def word_phrases(spark, sf_dir):
     return c.agg(F.count("*").alias("n_distinct"), F.count_if(is_phrase).alias("n_phrases"), F.sum(F.when(is_phrase, F.col("n")).otherwise(0)).alias("n"))
 
 
-@query(f"WITH a AS (SELECT unnest([{', '.join(repr(x) for x in dict.fromkeys(SUFFIXES))}]) AS atom), f AS (SELECT lang, chunk AS s, count(*) AS fires FROM ({chunk_sql(columns='lang, ')}) WHERE lang IN ('en', 'de') GROUP BY ALL), j AS (SELECT atom, lang, sum(fires) AS fires FROM a JOIN f ON s = atom GROUP BY ALL) SELECT t.atom, l.lang AS tokenizer, coalesce(j.fires, 0)::BIGINT AS fires FROM (SELECT DISTINCT atom FROM j) t CROSS JOIN (VALUES ('en'), ('de')) l(lang) LEFT JOIN j ON j.atom = t.atom AND j.lang = l.lang")
+@query(f"""WITH {fires_sql(32, by='lang')}, {vocab_sql(32)}, {_VOCAB_TEXT}, a AS (SELECT unnest([{', '.join(repr(x) for x in dict.fromkeys(SUFFIXES))}]) AS atom), j AS (SELECT atom, lang, sum(fires) AS fires FROM a JOIN toks ON s = atom JOIN fires USING (id) GROUP BY ALL)
+SELECT t.atom, l.lang AS tokenizer, coalesce(j.fires, 0)::BIGINT AS fires FROM (SELECT DISTINCT atom FROM j) t CROSS JOIN (SELECT DISTINCT lang FROM documents) l LEFT JOIN j ON j.atom = t.atom AND j.lang = l.lang""")
 def morpheme_atoms(spark, sf_dir):
-    c = chunks.counted(documents(spark, sf_dir, "lang", "text"), by=("lang",))
-    return morphology.atom_firings({x: c.where(F.col("lang") == x).select(F.col("chunk").alias("s"), F.col("n").alias("fires")) for x in ("en", "de")})
+    """Tokens of the vocabulary that are affixes: how often they fire in each language."""
+    _, e, v = trained(spark, sf_dir, by=("lang",), merges=32)
+    fires = checkpointed(metrics.fire_counts(e, ("lang",)).join(morphology.strings(v), "id").select("lang", "s", "fires"))
+    names = [r.lang for r in documents(spark, sf_dir, "lang").distinct().collect()]  # languages
+    return morphology.atom_firings({x: fires.where(F.col("lang") == x).select("s", "fires") for x in names})
 
 
 @query("""WITH t AS (SELECT quality, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents JOIN labels USING (doc_id)), a AS (SELECT w, count(*) AS n FROM t WHERE quality = 1 GROUP BY w)
@@ -190,10 +195,11 @@ def double_space_noise(spark, sf_dir):
     return documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.md5(T.double_spaces(F.col("text"), F.col("doc_id"), 1.0)).alias("md5"))
 
 
-@query("SELECT doc_id, text[greatest(100 - 28, 1):greatest(100 - 28, 1) + 100 + 5 + 28 - greatest(100 - 28, 1) - 1] AS snippet FROM documents WHERE length(text) > 400 AND text IS NOT NULL")
+@query("SELECT doc_id, text[greatest(length(text) // 2 + 1 - 28, 1):length(text) // 2 + 5 + 28] AS snippet FROM documents")
 def snippets(spark, sf_dir):
-    d = documents(spark, sf_dir, "doc_id", "text").where(F.length("text") > 400)
-    return d.select("doc_id", T.snippet(F.col("text"), F.lit(100), F.lit(5)).alias("snippet"))
+    """What stands about the middle of each document."""
+    middle = (F.floor(F.length("text") / 2) + 1).cast("int")
+    return documents(spark, sf_dir, "doc_id", "text").select("doc_id", T.snippet(F.col("text"), middle, F.lit(5)).alias("snippet"))
 
 
 @query("""WITH a AS (SELECT item_id, string_split(text, '') AS x FROM benchmark), p AS (SELECT a.item_id, a.x, b.x AS y, least(len(a.x), len(b.x)) AS n FROM a JOIN a b ON b.item_id = a.item_id + 1)
@@ -262,7 +268,7 @@ def codec_round_trips(spark, sf_dir):
     from corpuscle.operators import surface
 
     d = documents(spark, sf_dir, "doc_id", "text")
-    made = tuple(bpe.collected(bpe.train(chunks.counted(d.select(T.fold_case(F.col("text")).alias("text")), SPACELESS), bpe.BYTES + 64, mode="task")))
+    made = tuple(bpe.collected(bpe.train(chunks.counted(d.select(T.fold_case(F.col("text")).alias("text")), SPACELESS), bpe.BYTES + 64)))
     out = None
     for name, codec in (("slots", surface.SurfaceCodec(made, 4)), ("one", surface.OneCapCodec(made)), ("offsets", surface.OffsetCodec(made))):
         row = surface.round_trips(d, codec).agg(F.lit(name).alias("codec"), F.count("*").alias("docs"), F.count_if("same").alias("same"), F.sum("n_tokens").alias("tokens"), F.sum("n_spaces").alias("spaces"), F.sum("n_caps").alias("caps"))
