@@ -9,7 +9,7 @@ a second time, and kept in a bounded table; until then the hypotheses themselves
 
 Texts are split by a pattern first, and each match is encoded separately; a match that is a token is that token. Encodings of
 recurring pieces between spaces are kept. Null texts count as empty and have no tokens. Rows are encoded one by one; other
-columns pass through. Texts are encoded and decoded whole.
+columns pass through. Texts of any length are encoded and decoded whole. An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 
 Words are runs of characters other than ASCII white space. A null or empty text has no words: every count is 0 and the
 document fails the base rule. Rows are judged one by one, so repeated rows get the same verdict; a null doc_id stays null;
-other columns are not read. An empty table gives an empty result.
+other columns are not read. Texts of any length are judged whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -168,6 +168,19 @@ def test_toxicity_keeps_every_telling_term_and_fits_the_same(spark):
         assert scores[d] == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(c, [*x, 1.0], strict=True)))))
 
 
+def test_toxicity_quotation_and_long_texts(spark):
+    """A slur in quotation marks, and one that is reported, weigh less than one said; megabytes of text and words of a megabyte are scored whole."""
+    clean = [f"the plain text number {i} about item{i % 7} and more words" for i in range(160)] + [f'he said that "idiot" is a word number {i} in item{i % 7}' for i in range(20)]
+    toxic = [f"you are an idiot number {i} and item{i % 7} is plain" for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(clean + toxic)], DOCS + ", score string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i >= 180)) for i in range(240)], "doc_id long, toxic int"))
+    said, quoted = toxicity.score_texts(model, ["you are an idiot and that is plain", 'he said that "idiot" is a word and that is plain'])
+    assert said > quoted
+    plain = "the plain text and more words " * 120_000
+    long, late, word = toxicity.score_texts(model, [plain, plain + "you are an idiot", "x" * 2_000_000 + " idiot"])
+    assert late > long and word > long
+
+
 def brute_features(text, model):
     """Features without quotation marks: each word against each term."""
     hits = []
