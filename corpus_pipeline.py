@@ -1,7 +1,8 @@
 """The cleaning pipeline: quality rules, toxicity, line dedup, near-dedup, packing. Each stage's result is written and read again as the next one's documents.
 
 Rows whose text is null or empty fail the quality rules. Rows that repeat are judged alike, and near-dedup keeps one of them; a null doc_id
-is a document like others. Further columns pass through all stages but the last, whatever their names. Empty tables give empty tables.
+is a document like others. Texts of any length are judged, cut and packed whole. Further columns pass through all stages but the last,
+whatever their names. Empty tables give empty tables.
 """
 
 from __future__ import annotations
