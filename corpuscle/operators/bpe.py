@@ -219,7 +219,7 @@ class _Trainer:
         return keys, np.bincount(which, self.weight[places], len(keys)).astype(np.int64), which
 
     #: Places up to which a merge is made by a plain loop, which costs less than array operations do.
-    FEW = 500
+    FEW = 300
 
     def _apply(self, key: int, new: int) -> None:
         a, b = divmod(key, self.WIDE)
@@ -231,15 +231,13 @@ class _Trainer:
         if not len(at):
             self.count.pop(key, None)
             return
-        if a != b and len(at) <= self.FEW:
-            self._apply_few(a, b, new, at)
+        if a != b:
+            (self._apply_few if len(at) <= self.FEW else self._apply_many)(a, b, new, at)
             return
-        if a == b:  # of overlapping places in a run every other one, from the left
-            first = np.r_[True, after[at[:-1]] != at[1:]]
-            starts = np.flatnonzero(first)
-            at_all, at = at, at[(np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))) % 2 == 0]
-        else:
-            at_all = at
+        # A token with itself: of overlapping places in a run every other one, from the left.
+        first = np.r_[True, after[at[:-1]] != at[1:]]
+        starts = np.flatnonzero(first)
+        at_all, at = at, at[(np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))) % 2 == 0]
         second = after[at]
         left, right = before[at], after[second]
         gone = np.unique(np.concatenate([at_all, left[left >= 0], second[right >= 0]]))
@@ -255,12 +253,50 @@ class _Trainer:
         made = made[np.argsort(which, kind="stable")]
         ends = np.cumsum(np.bincount(which, minlength=len(keys))).tolist()
         for k, c, i, j in zip(keys.tolist(), sums.tolist(), [0, *ends], ends, strict=False):
-            self.count[k] = now = self.count.get(k, 0) + c
-            self.where.setdefault(k, []).append(made[i:j])
-            heapq.heappush(self.heap, (-now, k))
+            self._born(k, c, made[i:j])
         if not self.count.get(key):
             self.count.pop(key, None)
 
+    def _born(self, pair: int, n: int, places) -> None:
+        self.count[pair] = now = self.count.get(pair, 0) + n
+        self.where.setdefault(pair, []).append(places)
+        heapq.heappush(self.heap, (-now, pair))
+
+    def _apply_many(self, a: int, b: int, new: int, at: np.ndarray) -> None:
+        """The pair (a, b) of different tokens merged at its places, all of them, in order."""
+        token, after, before, wide, weight = self.token, self.after, self.before, self.WIDE, self.weight
+
+        def grouped(tokens, places):
+            """(token, its weight, its places) of each token."""
+            sums, n = np.bincount(tokens, weight[places]), np.bincount(tokens)
+            there = np.flatnonzero(n)
+            order = np.argsort(tokens.astype(np.uint16) if new < 1 << 16 else tokens, kind="stable")
+            ends = np.cumsum(n[there]).tolist()
+            places = places[order]
+            return zip(there.tolist(), sums[there].astype(np.int64).tolist(), (places[i:j] for i, j in zip([0, *ends], ends, strict=False)), strict=True)
+
+        second = after[at]
+        right, left = after[second], before[at]
+        del self.count[a * wide + b]
+        # Where a place follows right behind another the pair between them is taken off once, as a right one.
+        own = (left >= 0) & ~np.r_[False, left[1:] == second[:-1]]
+        for x, n, _ in grouped(token[left[own]], left[own]):
+            self.count[x * wide + a] -= n
+        has_right = right >= 0
+        for y, n, _ in grouped(token[right[has_right]], at[has_right]):
+            self.count[b * wide + y] -= n
+        token[at], token[second] = new, -1
+        after[at] = right
+        before[right[has_right]] = at[has_right]
+        left = before[at]
+        left = left[left >= 0]
+        left = left[token[left] != new]
+        for x, n, places in grouped(token[left], left):
+            self._born(x * wide + new, n, places)
+        own = at[has_right]
+        for y, n, places in grouped(token[after[own]], own):
+            self._born(new * wide + y, n, places)
+
     def _apply_few(self, a: int, b: int, new: int, at: np.ndarray) -> None:
         """The pair (a, b) merged at its places, all of them, in order."""
         token, after, before, wide, count = self.token, self.after, self.before, self.WIDE, self.count
@@ -293,9 +329,7 @@ class _Trainer:
                 places.append(k)
                 sums.append(w)
         for k, (places, sums) in made.items():
-            n = count[k] = count.get(k, 0) + sum(sums)
-            self.where.setdefault(k, []).append(places)
-            heapq.heappush(self.heap, (-n, k))
+            self._born(k, sum(sums), places)
 
     def copy(self, rules: Rules, found: tuple[int, int] | None = None) -> _Trainer:
         """The trainer as it stands, to go on by other rules. found: a pair and its count that were taken from the heap and not merged."""

@@ -108,6 +108,34 @@ def test_rounds_in_spark(spark, sf_dir, monkeypatch):
     assert bpe.train(counted, bpe.BYTES + 3, mode="rounds").count() == 3
 
 
+@pytest.mark.parametrize("few", [0, 2, 1000])
+def test_few_and_many_places_are_merged_alike(few, monkeypatch):
+    """The loop and the array operations, against counting anew for each merge."""
+    monkeypatch.setattr(bpe._Trainer, "FEW", few)
+    rng = random.Random(6)
+    for _ in range(150):
+        words, counts = random_words(rng)
+        made = bpe.train_local(words, counts, 256 + rng.randint(0, 25))
+        chunks_now = [list(w) for w in words]
+        for m in made:
+            pairs = Counter()
+            for w, n in zip(chunks_now, counts, strict=True):
+                for p in zip(w, w[1:], strict=False):
+                    pairs[p] += n
+            best = min(pairs, key=lambda p: (-pairs[p], p))
+            assert (m.left, m.right, m.n) == (*best, pairs[best])
+            chunks_now = [replaced(w, best, m.id) for w in chunks_now]
+
+
+def replaced(ids, pair, new):
+    out, i = [], 0
+    while i < len(ids):
+        both = tuple(ids[i : i + 2]) == pair
+        out.append(new if both else ids[i])
+        i += 2 if both else 1
+    return out
+
+
 def lowest_first(ids, rule_of):
     """The definition, word by word: look for the lowest pair anew after each merge."""
     while len(ids) > 1:
