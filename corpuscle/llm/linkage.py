@@ -217,8 +217,8 @@ def linked_groups(banded: DataFrame, fetch: Callable[[DataFrame, Callable, str],
     members = scratch.staged(of_key.select("key", F.col("a").alias("id")).union(of_key.select("key", F.col("b").alias("id"))).distinct().join(named, "id"), "members")
     scratch.drop(stars, named)
     main = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("of_main"))
-    main = main.where("n > 2")  # the one pair of a bucket of two was tried
-    members = scratch.staged(members.join(main.withColumn("s", F.col("n") - F.col("of_main")), "key").select("key", "id", "node", "root", (F.col("root") != F.col("main")).alias("side"), "n", "s"), "members")
+    main = scratch.staged(main.where("n > 2").withColumn("s", F.col("n") - F.col("of_main")), "main")  # the one pair of a bucket of two was tried
+    members = scratch.staged(members.join(small_side(main), "key").select("key", "id", "node", "root", (F.col("root") != F.col("main")).alias("side"), "n", "s"), "members")
     none = F.array().cast("array<long>")
     texts = scratch.staged(fetch(scratch.staged(members.select("id").distinct().select("id", none.alias("heads"), none.alias("salts")), "wanted"), plain, PLAIN), "texts")
     # Each item outside a bucket's main component meets all others of the bucket, tile by tile; only links come out.
