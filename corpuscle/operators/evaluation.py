@@ -4,6 +4,9 @@ A candidate makes the merges of the plain training until the first that its rule
 merge is forbidden to candidates, each of them goes on from a copy of the trainer as it stands; those that forbid none take its end. The chunks
 are in a table with a row for each, with the count to train on and the counts of each held-out shard; held-out chunks are merged along with the others, at no
 weight, so that they are encoded when training ends. Blocks of the table go to as many tasks as there are, not to each candidate.
+
+Chunks are cut into pieces at the places that no candidate's merge can cross (see bpe.py), and the pieces summed: a task holds these alone. Were the
+merges of one candidate rarer than was taken for granted, all are measured anew on longer pieces.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.operators.bpe import BYTES, Rules, _allowed, _Trainer, encode_word, inflects
+from corpuscle.cluster import Scratch, checkpointed
+from corpuscle.operators.bpe import BYTES, Rules, _allowed, _Trainer, encode_word, first_least, inflects, mergeable, pair_sums, pieces, rarest
 
 #: Rows of a block of chunks.
 ROWS = 20_000
@@ -160,10 +164,28 @@ def trained_apart(trainer: _Trainer, rules: dict[int, Rules], vocab_size: int) -
 def evaluate_candidates(spark: SparkSession, train_chunks: DataFrame, held_out: DataFrame, words: list[str], candidates: list[tuple[int, Rules]], vocab_size: int, tasks: int | None = None) -> DataFrame:
     """(cand, base, infl, tokens map, dead map, error): each candidate's rules trained and measured; one that fails gives its error, the others their figures.
 
-    train_chunks: (chunk, n); held_out: (shard, chunk, n). tasks: among how many tasks candidates are dealt, each of which holds the chunks (about 60
+    train_chunks: (chunk, n); held_out: (shard, chunk, n). tasks: among how many tasks candidates are dealt, each of which holds the pieces (about 60
     bytes of memory for each byte of the distinct ones); as many as run at once, if not told.
     """
-    rows = train_chunks.select("chunk", "n", F.lit(None).cast("string").alias("shard")).union(held_out.select("chunk", "n", "shard")).where("chunk is not null")
+    if not candidates:
+        return spark.createDataFrame([], "cand int, base int, infl int, tokens map<string,long>, dead map<string,long>, error string")
+    rules = [r for _, r in candidates]
+    with Scratch(spark, "evaluation") as scratch:
+        rows = train_chunks.select("chunk", "n", F.lit(None).cast("string").alias("shard")).union(held_out.select("chunk", "n", "shard")).where("chunk is not null")
+        rows = scratch.staged(rows, "chunks")
+        sums = pair_sums(rows.where("shard is null"))
+        least = first_least(sums, vocab_size - BYTES, rules)
+        while True:
+            own = scratch.staged(pieces(rows, mergeable(sums, least, rules), ("shard",), lone=True), "pieces")
+            out = checkpointed(_evaluated(spark, own, words, candidates, vocab_size, tasks))  # a row for each candidate
+            if least == 1 or out.where(F.col("error").isNull() & (F.col("least") < least)).isEmpty():
+                return out.drop("least")
+            scratch.drop(own)
+            least = max(1, least // 4)
+
+
+def _evaluated(spark: SparkSession, rows: DataFrame, words: list[str], candidates: list[tuple[int, Rules]], vocab_size: int, tasks: int | None) -> DataFrame:
+    """(cand, base, infl, tokens, dead, error, least) over pieces (shard, chunk, n), of which those without a shard are trained on; least: how often the rarest merge was made."""
     train = F.sum(F.when(F.col("shard").isNull(), F.col("n")).otherwise(0)).alias("n")
     held = F.collect_list(F.when(F.col("shard").isNotNull(), F.struct("shard", "n"))).alias("held")
     blocks = rows.groupBy("chunk").agg(train, held).mapInArrow(_packed, _BLOCK)
@@ -184,15 +206,15 @@ def evaluate_candidates(spark: SparkSession, train_chunks: DataFrame, held_out:
                 except Exception as e:  # one candidate's failure is its result
                     good.pop(c, None)
                     bad[c] = repr(e)
-            out = [(c, None, None, None, None, e) for c, e in bad.items()]
+            out = [(c, None, None, None, None, e, None) for c, e in bad.items()]
             corpus = Corpus(blocks)
             shared = common_rules(list(good.values()))
             for c, trainer in trained_apart(_Trainer(corpus.data, corpus.sizes, corpus.counts, shared), good, vocab_size):
                 try:
-                    out.append((c, *measured(corpus, trainer, good[c], dictionary), None))
+                    out.append((c, *measured(corpus, trainer, good[c], dictionary), None, rarest(trainer.book.merges, vocab_size)))
                 except Exception as e:
-                    out.append((c, None, None, None, None, repr(e)))
-            return pd.DataFrame(out, columns=["cand", "base", "infl", "tokens", "dead", "error"])
+                    out.append((c, None, None, None, None, repr(e), None))
+            return pd.DataFrame(out, columns=["cand", "base", "infl", "tokens", "dead", "error", "least"]).astype({"least": "Int64"})
 
         now, blocks = None, []
         for pdf in batches:
@@ -205,6 +227,4 @@ def evaluate_candidates(spark: SparkSession, train_chunks: DataFrame, held_out:
         if now is not None:
             yield rows(now, blocks)
 
-    if not candidates:
-        return spark.createDataFrame([], "cand int, base int, infl int, tokens map<string,long>, dead map<string,long>, error string")
-    return dealt.mapInPandas(run, "cand int, base int, infl int, tokens map<string,long>, dead map<string,long>, error string")
+    return dealt.mapInPandas(run, "cand int, base int, infl int, tokens map<string,long>, dead map<string,long>, error string, least long")
