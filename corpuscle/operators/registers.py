@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.cluster import checkpointed, small_side
 from corpuscle.functions import text as T
 from corpuscle.ranges import ranged
 
@@ -61,23 +62,30 @@ def grams(texts: DataFrame, kind: str, by: str, text: str = "text", order: str |
     return texts.select(by, F.explode(g).alias("gram")).groupBy(by, "gram").agg(F.count("*").alias("n"))
 
 
+def overlap(p: DataFrame, q: DataFrame, by: str) -> DataFrame:
+    """(by, cosine, kl) of each of p's distributions (by, gram, n) to q (gram, n). cosine: 0 if either is empty. kl: in nats over p's support; where q lacks a gram
+    it has 1 / (q's total + p's grams). p is read once: q's counts are joined to it, and what both figures need are sums over its rows."""
+    q = small_side(checkpointed(q.select("gram", F.col("n").cast("double").alias("m"))))
+    qs = q.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("qt"), F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0.0)).alias("qq")).first()  # two numbers
+    j = p.select(by, "gram", F.col("n").cast("double").alias("n")).join(q, "gram", "left")
+    n, m, here = F.col("n"), F.col("m"), F.col("m").isNotNull()
+    s = j.groupBy(by).agg(
+        F.sum("n").alias("pt"), F.count("*").alias("k"), F.sum(n * n).alias("pp"), F.coalesce(F.sum(n * m), F.lit(0.0)).alias("dot"), F.sum(n * F.log(n)).alias("own"),
+        F.coalesce(F.sum(n * F.log(m)), F.lit(0.0)).alias("other"), F.coalesce(F.sum(F.when(here, n)), F.lit(0.0)).alias("shared"),
+    )
+    qt, pt = F.lit(qs["qt"]), F.col("pt")
+    kl = F.col("own") / pt - F.log(pt) - F.col("other") / pt + F.when(qt > 0, F.col("shared") / pt * F.log(qt)).otherwise(0.0) + (pt - F.col("shared")) / pt * F.log(qt + F.col("k"))
+    return s.select(by, F.coalesce(F.col("dot") / F.nullif(F.sqrt(F.col("pp") * F.lit(qs["qq"])), F.lit(0.0)), F.lit(0.0)).alias("cosine"), kl.alias("kl"))
+
+
 def cosine(p: DataFrame, q: DataFrame, by: str) -> DataFrame:
-    """(by, cosine) of each of p's distributions (by, gram, n) to q (gram, n); 0 if either is empty."""
-    norms = p.groupBy(by).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pp"))
-    qq = q.agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("qq"))
-    dot = p.join(q.select("gram", F.col("n").alias("m")), "gram").groupBy(by).agg(F.sum(F.col("n").cast("double") * F.col("m")).alias("dot"))
-    j = norms.join(dot, by, "left").crossJoin(F.broadcast(qq))
-    return j.select(by, F.coalesce(F.col("dot") / F.sqrt(F.col("pp") * F.col("qq")), F.lit(0.0)).alias("cosine"))
+    """(by, cosine) of overlap()."""
+    return overlap(p, q, by).select(by, "cosine")
 
 
 def divergence(p: DataFrame, q: DataFrame, by: str) -> DataFrame:
-    """(by, kl) in nats over p's support; where q lacks a gram it has 1 / (q's total + p's grams)."""
-    sums = p.groupBy(by).agg(F.sum("n").alias("pt"), F.count("*").alias("k"))
-    qt = q.agg(F.sum("n").alias("qt"))
-    j = p.join(q.select("gram", F.col("n").alias("m")), "gram", "left").join(sums, by).crossJoin(F.broadcast(qt))
-    pp = F.col("n") / F.col("pt")
-    qp = F.coalesce(F.col("m") / F.col("qt"), 1 / (F.col("qt") + F.col("k")))
-    return j.groupBy(by).agg(F.sum(pp * F.log(pp / qp)).alias("kl"))
+    """(by, kl) of overlap()."""
+    return overlap(p, q, by).select(by, "kl")
 
 
 def word_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
