@@ -244,16 +244,19 @@ def unigram_against_bpe(spark, sf_dir):
     return own.union(other).crossJoin(total).select("kind", "size", "tokens", (F.col("bytes") / F.col("tokens")).alias("bytes_per_token"))  # one row each
 
 
+#: Tokens of a run in the stream; a character may begin in one and end in the next.
+_RUN = 512
+
+
 @query("SELECT doc_id, strlen(text) AS bytes, true AS same FROM documents WHERE text <> ''")
 def stream_decoded_documents(spark, sf_dir):
-    """Token rows of all documents as a stream of files, decoded as they arrive; the pieces of each document are its text."""
+    """Runs of tokens of all documents as a stream of files, decoded as they arrive; the pieces of each document are its text."""
     _, made = _small(spark, sf_dir)
     d = documents(spark, sf_dir, "doc_id", "text").where("text <> ''")
     with Scratch(spark, "stream") as scratch:
-        rows = bpe.token_rows(d, made, BASE)
-        pos = (F.col("cpos").cast("long") * (1 << 24) + F.col("tpos")).alias("pos")
-        rows.select("doc_id", pos, "id").write.parquet(f"{scratch.folder}/rows")
-        stream = spark.readStream.schema("doc_id long, pos long, id int").parquet(f"{scratch.folder}/rows")
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / _RUN).cast("int")), lambda k: F.slice("ids", k * _RUN + 1, F.lit(_RUN)))
+        bpe.encoded_texts(d, made, BASE).select("doc_id", F.posexplode(runs).alias("pos", "id")).select("doc_id", F.col("pos").cast("long").alias("pos"), "id").write.parquet(f"{scratch.folder}/rows")
+        stream = spark.readStream.schema("doc_id long, pos long, id array<int>").parquet(f"{scratch.folder}/rows")
         pieces = decoding.decoded(stream, made)
         pieces.writeStream.format("parquet").option("path", f"{scratch.folder}/pieces").option("checkpointLocation", f"{scratch.folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
         got = spark.read.schema(pieces.schema).parquet(f"{scratch.folder}/pieces").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("text").alias("t")))).alias("x"))
