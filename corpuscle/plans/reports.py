@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.cluster import checkpointed
+from corpuscle.cluster import Scratch, checkpointed
 from corpuscle.functions import text as T
 from corpuscle.functions.patterns import BASE, SPACELESS, VOCAB_SIZE
 from corpuscle.operators import bpe, chunks, metrics, morphology, registers, surface
@@ -39,11 +39,10 @@ def tokenizer_report(docs: DataFrame, merges: DataFrame, pattern: str = BASE) ->
     """Vocabulary statistics, compression, coverage, dead tokens, and whether texts come back."""
     made = bpe.collected(merges)
     vocab = bpe.vocabulary(merges)
-    enc = bpe.encoded(chunks.counted(docs.select("text"), pattern), made).persist()
-    fires = metrics.fire_counts(enc).persist()
-    rows = bpe.token_rows(docs.select("doc_id", "text"), made, pattern).withColumn("pos", F.struct("cpos", "tpos"))
-    back = bpe.decoded(rows.select("doc_id", "pos", "id"), vocab, "doc_id").withColumnRenamed("text", "back")
-    trip = docs.select("doc_id", "text").join(back, "doc_id", "left").agg(F.count("*").alias("docs"), F.count_if(F.coalesce("back", F.lit("")) == F.coalesce("text", F.lit(""))).alias("same"))
+    enc = checkpointed(bpe.encoded(chunks.counted(docs.select("text"), pattern), made))
+    fires = checkpointed(metrics.fire_counts(enc))  # a row for each token
+    back = bpe.decoded_bytes(bpe.encoded_texts(docs.select("text"), made, pattern), made)
+    trip = back.agg(F.count("*").alias("docs"), F.count_if(F.col("raw") == F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("same"))
     return {
         "lengths": metrics.length_stats(vocab), "longest": metrics.longest(vocab), "totals": metrics.totals(enc), "dead": metrics.dead(vocab, fires), "mean_id": metrics.weighted_mean_id(fires),
         "buckets": metrics.rank_buckets(fires), "curve": metrics.coverage_curve(fires), "round_trip": trip, "density": bpe.density(vocab),
@@ -67,13 +66,15 @@ def pass_metrics(docs: DataFrame, vocabularies: dict[str, DataFrame], pattern: s
 
 def compared_tokenizers(docs: DataFrame, a: DataFrame, b: DataFrame, pattern: str = BASE, shard: str = "source") -> dict[str, DataFrame]:
     """Tokens by shard and the shards where b has fewer, strings born and died, greatest changes of firings."""
-    counts = chunks.counted(docs.select(shard, "text"), pattern, (shard,))
-    unique = counts.select("chunk").distinct()
     out = {}
-    for name, merges in (("a", a), ("b", b)):
-        enc = counts.join(bpe.encoded(unique, bpe.collected(merges)), "chunk")
-        fires = metrics.fire_counts(enc).join(bpe.vocabulary(merges), "id").groupBy(F.hex("bytes").alias("token")).agg(F.sum("fires").alias("fires"))
-        out[name] = metrics.totals(enc, (shard,)).select(shard, F.col("tokens").alias(f"tokens_{name}")), fires
+    with Scratch(docs.sparkSession, "compared") as scratch:
+        counts = scratch.staged(chunks.counted(docs.select(shard, "text"), pattern, (shard,)), "counts")
+        unique = scratch.staged(counts.groupBy("chunk").agg(F.sum("n").alias("n")), "unique")
+        for name, merges in (("a", a), ("b", b)):
+            made = bpe.collected(merges)
+            fires = metrics.fire_counts(bpe.encoded(unique, made)).join(bpe.vocabulary(merges), "id").groupBy(F.hex("bytes").alias("token")).agg(F.sum("fires").alias("fires"))
+            per = metrics.totals(bpe.encoded(counts, made), (shard,)).select(shard, F.col("tokens").alias(f"tokens_{name}"))
+            out[name] = checkpointed(per), checkpointed(fires)  # a row for each shard, and for each token
     shards = out["a"][0].join(out["b"][0], shard)
     change = metrics.compared(out["a"][1], out["b"][1])
     strings = lambda m: bpe.vocabulary(m).select(F.hex("bytes").alias("token"))
@@ -122,7 +123,7 @@ def register_report(docs: DataFrame, items: DataFrame, by: str = "lang", key: st
     out = None
     for kind in ("word", "bigram", "char4"):
         p, q = registers.grams(d, kind, by, order="doc_id"), registers.grams(b, kind, by, order="doc_id").select("gram", "n")
-        row = registers.cosine(p, q, by).join(registers.divergence(p, q, by), by).select(by, F.lit(kind).alias("kind"), "cosine", "kl")
+        row = registers.overlap(p, q, by).select(by, F.lit(kind).alias("kind"), "cosine", "kl")
         out = row if out is None else out.union(row)
     return out
 
