@@ -65,9 +65,9 @@ _BUCKET_SQL = "CASE WHEN rank IS NULL THEN -1 WHEN rank < 256 THEN 0 WHEN rank <
 
 
 def _losses(spark, sf_dir):
-    """Every token of documents scored by a model of nine tenths of them."""
+    """Losses of every token of documents, scored by a model of nine tenths of them, summed by rank."""
     d = documents(spark, sf_dir, "doc_id", "text").withColumn("split", corpus.split_of(F.col("doc_id")))
-    return losses.scored(checkpointed(losses.runs(d, "split")), "split", "train")
+    return losses.bucketed(d, "split", "train")
 
 
 @query(f"WITH {_RUNS_SQL} SELECT {_BUCKET_SQL} AS bucket, split, sum(n)::BIGINT AS tokens, sum(bytes)::BIGINT AS bytes, round(sum(nats) / ln(2) / sum(bytes), 6) AS bits_per_byte FROM l GROUP BY ALL")
@@ -83,8 +83,7 @@ def loss_gap_by_rank(spark, sf_dir):
     """How much worse held-out tokens of each rank are predicted than those learned from."""
     from corpuscle.operators import registers
 
-    rows = _losses(spark, sf_dir).withColumn("bucket", losses.bucket(F.col("rank")))
-    return registers.split_gap(rows, "bucket", "split").select("bucket", *[F.round(c, 6).alias(c) for c in ("train", "val", "gap")])
+    return registers.split_gap(_losses(spark, sf_dir), "bucket", "split").select("bucket", *[F.round(c, 6).alias(c) for c in ("train", "val", "gap")])
 
 
 @query()

@@ -2,27 +2,33 @@
 
 A token's probability is that of its unigram, with one added to each count, mixed with its share among what follows the token before it,
 and that with its share behind the two before. Everything works on distinct runs of three tokens with their counts, so tables follow the
-vocabulary of a corpus, not its length; contexts go to all tasks if they were measured to be few.
+vocabulary of a corpus, not its length; contexts go to all tasks if they were measured to be few. bucketed() counts the runs slice by slice, so
+that the disk holds one slice's alone.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.cluster import checkpointed, small_side
+from corpuscle.cluster import Scratch, checkpointed, small_side
 from corpuscle.functions import text as T
 from corpuscle.functions.patterns import BASE, RANK_BUCKETS
+from corpuscle.operators import chunks
 
 #: Weight of the longer history where it was seen; what stands before a text.
 WEIGHT, START = 0.7, "\x02"
 
 
-def runs(docs: DataFrame, by: str, pattern: str = BASE, text: str = "text") -> DataFrame:
-    """(by, h2, h1, token, n): each chunk with the two before it in its text, counted."""
+def runs(docs: DataFrame, by: str, pattern: str = BASE, text: str = "text", part: tuple[int, int] = (0, 1)) -> DataFrame:
+    """(by, h2, h1, token, n): each chunk with the two before it in its text, counted. part: (k, slices) for the k-th slice alone, by a hash of h1."""
     c = F.col("_c")
     before = lambda i, k: F.coalesce(F.get(c, i - k), F.lit(START))
     rows = docs.select(by, T.chunks(F.col(text), pattern).alias("_c")).select(by, F.explode(F.transform(c, lambda x, i: F.struct(before(i, 2).alias("h2"), before(i, 1).alias("h1"), x.alias("token")))).alias("r"))
+    if part[1] > 1:
+        rows = rows.where(F.pmod(F.xxhash64("r.h1"), F.lit(part[1])) == part[0])
     return rows.groupBy(by, "r.h2", "r.h1", "r.token").agg(F.count("*").alias("n"))
 
 
@@ -41,14 +47,22 @@ def bucket(rank: Column, edges: tuple[int, ...] = RANK_BUCKETS) -> Column:
     return out
 
 
-def scored(counts: DataFrame, by: str, train: str, weight: float = WEIGHT) -> DataFrame:
-    """(by, token, n, nats, bytes, rank): summed losses of each distinct run's token under the model counted on the split `train`; rank by its count there, null if unseen. counts: of runs()."""
-    own = checkpointed(counts.where(F.col(by) == train).groupBy("h2", "h1", "token").agg(F.sum("n").alias("c3")))
-    pairs = checkpointed(own.groupBy("h1", "token").agg(F.sum("c3").alias("c2")))
-    one = checkpointed(ranks(pairs.groupBy("token").agg(F.sum("c2").alias("n"))).withColumnRenamed("n", "c1"))
+#: Tokens of texts whose runs are counted at once.
+SLICE = 32_000_000
+
+
+def _ranked(scratch: Scratch, tokens: DataFrame) -> tuple[DataFrame, int, int]:
+    """(token, c1, rank) of token counts (token, n), their sum, and how many they are."""
+    one = scratch.staged(ranks(scratch.staged(tokens, "tokens")).withColumnRenamed("n", "c1"), "ranks")
     total = one.agg(F.sum("c1").alias("_n"), F.count("*").alias("_v")).first()  # two numbers
-    size, kinds = (total["_n"] or 0), total["_v"]
-    after = lambda t, keys, c, name: small_side(checkpointed(t.groupBy(*keys).agg(F.sum(c).alias(name))))
+    return one, total["_n"] or 0, total["_v"]
+
+
+def _scored(scratch: Scratch, counts: DataFrame, by: str, train: str, weight: float, model: tuple[DataFrame, int, int] | None = None) -> DataFrame:
+    own = scratch.staged(counts.where(F.col(by) == train).groupBy("h2", "h1", "token").agg(F.sum("n").alias("c3")), "threes")
+    pairs = scratch.staged(own.groupBy("h1", "token").agg(F.sum("c3").alias("c2")), "pairs")
+    one, size, kinds = model or _ranked(scratch, pairs.groupBy("token").agg(F.sum("c2").alias("n")))
+    after = lambda t, keys, c, name: small_side(scratch.staged(t.groupBy(*keys).agg(F.sum(c).alias(name)), name))
     j = counts.join(own, ["h2", "h1", "token"], "left").join(after(own, ("h2", "h1"), "c3", "b3"), ["h2", "h1"], "left")
     j = j.join(pairs, ["h1", "token"], "left").join(after(pairs, ("h1",), "c2", "b2"), "h1", "left").join(small_side(one), "token", "left")
     seen = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
@@ -58,7 +72,35 @@ def scored(counts: DataFrame, by: str, train: str, weight: float = WEIGHT) -> Da
     return j.select(by, "token", "n", (-F.log(p) * F.col("n")).alias("nats"), (F.octet_length("token") * F.col("n")).alias("bytes"), "rank")
 
 
+def scored(counts: DataFrame, by: str, train: str, weight: float = WEIGHT) -> DataFrame:
+    """(by, token, n, nats, bytes, rank): summed losses of each distinct run's token under the model counted on the split `train`; rank by its count there, null if unseen. counts: of runs()."""
+    with Scratch(counts.sparkSession, "losses") as scratch:
+        return checkpointed(_scored(scratch, counts, by, train, weight))
+
+
+def bucketed(docs: DataFrame, by: str, train: str, pattern: str = BASE, text: str = "text", weight: float = WEIGHT, edges: tuple[int, ...] = RANK_BUCKETS, most: int = SLICE) -> DataFrame:
+    """(by, bucket, n, nats, bytes): sums of scored() by the rank's bucket over whole documents, with the runs of one slice of all histories on disk at a time.
+
+    A slice has the runs whose middle token falls into it by hash, and so all that its histories' counts are made of; only ranks need
+    all tokens, which are counted before. There are as many slices as hold about `most` tokens each, and documents are read once for each.
+    """
+    out = None
+    with Scratch(docs.sparkSession, "losses") as scratch:
+        tokens = scratch.staged(chunks.counted(docs.select(by, text), pattern, (by,), text).withColumnRenamed("chunk", "token"), "counts")
+        model = _ranked(scratch, tokens.where(F.col(by) == train).groupBy("token").agg(F.sum("n").alias("n")))
+        slices = max(1, math.ceil((tokens.agg(F.sum("n")).first()[0] or 0) / most))
+        scratch.drop(tokens)
+        for k in range(slices):
+            with Scratch(docs.sparkSession, "slice") as own:
+                rows = own.staged(runs(docs, by, pattern, text, (k, slices)), "runs")
+                losses = _scored(own, rows, by, train, weight, model).groupBy(by, bucket(F.col("rank"), edges).alias("bucket"))
+                part = checkpointed(losses.agg(*[F.sum(c).alias(c) for c in ("n", "nats", "bytes")]))  # a row for each bucket
+            out = part if out is None else out.union(part)
+        return checkpointed(out.groupBy(by, "bucket").agg(*[F.sum(c).alias(c) for c in ("n", "nats", "bytes")]))
+
+
 def by_rank(losses: DataFrame, by: str, edges: tuple[int, ...] = RANK_BUCKETS) -> DataFrame:
-    """(bucket, by, tokens, bytes, bits_per_byte) of scored() tokens."""
-    g = losses.groupBy(bucket(F.col("rank"), edges).alias("bucket"), by).agg(F.sum("n").alias("tokens"), F.sum("bytes").alias("bytes"), F.sum("nats").alias("nats"))
+    """(bucket, by, tokens, bytes, bits_per_byte) of scored() tokens, or of their sums by bucketed()."""
+    at = F.col("bucket") if "bucket" in losses.columns else bucket(F.col("rank"), edges)
+    g = losses.groupBy(at.alias("bucket"), by).agg(F.sum("n").alias("tokens"), F.sum("bytes").alias("bytes"), F.sum("nats").alias("nats"))
     return g.select("bucket", by, "tokens", "bytes", (F.col("nats") / F.log(F.lit(2.0)) / F.col("bytes")).alias("bits_per_byte"))

@@ -64,3 +64,37 @@ def test_runs_of_tokens_are_decoded(spark, tmp_path):
 
 def test_loaders_take_whole_texts(spark, sf_dir):
     assert "posexplode" not in plan(catalog._loader_rows(spark, sf_dir))
+
+
+@pytest.mark.parametrize("kind", ["SurfaceCodec", "OneCapCodec", "OffsetCodec"])
+def test_round_trips_in_parts(spark, monkeypatch, kind):
+    """What is counted in parts is what whole texts give, and a part isn't coded twice."""
+    import random
+
+    from corpuscle.operators import surface
+
+    draw = random.Random(2)
+    bits = ["the", "The", "Ümlaut", "über", "É", "IBM", "McX", "x's", "don't", "  ", "\n", " ", "1.5", "-", "日本", "ﬁ", "ß", "!", "é́", "a", "\x1c", "'LL"]
+    texts = ["".join(draw.choice(bits) + draw.choice(["", " ", " "]) for _ in range(draw.randint(0, 30))) for _ in range(300)] + ["", None, " ", "a b", "a  b", "a b "]
+    codec = getattr(surface, kind)(tuple(bpe.train_local([b"the", b"umlaut", b"don't"], [5, 3, 2], 268)), 2)
+    got = {r.k: r for r in surface.round_trips(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), codec).collect()}
+    for k, t in enumerate(texts):
+        x = codec.encode(t or "")
+        caps = sum(v[2] if isinstance(v[2], int) else len(v[2]) if kind == "OffsetCodec" else sum(v[2]) for v in x)
+        assert (got[k].n_tokens, got[k].n_spaces, got[k].n_caps, got[k].same) == (len(x), sum(v[1] for v in x), caps, codec.decode(x) == (t or "")), t
+    parts = spark.createDataFrame([("the cat the cat " * 500 + "end",)], "text string").select(F.explode(F.split("text", surface._PARTS)).alias("p"))
+    assert parts.distinct().count() < 6
+
+
+@pytest.mark.parametrize("most", [60, 1000])
+def test_losses_slice_by_slice(spark, most):
+    """As many slices as it takes; sums are those of all runs at once."""
+    from corpuscle.operators import losses
+
+    rows = [(k, "the cat sat on the mat, the end"[k % 5 :] + (" xyz" if k % 4 == 0 else ""), "val" if k % 4 == 0 else "train") for k in range(20)] + [(99, None, "val")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, split string")
+    whole = losses.by_rank(losses.scored(losses.runs(d, "split"), "split", "train"), "split", (0, 2, 4))
+    got = losses.by_rank(losses.bucketed(d, "split", "train", edges=(0, 2, 4), most=most), "split")
+    plain = lambda x: sorted((r.bucket, r.split, r.tokens, r.bytes, round(r.bits_per_byte, 9)) for r in x.collect())
+    assert plain(got) == plain(whole) and len(plain(got)) > 4
+    assert losses.bucketed(d.where("false"), "split", "train").isEmpty()
