@@ -269,11 +269,7 @@ def codec_round_trips(spark, sf_dir):
 
     d = documents(spark, sf_dir, "doc_id", "text")
     made = tuple(bpe.collected(bpe.train(chunks.counted(d.select(T.fold_case(F.col("text")).alias("text")), SPACELESS), bpe.BYTES + 64)))
-    out = None
-    for name, codec in (("slots", surface.SurfaceCodec(made, 4)), ("one", surface.OneCapCodec(made)), ("offsets", surface.OffsetCodec(made))):
-        row = surface.round_trips(d, codec).agg(F.lit(name).alias("codec"), F.count("*").alias("docs"), F.count_if("same").alias("same"), F.sum("n_spaces").alias("spaces"))
-        out = row if out is None else out.union(row)
-    return out
+    return surface.round_trip_totals(d, {"slots": surface.SurfaceCodec(made, 4), "one": surface.OneCapCodec(made), "offsets": surface.OffsetCodec(made)})
 
 
 @query()

@@ -74,7 +74,7 @@ def test_round_trips_in_parts(spark, monkeypatch, kind):
     from corpuscle.operators import surface
 
     draw = random.Random(2)
-    bits = ["the", "The", "Ümlaut", "über", "É", "IBM", "McX", "x's", "don't", "  ", "\n", " ", "1.5", "-", "日本", "ﬁ", "ß", "!", "é́", "a", "\x1c", "'LL"]
+    bits = ["the", "The", "Ümlaut", "über", "É", "IBM", "McX", "x's", "don't", "  ", "\n", " ", "1.5", "-", ", ", ". The", "\nThe", ") x", " \n", "! ", "12 ", "日本", "ﬁ", "ß", "!", "é́", "a", "\x1c", "'LL"]
     texts = ["".join(draw.choice(bits) + draw.choice(["", " ", " "]) for _ in range(draw.randint(0, 30))) for _ in range(300)] + ["", None, " ", "a b", "a  b", "a b "]
     codec = getattr(surface, kind)(tuple(bpe.train_local([b"the", b"umlaut", b"don't"], [5, 3, 2], 268)), 2)
     got = {r.k: r for r in surface.round_trips(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), codec).collect()}
@@ -82,6 +82,8 @@ def test_round_trips_in_parts(spark, monkeypatch, kind):
         x = codec.encode(t or "")
         caps = sum(v[2] if isinstance(v[2], int) else len(v[2]) if kind == "OffsetCodec" else sum(v[2]) for v in x)
         assert (got[k].n_tokens, got[k].n_spaces, got[k].n_caps, got[k].same) == (len(x), sum(v[1] for v in x), caps, codec.decode(x) == (t or "")), t
+    total = surface.round_trip_totals(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), {"x": codec}).first()
+    assert (total.docs, total.same, total.spaces) == (len(texts), sum(r.same for r in got.values()), sum(r.n_spaces for r in got.values()))
     parts = spark.createDataFrame([("the cat the cat " * 500 + "end",)], "text string").select(F.explode(F.split("text", surface._PARTS)).alias("p"))
     assert parts.distinct().count() < 6
 
