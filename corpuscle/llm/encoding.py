@@ -5,6 +5,9 @@ space is single spaces and newlines has the ids of its pieces, one after another
 piece behind it, a newline stands alone.) Pieces recur; a bounded table keeps their ids, and pieces that it lacks are encoded
 in one call for a block of texts. Other texts are split only at a space that a non-space follows. Texts that hold an added token
 (such as an end mark) are encoded whole, as the library finds these before it splits.
+
+The byte-level pattern also splits letters from the marks behind them, so a piece of Latin letters with marks is looked up by its letters, and new
+letters go to the library's model many at once without being split by the pattern, which would leave them whole.
 """
 
 from __future__ import annotations
@@ -22,8 +25,11 @@ from corpuscle.llm.worker import held
 KEPT_PIECES = 700_000
 #: Pieces of more bytes than this go first.
 LONG_PIECE = 64
-#: Pieces of letters that are encoded in one text.
+#: Pieces of letters that are encoded in one text; of the byte-level vocabulary, where shorter texts cost less.
 TOGETHER = 500
+TOGETHER_LEADING = 100
+#: A piece of Latin letters and the ASCII marks behind them, but no apostrophe, which may take letters along.
+LETTERS = r"^(?P<core>[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 #: Marks that often stand behind letters.
 MARKS = (",", ".")
 
@@ -70,6 +76,8 @@ class PieceTable:
         self.added_folded = tuple(x.lower() for x in self.added)
         self.leading = leading
         self.names = pa.array([], pa.string())
+        self.at: dict[str, int] = {}  # in place of names, if leading: where each stands
+        self.at_bytes = 0
         self.lists = pa.array([], pa.list_(pa.uint32()))  # ids of each name
         self.used = np.zeros(0, np.int64)  # when it was last seen
         self.clock = 0
@@ -77,9 +85,37 @@ class PieceTable:
         self.last = np.zeros(max(names.values(), default=0) + 1, bool)  # tokens that end a unit
         if leading:
             self.last[self.tokenizer.encode("\n", add_special_tokens=False).ids] = True
+            self.unsplit, self.byte_names = self._without_pattern()
         else:
             self.last[[i for t, i in names.items() if t.endswith("</w>")]] = True
 
+    def _without_pattern(self):
+        """(the same model behind a split at newlines alone, the character that it has for each byte); none if the tokenizer isn't plainly byte-level."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        own = self.tokenizer.pre_tokenizer
+        if type(own) is not pre_tokenizers.ByteLevel or own.add_prefix_space or not own.use_regex or self.tokenizer.normalizer is not None:
+            return None, {}
+        bare, names = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), {}
+        for text in map(chr, range(256)):
+            names.update(zip(text.encode(), bare.pre_tokenize_str(text)[0][0], strict=True))
+        names.update({b: "\ufffd" for b in range(256) if b not in names})  # begins no character under 256
+        out = Tokenizer(self.tokenizer.model)
+        out.pre_tokenizer = pre_tokenizers.Split(names[10], "isolated")
+        return out, names
+
+    def _latin(self, units: list[str]) -> pa.ListArray:
+        """Ids of runs of Latin letters with a space before each; a newline's token tells where each ends."""
+        if self.unsplit is None:
+            return self._letters(units)
+        texts = ["\n ".join(units[i : i + TOGETHER_LEADING]) for i in range(0, len(units), TOGETHER_LEADING)]
+        texts = [f" {t}\n".encode().decode("latin-1").translate(self.byte_names) for t in texts]
+        found = [np.array(self.unsplit.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32) for t in texts]
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        last = self.last[ids]
+        ends = np.cumsum(~last)[last]
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids[~last]))
+
     def _encode(self, texts: list[str]) -> pa.ListArray:
         return pa.array([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else [], pa.list_(pa.uint32()))
 
@@ -186,8 +222,45 @@ class PieceTable:
         self.used[out] = self.clock
         return out
 
+    def _spaced_lists(self, pieces: pa.Array) -> pa.ListArray:
+        """Ids of distinct pieces with a space or newline before each: those of Latin letters are the letters' ids and the marks'; what the table lacks is learned."""
+        self.clock += 1
+        found = pc.extract_regex(pieces, LETTERS)
+        there = found.is_valid()
+        core, tail = (found.field(k).filter(there) for k in (0, 1))
+        units = pa.concat_arrays([core, pieces.filter(pc.invert(there))]).dictionary_encode()
+        which, keys = units.indices.to_numpy(zero_copy_only=False), units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        n_cores = int(which[: len(core)].max(initial=-1)) + 1  # they come first
+        at = np.fromiter((self.at.get(k, -1) for k in keys), np.int64, len(keys))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            n_new = int(np.searchsorted(new, n_cores))
+            names = [keys[k] for k in new.tolist()]
+            at[new] = len(self.lists) + np.arange(len(new))
+            self.lists = pa.concat_arrays([self.lists, self._latin(names[:n_new]), self._spaced(names[n_new:])])
+            self.at.update(zip(names, at[new].tolist(), strict=True))
+            self.at_bytes += sum(map(len, names))
+            self.used = np.r_[self.used, np.full(len(new), self.clock)]
+        self.used[at] = self.clock
+        tails = pa.concat_arrays([pa.array([""], pa.string()), tail]).dictionary_encode()
+        table = pa.concat_arrays([self.lists, self._encode(tails.dictionary.to_pylist())])
+        parts = np.full((len(pieces), 2), len(self.lists), np.int64)  # of two lists each; the second may be that of no marks
+        there = there.to_numpy(zero_copy_only=False)
+        parts[there, 0], parts[~there, 0] = at[which[: len(core)]], at[which[len(core) :]]
+        parts[there, 1] += tails.indices.to_numpy(zero_copy_only=False)[1:]
+        taken = table.take(pa.array(parts.ravel()))
+        return pa.ListArray.from_arrays(taken.offsets.take(pa.array(np.arange(0, 2 * len(pieces) + 1, 2))), taken.values)
+
     def _forget(self) -> None:
         """Keeps the half of a full table that was seen last."""
+        if self.leading:
+            if len(self.at) > KEPT_PIECES or self.at_bytes > 64 * KEPT_PIECES:
+                names = list(self.at)  # in the order of their places
+                keep = [k for k in np.sort(np.argsort(self.used, kind="stable")[-KEPT_PIECES // 2 :]).tolist() if len(names[k]) <= LONG_PIECE]
+                self.lists, self.used = self.lists.take(pa.array(keep, pa.int64())), self.used[keep]
+                self.at = {names[k]: i for i, k in enumerate(keep)}
+                self.at_bytes = sum(map(len, self.at))
+            return
         if len(self.names) > KEPT_PIECES or self.names.nbytes > 64 * KEPT_PIECES:
             keep = np.sort(np.argsort(self.used, kind="stable")[-KEPT_PIECES // 2 :])
             keep = keep[pc.binary_length(self.names).to_numpy(zero_copy_only=False)[keep] <= LONG_PIECE]
@@ -206,17 +279,19 @@ class PieceTable:
             codes[at] = len(names) + which
             used = np.zeros(len(names), bool)
             used[codes[codes < len(names)]] = True
-            place = np.zeros(len(names) + len(bare), np.int64)
-            place[: len(names)][used] = self._places(names.filter(pa.array(used)))
-            place[len(names) :] = len(self.names) + np.arange(len(bare))
-            table = pa.concat_arrays([self.lists, bare])
+            spaced = self._spaced_lists(names.filter(pa.array(used)))
+            place = np.cumsum(used) - 1
+            place = np.r_[place, len(spaced) + np.arange(len(bare))]
+            table = pa.concat_arrays([spaced, bare])
         else:
             place = self._places(names)
             table = self.lists
         at = place[codes]
-        sizes = np.diff(table.offsets.to_numpy())
-        ids = table.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
-        return ids, np.r_[0, np.cumsum(sizes[at])][starts]
+        offsets = table.offsets.to_numpy().astype(np.int64)
+        sizes = np.diff(offsets)[at]
+        ends = np.r_[0, np.cumsum(sizes)]
+        ids = table.values.to_numpy(zero_copy_only=False)[np.repeat(offsets[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[starts]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Of each text, as little-endian 32-bit bytes."""

@@ -78,6 +78,20 @@ def test_pieces_equal_the_library(corpus, name, leading):
         assert [k for k in range(len(corpus)) if got[k] != want[k]] == []
 
 
+def test_letters_are_encoded_once_whatever_marks_stand_behind(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, alone = encoding.PieceTable(P.path("byte_bpe_50k.json"), True), []
+    own = t._spaced
+    monkeypatch.setattr(t, "_spaced", lambda pieces: alone.extend(pieces) or own(pieces))
+    marked = [" ".join(w + m for w in ("it", "Ärger", "naïve", "ªº", "thoroneningen") for m in ("", ".", "!?", "***", "$$$", ")]}", "--_"))]
+    odd = ["x don't y'll 'tis it's. it'.s abc'' q.'re a.b c1 d2. 日本。 мир! ÿ× µm2 ĊĠ Ġ.Ċ e\u0301. \u00ad. a\x7f", "It's.\nI'm!?\nnaïve***\n.\n!?"]
+    want = lambda texts: [e.ids for e in Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in t.ids(marked)] == want(marked)
+    assert alone == []
+    assert [np.frombuffer(b, "<u4").tolist() for b in t.ids(odd + marked)] == want(odd + marked)
+
+
 def test_store_round_trip_dedups_and_verifies(spark, tmp_path):
     long = " ".join(f"tok{i * 7919 % 1000}" for i in range(6000))
     rows = [(5, "b", 0), (1, long, 0), (2, long + " tail", 0), (None, None, 0), (3, "", 0), (3, "", 0)]
