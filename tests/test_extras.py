@@ -155,6 +155,19 @@ def test_functions_in_sql(spark, docs, merges):
     assert spark.sql("SELECT toy_decode(array(195)) AS half, toy_decode(array(999999)) AS none").first().asDict() == {"half": None, "none": None}
 
 
+def test_table_function_encodes_by_batches(spark, docs, merges):
+    """No row of tokens is made in Python: texts are encoded by batches and Spark makes the rows."""
+    sql.register_vocabulary(spark, merges, "toy")
+    long = "the cat " * 20_000 + "x" * 300
+    docs.select("doc_id", "text").unionByName(spark.createDataFrame([(901, long), (902, ""), (903, None)], "doc_id long, text string")).createOrReplaceTempView("toy_texts")
+    rows = spark.sql("SELECT doc_id, count(*) AS n FROM toy_texts, LATERAL toy_tokens(text) GROUP BY doc_id")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "UDTF" not in plan and "posexplode" in plan
+    want = {r.doc_id: r.n for r in spark.sql("SELECT doc_id, toy_count(text) AS n FROM toy_texts").collect()}
+    assert want[902] == 0 and want[903] is None
+    assert {r.doc_id: r.n for r in rows.collect()} == {k: n for k, n in want.items() if n}
+
+
 def test_streams_in_sql(spark):
     codec = surface.SurfaceCodec(tuple(bpe.train_local([b"the", b"then", b"cat"], [5, 3, 2], 262)), 4)
     sql.register_stream(spark, codec, "dual")
