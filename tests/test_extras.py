@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,33 @@ def test_unigram_training(spark):
     assert unigram.train(table.where("false"), 5) == ({}, [])
 
 
+@pytest.mark.parametrize("table", [1 << 24, 0])
+def test_lattices_in_arrays_equal_those_of_single_chunks(monkeypatch, table):
+    monkeypatch.setattr(unigram._Lattices, "TABLE", table)  # 0: the trie is searched
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcd é中") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    counted = {}
+    for w in words:
+        for i in range(len(w)):
+            for k in range(1, min(5, len(w) - i) + 1):
+                counted[w[i : i + k]] = counted.get(w[i : i + k], 0.0) + 1
+    pieces = unigram.logs({p: n for p, n in counted.items() if len(p) == 1 or n > 3})
+    own, n = unigram._Lattices(pieces), np.array([rng.randint(1, 9) for _ in words], float)
+    own.of(words, 4)
+    like, sums = own.expected(n)
+    each = [unigram.expected(w, pieces, 4) for w in words]
+    assert like == pytest.approx(sum(k * x for k, (x, _) in zip(n, each, strict=True)))
+    want = [sum(k * x.get(p, 0.0) for k, (_, x) in zip(n, each, strict=True)) for p in own.names]
+    assert sums == pytest.approx(np.array(want))
+    words += ["x", "ab!zz\U0001f600", "ab" * 400]  # characters that no piece has
+    own.of(words, 4)
+    got = {}
+    for e in own.best().tolist():
+        c = int(own.chunk[e])
+        got.setdefault(c, []).append(own.names[own.piece[e]] if own.piece[e] < len(own.names) else words[c][own.level[own.start[e]]])
+    assert [got[k] for k in range(len(words))] == [unigram.best(w, pieces, 4) for w in words]
+
+
 # --- SQL ---
 
 
