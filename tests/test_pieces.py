@@ -1,7 +1,9 @@
 """Training and measuring on pieces of chunks give what whole chunks give."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,32 @@ def test_texts_encoded_without_a_shuffle(spark, forced):
     back = {r.doc_id: bytes(r.raw).decode() for r in bpe.decoded_bytes(bpe.encoded_texts(docs, made, BASE), made).collect()}
     assert back == {d: t or "" for d, t in texts}
     assert "Exchange" not in bpe.encoded_texts(docs, made, BASE)._jdf.queryExecution().executedPlan().toString()
+
+
+def _letters(n):
+    sizes = np.full(n // 8, 8)
+    return np.random.default_rng(1).integers(97, 101, sizes.sum()).astype(np.uint8), sizes, np.ones(len(sizes), np.int64)
+
+
+def test_one_task_holds_little(monkeypatch):
+    """Under 40 bytes for each byte that it trains on: at MOST_IN_TASK that stays well under 4 GB."""
+    monkeypatch.setattr(bpe._Trainer, "SORTED", 1 << 18, raising=False)
+    data, sizes, counts = _letters(3_000_000)
+    tracemalloc.start()
+    try:
+        bpe._Trainer(data, sizes, counts, bpe.Rules()).natural(bpe.BYTES + 4)
+        assert tracemalloc.get_traced_memory()[1] < 40 * len(data)
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("large", [1, (1 << 31) - 1, 1 << 33])
+def test_places_sorted_in_blocks(monkeypatch, large):
+    """Blocks cut within chunks, and counts whose sums, or which themselves, take more than 32 bits."""
+    chunks = [b"aaaaa", b"", b"b", b"abab", b"baab", b"\xff\xfe\xff\xfe", b"cab", b"aab"]
+    counts = [large, 5, 5, large, 3, 2, 1, 7]
+    want = bpe.train_local(chunks, counts, bpe.BYTES + 9)
+    assert want[0].n == max(4 * large + 3 + 7, 2 * large + 3 + 1 + 7)
+    for block in (1, 2, 3, 7):
+        monkeypatch.setattr(bpe._Trainer, "SORTED", block, raising=False)
+        assert bpe.train_local(chunks, counts, bpe.BYTES + 9) == want
