@@ -100,3 +100,20 @@ def test_losses_slice_by_slice(spark, most):
     plain = lambda x: sorted((r.bucket, r.split, r.tokens, r.bytes, round(r.bits_per_byte, 9)) for r in x.collect())
     assert plain(got) == plain(whole) and len(plain(got)) > 4
     assert losses.bucketed(d.where("false"), "split", "train").isEmpty()
+
+
+@pytest.mark.parametrize("most", [3, 40])
+def test_losses_split_texts_once_whatever_the_slices(spark, monkeypatch, most):
+    """Documents aren't read again for each slice; sums hold for hot tokens, texts longer than a block, several splits and nulls."""
+    from corpuscle.operators import losses
+
+    calls, own = [], losses.T.chunks
+    monkeypatch.setattr(losses.T, "chunks", lambda *a: calls.append(a) or own(*a))
+    rows = [(["a a a b a c", "b a \x02 a", "", None, "zz, a b\n" * 9][k % 5], ["train", "val", None][k % 3]) for k in range(17)] + [("a unseen b", "val")]
+    d = spark.createDataFrame(rows, "text string, split string")
+    whole = losses.by_rank(losses.scored(losses.runs(d, "split"), "split", "train"), "split", (1, 3))
+    calls.clear()
+    got = losses.by_rank(losses.bucketed(d, "split", "train", edges=(1, 3), most=most), "split")
+    plain = lambda x: sorted((str(r.bucket), str(r.split), r.tokens, r.bytes, round(r.bits_per_byte, 9)) for r in x.collect())
+    assert plain(got) == plain(whole) and {r[0] for r in plain(got)} == {"None", "-1", "1", "3"}
+    assert len(calls) <= 2
