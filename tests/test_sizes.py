@@ -117,3 +117,19 @@ def test_losses_split_texts_once_whatever_the_slices(spark, monkeypatch, most):
     plain = lambda x: sorted((str(r.bucket), str(r.split), r.tokens, r.bytes, round(r.bits_per_byte, 9)) for r in x.collect())
     assert plain(got) == plain(whole) and {r[0] for r in plain(got)} == {"None", "-1", "1", "3"}
     assert len(calls) <= 2
+
+
+def test_ownership_without_rows_of_chunks(spark, sf_dir):
+    """Counted where texts are read: no row of a chunk is made, no document is sorted; a row is a document, whatever its doc_id."""
+    from corpuscle.functions.patterns import SPACELESS
+    from corpuscle.operators import surface
+
+    p = plan(catalog.QUERIES["word_start_ownership"](spark, sf_dir))
+    assert "posexplode" not in p and "Window" not in p
+    texts = ["The cat's 12 mats", "", None, " ", "日本 Éa1b", "a\nB  c", "x" * 70, "123", "a"]
+    whole = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.owned: r["count"] for r in surface.ownership(surface.chunk_spans(whole, "[^ ]* ?"), surface.start_offsets(whole)).groupBy("owned").count().collect()}
+    assert {r.owned: r.chunks for r in surface.owned_counts(whole, "[^ ]* ?").collect()} == want and max(want) > 1
+    want = {r.owned: r["count"] for r in surface.ownership(surface.chunk_spans(whole, SPACELESS), surface.start_offsets(whole)).groupBy("owned").count().collect()}
+    twice = whole.union(whole).withColumn("doc_id", F.lit(None).cast("long")).coalesce(1)
+    assert {r.owned: r.chunks for r in surface.owned_counts(twice).collect()} == {k: 2 * n for k, n in want.items()}
