@@ -264,11 +264,10 @@ def vocabulary_32k(spark, sf_dir):
 @query("SELECT codec, count(*) AS docs, count(*) AS same, sum(len(regexp_extract_all(text, ' [^\\s\\x0B]')))::BIGINT AS spaces FROM documents, (VALUES ('slots'), ('one'), ('offsets')) t(codec) GROUP BY codec")
 def codec_round_trips(spark, sf_dir):
     """The three codecs of spaces and capitals, each over all documents."""
-    from corpuscle.functions.patterns import SPACELESS
     from corpuscle.operators import surface
 
     d = documents(spark, sf_dir, "doc_id", "text")
-    made = tuple(bpe.collected(bpe.train(chunks.counted(d.select(T.fold_case(F.col("text")).alias("text")), SPACELESS), bpe.BYTES + 64)))
+    made = tuple(bpe.collected(bpe.train(surface.folded_counts(d), bpe.BYTES + 64)))
     return surface.round_trip_totals(d, {"slots": surface.SurfaceCodec(made, 4), "one": surface.OneCapCodec(made), "offsets": surface.OffsetCodec(made)})
 
 
