@@ -208,3 +208,48 @@ def test_candidates_are_measured_and_failures_reported(spark):
     assert evaluation.evaluate_candidates(spark, c, held, [], [], 300).isEmpty()
     nothing = evaluation.evaluate_candidates(spark, c.where("false"), held.where("false"), [], [(7, bpe.Rules())], 300)
     assert [r.cand for r in nothing.collect()] in ([], [7])
+
+
+@pytest.mark.parametrize("share", [0.9, 0.6, 0.01])
+def test_one_task_goes_on_where_rounds_leave_few_tokens(spark, sf_dir, monkeypatch, share):
+    """From tokens and a book of merges the same merges follow, and fewer rounds are made."""
+    monkeypatch.setattr(merging, "STEP", 8)
+    counted = chunks.counted(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).select("text"))
+    size = counted.selectExpr("sum(octet_length(chunk))").first()[0]
+    rules = bpe.Rules.of((("t", "h"),), (("o", "f"), ("of", "z")))
+    made, rounds = merging.train_in_rounds(counted.repartition(3), bpe.BYTES + 60, rules, hot=200, look=64, most=int(size * share))
+    assert as_rows(bpe.collected(made)) == as_rows(bpe.collected(bpe.train(counted, bpe.BYTES + 60, rules, "task")))
+    assert rounds < 20 if share > 0.5 else rounds > 10
+
+
+def test_trainer_goes_on_from_tokens():
+    """A trainer made of another's tokens and merges goes on as that one does."""
+    rng = random.Random(11)
+    for _ in range(200):
+        words, counts = random_words(rng)
+        rules, k, size = random_rules(rng), rng.randint(0, 10), 256 + rng.randint(10, 30)
+        rules = bpe.Rules(rules.blocked, (), rules.leading_space, rules.trailing_space)
+        whole = bpe.train_local(words, counts, size, rules)
+        book = bpe._Book(rules)
+        for m in whole[:k]:
+            book.add(m.left, m.right, m.n)
+        ids = [bpe.encode_word(list(w), {(m.left, m.right): m.id for m in whole[:k]}) for w in words]
+        tokens = np.array([i for x in ids for i in x], np.int32)
+        on = bpe._Trainer(tokens, np.array([len(x) for x in ids], np.int64), np.array(counts, np.int64), rules, book)
+        assert as_rows(on.book.run(on.natural, size)) == as_rows(whole)
+
+
+def test_pairs_rarer_than_the_rarest_merge_are_not_kept():
+    """Merges stay the same, and pairs that never occur so often are in no table."""
+    rng, fewer = random.Random(12), 0
+    for few in [0, 1000] * 100:
+        words, counts = random_words(rng)
+        rules, size = random_rules(rng), 256 + rng.randint(1, 12)
+        whole = bpe.train_local(words, counts, size, rules)
+        least = max(1, min((m.n for m in whole if not m.forced), default=1))
+        data, sizes = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64)
+        kept, all_of_them = (bpe._Trainer(data, sizes, np.array(counts, np.int64), rules, least=n) for n in (least, 1))
+        kept.FEW = all_of_them.FEW = few
+        assert as_rows(kept.book.run(kept.natural, size)) == as_rows(all_of_them.book.run(all_of_them.natural, size)) == as_rows(whole)
+        fewer += len(all_of_them.where) - len(kept.where)
+    assert fewer > 0
